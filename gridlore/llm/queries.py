@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from gridlore.llm import chat, decontaminate, exact, language, mixing, quality, simhash, units, urlfilter, warc
 
 
@@ -65,6 +66,7 @@ def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": corpus_pipeline.run,
     "op1_poisson_mix": op1_poisson_mix,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_filter": op3_url_filter,
