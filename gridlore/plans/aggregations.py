@@ -596,9 +596,9 @@ def agg_prior_movement(t):
     return p.groupBy("kind").agg(F.avg(F.abs(F.col("v") - F.col("prior"))).alias("moved"), F.stddev_samp("v").alias("sd"))
 
 
-@query("agg_game_excitement", """WITH d AS (SELECT game_id, play_id, wp, wp - lag(wp) OVER (PARTITION BY game_id ORDER BY play_id) AS d FROM plays) SELECT game_id, coalesce(sum(abs(d)), 0) AS excitement, max_by(play_id, {'a': round(coalesce(abs(d), 0), 9), 'b': -play_id}) AS swing, min(wp) AS low FROM d GROUP BY game_id""", "excitement low")
+@query("agg_game_excitement", """WITH d AS (SELECT game_id, play_id, wp, wp - lag(wp) OVER (PARTITION BY game_id ORDER BY play_id, wp) AS d FROM plays) SELECT game_id, coalesce(sum(abs(d)), 0) AS excitement, max_by(play_id, {'a': round(coalesce(abs(d), 0), 9), 'b': -play_id}) AS swing, min(wp) AS low FROM d GROUP BY game_id""", "excitement low")
 def agg_game_excitement(t):
-    d = t.plays.withColumn("d", F.abs(F.col("wp") - F.lag("wp").over(W.partitionBy("game_id").orderBy("play_id"))))
+    d = t.plays.withColumn("d", F.abs(F.col("wp") - F.lag("wp").over(W.partitionBy("game_id").orderBy("play_id", "wp"))))
     return d.groupBy("game_id").agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("excitement"), F.max_by("play_id", F.struct(F.round(F.coalesce("d", F.lit(0.0)), 9), -F.col("play_id"))).alias("swing"), F.min("wp").alias("low"))
 
 
