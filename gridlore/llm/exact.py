@@ -110,7 +110,7 @@ def _unlike(batches):
 def _compare(docs: DataFrame, open_: DataFrame, groups: DataFrame, primes, max_rows: int) -> DataFrame:
     """(fp, size, sha) of the rows whose text is not that of their group's first row."""
     several = groups.where("n > 1")
-    members = open_.join(several.select("fp", "size", "lead", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")), ["fp", "size"])
+    members = join_checked(open_, several.select("fp", "size", "lead", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")), ["fp", "size"], "inner", max_rows)
     members = settle(members.select("id", "fp", "size", "sha", (F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("sha") == F.col("lead.sha"))).alias("first"), "salts").distinct(), "members")
     wanted = members.select(F.col("id").alias("id_"), "fp", "size", "sha", "first", "salts")
     texts = join_checked(docs, wanted.withColumnsRenamed({c: f"{c}_" for c in ("fp", "size", "sha")}), docs["id"].eqNullSafe(F.col("id_")), "inner", max_rows)
@@ -147,7 +147,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         equal = open_.join(unlike, ["fp", "size", "sha"], "left_anti") if more else open_
         if more:
             groups = settle(equal.groupBy("fp", "size").agg(F.count("*").alias("n"), lead), "groups")
-        part = equal.join(groups, ["fp", "size"]).select(F.col("id").alias("doc_id"), F.col("lead.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("lead.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+        part = join_checked(equal, groups.where("n > 1"), ["fp", "size"], "left", max_rows).select(F.col("id").alias("doc_id"), F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("lead.id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), F.coalesce(F.col("row") == F.col("lead.row"), F.lit(True)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
         done = part if done is None else done.union(part)
         if not more:
             return done
