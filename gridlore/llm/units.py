@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from gridlore.llm._common import as_batch, free_name, join_checked, settle, slices
+from gridlore.llm._common import as_batch, free_name, settle, slices
 
 #: A unit: a line, or a sentence of it with its end marks.
 _UNIT = re.compile(r"[^\n.!?]*[.!?]+|[^\n.!?]+")
@@ -101,7 +101,7 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans, count = (free_name(docs, n) for n in ("removed", "n_removed"))
     right = gone.select(F.col("id").alias("unit_id"), F.col("tk").alias("unit_key"), F.col("spans").alias(spans))
     same = docs[id_col].cast("long").eqNullSafe(F.col("unit_id")) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("unit_key"))
-    joined = join_checked(docs, right, same, "left")
+    joined = docs.join(right, same, "left")  # at every size alike
     cut = F.when(F.col(spans).isNull(), docs[text_col]).otherwise(_cut(docs[text_col], F.col(f"{spans}.start"), F.col(f"{spans}.stop")))
     columns = [cut.alias(c) if c == text_col else docs[c] for c in docs.columns]
     none = F.array().cast("array<struct<start:int,stop:int>>")
