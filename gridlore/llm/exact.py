@@ -18,7 +18,7 @@ PRIMES = ((2147483647, 1000003), (2147483629, 700001))
 #: Bytes of a chunk.
 CHUNK = 1 << 16
 #: Members of a group that compare with one copy of its first text.
-SALT_ROWS = 2000
+SALT_ROWS = 200
 
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
