@@ -13,7 +13,8 @@ def total(a: Column) -> Column:
 
 
 def normalised(a: Column) -> Column:
-    return F.transform(a, lambda x: x / total(a))
+    """Divided by the sum, which is taken once."""
+    return F.transform(F.array(total(a)), lambda t: F.transform(a, lambda x: x / t))[0]
 
 
 def erf(x: Column) -> Column:
