@@ -57,6 +57,14 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str, max_rows: int
     return left.join(F.broadcast(right) if small else right, on, how)
 
 
+def map_texts(df: DataFrame, run, schema: str) -> DataFrame:
+    """`mapInArrow` over rows with whole texts, in batches of fewer rows unless the session says how many."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, "1000")
+    return df.mapInArrow(run, schema)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, every other character left alone."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

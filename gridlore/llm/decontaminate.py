@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import pickle
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm._common import ALNUM, as_batch, slices, utf8, word_blocks
+from gridlore.llm._common import ALNUM, as_batch, map_texts, slices, utf8, word_blocks
 
 #: Bytes of benchmark text that go to the executors at once; a larger benchmark is searched block after block.
 BLOCK_BYTES = 16 << 20
@@ -168,18 +167,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
 
     def one(block: int) -> DataFrame:
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast(pickle.dumps(read_tests([tuple(r) for r in part.collect()], width)))
+        shared = spark.sparkContext.broadcast(astuple(read_tests([tuple(r) for r in part.collect()], width)))
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
         def run(batches):
-            tests = pickle.loads(shared.value)
-            for batch in slices(batches):
+            tests = Tests(*shared.value)
+            for batch in slices(batches, 4 << 20):
                 found = search(utf8(batch.column(1)), tests)
                 own = as_batch(schema, [batch.column(0), [n for n, _, _ in found], [_spans(f) for _, f, _ in found], [[tests.names[i] for i in x] for _, _, x in found]])
                 rest = [batch.column(i) for i in range(2, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*own.columns, *rest], names=[*own.schema.names, *batch.schema.names[2:]])
 
-        return base.mapInArrow(run, f"doc_id long, n_words long, spans array<int>, items array<string>{kept_ddl}")
+        return map_texts(base, run, f"doc_id long, n_words long, spans array<int>, items array<string>{kept_ddl}")
 
     out = one(0)
     for block in range(1, blocks):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm._common import BROADCAST_ROWS, as_batch, free_name, join_checked, settle, slices, utf8
+from gridlore.llm._common import BROADCAST_ROWS, as_batch, free_name, join_checked, map_texts, settle, slices, utf8
 
 #: Two primes below 2**31 and their bases: fixed values of the fingerprint.
 PRIMES = ((2147483647, 1000003), (2147483629, 700001))
@@ -70,7 +70,7 @@ def _prints(docs: DataFrame, primes) -> DataFrame:
             texts = [normalised(t) for t in utf8(batch.column(1))]
             yield as_batch(schema, [batch.column(0), [fingerprint(t, primes) for t in texts], [len(t) for t in texts], [hashlib.sha256(t).digest() for t in texts]])
 
-    return docs.mapInArrow(run, "id long, fp long, size long, sha binary")
+    return map_texts(docs, run, "id long, fp long, size long, sha binary")
 
 
 def _chunks(docs: DataFrame, primes) -> DataFrame:
@@ -89,7 +89,7 @@ def _chunks(docs: DataFrame, primes) -> DataFrame:
                     parts = [text[at : at + CHUNK] for at in range(block, min(len(text), block + 64 * CHUNK), CHUNK)] or [b""]
                     yield as_batch(schema, [[x] * len(parts) for x in own] + [[block // CHUNK + k for k in range(len(parts))], parts])
 
-    return docs.mapInArrow(run, "id long, fp long, size long, sha binary, first boolean, salts int, part long, chunk binary")
+    return map_texts(docs, run, "id long, fp long, size long, sha binary, first boolean, salts int, part long, chunk binary")
 
 
 def _unlike(batches):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 from collections import Counter
 from dataclasses import dataclass
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm._common import slices
+from gridlore.llm._common import map_texts, slices
 
 #: Symbols of one parsed block; a block's first phrase starts anew.
 BLOCK = 1024
@@ -141,7 +140,7 @@ def decide(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, 1 / np.exp2(-over).sum(axis=1)
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_chars: int = 32768, sample_docs: int = 64, max_languages: int = 64) -> Model:
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_chars: int = 24576, sample_docs: int = 64, max_languages: int = 64) -> Model:
     """Suffix automata of a bounded sample: of each language, documents in the order of their hash, up to `sample_chars` characters.
 
     About `sample_docs` documents a language come to the driver, at most
@@ -182,14 +181,15 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_name: s
     """
     if not model.parsers:
         return docs.withColumns({lang_name: F.lit("und"), score_name: F.lit(0.0)})
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    shared = docs.sparkSession.sparkContext.broadcast((model.letters, [(p.language, p.table, p.bits) for p in model.parsers]))
     names = docs.columns
     at = names.index(text_col)
 
     def run(batches):
-        model = pickle.loads(shared.value)
+        letters, parsers = shared.value
+        model = Model(letters, [Parser(*p) for p in parsers])
         tags = [p.language for p in model.parsers]
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 2 << 20):
             texts = batch.column(at).to_pylist()
             letter = batch.column(len(names)).to_pylist()
             best, score = decide(parse([t if ok else None for t, ok in zip(texts, letter, strict=True)], model))
@@ -200,7 +200,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_name: s
     ready = docs.select(*docs.columns, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
     ready = ready.toDF(*[f"c{i}" for i in range(len(names) + 1)])
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
-    out = ready.mapInArrow(run, f"{kinds}, {lang_name} string, {score_name} double")
+    out = map_texts(ready, run, f"{kinds}, {lang_name} string, {score_name} double")
     return out.toDF(*names, lang_name, score_name)
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm._common import BROADCAST_ROWS, as_batch, byte_table, join_checked, settle, slices, utf8
+from gridlore.llm._common import BROADCAST_ROWS, as_batch, byte_table, join_checked, map_texts, settle, slices, utf8
 from gridlore.llm.mixing import uniform
 
 #: Words are runs of anything but ASCII white space, case and marks included, since those tell junk from prose.
@@ -82,7 +82,7 @@ def document_counts(docs: DataFrame, buckets: int) -> DataFrame:
         side, bucket = np.nonzero(total)
         yield as_batch(schema, [pa.array(side, pa.int32()), pa.array(np.where(bucket == buckets, -1, bucket), pa.int32()), pa.array(total[side, bucket])])
 
-    return docs.select("text", "side").mapInArrow(run, "side int, bucket int, n long").groupBy("side", "bucket").agg(F.sum("n").alias("n"))
+    return map_texts(docs.select("text", "side"), run, "side int, bucket int, n long").groupBy("side", "bucket").agg(F.sum("n").alias("n"))
 
 
 def log_ratios(counts: np.ndarray, smoothing: float = 1.0, min_z: float = 5.0) -> np.ndarray:
@@ -162,7 +162,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield as_batch(schema, [batch.column(0), [float(ratio[features(t, buckets)].sum(dtype=np.float64)) for t in utf8(batch.column(1))]])
 
     u = uniform(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) + F.lit(2.0**-53)
-    weighed = rows.mapInArrow(run, "doc_id long, log_weight double").withColumn("sort_key", F.col("log_weight") - F.log(-F.log(u)))
+    weighed = map_texts(rows, run, "doc_id long, log_weight double").withColumn("sort_key", F.col("log_weight") - F.log(-F.log(u)))
     # keys within a millionth of a millionth are one place; the greatest place has the greatest key
     weighed = settle(weighed.withColumn("place", (F.col("sort_key") * 1e12).cast("long") + F.lit(1 << 62)), "weights")
     keep = round(weighed.count() * share)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm._common import NON_SPACE, as_batch, runs, settle, slices, utf8, word_blocks
+from gridlore.llm._common import NON_SPACE, as_batch, map_texts, runs, settle, slices, utf8, word_blocks
 from gridlore.llm.components import components
 
 #: Fingerprints of one shard up to which a BK-tree is grown; larger shards take the exact flip search.
@@ -54,7 +54,7 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
             values = np.array([fingerprint(t, width, seed) for t in utf8(batch.column(1))], dtype=np.uint64)
             yield as_batch(schema, [batch.column(0), pa.array(values.view(np.int64))])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, fp long")
 
 
 class BKTree:

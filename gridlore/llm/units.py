@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from gridlore.llm._common import as_batch, free_name, settle, slices
+from gridlore.llm._common import as_batch, free_name, map_texts, settle, slices
 
 #: A unit: a line, or a sentence of it with its end marks.
 _UNIT = re.compile(r"[^\n.!?]*[.!?]+|[^\n.!?]+")
@@ -66,7 +66,7 @@ def unit_table(docs: DataFrame, min_words: int = 5) -> DataFrame:
             pair = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
             yield as_batch(schema, [pa.array(pair[:, 0]), pa.array(pair[:, 1]), *[[r[i] for r in rows] for i in range(4)]])
 
-    return docs.mapInArrow(run, "d1 long, d2 long, id long, tk long, start int, stop int")
+    return map_texts(docs, run, "d1 long, d2 long, id long, tk long, start int, stop int")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm._common import BROADCAST_ROWS, as_batch, join_checked, settle, shared_dir
+from gridlore.llm._common import BROADCAST_ROWS, as_batch, join_checked, map_texts, settle, shared_dir
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _START = re.compile(rb"WARC/1\.[01]\r\n")
@@ -183,7 +183,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
                 yield as_batch(schema, [[h[k] for h in held] for k in range(len(schema))])
 
     kinds = "archive string, member long, kind string, start long, stop long, reason string, headers map<string,string>, payload_bytes long, payload_digest string"
-    return files.mapInArrow(run, kinds + (", payload binary" if payload else ""))
+    return map_texts(files, run, kinds + (", payload binary" if payload else ""))
 
 
 def resolve(records: DataFrame) -> DataFrame:
