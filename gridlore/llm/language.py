@@ -61,7 +61,7 @@ def _symbol_table(letters: str) -> np.ndarray:
 
 
 def automaton(text: np.ndarray, width: int) -> np.ndarray:
-    """The parsing table of the suffix automaton of `text`, whose symbols are below `width`."""
+    """The parsing table of the suffix automaton of `text`, whose symbols are below `width`; the last state begins a parse."""
     nexts: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text.tolist():
@@ -87,8 +87,9 @@ def automaton(text: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = copy
         last = now
-    root = np.array([nexts[0].get(c, 0) for c in range(width)], np.int32)
-    table = np.tile(root * 2 + 1, (len(nexts), 1))
+    dead = len(nexts)  # after a symbol that the text lacks, and before the first one
+    root = np.array([nexts[0].get(c, dead) for c in range(width)], np.int32)
+    table = np.tile(root * 2 + 1, (len(nexts) + 1, 1))
     for state, own in enumerate(nexts):
         for c, to in own.items():
             table[state, c] = to * 2
@@ -99,8 +100,8 @@ def phrases(blocks: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.nd
     """Phrases of each block: columns of symbols, longest first, all parsed in step."""
     width = table.shape[1]
     flat = table.ravel()
-    state = np.zeros(blocks.shape[1], np.int64)
-    count = np.ones(blocks.shape[1], np.int64)
+    state = np.full(blocks.shape[1], len(table) - 1, np.int64)
+    count = np.zeros(blocks.shape[1], np.int64)
     active = np.searchsorted(-lengths, -np.arange(1, blocks.shape[0] + 1), side="right")
     for at in range(blocks.shape[0]):
         n = int(active[at])
