@@ -131,11 +131,13 @@ def key_number_factors(rows: DataFrame, margin: str, pmf: str, low: int, top: in
     """
     from gridlore.functions.distributions import total
 
+    def weigh(f: Column) -> Column:
+        return F.transform(pmf, lambda x, i: x * F.coalesce(F.get(f, F.abs(i + low)), F.lit(1.0)))
+
     factors = [1.0] * (top + 1)
     seen = rows.agg(*[F.avg((F.abs(margin) == k).cast("double")).alias(f"k{k}") for k in range(top + 1)]).first()
     for _ in range(rounds):
-        f = F.array(*[F.lit(x) for x in factors])
-        weighed = rows.select(F.transform(pmf, lambda x, i, f=f: x * F.coalesce(F.get(f, F.abs(i + low)), F.lit(1.0))).alias("w_"))
+        weighed = rows.select(weigh(F.array(*[F.lit(x) for x in factors])).alias("w_"))
         summed = weighed.select("w_", total(F.col("w_")).alias("t_"))
         mass = lambda k: (F.get("w_", F.lit(k - low)) + (F.get("w_", F.lit(-k - low)) if k else 0.0)) / F.col("t_")
         want = summed.agg(*[F.avg(mass(k)).alias(f"k{k}") for k in range(top + 1)]).first()
