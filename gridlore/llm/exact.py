@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +27,21 @@ def normalised(text: bytes | None) -> bytes:
     return re.sub(b"  +", b" ", (text or b"").translate(_SPACES))
 
 
-@lru_cache(maxsize=8)
+_known: dict[tuple[int, int], np.ndarray] = {}
+
+
 def _powers(prime: int, base: int) -> np.ndarray:
+    """The powers of the base for a chunk's places, the last one 1."""
+    if (prime, base) in _known:
+        return _known[prime, base]
     out = np.ones(CHUNK, np.uint64)
     have = 1
     while have < CHUNK:
         step = pow(base, have, prime)
         out[have : 2 * have] = out[: min(have, CHUNK - have)] * np.uint64(step) % np.uint64(prime)
         have *= 2
-    return out[::-1].copy()
+    _known[prime, base] = out[::-1].copy()
+    return _known[prime, base]
 
 
 def chunk_hash(chunk: bytes, prime: int, base: int) -> int:

@@ -322,3 +322,18 @@ def test_near_duplicates(spark):
         groups.setdefault(find(i), set()).add(d)
     assert sorted(r["doc_id"] for r in neardup.near_dedup(df).collect()) == sorted(min(g) for g in groups.values())
     assert neardup.near_dedup(df.limit(0)).count() == 0
+
+
+def test_functions_travel_by_value(tmp_path):
+    """What runs in tasks must load where this repository is not installed."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    own = [exact.fingerprint, exact._unlike, simhash.fingerprint, simhash._grow(8, 2), neardup.shingles, language.parse, quality.features, decontaminate.search, units.units, warc.read_records]
+    (tmp_path / "own").write_bytes(cloudpickle.dumps(own))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", "import pickle; f = pickle.load(open('own', 'rb')); print(f[0](b'abc'))"], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.stdout.strip() == str(exact.fingerprint(b"abc")), done.stderr[-500:]
