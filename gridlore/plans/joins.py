@@ -198,7 +198,7 @@ def join_changed_flag(t):
     return J.changed(a, a.withColumn("season", F.col("season") + 1), ["off", "season"], {"new_x": "x", "new_n": "n"})
 
 
-@query("join_state_structures", """WITH x AS (SELECT kind, down, player, row_number() OVER (PARTITION BY kind, down ORDER BY md5(game_id || '|' || play_id || '|' || player), game_id) AS k FROM plays WHERE season < 1996), q AS (SELECT DISTINCT kind, down, togo FROM plays WHERE season = 1996) SELECT q.kind, q.down, q.togo, k AS pick, player FROM q JOIN x ON x.kind = q.kind AND x.down = q.down AND k <= 3""")
+@query("join_state_structures", """WITH x AS (SELECT kind, down, player, row_number() OVER (PARTITION BY kind, down ORDER BY md5(game_id || '|' || play_id || '|' || player), game_id) AS k FROM plays WHERE season < 1996), q AS (SELECT DISTINCT kind, down, togo FROM plays WHERE season = 1996) SELECT q.kind, q.down, q.togo, k::INT AS pick, player FROM q JOIN x ON x.kind = q.kind AND x.down = q.down AND k <= 3""")
 def join_state_structures(t):
     x = t.plays.where("season < 1996").withColumn("h", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("game_id", "play_id", "player")])))
     x = x.withColumn("pick", F.row_number().over(W.partitionBy("kind", "down").orderBy("h", "game_id"))).where("pick <= 3").select("kind", "down", "pick", "player")
