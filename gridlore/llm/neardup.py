@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -14,6 +16,8 @@ from gridlore.llm.simhash import fingerprint_links
 
 #: Bands of a sketch and minima of a band: texts of similarity 0.8 share a band with probability 0.9998.
 BANDS, ROWS = 16, 4
+#: Counters by which the shingles of unresolved texts are put in order of rarity; any order gives the same links.
+COUNTERS = 1 << 20
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -100,6 +104,85 @@ def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
     return map_texts(pairs.select("a", "b", "x", "y"), run, "a long, b long")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are similar, by the sets (uid, own)."""
+    full = pairs.join(sets.select(F.col("uid").alias("b"), F.col("own").alias("y")), "b").join(sets.select(F.col("uid").alias("a"), F.col("own").alias("x")), "a")
+    return _similar(full, similarity)
+
+
+def _rarities(sets: DataFrame) -> np.ndarray:
+    """How many shingles of `sets` fall to each counter."""
+    schema = pa.schema([("slot", pa.int32()), ("n", pa.int64())])
+
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in slices(batches):
+            for own in batch.column(0).to_pylist():
+                total[(np.frombuffer(own, np.uint64) % np.uint64(COUNTERS)).astype(np.int64)] += 1
+        slot = np.flatnonzero(total)
+        yield as_batch(schema, [pa.array(slot, pa.int32()), pa.array(total[slot])])
+
+    found = map_texts(sets.select("own"), run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(uid, root, size, token, at): the rarest shingles of each set (uid, root, own), so many that similar sets share one.
+
+    Sets of n and m <= n shingles that are similar have similarity * n in
+    common; of all but n - ceil(similarity * n) shingles one at least is common.
+    In one order of all shingles the least common one is in both prefixes.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(_rarities(sets))
+    schema = pa.schema([("uid", pa.int64()), ("root", pa.int64()), ("size", pa.int32()), ("token", pa.int64()), ("at", pa.int32())])
+
+    def run(batches):
+        rarity = shared.value
+        for batch in slices(batches, 1 << 20):
+            uid, root = (batch.column(i).to_numpy() for i in range(2))
+            sizes, tokens = [], []
+            for own in batch.column(2).to_pylist():
+                s = np.frombuffer(own, np.uint64)
+                order = np.lexsort((s, rarity[(s % np.uint64(COUNTERS)).astype(np.int64)]))
+                keep = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
+                sizes.append(len(s))
+                tokens.append(s[order[:keep]] if len(s) else np.zeros(1, np.uint64))
+            n = [len(x) for x in tokens]
+            yield as_batch(schema, [pa.array(np.repeat(uid, n)), pa.array(np.repeat(root, n)), pa.array(np.repeat(np.array(sizes, np.int32), n)), pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n]))])
+
+    return map_texts(sets.select("uid", "root", "own"), run, "uid long, root long, size int, token long, at int")
+
+
+def _unresolved(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(uid, root) of all members of the groups of candidates that verified links leave in several components."""
+    groups = components(pairs).select(F.col("node").alias("uid"), F.col("root").alias("grp"))
+    roots = components(edges).select(F.col("node").alias("uid"), "root")
+    rooted = settle(groups.join(roots, "uid", "left").select("uid", "grp", F.coalesce("root", "uid").alias("root")), "rooted")
+    several = rooted.groupBy("grp").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("grp")
+    return settle(rooted.join(several, "grp").select("uid", "root"), "unresolved")
+
+
+def _missing(unresolved: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): candidates that hold every pair of similar unresolved texts whose roots differ.
+
+    Texts meet at the shingles of their prefixes. At each, those of another
+    root than the commonest one meet all of another root. The first shingle in
+    common leaves as many to come as similar sets have in common, so pairs for
+    which it can't be the first are left.
+    """
+    keys = settle(_prefixes(sets.join(unresolved, "uid"), similarity), "prefixes")
+    counted = keys.groupBy("token", "root").agg(F.count("*").alias("n"))
+    main = counted.groupBy("token").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("token", F.col("m.root").alias("main"))
+    met = settle(keys.join(main, "token"), "met-prefixes")
+    x = met.where("root <> main").select("token", F.col("uid").alias("a"), F.col("root").alias("r"), F.col("size").alias("n"), F.col("at").alias("i"))
+    y = met.select("token", F.col("uid").alias("b"), F.col("root").alias("s"), F.col("size").alias("m"), F.col("at").alias("j"))
+    both = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - 1e-9)
+    fits = (F.col("r") != F.col("s")) & (F.col("i") + both <= F.col("n")) & (F.col("j") + both <= F.col("m"))
+    return x.join(y, "token").where(fits | (F.col("n") + F.col("m") == 0)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """(doc_id, tk, keep_id, keep_tk) of the documents that go; tk is Spark's xxhash64 of the text.
 
@@ -108,8 +191,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     SimHash fingerprints within `radius` bits, found by BK-trees, and, since
     texts of similarity 0.8 differ in about nine bits, also the members of a
     band of least shingle hashes and the band's first document. Candidates are
-    verified on the whole texts' shingles; groups are the components of the
-    links, and the document with the smallest id stays (null ids last).
+    verified on the whole texts' shingles. Where that leaves a group of
+    candidates in several components, all of its texts are searched for further
+    links, exactly, by the rarest shingles that similar texts must share.
+    Groups are the components of all links, and the document with the smallest
+    id stays (null ids last).
 
     Texts without words are alike and form a group. Rows that repeat an id and
     a text are one document here. An empty table has no groups.
@@ -131,8 +217,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = settle(rows.join(met, "uid").select("uid", F.col("doc_id").alias("id_"), F.col("tk").alias("tk_")), "met")
     texts = join_checked(keyed, wanted, keyed["doc_id"].eqNullSafe(F.col("id_")) & (keyed["tk"] == F.col("tk_")), "inner")
     sets = settle(_sets(texts, width), "sets")
-    full = pairs.join(sets.select(F.col("uid").alias("b"), F.col("own").alias("y")), "b").join(sets.select(F.col("uid").alias("a"), F.col("own").alias("x")), "a")
-    edges = settle(_similar(full, similarity), "links")
+    edges = settle(_verified(pairs, sets, similarity), "links")
+    unresolved = _unresolved(pairs, edges)
+    more = settle(_missing(unresolved, sets, similarity), "more-pairs")
+    edges = settle(edges.union(_verified(more, sets, similarity)), "all-links")
 
     roots = components(edges)
     members = settle(rows.select("uid", "doc_id", "tk").join(roots.withColumnRenamed("node", "uid"), "uid"), "members")

@@ -324,6 +324,23 @@ def test_near_duplicates(spark):
     assert neardup.near_dedup(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_hot_band(spark):
+    """Pairs of similarity 0.85 among texts that have 0.75 with all others, which share their bands."""
+    rng = random.Random(12)
+    common, rows = [f"c{i}" for i in range(300)], []
+    for k in range(60):
+        own = [f"p{k}x{i}" for i in range(22)]
+        rows += [" ".join(common + own + [f"q{k}{m}x{i}" for i in range(28)]) for m in "ab"[: 1 + (k % 3 > 0)]]
+    rng.shuffle(rows)
+
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in rows)]
+    like = {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(like) == 40 == len({i for i, _ in like})
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["keep_id"]) for r in neardup.near_duplicates(df).collect()}
+    assert got == like
+
+
 def test_functions_travel_by_value(tmp_path):
     """What runs in tasks must load where this repository is not installed."""
     import os
