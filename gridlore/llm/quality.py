@@ -33,7 +33,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def features(text: bytes | None, buckets: int) -> np.ndarray:
-    """Bucket numbers, each once, of the words and pairs of neighbouring words of a whole text."""
+    """Bucket numbers, as often as they occur, of the words and pairs of neighbouring words of a whole text."""
     out, carry = [], np.zeros(0, np.uint64)
     for part in _pieces(text or b""):
         values = np.frombuffer(part, np.uint8)
@@ -47,9 +47,9 @@ def features(text: bytes | None, buckets: int) -> np.ndarray:
         words = _mixed((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))
         chain = np.concatenate([carry, words])
         pairs = _mixed(chain[:-1] * np.uint64(3) + chain[1:])
-        out.append(np.unique(np.concatenate([words, pairs]) % np.uint64(buckets)))
+        out.append((np.concatenate([words, pairs]) % np.uint64(buckets)).astype(np.int64))
         carry = words[-1:]
-    return np.unique(np.concatenate(out)).astype(np.int64) if out else np.zeros(0, np.int64)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def _pieces(text: bytes, size: int = 1 << 20):
@@ -66,10 +66,10 @@ def _pieces(text: bytes, size: int = 1 << 20):
         yield part
 
 
-def document_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(side, bucket, n): in how many documents of each side a bucket occurs, over all of `docs` (text, side).
+def bucket_counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """(side, bucket, n): how often a bucket occurs on each side, over all of `docs` (text, side).
 
-    Bucket -1 counts the documents. Counts are summed in each task, then by bucket.
+    Bucket -1 counts all occurrences. Counts are summed in each task, then by bucket.
     """
     schema = pa.schema([("side", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())])
 
@@ -77,26 +77,25 @@ def document_counts(docs: DataFrame, buckets: int) -> DataFrame:
         total = np.zeros((2, buckets + 1), np.int64)
         for batch in slices(batches):
             for text, side in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                total[side, features(text, buckets)] += 1
-                total[side, -1] += 1
+                found = features(text, buckets)
+                np.add.at(total[side], found, 1)
+                total[side, -1] += len(found)
         side, bucket = np.nonzero(total)
         yield as_batch(schema, [pa.array(side, pa.int32()), pa.array(np.where(bucket == buckets, -1, bucket), pa.int32()), pa.array(total[side, bucket])])
 
     return map_texts(docs.select("text", "side"), run, "side int, bucket int, n long").groupBy("side", "bucket").agg(F.sum("n").alias("n"))
 
 
-def log_ratios(counts: np.ndarray, smoothing: float = 1.0, min_z: float = 5.0) -> np.ndarray:
-    """log(p_target / p_raw) of each bucket from the documents that hold it; the last count is of all documents.
+def log_ratios(counts: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
+    """log(p_target / p_raw) of each bucket from its occurrences; the last count is of all occurrences.
 
     `counts` has a row for the target and one for the raw side, which holds the
-    target too. Buckets whose share of the target is within `min_z` standard
-    deviations of the one expected say nothing, and have ratio 0.
+    target too. Every bucket counts; smoothing draws the ratio of rare ones
+    towards 0 by degrees. Without a target all ratios are 0.
     """
     target, raw = counts.astype(float)
-    share = target[-1] / max(raw[-1], 1.0)
-    want = raw * share
-    z = (target - want) / np.sqrt(want * (1 - share) + 1e-9)
-    return np.where(np.abs(z) >= min_z, np.log((target + smoothing) / (want + smoothing)), 0.0)[:-1]
+    want = raw * (target[-1] / max(raw[-1], 1.0))
+    return (np.log((target + smoothing) / (want + smoothing)) if target[-1] else np.zeros(len(raw)))[:-1]
 
 
 def _fit(rows: DataFrame, labels: DataFrame, target_rows: int, buckets: int) -> tuple[np.ndarray, float]:
@@ -109,7 +108,7 @@ def _fit(rows: DataFrame, labels: DataFrame, target_rows: int, buckets: int) ->
         bound = int(2**64 * (target_rows / good)) - 2**63
         sample = sample.where(F.xxhash64("label_id") <= bound)
     marked = join_checked(rows, settle(sample.select("label_id"), "target"), rows["id"] == F.col("label_id"), "left", max(BROADCAST_ROWS, 2 * target_rows))
-    found = document_counts(marked.select("text", F.col("label_id").isNotNull().cast("int").alias("side")), buckets).toArrow()
+    found = bucket_counts(marked.select("text", F.col("label_id").isNotNull().cast("int").alias("side")), buckets).toArrow()
     table = np.zeros((2, buckets + 1), np.int64)
     table[found["side"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
     return log_ratios(np.stack([table[1], table.sum(axis=0)])), good / n if n else 1.0
@@ -138,8 +137,8 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     log_weight is the log ratio of two generative models of hashed words and
     word pairs at the whole text: target, fitted on the documents whose label
     says quality 1 and not toxic (`labels`: doc_id, quality, toxic), and raw,
-    fitted on all documents. Models hold the share of documents with each
-    bucket. sort_key adds a Gumbel variable hashed from seed and id; the
+    fitted on all documents. Models hold the share of each bucket
+    in all occurrences. sort_key adds a Gumbel variable hashed from seed and id; the
     `share` of the rows with the greatest keys is selected, which draws without
     replacement in proportion to the weights. Without a share, it is that of
     the target among the labelled rows.

@@ -175,6 +175,13 @@ def test_quality(spark):
     assert none.where("selected").count() == 402
 
 
+def test_quality_counts_rare_and_repeated_ngrams():
+    assert len(quality.features(b"a b a b a b", 1 << 18)) == 11
+    ratios = quality.log_ratios(np.array([[0, 30, 1000, 10_000], [60, 60, 5000, 50_000]]))
+    assert ratios[0] < -2 and ratios[1] > 0.7 and abs(ratios[2]) < 1e-9
+    assert not quality.log_ratios(np.array([[0, 0], [7, 7]])).any()
+
+
 def test_decontaminate(spark):
     rng = random.Random(4)
     items = [(1, words(rng, 30)), (2, words(rng, 14)), (3, "w1 w2 w3 zz"), (4, None), (5, "!!"), (None, words(rng, 12)), (2, words(rng, 11))]
