@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -134,5 +133,27 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)
+#: Base of the rolling hashes, odd, so that it has an inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(BASE, -1, 1 << 64)
+_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse, from 0 to n - 1 at least."""
+    if not _cache or len(_cache[0][0]) < n:
+        n = max(n, 1 << 16)
+        _cache[0] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)]), dtype=np.uint64) for b in (BASE, _INVERSE))
+    return _cache[0]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def span_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of values[start:stop] for each span, from running sums."""
+    power, inverse = _powers(len(values) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values.astype(np.uint64) * power[: len(values)], dtype=np.uint64)])
+    return mixed((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))

@@ -7,33 +7,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm._common import BROADCAST_ROWS, as_batch, byte_table, join_checked, map_texts, settle, slices, utf8
+from gridlore.llm._common import BROADCAST_ROWS, as_batch, byte_table, join_checked, map_texts, mixed, settle, slices, span_hashes, utf8
 from gridlore.llm.mixing import uniform
 
 #: Words are runs of anything but ASCII white space, case and marks included, since those tell junk from prose.
 WORDS = byte_table(bytes(b for b in range(256) if b not in b" \t\n\x0b\x0c\r"), lower=False)
-#: Base of the word hash, odd, so that it has an inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-_INVERSE = pow(BASE, -1, 1 << 64)
-_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the base and of its inverse, from 0 to n - 1 at least."""
-    if not _cache or len(_cache[0][0]) < n:
-        n = max(n, 1 << 16)
-        _cache[0] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)]), dtype=np.uint64) for b in (BASE, _INVERSE))
-    return _cache[0]
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+#: What is added to a bucket's counts: words, and pairs of words, which are sparser.
+SMOOTHING = (5.0, 50.0)
 
 
 def features(text: bytes | None, buckets: int) -> np.ndarray:
-    """Bucket numbers, as often as they occur, of the words and pairs of neighbouring words of a whole text."""
+    """Bucket numbers, as often as they occur, of a whole text's words (below `buckets`) and pairs of neighbouring words (from `buckets` on)."""
     out, carry = [], np.zeros(0, np.uint64)
     for part in _pieces(text or b""):
         values = np.frombuffer(part, np.uint8)
@@ -42,12 +26,10 @@ def features(text: bytes | None, buckets: int) -> np.ndarray:
         start, stop = edge[::2], edge[1::2]
         if not len(start):
             continue
-        power, inverse = _powers(len(values) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values.astype(np.uint64) * power[: len(values)], dtype=np.uint64)])
-        words = _mixed((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))
+        words = span_hashes(values, start, stop)
         chain = np.concatenate([carry, words])
-        pairs = _mixed(chain[:-1] * np.uint64(3) + chain[1:])
-        out.append((np.concatenate([words, pairs]) % np.uint64(buckets)).astype(np.int64))
+        pairs = mixed(chain[:-1] * np.uint64(3) + chain[1:])
+        out += [(words % np.uint64(buckets)).astype(np.int64), (pairs % np.uint64(buckets)).astype(np.int64) + buckets]
         carry = words[-1:]
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
@@ -69,33 +51,40 @@ def _pieces(text: bytes, size: int = 1 << 20):
 def bucket_counts(docs: DataFrame, buckets: int) -> DataFrame:
     """(side, bucket, n): how often a bucket occurs on each side, over all of `docs` (text, side).
 
-    Bucket -1 counts all occurrences. Counts are summed in each task, then by bucket.
+    Counts are summed in each task, then by bucket.
     """
     schema = pa.schema([("side", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
-        total = np.zeros((2, buckets + 1), np.int64)
+        total = np.zeros((2, 2 * buckets), np.int64)
         for batch in slices(batches):
+            found: tuple[list, list] = ([], [])
             for text, side in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                found = features(text, buckets)
-                np.add.at(total[side], found, 1)
-                total[side, -1] += len(found)
+                found[side].append(features(text, buckets))
+            for side in (0, 1):
+                if found[side]:
+                    total[side] += np.bincount(np.concatenate(found[side]), minlength=2 * buckets)
         side, bucket = np.nonzero(total)
-        yield as_batch(schema, [pa.array(side, pa.int32()), pa.array(np.where(bucket == buckets, -1, bucket), pa.int32()), pa.array(total[side, bucket])])
+        for at in range(0, len(side), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield as_batch(schema, [pa.array(side[part], pa.int32()), pa.array(bucket[part], pa.int32()), pa.array(total[side[part], bucket[part]])])
 
     return map_texts(docs.select("text", "side"), run, "side int, bucket int, n long").groupBy("side", "bucket").agg(F.sum("n").alias("n"))
 
 
-def log_ratios(counts: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
-    """log(p_target / p_raw) of each bucket from its occurrences; the last count is of all occurrences.
+def log_ratios(counts: np.ndarray, smoothing: tuple[float, float] = SMOOTHING) -> np.ndarray:
+    """log(p_target / p_raw) of each bucket from its occurrences, the first half of words, the second of pairs.
 
     `counts` has a row for the target and one for the raw side, which holds the
-    target too. Every bucket counts; smoothing draws the ratio of rare ones
-    towards 0 by degrees. Without a target all ratios are 0.
+    target too. Both models are multinomials whose counts have `smoothing`
+    added, on the target's scale; so each bucket counts, and the ratio of rare
+    ones is drawn towards 0 by degrees. Without a target all ratios are 0.
     """
-    target, raw = counts.astype(float)
-    want = raw * (target[-1] / max(raw[-1], 1.0))
-    return (np.log((target + smoothing) / (want + smoothing)) if target[-1] else np.zeros(len(raw)))[:-1]
+    out = []
+    for (target, raw), add in zip(np.split(counts.astype(float), 2, axis=1), smoothing, strict=True):
+        want = raw * (target.sum() / max(raw.sum(), 1.0))
+        out.append(np.log((target + add) / (want + add)) if target.any() else np.zeros(len(raw)))
+    return np.concatenate(out)
 
 
 def _fit(rows: DataFrame, labels: DataFrame, target_rows: int, buckets: int) -> tuple[np.ndarray, float]:
@@ -109,7 +98,7 @@ def _fit(rows: DataFrame, labels: DataFrame, target_rows: int, buckets: int) ->
         sample = sample.where(F.xxhash64("label_id") <= bound)
     marked = join_checked(rows, settle(sample.select("label_id"), "target"), rows["id"] == F.col("label_id"), "left", max(BROADCAST_ROWS, 2 * target_rows))
     found = bucket_counts(marked.select("text", F.col("label_id").isNotNull().cast("int").alias("side")), buckets).toArrow()
-    table = np.zeros((2, buckets + 1), np.int64)
+    table = np.zeros((2, 2 * buckets), np.int64)
     table[found["side"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
     return log_ratios(np.stack([table[1], table.sum(axis=0)])), good / n if n else 1.0
 
@@ -137,8 +126,8 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     log_weight is the log ratio of two generative models of hashed words and
     word pairs at the whole text: target, fitted on the documents whose label
     says quality 1 and not toxic (`labels`: doc_id, quality, toxic), and raw,
-    fitted on all documents. Models hold the share of each bucket
-    in all occurrences. sort_key adds a Gumbel variable hashed from seed and id; the
+    fitted on all documents. Models hold the smoothed share of each bucket in
+    all occurrences, `buckets` for words and as many for pairs. sort_key adds a Gumbel variable hashed from seed and id; the
     `share` of the rows with the greatest keys is selected, which draws without
     replacement in proportion to the weights. Without a share, it is that of
     the target among the labelled rows.
@@ -146,8 +135,10 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     The target is fitted on a sample of about `target_rows` labelled rows,
     chosen by hash, if there are more. Equal keys at the last place are all
     selected. Null and empty texts have weight 0 before noise; null ids draw
-    one number; an id that has several labels counts by the worst. Without
-    labels all weights are 0 and all rows are selected.
+    one number, and so do rows that repeat an id, each of which comes out; an
+    id that has several labels counts by the worst. Without labels all weights
+    are 0 and all rows are selected. An empty table gives an empty one; columns
+    other than id and text are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ratios, good = _fit(rows, labels, target_rows, buckets)
