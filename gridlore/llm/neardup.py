@@ -155,13 +155,12 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     return map_texts(sets.select("uid", "root", "own"), run, "uid long, root long, size int, token long, at int")
 
 
-def _unresolved(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(uid, root) of all members of the groups of candidates that verified links leave in several components."""
-    groups = components(pairs).select(F.col("node").alias("uid"), F.col("root").alias("grp"))
-    roots = components(edges).select(F.col("node").alias("uid"), "root")
-    rooted = settle(groups.join(roots, "uid", "left").select("uid", "grp", F.coalesce("root", "uid").alias("root")), "rooted")
-    several = rooted.groupBy("grp").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("grp")
-    return settle(rooted.join(several, "grp").select("uid", "root"), "unresolved")
+def _unresolved(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(uid, root) of all members of the components that a candidate pair leads out of."""
+    at = lambda name, c: roots.select(F.col("uid").alias(name), F.col("root").alias(c))
+    across = pairs.join(at("a", "r"), "a").join(at("b", "s"), "b").where("r <> s")
+    open_ = across.select(F.explode(F.array("r", "s")).alias("root")).distinct()
+    return settle(roots.join(open_, "root").select("uid", "root"), "unresolved")
 
 
 def _missing(unresolved: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -193,12 +192,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     band of least shingle hashes and the band's first document. Candidates are
     verified on the whole texts' shingles. Where that leaves a group of
     candidates in several components, all of its texts are searched for further
-    links, exactly, by the rarest shingles that similar texts must share.
+    links, exactly, by the rarest shingles that similar texts must share. So
+    neither the choice of a band's first document nor the partitioning shows.
     Groups are the components of all links, and the document with the smallest
-    id stays (null ids last).
+    id stays (null ids last, then by text key).
 
-    Texts without words are alike and form a group. Rows that repeat an id and
-    a text are one document here. An empty table has no groups.
+    Null texts and texts without words are alike and form a group. Rows that
+    repeat an id and a text are one document here. An empty table has no
+    groups; columns other than id and text are not read.
     """
     keyed = _keyed(docs, id_col, text_col)
     one = _sketches(keyed, width).groupBy("doc_id", "tk").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
@@ -217,14 +218,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = settle(rows.join(met, "uid").select("uid", F.col("doc_id").alias("id_"), F.col("tk").alias("tk_")), "met")
     texts = join_checked(keyed, wanted, keyed["doc_id"].eqNullSafe(F.col("id_")) & (keyed["tk"] == F.col("tk_")), "inner")
     sets = settle(_sets(texts, width), "sets")
-    edges = settle(_verified(pairs, sets, similarity), "links")
-    unresolved = _unresolved(pairs, edges)
+    linked = components(_verified(pairs, sets, similarity)).withColumnRenamed("node", "uid")
+    roots = settle(met.join(linked, "uid", "left").select("uid", F.coalesce("root", "uid").alias("root")), "roots")
+    unresolved = _unresolved(pairs, roots)
     more = settle(_missing(unresolved, sets, similarity), "more-pairs")
-    edges = settle(edges.union(_verified(more, sets, similarity)), "all-links")
-
-    roots = components(edges)
-    members = settle(rows.select("uid", "doc_id", "tk").join(roots.withColumnRenamed("node", "uid"), "uid"), "members")
-    first = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "tk")).alias("keep"))
+    over = unresolved.withColumnsRenamed({"uid": "node", "root": "top"})
+    tops = lambda c: over.select(F.col("node").alias(c), F.col("top").alias(f"{c}_top"))
+    joined = _verified(more, sets, similarity).join(tops("a"), "a").join(tops("b"), "b").select(F.col("a_top").alias("a"), F.col("b_top").alias("b"))
+    tops_joined = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    roots = roots.join(tops_joined, "root", "left").select("uid", F.coalesce("top", "root").alias("root"))
+
+    members = settle(rows.select("uid", "doc_id", "tk").join(roots, "uid"), "members")
+    first = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk", "uid")).alias("keep"))
     return members.join(first, "root").where("uid <> keep.uid").select("doc_id", "tk", F.col("keep.doc_id").alias("keep_id"), F.col("keep.tk").alias("keep_tk"))
 
 
