@@ -175,11 +175,53 @@ def test_quality(spark):
     assert none.where("selected").count() == 402
 
 
-def test_quality_counts_rare_and_repeated_ngrams():
-    assert len(quality.features(b"a b a b a b", 1 << 18)) == 11
-    ratios = quality.log_ratios(np.array([[0, 30, 1000, 10_000], [60, 60, 5000, 50_000]]))
-    assert ratios[0] < -2 and ratios[1] > 0.7 and abs(ratios[2]) < 1e-9
-    assert not quality.log_ratios(np.array([[0, 0], [7, 7]])).any()
+def test_quality_is_a_likelihood_ratio(spark):
+    """Weights and draws against a plain computation with dictionaries, on repeated rows, ties and awkward texts."""
+    rng = random.Random(9)
+    rows = [(i, words(rng, rng.randrange(1, 90), 60)) for i in range(120)] + [(3, words(rng, 20, 60)), (7, None), (200, ""), (None, "w1 w2"), (None, None)]
+    labelled = [(i, i % 3 and 1, int(i % 7 == 0)) for i in range(60)] + [(1, 0, 0), (2, None, 0), (None, 1, 0)]
+    labels = spark.createDataFrame(labelled, "doc_id long, quality int, toxic int")
+    worst = {}
+    for i, q, t in labelled:
+        if i is not None and q is not None:
+            worst[i] = min(worst.get(i, True), q == 1 and not t)
+    grams = lambda t: [w for w in (t or "").split()], lambda t: list(zip((t or "").split(), (t or "").split()[1:]))
+    weight = [0.0] * len(rows)
+    for gram, add in zip(grams, quality.SMOOTHING):
+        raw, target = {}, {}
+        for i, t in rows:
+            for g in gram(t):
+                raw[g] = raw.get(g, 0) + 1
+                target[g] = target.get(g, 0) + bool(worst.get(i))
+        scale = sum(target.values()) / sum(raw.values())
+        weight = [w + sum(np.log((target[g] + add) / (raw[g] * scale + add)) for g in gram(t)) for w, (_, t) in zip(weight, rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("place", F.lit(1)).repartition(3)
+    got = quality.resample(df, labels, seed=5, buckets=1 << 20).collect()
+    assert len(got) == len(rows)
+    want = sorted((str(i), float(w)) for (i, _), w in zip(rows, weight))
+    both = list(zip(sorted((str(r["doc_id"]), r["log_weight"]) for r in got), want))
+    assert all(a == b and abs(x - y) < 0.1 for (a, x), (b, y) in both)  # a few pairs share a bucket
+    assert sum(abs(x - y) < 1e-3 for (_, x), (_, y) in both) > 0.8 * len(rows)
+    share = sum(worst.values()) / len(worst)
+    keys = sorted((r["sort_key"] for r in got), reverse=True)
+    least = keys[round(len(rows) * share) - 1]
+    assert all(r["selected"] == (r["sort_key"] >= least) for r in got)
+    noise = {}
+    for r in got:
+        noise.setdefault(r["doc_id"], set()).add(round(r["sort_key"] - r["log_weight"], 9))
+    assert all(len(v) == 1 for v in noise.values())
+    assert quality.resample(df.limit(0), labels).count() == 0
+
+
+def test_quality_features_of_long_texts():
+    rng = random.Random(10)
+    text = words(rng, 300_000, 5000).encode()  # beyond a block of 1 MiB: pairs reach over the seam
+    found = quality.features(text, 1 << 18)
+    assert len(text) > 1 << 20 and len(found) == 2 * 300_000 - 1
+    plain = text.split()
+    pair = {}
+    for p, b in zip(zip(plain, plain[1:]), [*found[found >= 1 << 18]]):
+        assert pair.setdefault(p, b) == b
 
 
 def test_decontaminate(spark):
@@ -283,18 +325,81 @@ def test_chats(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def naive_units(text):
+    """Words with their places, line by line, cut where a word's hash is the least of four on both sides."""
+    out = []
+    for line in re.finditer(r"[^\n]+", text):
+        found = list(re.finditer(r"\S+", line.group()))
+        h = [int(units.span_hashes(np.array([ord(c) for c in w.group().lower()], np.uint32), np.array([0]), np.array([len(w.group())]))[0]) for w in found]
+        cuts = [i for i in range(len(h)) if i == 0 or (all(h[i] < x for x in h[max(0, i - 4) : i]) and all(h[i] <= x for x in h[i + 1 : i + 5]))]
+        for i, j in zip(cuts, [*cuts[1:], len(h)]):
+            out.append((line.start() + found[i].start(), line.start() + found[j - 1].end(), tuple(w.group().lower() for w in found[i:j])))
+    return out
+
+
+def naive_dedup(rows, least):
+    """{(id, text): text without repeated passages} by dictionaries."""
+    seen, out = set(), {}
+    for i, text in sorted({r for r in rows if r[1]}, key=lambda r: (r[0] is not None, r[0] or 0, units.text_key(r[1]))):
+        spans, run = [], []
+        for start, stop, unit in [*naive_units(text), (0, 0, None)]:
+            if unit in seen:
+                run.append((start, stop, len(unit)))
+                continue
+            if sum(n for *_, n in run) >= least:
+                spans.append((run[0][0], run[-1][1]))
+            run = []
+            seen |= {unit} - {None}
+        at = [0, *[b for _, b in spans]], [*[a for a, _ in spans], len(text)]
+        out[i, text] = "".join(text[a:b] for a, b in zip(*at))
+    return out
+
+
 def test_units(spark):
-    p = "The quick brown fox jumps over dogs. Then it sleeps for nine long hours!"
-    rows = [(2, f"Start here. {p} End of two."), (1, f"{p}\nShort one."), (3, "  the QUICK brown fox  jumps over dogs. Short one."), (4, None), (5, ""), (6, p + " " + p), (None, "Nothing else is said in this line."), (7, "Nothing else is said in this line.")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("removed", F.lit(0))
-    got = {r["doc_id"]: r for r in units.dedup_units(df).collect()}
-    assert got[1]["text"] == rows[1][1] and got[1]["n_removed"] == 0
-    assert got[2]["text"] == "Start here. End of two." and got[3]["text"] == " Short one." and got[6]["text"].strip() == ""
-    assert [rows[0][1][a:b].strip() for a, b in got[2]["removed_"]] == ["The quick brown fox jumps over dogs.", "Then it sleeps for nine long hours!"]
-    assert got[4]["text"] is None and got[5]["text"] == "" and got[7]["text"] == "" and got[None]["n_removed"] == 0
-    long = " ".join(f"t{i}" for i in range(300))
-    cut = {r["doc_id"]: r["n_removed"] for r in units.dedup_units(spark.createDataFrame([(1, "aa bb " + long), (2, "cc dd ee " + long + " zz")], "doc_id long, text string")).collect()}
-    assert cut[1] == 0 and cut[2] > 3
+    rng = random.Random(13)
+    passages = [words(rng, rng.randrange(51, 90), 3000) for _ in range(12)]
+    boiler = "All rights are reserved here."
+    rows = []
+    for i in range(150):
+        lines = [words(rng, rng.randrange(1, 60), 3000) for _ in range(rng.randrange(1, 6))]
+        if i % 3 == 0:  # a passage in the middle of a line, as a line, and as several lines
+            p = passages[i // 3 % 12]
+            lines.insert(rng.randrange(len(lines) + 1), [words(rng, 15, 3000) + " " + p + " " + words(rng, 9, 3000), p.upper(), p.replace(" ", "\n")][i % 9 // 3])
+        if i % 4 == 0:
+            lines.append(boiler)
+        rows.append((i, "\n".join(lines)))
+    rows += [(200, None), (201, ""), (202, " \n\n "), (None, rows[0][1]), (5, rows[5][1]), (300, rows[7][1] + "\n" + passages[0] + "\n" + passages[0]), (301, "a " * 40_000), (302, "b " + "a " * 40_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("removed", F.lit(0)).repartition(3)
+    want = naive_dedup(rows, 20)
+    got = units.dedup_units(df, min_words=20).collect()
+    assert len(got) == len(rows)
+    before = {}
+    for i, t in rows:
+        before.setdefault(i, []).append(t)
+    for r in got:
+        source = next(t for t in before[r["doc_id"]] if (want[r["doc_id"], t] if t else t) == r["text"])
+        assert r["n_removed"] == len(r["removed_"]) and (r["n_removed"] > 0) == (source != r["text"])
+        assert not source or r["text"] == "".join(source[a:b] for a, b in zip([0, *[x["stop"] for x in r["removed_"]]], [*[x["start"] for x in r["removed_"]], len(source)]))
+    by = {r["doc_id"]: r for r in got}
+    clean = [i for i in range(1, 150) if i % 3 and i != 5 and i != 7]
+    assert all(by[i]["n_removed"] == 0 for i in clean)
+    planted = [i for i in range(39, 150, 3)]  # all but the first of each passage
+    assert all(by[i]["n_removed"] > 0 for i in planted)
+    assert all(not any(p.lower() in (by[i]["text"] or "").lower() for p in passages) for i in planted)
+    assert by[200]["text"] is None and by[201]["text"] == "" and by[None]["n_removed"] == 0
+    assert units.dedup_units(df.limit(0)).count() == 0
+
+
+def test_units_of_long_lines(monkeypatch):
+    rng = random.Random(14)
+    text = words(rng, 5000, 900) + "\n" + words(rng, 3000, 900)
+    whole = units.units(text)
+    monkeypatch.setattr(units, "BLOCK", 4000)
+    parts = units.units(text)
+    assert int(whole[2].sum()) == int(parts[2].sum()) == 8000 and (parts[1] > parts[0]).all()
+    same = set(zip(whole[3].tolist(), whole[4].tolist())) & set(zip(parts[3].tolist(), parts[4].tolist()))
+    assert len(same) > 0.95 * len(whole[0])
+    assert [len(x) for x in units.units("x" * 9000)] == [3] * 5  # a word without an end is cut at blocks
 
 
 def test_near_duplicates(spark):
@@ -348,6 +453,55 @@ def test_near_duplicates_of_a_hot_band(spark):
     assert got == like
 
 
+@pytest.mark.parametrize(("n", "changed"), [(20, 14), (100, 12), (200, 10)])
+def test_near_duplicates_of_a_family(spark, n, changed):
+    """Families of copies of one text, whose pairs lie on both sides of the threshold, at 4 and at 64 partitions."""
+    rng = random.Random(n)
+    base = [f"b{i}" for i in range(300)]
+    texts = []
+    for k in range(n):
+        w = list(base)
+        for at in rng.sample(range(300), rng.randrange(2, changed)):
+            w[at] = f"x{k}y{at}" if rng.random() < 0.5 else f"z{at % 5}"
+        texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(n))
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    like = [(i, j) for i in range(n) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert 0.02 * n * n < 2 * len(like) < 0.95 * n * n
+    for i, j in like:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (4, 64) if n == 200 else (4,):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got = {(r["doc_id"], r["keep_id"]) for r in neardup.near_duplicates(df.repartition(parts)).collect()}
+            assert got == {(i, find(i)) for i in range(n) if find(i) != i}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_components_of_hubs(spark):
+    rng = random.Random(15)
+    edges = [(0, i) for i in range(1, 2000)] + [(5000 + i, 7000) for i in range(1500)] + [(7000, 1999)] + [(rng.randrange(10_000, 10_400), rng.randrange(10_000, 10_400)) for _ in range(250)]
+    got = dict(local(components.components(spark.createDataFrame(edges, "a long, b long").repartition(5))))
+    root = {}
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    assert got == {x: find(x) for x in root}
+
+
 def test_functions_travel_by_value(tmp_path):
     """What runs in tasks must load where this repository is not installed."""
     import os
