@@ -54,7 +54,7 @@ def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_hit")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_hit", "longest_item", "longest_at")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,20 +87,20 @@ ORACLE: dict[str, str] = {
         FROM n WINDOW g AS (PARTITION BY t)""",
     "op8_decontaminate": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-        bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS win
-               FROM b, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS r(i) WHERE len(w) > 0),
+        b AS (SELECT item_id, row_number() OVER () AS s, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        bw AS (SELECT item_id, s, j, least(len(w), 10) AS n, array_to_string(w[j:j + 9], ' ') AS win
+               FROM b, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS r(j) WHERE len(w) > 0),
         dw AS (SELECT doc_id, i, s.n, array_to_string(w[i:i + s.n - 1], ' ') AS win
                FROM d, (SELECT DISTINCT n FROM bw) AS s, unnest(range(1, len(w) - s.n + 2)) AS r(i)),
-        m AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
+        m AS (SELECT dw.doc_id, dw.i, dw.n, CAST(bw.item_id AS VARCHAR) AS item_id, bw.s, bw.j FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
         h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM m, unnest(range(i, i + n)) AS r(p) GROUP BY doc_id),
-        p AS (SELECT DISTINCT doc_id, p FROM m, unnest(range(i, i + n)) AS r(p)),
-        o AS (SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM p),
-        l AS (SELECT doc_id, max(c) AS longest FROM (SELECT doc_id, g, count(*) AS c FROM o GROUP BY doc_id, g) GROUP BY doc_id),
-        x AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
-              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM m) GROUP BY doc_id)
+        o AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, s, i - j ORDER BY i) AS g FROM m),
+        q AS (SELECT doc_id, item_id, min(i) - 1 AS place, count(*) + any_value(n) - 1 AS longest FROM o GROUP BY doc_id, item_id, s, i - j, g),
+        l AS (SELECT doc_id, item_id AS longest_item, place, longest FROM q QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY longest DESC, item_id, place) = 1),
+        x AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS INTEGER) AS longest_hit
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS INTEGER) AS longest_hit,
+               longest_item, CAST(place AS INTEGER) AS longest_at
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN l USING (doc_id)""",
     "op1_poisson_mix": r"""
         WITH m AS (SELECT source, CAST(coalesce(sum(length(text)), 0) AS DOUBLE) AS mass FROM documents GROUP BY source),
