@@ -226,31 +226,54 @@ def test_quality_features_of_long_texts():
 
 def test_decontaminate(spark):
     rng = random.Random(4)
-    items = [(1, words(rng, 30)), (2, words(rng, 14)), (3, "w1 w2 w3 zz"), (4, None), (5, "!!"), (None, words(rng, 12)), (2, words(rng, 11))]
+    items = [(1, words(rng, 30)), (2, words(rng, 14)), (3, "w1 w2 w3 zz"), (4, None), (5, "!!"), (None, words(rng, 12)), (2, words(rng, 11)), (6, "la " * 40), (8, words(rng, 25))]
+    items += [(7, items[0][1]), (9, " ".join(items[0][1].split()[5:20]) + " other words")]
     docs = [(i, words(rng, 60)) for i in range(30)]
     docs += [(40, words(rng, 9) + " " + items[0][1].upper() + ", " + words(rng, 5)), (41, items[1][1] + " x " + items[5][1]), (42, "W1-w2 W3 zz"), (43, None), (44, "")]
+    docs += [(45, " ".join(items[0][1].split()[:10] + items[8][1].split()[3:13])), (46, "xxxxx " * 90_000 + items[8][1] + " yyyyy" * 90_000), (47, "la " * 70), (47, "la " * 70), (None, items[0][1]), (48, " ".join(items[0][1].split()[8:29]) + " . " + items[8][1])]
     b = spark.createDataFrame(items, "item_id long, text string")
-    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("spans", F.lit(1))
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"spans": F.lit(1), "row_": F.lit(2)}).repartition(2)
     tokens = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     windows = {}
     for i, t in items:
         w = tokens(t)
         for k in range(max(1, len(w) - 9) if w else 0):
             windows.setdefault(tuple(w[k : k + 10]), set()).add("" if i is None else str(i))
-    want = []
+    want, most = [], {}
     for i, t in docs:
-        w, hit, found = tokens(t), set(), set()
-        for win, names in windows.items():
-            for k in range(len(w) - len(win) + 1):
-                if tuple(w[k : k + len(win)]) == win:
-                    hit |= set(range(k, k + len(win)))
+        w, hit, found, best = tokens(t), set(), set(), (0, None, None, None)
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if names := windows.get(tuple(w[k : k + size])):
+                    hit |= set(range(k, k + size))
                     found |= names
-        want.append((i, len(w), len(hit), len(found), decontaminate.sha256_of_items(list(found)), bool(hit)))
+        for j, u in items:
+            v, name = tokens(u), "" if j is None else str(j)
+            before = [0] * (len(v) + 1)
+            for x, word in enumerate(w):  # lengths of the common words that end here
+                now = [0] + [before[y] + 1 if word == v[y] else 0 for y in range(len(v))]
+                for y, n in enumerate(now):
+                    if n >= min(10, len(v)) and v:
+                        best = min(best, (-n, name, x + 1 - n, y - n))
+                        most[name] = max(most.get(name, 0), n)
+                before = now
+        want.append((i, len(w), len(hit), len(found), decontaminate.sha256_of_items(list(found)), bool(hit), -best[0], *best[1:]))
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_hit", "longest_item", "longest_at", "longest_item_at"]
     for size in (1 << 20, 100):  # one block of the benchmark, and many
-        got = decontaminate.contamination(d, b, block_bytes=size).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-        assert sorted(local(got)) == sorted(want)
-    assert {r["doc_id"] for r in decontaminate.decontaminate(d, b).collect()} == {i for i, *_, hit in want if not hit}
+        got = decontaminate.contamination(d, b, block_bytes=size).select(*columns)
+        assert sorted(local(got), key=str) == sorted(want, key=str)
+        longest = {r["item_id"]: r for r in decontaminate.longest_matches(d, b, block_bytes=size).collect()}
+        assert {k: r["length"] for k, r in longest.items()} == most
+        for k, r in longest.items():
+            text = [tokens(t) for i, t in docs if i == r["doc_id"]]
+            item = [tokens(t) for i, t in items if ("" if i is None else str(i)) == k]
+            n = r["length"]
+            assert any(x[r["doc_at"] : r["doc_at"] + n] == y[r["item_at"] : r["item_at"] + n] and len(y) >= r["item_at"] + n for x in text for y in item)
+    by = {r[0]: r for r in want}
+    assert by[45][2] == 20 and by[45][6] == 10  # two items side by side are no match of 20
+    assert sorted((r["doc_id"] for r in decontaminate.decontaminate(d, b).collect()), key=str) == sorted((r[0] for r in want if not r[5]), key=str)
     assert decontaminate.contamination(d, b.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.contamination(d.limit(0), b).count() == 0 == decontaminate.longest_matches(d.limit(0), b).count()
 
 
 def test_url_filter(spark):
