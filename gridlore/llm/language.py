@@ -14,8 +14,10 @@ from gridlore.llm._common import map_texts, slices
 
 #: Symbols of one parsed block; a block's first phrase starts anew.
 BLOCK = 1024
-#: Letters with a symbol of their own, and symbols that all others share.
-LETTERS, SHARED = 60, 8
+#: Letters with a symbol of their own at most, and symbols that all others share.
+LETTERS, SHARED = 180, 8
+#: Bytes of all languages' automata; with many languages each learns from less text.
+MODEL_BYTES = 256 << 20
 
 
 @dataclass
@@ -54,8 +56,8 @@ def _symbol_table(letters: str) -> np.ndarray:
             if c.isalpha():
                 low = c.lower()[0]
                 at = letters.find(low)
-                table[point] = at + 1 if at >= 0 else 1 + LETTERS + ord(low) % SHARED
-        table[0xFFFF] = 1 + LETTERS  # beyond the first plane
+                table[point] = at + 1 if at >= 0 else 1 + len(letters) + ord(low) % SHARED
+        table[0xFFFF] = 1 + len(letters)  # beyond the first plane
         _TABLES[letters] = table
     return _TABLES[letters]
 
@@ -114,7 +116,10 @@ def phrases(blocks: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.nd
 
 
 def parse(texts: list[str | None], model: Model) -> np.ndarray:
-    """Bits of each text in each language: phrases, times the bits of naming one. Blocks of BLOCK symbols are parsed apart."""
+    """Bits of each text in each language: phrases, times the bits of naming one; a symbol that the language lacks costs the longest text's bits more.
+
+    Blocks of BLOCK symbols are parsed apart.
+    """
     parts = [symbols(t, model.letters) if t else np.zeros(0, np.uint8) for t in texts]
     blocks = np.array([-(-len(p) // BLOCK) for p in parts])
     owner = np.repeat(np.arange(len(parts)), blocks)
@@ -128,9 +133,14 @@ def parse(texts: list[str | None], model: Model) -> np.ndarray:
     order = np.argsort(-lengths, kind="stable")
     columns = np.ascontiguousarray(grid[order].T)
     out = np.zeros((len(texts), len(model.parsers)))
+    width = 1 + len(model.letters) + SHARED
+    held = np.repeat(np.arange(len(parts)) * width, [len(p) for p in parts]) + np.concatenate(parts)
+    held = np.bincount(held, minlength=len(parts) * width).reshape(len(parts), width)
+    dearest = max(p.bits for p in model.parsers)
     for k, parser in enumerate(model.parsers):
         counts = phrases(columns, lengths[order], parser.table)
-        out[:, k] = np.bincount(owner[order], counts, minlength=len(texts)) * parser.bits
+        lacks = parser.table[0] >> 1 == len(parser.table) - 1
+        out[:, k] = np.bincount(owner[order], counts, minlength=len(texts)) * parser.bits + held[:, lacks].sum(axis=1) * dearest
     return out
 
 
@@ -141,15 +151,20 @@ def decide(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, 1 / np.exp2(-over).sum(axis=1)
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_chars: int = 24576, sample_docs: int = 64, max_languages: int = 64) -> Model:
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_chars: int = 24576, sample_docs: int = 64, model_bytes: int = MODEL_BYTES) -> Model:
     """Suffix automata of a bounded sample: of each language, documents in the order of their hash, up to `sample_chars` characters.
 
     About `sample_docs` documents a language come to the driver, at most
-    `sample_chars` characters of each; of more than `max_languages` labels, the
-    most frequent are learned. Labels are counted over all of `docs`.
+    `sample_chars` characters of each. Every label is learned; if there are so
+    many that the automata would have more than `model_bytes`, each learns from
+    fewer characters. A language with less text than others learns from what it
+    has; naming a place in a shorter text takes fewer bits. Letters get symbols
+    by their greatest share in a language's text, so that each script has its
+    own. Rows without a label or a letter are no sample; rows that repeat an id
+    are taken or left together; an empty table gives a model without languages.
     """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col)).alias("at")).where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model("", [])
     bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(2**63 - 1, int(2**64 * (sample_docs / n)) - 2**63))])
@@ -158,14 +173,17 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     for r in picked.collect():
         texts.setdefault(r["lang"], []).append((r["at"], r["text"]))
     joined = {k: "\n".join(t for _, t in sorted(v))[:sample_chars] for k, v in texts.items()}
-    least = min(len(t) for t in joined.values()) if joined else 0
-    joined = {k: t[: max(least, sample_chars // 8)] for k, t in joined.items()}  # of about one length
-    seen = Counter(c for t in joined.values() for c in t.lower() if c.isalpha())
-    letters = "".join(sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]))
-    width = 1 + LETTERS + SHARED
+    shares: dict[str, float] = {}
+    for t in joined.values():
+        seen = Counter(c for c in t.lower() if c.isalpha())
+        for c, n in seen.items():
+            shares[c] = max(shares.get(c, 0.0), n / seen.total())
+    letters = "".join(sorted(c for c, _ in sorted(shares.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]))
+    width = 1 + len(letters) + SHARED
+    most = max(1, model_bytes // (8 * width * max(1, len(joined))))  # two states a character at most, 4 bytes a symbol
     parsers = []
     for k in sorted(joined):
-        text = symbols(joined[k], letters)
+        text = symbols(joined[k][:most], letters)
         parsers.append(Parser(k, automaton(text, width), float(np.log2(len(text) + 1))))
     return Model(letters, parsers)
 
@@ -178,7 +196,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_name: s
     wins, the first in order of name among equals. The language is "und", with
     score 0, if the text is null or has no letter, or nothing was learned.
     Other columns pass through untouched; `lang_name` and `score_name` must be
-    free names.
+    free names. Rows that repeat each come out; an empty table stays empty.
     """
     if not model.parsers:
         return docs.withColumns({lang_name: F.lit("und"), score_name: F.lit(0.0)})
@@ -209,7 +227,9 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """doc_id, held_out, lang_pred, score of every row; a quarter of the ids is held out of the learning.
 
     Rows whose crc32 of the id as text leaves 2 when divided by 4 are held
-    out, as are null ids, which aren't shown as such.
+    out, as are null ids, which aren't shown as such. Null texts and those
+    without a letter are "und". Rows that repeat each come out; an empty table
+    gives an empty one; columns but the three are not read.
     """
     held = F.crc32(F.col(id_col).cast("string")) % 4 == 2
     model = fit(docs.where(~held), lang_col, text_col, id_col, **options)
