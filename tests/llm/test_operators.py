@@ -160,6 +160,51 @@ def test_cross_parsing_is_greedy():
         assert int(language.phrases(query[:, None], np.array([30]), table)[0]) == count
 
 
+def test_language_decisions(spark):
+    """Of more labels than scripts, repeated rows and texts of many blocks: the winner is that of a plain greedy parse."""
+    rng = random.Random(16)
+    alphabets = {"l1": "abcde", "l2": "abcdf", "ru": "жзикл", "zh": "的一是不了", "rare": "mnopq"}
+    make = lambda lang, n: " ".join("".join(rng.choice(alphabets[lang]) for _ in range(rng.randrange(1, 5))) for _ in range(n))
+    rows = [(i, make(lang, 40), lang) for i, lang in enumerate(k for k in alphabets for _ in range(2 if k == "rare" else 20))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, sample_chars=600)
+    assert [p.language for p in model.parsers] == sorted(alphabets) and set(model.letters) == set("".join(alphabets.values()))
+    joined = {}
+    for r in df.select("lang", "text", F.xxhash64("doc_id").alias("at")).orderBy("at").collect():
+        joined.setdefault(r["lang"], []).append(r["text"])
+    joined = {k: bytes(language.symbols("\n".join(v)[:600], model.letters)) for k, v in joined.items()}
+    queries = [(i, make(lang, rng.choice([1, 3, 30, 900])), lang) for i, lang in enumerate([*alphabets] * 8)]
+    queries += [(3, queries[3][1], None), (None, "abc 的", None), (90, None, "l1"), (91, "7 !", None), (92, "", None)]
+
+    def bits(text):
+        out = {}
+        for lang, known in joined.items():
+            s, n = bytes(language.symbols(text, model.letters)), 0
+            for block in (s[k : k + language.BLOCK] for k in range(0, len(s), language.BLOCK)):
+                at = 0
+                while at < len(block):
+                    size = 1
+                    while at + size < len(block) and block[at : at + size + 1] in known:
+                        size += 1
+                    n, at = n + 1, at + size
+            out[lang] = n * np.log2(len(known) + 1) + sum(c not in known for c in s) * np.log2(max(map(len, joined.values())) + 1)
+        return out
+
+    got = language.identify(spark.createDataFrame(queries, "doc_id long, text string, lang string"), model).collect()
+    assert len(got) == len(queries)
+    for r in got:
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        b = bits(r["text"])
+        assert np.isclose(b[r["lang_pred"]], min(b.values())) and 0 <= r["score"] <= 1
+    sure = [r for r in got if r["lang"] in ("ru", "zh", "rare") and r["text"]]
+    assert all(r["lang_pred"] == r["lang"] for r in sure)
+    few = language.fit(df, model_bytes=8 * 30 * 5 * 100)
+    assert len(few.parsers) == 5 and max(len(p.table) for p in few.parsers) < 250
+    assert language.identify(df.limit(0), model).count() == 0 and language.fit(df.limit(0)).parsers == []
+
+
 def test_quality(spark):
     rng = random.Random(8)
     rows = [(i, words(rng, 80) + (" JUNK!! SPAM!!" * 9 if i % 4 == 0 else "")) for i in range(400)] + [(900, None), (None, "")]
