@@ -32,13 +32,13 @@ def free_name(df: DataFrame, base: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is named."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share, named by spark.checkpoint.dir; where none is named, a temporary one, which only a local session may have."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        kept = spark.sparkContext.getCheckpointDir()
-        path = kept or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        if not kept:
-            spark.sparkContext.setCheckpointDir(path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 

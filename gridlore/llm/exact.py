@@ -162,15 +162,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` that stay, with all their columns; see `exact_groups`.
 
-    Rows go back to their text by id and SHA-256, so ids may repeat; of rows
-    that repeat both, one stays.
+    The rows that go are taken out by their ids. Only if ids repeat, rows go
+    back to their text by id and SHA-256; of rows that repeat both, one stays.
     """
     groups = settle(exact_groups(docs, id_col, text_col, **options), "exact")
     ident, sha = free_name(docs, "ident"), free_name(docs, "sha")
+    marked = docs.withColumn(ident, F.col(id_col).cast("long"))
+    if groups.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = settle(groups.where("not kept").select(F.col("doc_id").alias("gone_id")), "gone")
+        return join_checked(marked, gone, marked[ident].eqNullSafe(F.col("gone_id")), "left_anti").drop(ident)
     plain = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
-    marked = docs.withColumns({ident: F.col(id_col).cast("long"), sha: F.sha2(F.encode(plain, "utf-8"), 256)})
-    stay = groups.where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha"))
-    repeated = groups.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count()
-    if repeated:
-        marked = marked.dropDuplicates([ident, sha])
-    return marked.join(stay, marked[ident].eqNullSafe(F.col("stay_id")) & (marked[sha] == F.col("stay_sha")), "left_semi").drop(ident, sha)
+    marked = marked.withColumn(sha, F.sha2(F.encode(plain, "utf-8"), 256)).dropDuplicates([ident, sha])
+    kept = F.max("kept").alias("kept")
+    gone = groups.groupBy("doc_id", "text_sha256").agg(kept).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
+    return join_checked(marked, settle(gone, "gone"), marked[ident].eqNullSafe(F.col("gone_id")) & (marked[sha] == F.col("gone_sha")), "left_anti").drop(ident, sha)
