@@ -107,8 +107,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     every = settle(unit_table(plain), "units")
     first = F.min(F.struct("id", "tk", "start")).alias("first")
-    last = F.max(F.struct("id", "tk", "start")).alias("last")
-    several = every.groupBy("d1", "d2").agg(first, last).where("first <> last").select("d1", "d2", "first")
+    several = every.groupBy("d1", "d2").agg(first, F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
     met = every.join(several, ["d1", "d2"])
     gone = met.where(~F.struct("id", "tk", "start").eqNullSafe(F.col("first"))).select("id", "tk", "seq", "start", "stop", "words")
     inside = Window.partitionBy("id", "tk").orderBy("seq")
