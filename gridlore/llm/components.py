@@ -49,36 +49,44 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "a long, b long")
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """`edges` with m, the least b of all edges of a."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    parts = salted.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    least = parts.select("a", "salt", F.min("m").over(Window.partitionBy("a")).alias("m"))  # SALTS rows a node at most
+    return salted.join(least, ["a", "salt"]).drop("salt")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select("b", "a")).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    parts = both.groupBy("a", "salt").agg(F.min("b").alias("m"))
-    least = parts.select("a", "salt", F.least("a", F.min("m").over(Window.partitionBy("a"))).alias("m"))  # SALTS rows a node at most
-    return both.where("b > a").join(least, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    both = _with_least(edges.union(edges.select("b", "a")))
+    return both.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b")))
+    down = _with_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"))
+    moved = F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b"))
+    return down.select(moved.alias("a"), F.col("m").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge; root is the component's least node.
 
     `edges` has two long columns a and b. Self edges and repeated edges count
-    once; an empty table gives an empty table. Every round is settled in the
-    shared folder; rounds grow with the logarithm of the longest chain. Each
-    task first joins up the edges it has, in chunks of CHUNK. A hub's edges are
-    dealt to SALTS parts, whose minima meet before the parts are joined.
+    once; an empty table gives an empty table. Each task first joins up the
+    edges it has, in chunks of CHUNK. As long as that leaves more than one
+    chunk, a star contraction follows, settled in the shared folder; rounds
+    grow with the logarithm of the longest chain. A hub's edges are dealt to
+    SALTS parts, whose minima meet before the parts are joined.
     """
     now = settle(_contracted(edges.where("a <> b")), "edges")
     seen = None
-    while True:
+    while now.count() > CHUNK:
         now = settle(_contracted(_small_star(_large_star(now)).distinct()), "stars")
         mark = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(xxhash64(b, a) as decimal(38,0)))")).first())
-        if mark == seen or not mark[0]:
+        if mark == seen:
             break
         seen = mark
+    else:
+        now = settle(_contracted(now.coalesce(1)), "forest")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm._common import NON_SPACE, as_batch, free_name, join_checked, map_texts, settle, slices, utf8, word_blocks
+from gridlore.llm._common import NON_SPACE, as_batch, free_name, join_checked, map_texts, mixed, settle, slices, utf8, word_blocks
 from gridlore.llm.components import components
 from gridlore.llm.simhash import fingerprint_links
 
 #: Bands of a sketch and minima of a band: texts of similarity 0.8 share a band with probability 0.9998.
 BANDS, ROWS = 16, 4
-#: Counters by which the shingles of unresolved texts are put in order of rarity; any order gives the same links.
-COUNTERS = 1 << 20
+#: Of a round over unresolved texts: sketches of least hashes, and the lengths to which they are compared.
+TREES, DEPTHS = 64, (8, 12, 16)
+#: Copies of a leader's shingles at most, so that its pairs are not one task's.
+SALTS = 32
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -105,54 +105,36 @@ def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are similar, by the sets (uid, own)."""
-    full = pairs.join(sets.select(F.col("uid").alias("b"), F.col("own").alias("y")), "b").join(sets.select(F.col("uid").alias("a"), F.col("own").alias("x")), "a")
+    """The pairs (a, b) that are similar, by the sets (uid, own); b may be the leader of many."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+    leads = salted.select("b", "salt").distinct().join(sets.select(F.col("uid").alias("b"), F.col("own").alias("y")), "b")
+    full = salted.join(leads, ["b", "salt"]).join(sets.select(F.col("uid").alias("a"), F.col("own").alias("x")), "a")
     return _similar(full, similarity)
 
 
-def _rarities(sets: DataFrame) -> np.ndarray:
-    """How many shingles of `sets` fall to each counter."""
-    schema = pa.schema([("slot", pa.int32()), ("n", pa.int64())])
-
-    def run(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in slices(batches):
-            for own in batch.column(0).to_pylist():
-                total[(np.frombuffer(own, np.uint64) % np.uint64(COUNTERS)).astype(np.int64)] += 1
-        slot = np.flatnonzero(total)
-        yield as_batch(schema, [pa.array(slot, pa.int32()), pa.array(total[slot])])
-
-    found = map_texts(sets.select("own"), run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COUNTERS, np.int64)
-    out[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return out
-
-
-def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(uid, root, size, token, at): the rarest shingles of each set (uid, root, own), so many that similar sets share one.
-
-    Sets of n and m <= n shingles that are similar have similarity * n in
-    common; of all but n - ceil(similarity * n) shingles one at least is common.
-    In one order of all shingles the least common one is in both prefixes.
-    """
-    shared = sets.sparkSession.sparkContext.broadcast(_rarities(sets))
-    schema = pa.schema([("uid", pa.int64()), ("root", pa.int64()), ("size", pa.int32()), ("token", pa.int64()), ("at", pa.int32())])
+def _deep_sketches(sets: DataFrame, seed: int) -> DataFrame:
+    """(key, uid, root, size) of each set (uid, root, own): its TREES sketches to each of the DEPTHS."""
+    schema = pa.schema([("key", pa.int64()), ("uid", pa.int64()), ("root", pa.int64()), ("size", pa.int32())])
+    odd = np.random.default_rng(seed).integers(1, 1 << 63, TREES * DEPTHS[-1], dtype=np.uint64) | np.uint64(1)
 
     def run(batches):
-        rarity = shared.value
         for batch in slices(batches, 1 << 20):
-            uid, root = (batch.column(i).to_numpy() for i in range(2))
-            sizes, tokens = [], []
+            keys, sizes = [], []
             for own in batch.column(2).to_pylist():
+                least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
                 s = np.frombuffer(own, np.uint64)
-                order = np.lexsort((s, rarity[(s % np.uint64(COUNTERS)).astype(np.int64)]))
-                keep = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
+                for at in range(0, len(s), 512):
+                    least = np.minimum(least, (s[at : at + 512, None] * odd).min(axis=0))
+                key = np.arange(TREES, dtype=np.uint64)
+                for i, column in enumerate(least.reshape(TREES, -1).T, 1):
+                    key = mixed((key ^ (column >> np.uint64(8))) * _STEPS[i % 5])
+                    if i in DEPTHS:
+                        keys.append(key + np.uint64(i))
                 sizes.append(len(s))
-                tokens.append(s[order[:keep]] if len(s) else np.zeros(1, np.uint64))
-            n = [len(x) for x in tokens]
-            yield as_batch(schema, [pa.array(np.repeat(uid, n)), pa.array(np.repeat(root, n)), pa.array(np.repeat(np.array(sizes, np.int32), n)), pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n]))])
+            n = TREES * len(DEPTHS)
+            yield as_batch(schema, [pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.repeat(batch.column(i).to_numpy(), n)) for i in range(2)], pa.array(np.repeat(np.array(sizes, np.int32), n))])
 
-    return map_texts(sets.select("uid", "root", "own"), run, "uid long, root long, size int, token long, at int")
+    return map_texts(sets.select("uid", "root", "own"), run, "key long, uid long, root long, size int")
 
 
 def _unresolved(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -163,23 +145,21 @@ def _unresolved(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return settle(roots.join(open_, "root").select("uid", "root"), "unresolved")
 
 
-def _missing(unresolved: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): candidates that hold every pair of similar unresolved texts whose roots differ.
+def _round(unresolved: DataFrame, sets: DataFrame, similarity: float, seed: int) -> DataFrame:
+    """(root, top): the components that links found in one round join, of texts with the same sketch and its leader in it.
 
-    Texts meet at the shingles of their prefixes. At each, those of another
-    root than the commonest one meet all of another root. The first shingle in
-    common leaves as many to come as similar sets have in common, so pairs for
-    which it can't be the first are left.
+    The leader is one by a hash of the round; only members of another component
+    than its own are compared with it.
     """
-    keys = settle(_prefixes(sets.join(unresolved, "uid"), similarity), "prefixes")
-    counted = keys.groupBy("token", "root").agg(F.count("*").alias("n"))
-    main = counted.groupBy("token").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("token", F.col("m.root").alias("main"))
-    met = settle(keys.join(main, "token"), "met-prefixes")
-    x = met.where("root <> main").select("token", F.col("uid").alias("a"), F.col("root").alias("r"), F.col("size").alias("n"), F.col("at").alias("i"))
-    y = met.select("token", F.col("uid").alias("b"), F.col("root").alias("s"), F.col("size").alias("m"), F.col("at").alias("j"))
-    both = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - 1e-9)
-    fits = (F.col("r") != F.col("s")) & (F.col("i") + both <= F.col("n")) & (F.col("j") + both <= F.col("m"))
-    return x.join(y, "token").where(fits | (F.col("n") + F.col("m") == 0)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    keys = settle(_deep_sketches(sets.join(unresolved, "uid"), seed), "deep")
+    lead = F.min_by(F.struct("uid", "root", "size"), F.xxhash64("uid", F.lit(seed))).alias("lead")
+    leads = keys.groupBy("key").agg(lead, F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key", "lead")
+    fits = F.least("size", "lead.size") >= F.lit(similarity) * F.greatest("size", "lead.size")
+    pairs = keys.join(leads, "key").where((F.col("root") != F.col("lead.root")) & fits).select(F.col("uid").alias("a"), F.col("lead.uid").alias("b")).distinct()
+    links = _verified(settle(pairs, "more-pairs"), sets, similarity)
+    top = lambda c: unresolved.select(F.col("uid").alias(c), F.col("root").alias(f"{c}_top"))
+    joined = links.join(top("a"), "a").join(top("b"), "b").select(F.col("a_top").alias("a"), F.col("b_top").alias("b"))
+    return settle(components(joined).select(F.col("node").alias("root"), F.col("root").alias("top")), "tops")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
@@ -191,9 +171,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts of similarity 0.8 differ in about nine bits, also the members of a
     band of least shingle hashes and the band's first document. Candidates are
     verified on the whole texts' shingles. Where that leaves a group of
-    candidates in several components, all of its texts are searched for further
-    links, exactly, by the rarest shingles that similar texts must share. So
-    neither the choice of a band's first document nor the partitioning shows.
+    candidates in several components, its texts go through rounds: longer
+    sketches with fresh seeds name smaller groups, whose members are compared
+    with a fresh leader of another component, until a round finds no link. A
+    round's pairs grow with the number of texts, whatever the groups' sizes.
     Groups are the components of all links, and the document with the smallest
     id stays (null ids last, then by text key).
 
@@ -220,13 +201,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = settle(_sets(texts, width), "sets")
     linked = components(_verified(pairs, sets, similarity)).withColumnRenamed("node", "uid")
     roots = settle(met.join(linked, "uid", "left").select("uid", F.coalesce("root", "uid").alias("root")), "roots")
-    unresolved = _unresolved(pairs, roots)
-    more = settle(_missing(unresolved, sets, similarity), "more-pairs")
-    over = unresolved.withColumnsRenamed({"uid": "node", "root": "top"})
-    tops = lambda c: over.select(F.col("node").alias(c), F.col("top").alias(f"{c}_top"))
-    joined = _verified(more, sets, similarity).join(tops("a"), "a").join(tops("b"), "b").select(F.col("a_top").alias("a"), F.col("b_top").alias("b"))
-    tops_joined = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    roots = roots.join(tops_joined, "root", "left").select("uid", F.coalesce("top", "root").alias("root"))
+    unresolved, seed = _unresolved(pairs, roots), 0
+    while not unresolved.isEmpty():
+        seed += 1
+        tops = _round(unresolved, sets, similarity, seed)
+        if tops.isEmpty():
+            break
+        joined = lambda df: settle(df.join(tops, "root", "left").select("uid", F.coalesce("top", "root").alias("root")), "roots")  # noqa: E731, B023
+        roots, unresolved = joined(roots), joined(unresolved)
 
     members = settle(rows.select("uid", "doc_id", "tk").join(roots, "uid"), "members")
     first = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk", "uid")).alias("keep"))
