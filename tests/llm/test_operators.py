@@ -608,9 +608,11 @@ def test_near_duplicates_of_a_family(spark, n, changed):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_components_of_hubs(spark):
+@pytest.mark.parametrize("chunk", [1 << 19, 40])
+def test_components_of_hubs(spark, monkeypatch, chunk):
+    monkeypatch.setattr(components, "CHUNK", chunk)
     rng = random.Random(15)
-    edges = [(0, i) for i in range(1, 2000)] + [(5000 + i, 7000) for i in range(1500)] + [(7000, 1999)] + [(rng.randrange(10_000, 10_400), rng.randrange(10_000, 10_400)) for _ in range(250)]
+    edges = [(0, i) for i in range(1, 2000)] + [(5000 + i, 7000) for i in range(1500)] + [(7000, 1999)] + [(8000 + i, 8001 + i) for i in range(300)] + [(9999, i) for i in range(9000, 9500)] + [(rng.randrange(10_000, 10_400), rng.randrange(10_000, 10_400)) for _ in range(250)]
     got = dict(local(components.components(spark.createDataFrame(edges, "a long, b long").repartition(5))))
     root = {}
     def find(x):
