@@ -113,14 +113,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def _deep_sketches(sets: DataFrame, seed: int) -> DataFrame:
-    """(key, uid, root, size) of each set (uid, root, own): its TREES sketches to each of the DEPTHS."""
-    schema = pa.schema([("key", pa.int64()), ("uid", pa.int64()), ("root", pa.int64()), ("size", pa.int32())])
+    """(key, uid, root, size, draw) of each set (uid, root, own): its TREES sketches to each of the DEPTHS, and a hash of the set."""
+    schema = pa.schema([("key", pa.int64()), ("uid", pa.int64()), ("root", pa.int64()), ("size", pa.int32()), ("draw", pa.int64())])
     odd = np.random.default_rng(seed).integers(1, 1 << 63, TREES * DEPTHS[-1], dtype=np.uint64) | np.uint64(1)
 
     def run(batches):
         for batch in slices(batches, 1 << 20):
-            keys, sizes = [], []
+            keys, sizes, draws = [], [], []
             for own in batch.column(2).to_pylist():
+                draws.append(xxhash.xxh64_intdigest(own, seed) >> 1)
                 least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
                 s = np.frombuffer(own, np.uint64)
                 for at in range(0, len(s), 512):
@@ -132,9 +133,9 @@ def _deep_sketches(sets: DataFrame, seed: int) -> DataFrame:
                         keys.append(key + np.uint64(i))
                 sizes.append(len(s))
             n = TREES * len(DEPTHS)
-            yield as_batch(schema, [pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.repeat(batch.column(i).to_numpy(), n)) for i in range(2)], pa.array(np.repeat(np.array(sizes, np.int32), n))])
+            yield as_batch(schema, [pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.repeat(batch.column(i).to_numpy(), n)) for i in range(2)], pa.array(np.repeat(np.array(sizes, np.int32), n)), pa.array(np.repeat(np.array(draws, np.int64), n))])
 
-    return map_texts(sets.select("uid", "root", "own"), run, "key long, uid long, root long, size int")
+    return map_texts(sets.select("uid", "root", "own"), run, "key long, uid long, root long, size int, draw long")
 
 
 def _unresolved(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -145,21 +146,24 @@ def _unresolved(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return settle(roots.join(open_, "root").select("uid", "root"), "unresolved")
 
 
-def _round(unresolved: DataFrame, sets: DataFrame, similarity: float, seed: int) -> DataFrame:
-    """(root, top): the components that links found in one round join, of texts with the same sketch and its leader in it.
+def _round(unresolved: DataFrame, sets: DataFrame, similarity: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(root, top): the components that the links found in one round join; and (uid, root) of the texts that may have more.
 
-    The leader is one by a hash of the round; only members of another component
-    than its own are compared with it.
+    Texts with the same sketch form a group. Its leader is the one of the least
+    hash in this round; only members of another component than its own are
+    compared with it. Texts that meet no other component in any group, as only
+    8 of a million with a similar one don't, are done with.
     """
     keys = settle(_deep_sketches(sets.join(unresolved, "uid"), seed), "deep")
-    lead = F.min_by(F.struct("uid", "root", "size"), F.xxhash64("uid", F.lit(seed))).alias("lead")
+    lead = F.min(F.struct("draw", "size", "uid", "root")).alias("lead")
     leads = keys.groupBy("key").agg(lead, F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key", "lead")
+    met = settle(keys.join(leads, "key").select("uid", "root", "size", "lead"), "met-sketches")
     fits = F.least("size", "lead.size") >= F.lit(similarity) * F.greatest("size", "lead.size")
-    pairs = keys.join(leads, "key").where((F.col("root") != F.col("lead.root")) & fits).select(F.col("uid").alias("a"), F.col("lead.uid").alias("b")).distinct()
+    pairs = met.where((F.col("root") != F.col("lead.root")) & fits).select(F.col("uid").alias("a"), F.col("lead.uid").alias("b")).distinct()
     links = _verified(settle(pairs, "more-pairs"), sets, similarity)
     top = lambda c: unresolved.select(F.col("uid").alias(c), F.col("root").alias(f"{c}_top"))
     joined = links.join(top("a"), "a").join(top("b"), "b").select(F.col("a_top").alias("a"), F.col("b_top").alias("b"))
-    return settle(components(joined).select(F.col("node").alias("root"), F.col("root").alias("top")), "tops")
+    return settle(components(joined).select(F.col("node").alias("root"), F.col("root").alias("top")), "tops"), met.select("uid", "root").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
@@ -186,10 +190,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = _sketches(keyed, width).groupBy("doc_id", "tk").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     rows = settle(one.withColumn("uid", F.monotonically_increasing_id()), "sketches")
 
-    banded = rows.select("uid", F.posexplode("bands").alias("band", "mark"))
-    lead = banded.groupBy("band", "mark").agg(F.min("uid").alias("b"), F.max("uid").alias("last")).where("b < last").drop("last")
+    banded = rows.select("uid", "doc_id", "tk", F.posexplode("bands").alias("band", "mark"))
+    first = lambda: F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tk", "uid"))["uid"].alias("b")  # noqa: E731  whatever the partitioning
+    lead = banded.groupBy("band", "mark").agg(first(), F.count("*").alias("n")).where("n > 1").drop("n")
     by_band = banded.join(lead, ["band", "mark"]).where("uid <> b").select(F.col("uid").alias("a"), "b")
-    fps = settle(rows.groupBy("fp").agg(F.min("uid").alias("b")), "fps")
+    fps = settle(rows.groupBy("fp").agg(first()), "fps")
     same = rows.join(fps, "fp").where("uid <> b").select(F.col("uid").alias("a"), "b")
     links = fingerprint_links(fps.select("fp"), radius)
     near = links.join(fps.select(F.col("fp").alias("a"), F.col("b").alias("u")), "a").join(fps.select(F.col("fp").alias("b"), F.col("b").alias("v")), "b").select("u", "v")
@@ -204,11 +209,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unresolved, seed = _unresolved(pairs, roots), 0
     while not unresolved.isEmpty():
         seed += 1
-        tops = _round(unresolved, sets, similarity, seed)
+        tops, left = _round(unresolved, sets, similarity, seed)
         if tops.isEmpty():
             break
         joined = lambda df: settle(df.join(tops, "root", "left").select("uid", F.coalesce("top", "root").alias("root")), "roots")  # noqa: E731, B023
-        roots, unresolved = joined(roots), joined(unresolved)
+        roots, unresolved = joined(roots), joined(left)
 
     members = settle(rows.select("uid", "doc_id", "tk").join(roots, "uid"), "members")
     first = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk", "uid")).alias("keep"))
