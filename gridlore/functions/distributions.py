@@ -64,8 +64,8 @@ def cumulative(a: Column) -> Column:
 
 
 def median(pmf: Column, low: int) -> Column:
-    """The least k whose cumulative mass is a half or more."""
-    return F.size(F.filter(cumulative(pmf), lambda c: c < 0.5)) + low
+    """The least k whose cumulative mass is a half or more, to nine places."""
+    return F.size(F.filter(cumulative(pmf), lambda c: c < 0.5 - 1e-9)) + low
 
 
 def crps_normal(actual: Column, mu: Column, sigma: Column) -> Column:

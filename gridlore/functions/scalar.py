@@ -84,8 +84,8 @@ def remove_vig(home: Column, away: Column) -> Column:
 
 
 def margin_multiplier(margin: Column, winner_edge: Column) -> Column:
-    """ln(|margin| + 1) * 2.2 / (0.001 * edge + 2.2): large wins of favourites count less."""
-    return F.log(F.abs(margin) + 1) * 2.2 / (0.001 * winner_edge + 2.2)
+    """ln(|margin| + 1) * 2.2 / (0.001 * edge + 2.2): large wins of favourites count less; a tie counts 1."""
+    return F.when(margin == 0, 1.0).otherwise(F.log(F.abs(margin) + 1) * 2.2 / (0.001 * winner_edge + 2.2))
 
 
 def logit(p: Column, eps: float = 1e-6) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -12,14 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import gridlore
-from gridlore.operators.scoring import METRICS
 
 # Functions of this package travel to the executors by value.
 cloudpickle.register_pickle_by_value(gridlore)
 
 
-def keyed_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable[[tuple], object], step: Callable[[object, pd.DataFrame], list], schema: str) -> DataFrame:
-    """Rows of each key in order through `step`, which changes the state and returns a row of output for each row.
+def keyed_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable[[tuple], object], step: Callable[[object, pd.DataFrame], list], schema: str, end: Callable[[object], list] = lambda state: []) -> DataFrame:
+    """Rows of each key in order through `step`, which changes the state and returns rows of output; `end` returns a key's last ones.
 
     Rows are sorted by Spark and streamed: a task holds one key's state and a
     batch of rows, never a whole key. Keys (leagues, configurations) run beside
@@ -37,9 +37,12 @@ def keyed_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], start:
             out: list = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if mark[a] != now:
+                    out += end(state) if state is not None else []
                     now, state = mark[a], start(mark[a])
                 out += step(state, pdf.iloc[a:b])
             yield pd.DataFrame(out, columns=names)
+        if state is not None:
+            yield pd.DataFrame(end(state), columns=names)
 
     dealt = df.repartition(*keys) if keys else df.coalesce(1)
     return dealt.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
@@ -47,7 +50,12 @@ def keyed_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], start:
 
 @dataclass(frozen=True)
 class Elo:
-    """Settings of the rating replay."""
+    """Settings of the rating replay.
+
+    A margin counts by its logarithm, up to `cap`; a win of the favourite
+    counts less, and with `absolute` an upset does too. A tie counts once.
+    With `playoffs` False, games of type `post` are forecast but move nothing.
+    """
 
     k: float = 20.0
     edge: float = 48.0
@@ -56,13 +64,26 @@ class Elo:
     newcomer: float = 1500.0
     edge_step: float = 0.0
     scale: float = 400.0
+    cap: float | None = None
+    absolute: bool = False
+    playoffs: bool = True
+    post: str = "POST"
+    edge_by_margin: bool = False
+
+
+def margin_weight(margin, winner_edge, cfg: Elo):
+    """What a margin counts, given the winner's rating lead with the home edge; 1 for a tie."""
+    if margin == 0:
+        return 1.0
+    weight = math.log(abs(margin) + 1) * 2.2 / (0.001 * (abs(winner_edge) if cfg.absolute else winner_edge) + 2.2)
+    return weight if cfg.cap is None else min(weight, cfg.cap)
 
 
 class _EloState:
     def __init__(self, cfg: Elo) -> None:
         self.cfg, self.r, self.season, self.edge, self.first = cfg, {}, None, cfg.edge, True
 
-    def play(self, season, home, away, hs, as_, neutral):
+    def play(self, season, home, away, hs, as_, neutral, kind=None):
         c = self.cfg
         if season != self.season:
             if self.season is not None:
@@ -72,17 +93,56 @@ class _EloState:
         base = c.mean if self.first else c.newcomer
         h, a = self.r.get(home, base), self.r.get(away, base)
         diff = h + (0.0 if neutral else self.edge) - a
-        p = 1 / (1 + 10 ** (-diff / c.scale))
+        p, before = 1 / (1 + 10 ** (-diff / c.scale)), self.edge
+        if hs is None or as_ is None or hs != hs or as_ != as_ or (kind == c.post and not c.playoffs):
+            return h, a, p, h, a, before
+        y = 1.0 if hs > as_ else 0.5 if hs == as_ else 0.0
+        weight = margin_weight(hs - as_, diff if hs >= as_ else -diff, c)
+        self.r[home], self.r[away] = h + c.k * weight * (y - p), a - c.k * weight * (y - p)
+        if not neutral:
+            self.edge += c.edge_step * (weight if c.edge_by_margin else 1.0) * (y - p)
+        return h, a, p, self.r[home], self.r[away], before
+
+
+class _EloGrid:
+    """One replay of a league for all configurations at once: each rating is a vector over them."""
+
+    def __init__(self, grid: list[Elo], window: tuple[int, int]) -> None:
+        at = lambda f: np.array([f(c) for c in grid], float)
+        self.k, self.edge, self.regress, self.mean = at(lambda c: c.k), at(lambda c: c.edge), at(lambda c: c.regress), at(lambda c: c.mean)
+        self.newcomer, self.step, self.scale = at(lambda c: c.newcomer), at(lambda c: c.edge_step), at(lambda c: c.scale)
+        self.cap, self.absolute = at(lambda c: np.inf if c.cap is None else c.cap), at(lambda c: c.absolute) > 0
+        self.playoffs, self.by_margin, self.post = at(lambda c: c.playoffs), at(lambda c: c.edge_by_margin) > 0, grid[0].post
+        self.r, self.season, self.first, self.window = {}, None, True, window
+        self.n, self.brier, self.logloss = 0, np.zeros(len(grid)), np.zeros(len(grid))
+
+    def play(self, season, home, away, hs, as_, neutral, kind):
+        if season != self.season:
+            if self.season is not None:
+                self.r = {t: v + self.regress * (self.mean - v) for t, v in self.r.items()}
+                self.first = False
+            self.season = season
+        base = self.mean if self.first else self.newcomer
+        h, a = self.r.get(home, base), self.r.get(away, base)
+        diff = h - a if neutral else h + self.edge - a
+        p = 1 / (1 + 10 ** (-diff / self.scale))
         if hs is None or as_ is None or hs != hs or as_ != as_:
-            return h, a, p, h, a, self.edge
+            return
         y = 1.0 if hs > as_ else 0.5 if hs == as_ else 0.0
-        won = diff if hs >= as_ else -diff
-        shift = c.k * np.log(abs(hs - as_) + 1) * 2.2 / (0.001 * won + 2.2) * (y - p)
+        if self.window[0] <= season <= self.window[1]:
+            q = np.clip(p, 1e-15, 1 - 1e-15)
+            self.n += 1
+            self.brier += (p - y) ** 2
+            self.logloss -= y * np.log(q) + (1 - y) * np.log(1 - q)
+        weight = 1.0
+        if hs != as_:
+            won = diff if hs > as_ else -diff
+            weight = np.minimum(math.log(abs(hs - as_) + 1) * 2.2 / (0.001 * np.where(self.absolute, abs(won), won) + 2.2), self.cap)
+        moves = self.playoffs if kind == self.post else 1.0
+        shift = moves * self.k * weight * (y - p)
         self.r[home], self.r[away] = h + shift, a - shift
-        before = self.edge
         if not neutral:
-            self.edge += c.edge_step * (y - p)
-        return h, a, p, self.r[home], self.r[away], before
+            self.edge = self.edge + moves * self.step * np.where(self.by_margin, weight, 1.0) * (y - p)
 
 
 ELO_SCHEMA = "season long, home long, away long, y double, home_pre double, away_pre double, p_elo double, home_post double, away_post double, edge double"
@@ -95,7 +155,8 @@ def elo(games: DataFrame, league: Sequence[str], order: Sequence[str], configs:
     home edge is updated by the result, scaled by the margin; between seasons
     ratings regress to the mean, and sides first seen after the first season
     start as newcomers. With `edge_step` the home edge follows the results.
-    Games without a score are forecast only.
+    Games without a score are forecast only. A column game_type is needed only
+    by configurations with `playoffs` False.
     """
     configs = configs or {0: Elo()}
     rows = games.withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs])))
@@ -105,7 +166,7 @@ def elo(games: DataFrame, league: Sequence[str], order: Sequence[str], configs:
     def step(state, pdf):
         out = []
         for r in pdf.itertuples():
-            res = state.play(r.season, r.home, r.away, r.home_score, r.away_score, r.neutral)
+            res = state.play(r.season, r.home, r.away, r.home_score, r.away_score, r.neutral, getattr(r, "game_type", None))
             out.append((*[getattr(r, k) for k in keys], getattr(r, game_id), r.season, r.home, r.away, r.y, *res))
         return out
 
@@ -121,9 +182,22 @@ def elo_state(replay: DataFrame, league: Sequence[str], cfg: Elo, order: Sequenc
 
 
 def elo_grid(games: DataFrame, league: Sequence[str], order: Sequence[str], grid: dict[int, Elo], window: tuple[int, int], top: int = 10) -> DataFrame:
-    """Replays of all configurations, scored on a window of seasons; the best ones."""
-    replay = elo(games, league, order, grid).where(F.col("season").between(*window))
-    scores = replay.groupBy("config").agg(F.count("*").alias("n"), F.avg(METRICS["brier"]("y", "p_elo")).alias("brier"), F.avg(METRICS["logloss"]("y", "p_elo")).alias("logloss"))
+    """Replays of all configurations, scored on a window of seasons; the best ones.
+
+    A league's games are read once; each rating is a vector over all
+    configurations, and a league sends one row of sums for each of them.
+    """
+    ids, configs = list(grid), list(grid.values())
+
+    def step(state, pdf):
+        kinds = pdf["game_type"].tolist() if "game_type" in pdf else [None] * len(pdf)
+        for row in zip(*[pdf[c].tolist() for c in ("season", "home", "away", "home_score", "away_score", "neutral")], kinds, strict=True):
+            state.play(*row)
+        return []
+
+    end = lambda state: list(zip(ids, [state.n] * len(ids), state.brier.tolist(), state.logloss.tolist(), strict=True))
+    sums = keyed_fold(games, league, order, lambda key: _EloGrid(configs, window), step, "config int, n long, brier double, logloss double", end)
+    scores = sums.groupBy("config").agg(F.sum("n").alias("n"), (F.sum("brier") / F.sum("n")).alias("brier"), (F.sum("logloss") / F.sum("n")).alias("logloss"))
     return scores.orderBy("brier", "config").limit(top)
 
 

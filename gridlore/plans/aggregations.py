@@ -174,9 +174,9 @@ def agg_kicker_expected(t):
     return r.join(F.broadcast(league), ["band", "season"]).groupBy("player", "season").agg(F.sum(3 * (F.col("success") - F.col("rate"))).alias("over_expected"), F.count("*").alias("n"))
 
 
-@query("agg_explode_credit", """SELECT game_id, play_id, unnest([player, passer]) AS entity, epa / 2 AS credit FROM plays WHERE season = 1995""", "credit")
+@query("agg_explode_credit", """SELECT game_id, play_id, unnest([player, passer]) AS entity, epa / 2 AS credit FROM plays""", "credit")
 def agg_explode_credit(t):
-    return A.explode_credit(t.plays.where("season = 1995"), ["player", "passer"], "epa").select("game_id", "play_id", "entity", "credit")
+    return A.explode_credit(t.plays, ["player", "passer"], "epa").select("game_id", "play_id", "entity", "credit")
 
 
 @query("agg_mode", "SELECT off, kind, n FROM (SELECT off, kind, count(*) AS n, row_number() OVER (PARTITION BY off ORDER BY count(*) DESC, min(ts), kind) AS k FROM plays GROUP BY off, kind) WHERE k = 1")

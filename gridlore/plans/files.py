@@ -109,9 +109,9 @@ def scan_stadium_dim(t):
     return S.scan_dimension(S.scan_csv(t.spark, path, "stadium long, name string"), ["stadium"])
 
 
-@query("scan_seed_dim", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("scan_seed_dim", "SELECT c_custkey, c_name, c_nationkey FROM customer")
 def scan_seed_dim(t):
-    return S.scan_csv(t.spark, landed(t, t.nation.select("n_nationkey", "n_name", "n_regionkey"), "seeds"), "n_nationkey int, n_name string, n_regionkey int")
+    return S.scan_csv(t.spark, landed(t, t.customer.select("c_custkey", "c_name", "c_nationkey"), "seeds"), "c_custkey long, c_name string, c_nationkey int")
 
 
 @query("scan_ledger", "SELECT CAST(key AS VARCHAR) AS key, CAST(run_id AS VARCHAR) AS run_id, strftime(run_at, '%Y-%m-%d %H:%M:%S') AS at, p FROM ledger", "p")
@@ -140,9 +140,9 @@ def scan_many_inputs(t):
     return parts[0].union(parts[1])
 
 
-@query("scan_cleaned_plays_cache", "SELECT game_id, play_id, player, epa FROM plays WHERE kind = 'R' AND season = 1994", "epa")
+@query("scan_cleaned_plays_cache", "SELECT game_id, play_id, player, epa FROM plays WHERE kind = 'R'", "epa")
 def scan_cleaned_plays_cache(t):
-    clean = t.plays.where("kind = 'R' AND season = 1994").select("game_id", "play_id", "player", "epa")
+    clean = t.plays.where("kind = 'R'").select("game_id", "play_id", "player", "epa")
     root = S.scratch(t.spark, "cleaned")
     key = S.table_key(clean)
     S.cached(clean, root, key)
@@ -210,9 +210,16 @@ def table_fingerprint(t):
     return joined.select("season", "n", F.when(same, 0).otherwise(1).cast("long").alias("changed"))
 
 
-@query("manifest_status", "SELECT count(*) > 0 AS listed, 0::BIGINT AS changed FROM nation")
+@query("manifest_status", "SELECT 'season=' || season AS part, CASE WHEN season = 1995 THEN 'changed' WHEN season = 1996 THEN 'missing' ELSE 'same' END AS status FROM games GROUP BY season")
 def manifest_status(t):
-    path = landed(t, t.nation, "manifest", "parquet")
-    manifest = S.file_hashes(t.spark, path).where("file LIKE 'part-%'")
-    now = S.file_hashes(t.spark, path).where("file LIKE 'part-%'").select("file", F.col("sha256").alias("now"))
-    return manifest.join(now, "file", "left").agg((F.count("*") > 0).alias("listed"), F.count_if(~F.col("sha256").eqNullSafe(F.col("now"))).alias("changed"))
+    path = S.scratch(t.spark, "manifest")
+    one = lambda rows: rows.repartition("season").write.partitionBy("season").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    one(t.games)
+    hashes = lambda name: S.file_hashes(t.spark, path).where("file LIKE '%.parquet'").select(F.regexp_extract("path", "(season=[^/]*)/", 1).alias("part"), F.col("sha256").alias(name))
+    content = lambda name: hashes(name).groupBy("part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(name)), ","), 256).alias(name))
+    kept = S.scratch(t.spark, "kept")
+    content("was").write.parquet(kept)
+    one(t.games.where("season = 1995").withColumn("p", F.col("p") + 1))
+    now = content("now").where("part <> 'season=1996'")  # as if that file were gone
+    status = F.when(F.col("now").isNull(), "missing").when(F.col("was") == F.col("now"), "same").otherwise("changed")
+    return t.spark.read.parquet(kept).join(now, "part", "left").select("part", status.alias("status"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -33,36 +34,37 @@ def sample(t):
 
 @query("fold_elo")
 def fold_elo(t):
-    return folds.elo(t.games, ["game_type"], ORDER)
+    return folds.elo(t.league_games, ["league"], ORDER)
 
 
 @query("fold_elo_state")
 def fold_elo_state(t):
-    return folds.elo_state(folds.elo(t.games, ["game_type"], ORDER), ["game_type"], folds.Elo())
+    return folds.elo_state(folds.elo(t.league_games, ["league"], ORDER), ["league"], folds.Elo())
 
 
 @query("fold_elo_grid")
 def fold_elo_grid(t):
-    grid = {i: folds.Elo(k=k, edge=e) for i, (k, e) in enumerate((k, e) for k in (10.0, 20.0, 40.0) for e in (0.0, 48.0))}
-    return folds.elo_grid(t.games, ["game_type"], ORDER, grid, (1994, 1997))
+    values = itertools.product((8.0, 12.0, 16.0, 20.0, 24.0, 28.0, 32.0, 40.0), (0.0, 20.0, 35.0, 45.0, 55.0, 65.0, 80.0, 100.0), (0.0, 0.1, 0.2, 0.33, 0.5, 0.75), (1300.0, 1400.0, 1500.0, 1550.0), (False, True))
+    grid = {i: folds.Elo(k=k, edge=e, regress=g, newcomer=n, absolute=a) for i, (k, e, g, n, a) in enumerate(values)}
+    return folds.elo_grid(t.league_games, ["league"], ORDER, grid, (1994, 1997))
 
 
 @query("fold_kalman")
 def fold_kalman(t):
-    return folds.kalman(t.games, ["game_type"])
+    return folds.kalman(t.league_games, ["league"])
 
 
 @query("fold_kalman_at")
 def fold_kalman_at(t):
     cut = F.lit("1997-01-01").cast("timestamp")
-    hidden = t.games.withColumns({c: F.when(F.col("kickoff") < cut, F.col(c)) for c in ("home_score", "away_score")})
-    return folds.kalman(hidden, ["game_type"]).where("margin IS NULL").select("game_type", "game_id", "mean", "sd")
+    hidden = t.league_games.withColumns({c: F.when(F.col("kickoff") < cut, F.col(c)) for c in ("home_score", "away_score")})
+    return folds.kalman(hidden, ["league"]).where("margin IS NULL").select("league", "game_id", "mean", "sd")
 
 
 @query("fold_kalman_loglik")
 def fold_kalman_loglik(t):
     configs = {i: folds.Kalman(carry=c) for i, c in enumerate((0.5, 0.7, 0.9))}
-    return folds.kalman(t.games, ["game_type"], configs).where("season >= 1994").groupBy("config").agg(F.sum("loglik").alias("loglik"), F.count("loglik").alias("n"))
+    return folds.kalman(t.league_games, ["league"], configs).where("season >= 1994").groupBy("config").agg(F.sum("loglik").alias("loglik"), F.count("loglik").alias("n"))
 
 
 def rating_terms(t):
@@ -431,17 +433,12 @@ def udf_extra_feature(t):
 
 @query("udaf_metric", "SELECT season, avg(pow(p - y, 2)) AS brier, avg(abs(y - p)) AS mae, median(abs(y - p)) AS med FROM games GROUP BY season", "brier mae med")
 def udaf_metric(t):
-    from pyspark.sql.types import DoubleType
-
-    @F.pandas_udf(DoubleType())
-    def median_gap(y: pd.Series, p: pd.Series) -> float:
-        return float((y - p).abs().median())
-
+    median_gap = F.median(F.abs(F.col("y") - F.col("p"))).alias("med")
     known = scoring.scores(t.games, "y", "p", ["season"], ["brier", "mae"]).drop("n")
-    return known.join(t.games.groupBy("season").agg(median_gap("y", "p").alias("med")), "season")
+    return known.join(t.games.groupBy("season").agg(median_gap), "season")
 
 
-@query("udtf_explode_outcomes", "SELECT game_id, play_id, player, unnest([-5, 0, 5, 15])::BIGINT AS y, greatest(yardline - unnest([-5, 0, 5, 15]), 0) AS land FROM plays WHERE down = 4 AND season = 1995")
+@query("udtf_explode_outcomes", "SELECT game_id, play_id, player, unnest([-5, 0, 5, 15])::BIGINT AS y, greatest(yardline - unnest([-5, 0, 5, 15]), 0) AS land FROM plays WHERE down = 4")
 def udtf_explode_outcomes(t):
     @udtf(returnType="y long, land long")
     class Outcomes:
@@ -449,5 +446,5 @@ def udtf_explode_outcomes(t):
             for y, _ in OUTCOMES:
                 yield y, max(yardline - y, 0)
 
-    d = t.plays.where("down = 4 AND season = 1995").select("game_id", "play_id", "player", "yardline")
+    d = t.plays.where("down = 4").select("game_id", "play_id", "player", "yardline")
     return d.lateralJoin(Outcomes(F.col("yardline").outer())).select("game_id", "play_id", "player", "y", "land")

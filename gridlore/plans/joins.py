@@ -85,9 +85,9 @@ def join_nearest_earlier(t):
     return asof.nearest_earlier(t.plays.select("passer", "season").distinct(), b, ["passer"], "season", "base", F.lit(-1))
 
 
-@query("join_band_count", """WITH q AS (SELECT DISTINCT kind, togo FROM plays WHERE season = 1997), r AS (SELECT kind, togo FROM plays) SELECT q.kind, q.togo, count(*) AS n_similar FROM q JOIN r ON r.kind = q.kind AND abs(r.togo - q.togo) <= 2 GROUP BY ALL""")
+@query("join_band_count", """WITH q AS (SELECT DISTINCT kind, togo FROM plays), r AS (SELECT kind, togo FROM plays) SELECT q.kind, q.togo, count(*) AS n_similar FROM q JOIN r ON r.kind = q.kind AND abs(r.togo - q.togo) <= 2 GROUP BY ALL""")
 def join_band_count(t):
-    return J.band_count(t.plays.where("season = 1997").select("kind", "togo").distinct(), t.plays.select("kind", "togo"), ["kind"], "togo", 2.0)
+    return J.band_count(t.plays.select("kind", "togo").distinct(), t.plays.select("kind", "togo"), ["kind"], "togo", 2.0)
 
 
 @query("join_backoff_pool", """WITH a AS (SELECT kind, down, togo, count(*) AS n0 FROM plays GROUP BY ALL), b AS (SELECT kind, down, count(*) AS n1 FROM plays GROUP BY ALL), c AS (SELECT kind, count(*) AS n2 FROM plays GROUP BY ALL)

@@ -130,7 +130,7 @@ def fn_implied_prob(t):
     return t.games.select("game_id", S.remove_vig(contests.implied_probability(m), contests.implied_probability(-m) + 0.05).alias("prob"))
 
 
-@query("fn_elo_expected", "WITH r AS (SELECT game_id, 1500 + 10e0 * (home - 12) AS h, 1500 + 10e0 * (away - 12) AS a, CASE WHEN neutral THEN 0 ELSE 48 END AS e, home_score - away_score AS m FROM games) SELECT game_id, 1 / (1 + pow(10e0, -(h + e - a) / 400)) AS expected, (h + e - a) / 25 AS line, ln(abs(m) + 1) * 2.2e0 / (0.001e0 * (CASE WHEN m >= 0 THEN 1 ELSE -1 END * (h + e - a)) + 2.2e0) AS multiplier FROM r", "expected line multiplier")
+@query("fn_elo_expected", "WITH r AS (SELECT game_id, 1500 + 10e0 * (home - 12) AS h, 1500 + 10e0 * (away - 12) AS a, CASE WHEN neutral THEN 0 ELSE 48 END AS e, home_score - away_score AS m FROM games) SELECT game_id, 1 / (1 + pow(10e0, -(h + e - a) / 400)) AS expected, (h + e - a) / 25 AS line, CASE WHEN m = 0 THEN 1e0 ELSE ln(abs(m) + 1) * 2.2e0 / (0.001e0 * (CASE WHEN m >= 0 THEN 1 ELSE -1 END * (h + e - a)) + 2.2e0) END AS multiplier FROM r", "expected line multiplier")
 def fn_elo_expected(t):
     h, a = 1500.0 + 10 * (F.col("home") - 12), 1500.0 + 10 * (F.col("away") - 12)
     e = F.when(F.col("neutral"), 0.0).otherwise(48.0)
@@ -154,25 +154,25 @@ def fn_normal_cdf(t):
     return t.games.select("game_id", D.normal_cdf(F.col("spread") / 13.0).alias("prob"))
 
 
-PMF = f"""g AS (SELECT game_id, spread, home_score - away_score AS m FROM games WHERE game_id % 20 = 1), k AS (SELECT unnest(range(-20, 21)) AS k),
-f AS (SELECT game_id, spread, m, k, CASE WHEN k = 20 THEN 1 ELSE {cdf('(k + 0.5e0 - spread) / 9e0')} END - CASE WHEN k = -20 THEN 0 ELSE {cdf('(k - 0.5e0 - spread) / 9e0')} END AS w FROM g, k)"""
+PMF = f"""g AS (SELECT game_id, spread, home_score - away_score AS m FROM games), k AS (SELECT unnest(range(-80, 81)) AS k),
+f AS (SELECT game_id, spread, m, k, CASE WHEN k = 80 THEN 1 ELSE {cdf('(k + 0.5e0 - spread) / 9e0')} END - CASE WHEN k = -80 THEN 0 ELSE {cdf('(k - 0.5e0 - spread) / 9e0')} END AS w FROM g, k)"""
 
 
 def pmf(t):
-    rows = t.games.where("game_id % 20 = 1").withColumn("m", F.col("home_score") - F.col("away_score"))
-    return rows.withColumn("pmf", D.normal_pmf(F.col("spread"), F.lit(9.0), -20, 20))
+    rows = t.games.withColumn("m", F.col("home_score") - F.col("away_score"))
+    return rows.withColumn("pmf", D.normal_pmf(F.col("spread"), F.lit(9.0), -80, 80))
 
 
 @query("fn_pmf_grid", f"WITH {PMF}, r AS (SELECT game_id, k, w * CASE WHEN abs(k) = 3 THEN 2e0 ELSE 1e0 END AS w FROM f) SELECT game_id, sum(w) FILTER (WHERE k = 3) / sum(w) AS at3, sum(w) FILTER (WHERE k = 0) / sum(w) AS at0 FROM r GROUP BY game_id", "at3 at0")
 def fn_pmf_grid(t):
-    factors = F.array(*[F.lit(2.0 if i == 3 else 1.0) for i in range(21)])
-    w = pmf(t).withColumn("w", D.reweighted(F.col("pmf"), -20, factors))
-    return w.select("game_id", F.get("w", F.lit(23)).alias("at3"), F.get("w", F.lit(20)).alias("at0"))
+    factors = F.array(*[F.lit(2.0 if i == 3 else 1.0) for i in range(81)])
+    w = pmf(t).withColumn("w", D.reweighted(F.col("pmf"), -80, factors))
+    return w.select("game_id", F.get("w", F.lit(83)).alias("at3"), F.get("w", F.lit(80)).alias("at0"))
 
 
-@query("fn_pmf_summaries", f"WITH {PMF}, c AS (SELECT *, sum(w) OVER (PARTITION BY game_id ORDER BY k) AS c FROM f) SELECT game_id, sum(CASE WHEN k > 0 THEN w WHEN k = 0 THEN w / 2 ELSE 0 END) AS win, min(k) FILTER (WHERE c >= 0.5)::INT AS med FROM c GROUP BY game_id", "win")
+@query("fn_pmf_summaries", f"WITH {PMF}, c AS (SELECT *, sum(w) OVER (PARTITION BY game_id ORDER BY k) AS c FROM f) SELECT game_id, sum(CASE WHEN k > 0 THEN w WHEN k = 0 THEN w / 2 ELSE 0 END) AS win, min(k) FILTER (WHERE c >= 0.5 - 1e-9)::INT AS med FROM c GROUP BY game_id", "win")
 def fn_pmf_summaries(t):
-    return pmf(t).select("game_id", D.above(F.col("pmf"), -20).alias("win"), D.median(F.col("pmf"), -20).alias("med"))
+    return pmf(t).select("game_id", D.above(F.col("pmf"), -80).alias("win"), D.median(F.col("pmf"), -80).alias("med"))
 
 
 @query("fn_crps", f"""WITH {PMF}, c AS (SELECT *, sum(w) OVER (PARTITION BY game_id ORDER BY k) AS c FROM f), x AS (SELECT game_id, sum(pow(c - CASE WHEN k >= m THEN 1e0 ELSE 0e0 END, 2)) AS grid FROM c GROUP BY game_id)
@@ -180,7 +180,7 @@ SELECT game_id, grid, 9e0 * ((m - spread) / 9e0 * (2 * {cdf('(m - spread) / 9e0'
 (abs(m + 7) + abs(m) + abs(m - 3)) / 3e0 - (7 + 10 + 3) / 9e0 AS sample FROM x JOIN g USING (game_id)""", "grid closed sample")
 def fn_crps(t):
     samples = F.array(F.lit(3.0), F.lit(-7.0), F.lit(0.0))
-    return pmf(t).select("game_id", D.crps_grid(F.col("m"), F.col("pmf"), -20).alias("grid"), D.crps_normal(F.col("m"), F.col("spread"), F.lit(9.0)).alias("closed"), D.crps_sample(F.col("m"), samples).alias("sample"))
+    return pmf(t).select("game_id", D.crps_grid(F.col("m"), F.col("pmf"), -80).alias("grid"), D.crps_normal(F.col("m"), F.col("spread"), F.lit(9.0)).alias("closed"), D.crps_sample(F.col("m"), samples).alias("sample"))
 
 
 @query("fn_per_row_losses", "SELECT game_id, pow(p - y, 2) AS brier, -(y * ln(p) + (1 - y) * ln(1 - p)) AS logloss, abs(y - p) AS mae FROM games", "brier logloss mae")
@@ -188,26 +188,26 @@ def fn_per_row_losses(t):
     return t.games.select("game_id", *[scoring.METRICS[m]("y", "p").alias(m) for m in ("brier", "logloss", "mae")])
 
 
-@query("fn_fold_distribution", f"WITH {PMF}, b AS (SELECT game_id, k + 20 AS i, w, 20 + game_id % 15 AS lim FROM f), d AS (SELECT game_id, least(i, lim) AS i, sum(w) AS w FROM b GROUP BY ALL), r AS (SELECT game_id, i, greatest(w, 0.001e0) AS w FROM d) SELECT game_id, max(i)::INT AS last, arg_max(w, i) / sum(w) AS w_last FROM r GROUP BY game_id", "w_last")
+@query("fn_fold_distribution", f"WITH {PMF}, b AS (SELECT game_id, k + 80 AS i, w, 80 + game_id % 15 AS lim FROM f), d AS (SELECT game_id, least(i, lim) AS i, sum(w) AS w FROM b GROUP BY ALL), r AS (SELECT game_id, i, greatest(w, 0.001e0) AS w FROM d) SELECT game_id, max(i)::INT AS last, arg_max(w, i) / sum(w) AS w_last FROM r GROUP BY game_id", "w_last")
 def fn_fold_distribution(t):
-    lim = (20 + F.col("game_id") % 15).cast("int")
+    lim = (80 + F.col("game_id") % 15).cast("int")
     f = pmf(t).select("game_id", lim.alias("last"), D.fold(F.col("pmf"), lim, 0.001).alias("w"))
     return f.select("game_id", "last", F.get("w", F.col("last")).alias("w_last"))
 
 
 @query("fn_event_probs", f"WITH {PMF} SELECT game_id, sum(w) FILTER (WHERE k >= 7) AS p7, sum(w * k) AS mean FROM f GROUP BY game_id", "p7 mean")
 def fn_event_probs(t):
-    p7 = D.total(F.transform("pmf", lambda x, i: F.when(i - 20 >= 7, x).otherwise(0.0)))
-    return pmf(t).select("game_id", p7.alias("p7"), D.expectation(F.col("pmf"), -20).alias("mean"))
+    p7 = D.total(F.transform("pmf", lambda x, i: F.when(i - 80 >= 7, x).otherwise(0.0)))
+    return pmf(t).select("game_id", p7.alias("p7"), D.expectation(F.col("pmf"), -80).alias("mean"))
 
 
 @query("fn_shift_distribution", f"WITH {PMF}, e AS (SELECT game_id, sum(w) FILTER (WHERE k >= 3) AS p FROM f GROUP BY game_id) SELECT game_id, 1 / (1 + exp(-(ln(p / (1 - p)) + 0.4e0))) AS p FROM e", "p")
 def fn_shift_distribution(t):
-    moved = D.shift_event(F.col("pmf"), -20, F.lit(3), 0.4)
-    return pmf(t).withColumn("s", moved).select("game_id", D.total(F.transform("s", lambda x, i: F.when(i - 20 >= 3, x).otherwise(0.0))).alias("p"))
+    moved = D.shift_event(F.col("pmf"), -80, F.lit(3), 0.4)
+    return pmf(t).withColumn("s", moved).select("game_id", D.total(F.transform("s", lambda x, i: F.when(i - 80 >= 3, x).otherwise(0.0))).alias("p"))
 
 
-@query("fn_sparse_bins", f"WITH {PMF} SELECT game_id, min(k + 20) FILTER (WHERE w >= 0.01)::INT AS start, (max(k) FILTER (WHERE w >= 0.01) - min(k) FILTER (WHERE w >= 0.01) + 1)::INT AS n FROM f GROUP BY game_id")
+@query("fn_sparse_bins", f"WITH {PMF} SELECT game_id, min(k + 80) FILTER (WHERE w >= 0.01)::INT AS start, (max(k) FILTER (WHERE w >= 0.01) - min(k) FILTER (WHERE w >= 0.01) + 1)::INT AS n FROM f GROUP BY game_id")
 def fn_sparse_bins(t):
     return pmf(t).select("game_id", D.trimmed(F.col("pmf"), 0.01).alias("s")).select("game_id", "s.start", F.size("s.bins").alias("n"))
 

@@ -59,9 +59,9 @@ def stream_dedupe_run(t):
     return L.results(t.spark, out, s).select("key", F.date_format("run_at", "yyyy-MM-dd").alias("day"))
 
 
-@query("stream_join_results", "SELECT game_id, p, y FROM games WHERE season = 1995", "p y")
+@query("stream_join_results", "SELECT game_id, p, y FROM games", "p y")
 def stream_join_results(t):
-    g = t.games.where("season = 1995").withColumn("kickoff", F.col("kickoff").cast("timestamp"))
+    g = t.games.withColumn("kickoff", F.col("kickoff").cast("timestamp"))
     f = streamed(t, g.select("game_id", "p", F.col("kickoff").alias("at")), "forecasts").withWatermark("at", "4000 days")
     r = streamed(t, g.select(F.col("game_id").alias("id"), "y", (F.col("kickoff") + F.expr("INTERVAL 3 HOURS")).alias("done")), "results").withWatermark("done", "4000 days")
     j = f.join(r, F.expr("game_id = id AND done >= at AND done <= at + INTERVAL 1 DAY")).select("game_id", "p", "y")
@@ -96,8 +96,11 @@ def stream_session(t):
 
 @query("stream_elo_state")
 def stream_elo_state(t):
-    g = t.games.select("game_id", "season", "week", "home", "away", "home_score", "away_score", "neutral", "game_type")
-    s = L.rating_state(streamed(t, g, "games", 1), "game_type", Elo())
+    g = t.league_games.select("game_id", "season", "week", "home", "away", "home_score", "away_score", "neutral", "league")
+    path = scratch(t.spark, "games")
+    for season in sorted(r[0] for r in g.select("season").distinct().collect()):  # landed season after season, as they are played
+        g.where(F.col("season") == season).coalesce(1).write.mode("append").parquet(path)
+    s = L.rating_state(L.source(t.spark, path, g.schema, files=1), "league", Elo(edge_step=0.5))
     out = scratch(t.spark, "out")
     L.drain(s, L.to_folder(out))
     return L.results(t.spark, out, s)

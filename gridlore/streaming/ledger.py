@@ -56,19 +56,30 @@ def new_only(batch: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def rating_state(rows: DataFrame, league: str, cfg) -> DataFrame:
-    """Ratings as keyed state: each batch's results, in order of season, week and id, move the league's ratings; one row for each game."""
+    """Ratings as keyed state: each batch's results, in order of season, week and id, move the league's ratings; one row for each game.
+
+    State is the ratings, the season, the home edge and the last game. A task
+    holds one league's rows of one batch. A game that belongs before what has
+    been played is an error, since ratings can't be taken back.
+    """
     import json
 
     from gridlore.operators.folds import _EloState
 
     def step(k: tuple, frames, state: GroupState):
-        elo = _EloState(cfg)
+        elo, last = _EloState(cfg), [-1, -1, -1]
         if state.exists:
-            r, season, first = json.loads(state.get[0])
-            elo.r, elo.season, elo.first = {int(t): v for t, v in r.items()}, season, first
-        pdf = pd.concat(list(frames)).sort_values(["season", "week", "game_id"])
-        out = [(k[0], r.game_id, *elo.play(int(r.season), int(r.home), int(r.away), r.home_score, r.away_score, r.neutral)[2:5]) for r in pdf.itertuples()]
-        state.update((json.dumps([elo.r, elo.season, elo.first]),))
+            pairs, elo.season, elo.first, elo.edge, last = json.loads(state.get[0])
+            elo.r = dict(map(tuple, pairs))
+        order = ["season", "week", "game_id"]
+        pdf = pd.concat(list(frames)).sort_values(order)
+        if len(pdf) and pdf[order].iloc[0].tolist() <= last:
+            raise ValueError(f"a game of {league} {k[0]} comes after later ones")
+        plain = lambda x: x.item() if hasattr(x, "item") else x
+        out = [(k[0], r.game_id, *elo.play(int(r.season), plain(r.home), plain(r.away), r.home_score, r.away_score, r.neutral)[2:5]) for r in pdf.itertuples()]
+        last = [int(x) for x in pdf[order].iloc[-1]] if len(pdf) else last
+        state.update((json.dumps([list(elo.r.items()), elo.season, elo.first, elo.edge, last]),))
         yield pd.DataFrame(out)
 
-    return rows.groupBy(league).applyInPandasWithState(step, "league string, game_id long, p_elo double, home_post double, away_post double", "state string", "append", GroupStateTimeout.NoTimeout)
+    kind = dict(rows.dtypes)[league]
+    return rows.groupBy(league).applyInPandasWithState(step, f"league {kind}, game_id long, p_elo double, home_post double, away_post double", "state string", "append", GroupStateTimeout.NoTimeout)

@@ -50,15 +50,46 @@ def test_elo_replay(games):
             p = 1 / (1 + 10 ** (-diff / 400))
             assert math.isclose(got[g["game_id"]]["p_elo"], p) and math.isclose(got[g["game_id"]]["edge"], edge)
             if g["home_score"] is None:
-                assert got[g["game_id"]]["home_post"] == h
+                assert math.isclose(got[g["game_id"]]["home_post"], h)
                 continue
             won = diff if g["home_score"] >= g["away_score"] else -diff
-            step = cfg.k * math.log(abs(g["home_score"] - g["away_score"]) + 1) * 2.2 / (0.001 * won + 2.2) * (g["y"] - p)
+            margin = abs(g["home_score"] - g["away_score"])
+            step = cfg.k * (math.log(margin + 1) * 2.2 / (0.001 * won + 2.2) if margin else 1.0) * (g["y"] - p)
             r[g["home"]], r[g["away"]] = h + step, a - step
             if not g["neutral"]:
                 edge += cfg.edge_step * (g["y"] - p)
 
 
+def test_margin_weight():
+    """Values that the formula fixes: a tie counts 1, a favourite's win less, an upset too if leads count by size."""
+    cfg = folds.Elo()
+    assert folds.margin_weight(0, 100, cfg) == 1.0
+    assert math.isclose(folds.margin_weight(1, 0, cfg), math.log(2)) and math.isclose(folds.margin_weight(10, 200, cfg), math.log(11) * 2.2 / 2.4)
+    assert folds.margin_weight(10, 200, cfg) < folds.margin_weight(10, -200, cfg)
+    size = folds.Elo(absolute=True, cap=2.0)
+    assert folds.margin_weight(10, -200, size) == folds.margin_weight(10, 200, size) and folds.margin_weight(60, 0, size) == 2.0
+
+
+def test_elo_ties_and_playoffs():
+    tie = folds._EloState(folds.Elo(k=20.0, edge=0.0))
+    tie.r = {"a": 1600.0, "b": 1500.0}
+    _, _, p, h, a, _ = tie.play(2000, "a", "b", 10, 10, True)
+    assert math.isclose(h, 1600 + 20 * (0.5 - p)) and math.isclose(h + a, 3100)
+    kept = folds._EloState(folds.Elo(playoffs=False, edge_step=3.0))
+    assert kept.play(2000, "a", "b", 30, 0, False, "POST")[3:] == (1500.0, 1500.0, 48.0) and kept.edge == 48.0
+    assert kept.play(2000, "a", "b", 30, 0, False, "REG")[3] > 1500 and kept.edge > 48.0
+
+
+def test_elo_grid_is_its_replays(games):
+    kinds = games.withColumn("game_type", F.when(F.col("game_id") % 5 == 0, "POST").otherwise("REG"))
+    grid = {i: folds.Elo(k=10.0 + 3 * i, edge=10.0 * i, edge_step=0.5 * i, absolute=i % 2 == 0, cap=[None, 1.5][i % 2], playoffs=i != 3, edge_by_margin=i > 2, newcomer=1450.0) for i in range(6)}
+    got = {r["config"]: r for r in folds.elo_grid(kinds, ["league"], ["season", "week", "game_id"], grid, (2001, 2002)).collect()}
+    rows = folds.elo(kinds, ["league"], ["season", "week", "game_id"], grid).where("season >= 2001 AND y IS NOT NULL").collect()
+    for c in grid:
+        own = [r for r in rows if r["config"] == c]
+        assert got[c]["n"] == len(own) and math.isclose(got[c]["brier"], sum((r["p_elo"] - r["y"]) ** 2 for r in own) / len(own))
+
+
 def test_kalman_is_the_posterior_mean(spark):
     """One week of games, then one more: the filter's mean is the Gaussian posterior's."""
     cfg = folds.Kalman()

@@ -13,8 +13,6 @@ from gridlore import registry
 from tools.compare import tidy
 
 gridlore.plans.load()
-#: Fits of Spark ML take seconds each; one of each kind is run here.
-SLOW = {"fit_margin_target", "fit_component_set", "fit_team_box_baselines", "fit_punt_classes", "aipw_pseudo", "fit_nuisance_crossfit", "fit_margin_walk", "fit_gbm_bins", "fit_fg_logit", "boot_cells"}
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +33,6 @@ def test_sql(spark, sf, con, name):
     assert a.equals(b), a.merge(b, how="outer", indicator=True).query("_merge != 'both'").head().to_string()
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
 def test_runs(spark, sf, name):
     assert registry.QUERIES[name](spark, sf).count() > 0
