@@ -4,9 +4,20 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+import gridlore
+
+# Functions of this package travel to the executors by value.
+cloudpickle.register_pickle_by_value(gridlore)
+
+#: The coefficients of Abramowitz and Stegun 7.1.26.
+ERF = (0.3275911, 0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
 
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -18,11 +29,8 @@ def normalised(a: Column) -> Column:
 
 
 def erf(x: Column) -> Column:
-    """Rational approximation with an error below 1.5e-7.
-
-    Fixed values: the coefficients of Abramowitz and Stegun 7.1.26.
-    """
-    p, a1, a2, a3, a4, a5 = 0.3275911, 0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429
+    """Rational approximation with an error below 1.5e-7."""
+    p, a1, a2, a3, a4, a5 = ERF
     t = 1 / (1 + p * F.abs(x))
     y = 1 - ((((a5 * t + a4) * t + a3) * t + a2) * t + a1) * t * F.exp(-x * x)
     return F.signum(x) * y
@@ -37,15 +45,23 @@ def normal_pdf(z: Column) -> Column:
 
 
 def normal_pmf(mu: Column, sigma: Column, low: int, high: int) -> Column:
-    """The normal rounded to whole numbers from low to high, tails folded into the ends."""
-    cdf = lambda k: normal_cdf((k + 0.5 - mu) / sigma)
+    """The normal rounded to whole numbers from low to high, tails folded into the ends; null without mu or sigma.
+
+    A batch's grids are one array operation; as a column expression, the
+    hundreds of steps of a wide grid would be interpreted one by one.
+    """
 
-    def mass(k):
-        upper = F.when(k == high, F.lit(1.0)).otherwise(cdf(k))
-        lower = F.when(k == low, F.lit(0.0)).otherwise(cdf(k - 1))
-        return upper - lower
+    @F.pandas_udf("array<double>")
+    def mass(mu: pd.Series, sigma: pd.Series) -> pd.Series:
+        m, s = (x.to_numpy(float, na_value=np.nan) for x in (mu, sigma))
+        x = (np.arange(low, high) + 0.5 - m[:, None]) / s[:, None] / math.sqrt(2)
+        p, *a = ERF
+        t = 1 / (1 + p * np.abs(x))
+        cdf = 0.5 * (1 + np.sign(x) * (1 - sum(c * t ** (i + 1) for i, c in enumerate(a)) * np.exp(-x * x)))
+        grid = np.diff(np.hstack([np.zeros((len(m), 1)), cdf, np.ones((len(m), 1))]), axis=1)
+        return pd.Series([None if k else g for g, k in zip(grid, np.isnan(m) | np.isnan(s), strict=True)], dtype=object)
 
-    return F.transform(F.sequence(F.lit(low), F.lit(high)), mass)
+    return mass(mu.cast("double"), sigma.cast("double"))
 
 
 def reweighted(pmf: Column, low: int, factors: Column) -> Column:
@@ -58,14 +74,14 @@ def above(pmf: Column, low: int, at: int = 0) -> Column:
     return total(F.transform(pmf, lambda p, i: F.when(i + low > at, p).when(i + low == at, p / 2).otherwise(0.0)))
 
 
-def cumulative(a: Column) -> Column:
-    grow = F.aggregate(a, F.array().cast("array<double>"), lambda s, x: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)) + x)))
-    return grow
-
-
 def median(pmf: Column, low: int) -> Column:
     """The least k whose cumulative mass is a half or more, to nine places."""
-    return F.size(F.filter(cumulative(pmf), lambda c: c < 0.5 - 1e-9)) + low
+
+    def step(s, x):
+        c = s["c"] + x
+        return F.struct(c.alias("c"), (s["n"] + F.when(c < 0.5 - 1e-9, 1).otherwise(0)).alias("n"))
+
+    return F.aggregate(pmf, F.struct(F.lit(0.0).alias("c"), F.lit(0).alias("n")), step, lambda s: s["n"]) + low
 
 
 def crps_normal(actual: Column, mu: Column, sigma: Column) -> Column:
@@ -75,7 +91,14 @@ def crps_normal(actual: Column, mu: Column, sigma: Column) -> Column:
 
 def crps_grid(actual: Column, pmf: Column, low: int) -> Column:
     """Sum over the grid of the squared gap between the cumulative mass and the outcome's step."""
-    return total(F.transform(cumulative(pmf), lambda c, i: F.pow(c - F.when(i + low >= actual, 1.0).otherwise(0.0), 2)))
+
+    def step(s, x):
+        c = s["c"] + x
+        gap = c - F.when(s["k"] >= actual, 1.0).otherwise(0.0)
+        return F.struct(c.alias("c"), (s["k"] + 1).alias("k"), (s["sum"] + gap * gap).alias("sum"))
+
+    start = F.struct(F.lit(0.0).alias("c"), F.lit(low).cast("long").alias("k"), F.lit(0.0).alias("sum"))
+    return F.aggregate(pmf, start, step, lambda s: s["sum"])
 
 
 def crps_sample(actual: Column, samples: Column) -> Column:
@@ -100,9 +123,13 @@ def expectation(pmf: Column, low: int) -> Column:
 def shift_event(pmf: Column, low: int, at: Column, beta: float) -> Column:
     """Rescaled so that the logit of P(k >= at) moves by beta."""
     p = total(F.transform(pmf, lambda x, i: F.when(i + low >= at, x).otherwise(0.0)))
-    new = 1 / (1 + F.exp(-(F.log(p / (1 - p)) + beta)))
-    scaled = F.transform(pmf, lambda x, i: F.when(i + low >= at, x * new / p).otherwise(x * (1 - new) / (1 - p)))
-    return F.when((p > 0) & (p < 1), scaled).otherwise(pmf)
+
+    def scaled(p):
+        new = 1 / (1 + F.exp(-(F.log(p / (1 - p)) + beta)))
+        ratios = F.struct((new / p).alias("up"), ((1 - new) / (1 - p)).alias("down"))
+        return F.transform(F.array(ratios), lambda r: F.transform(pmf, lambda x, i: x * F.when(i + low >= at, r["up"]).otherwise(r["down"])))[0]
+
+    return F.transform(F.array(p), lambda p: F.when((p > 0) & (p < 1), scaled(p)).otherwise(pmf))[0]
 
 
 def trimmed(pmf: Column, tiny: float) -> Column:
