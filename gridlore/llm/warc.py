@@ -82,7 +82,7 @@ def _zipped(archive_bytes: int):
         held, size = [], 0
         for batch in slices(batches):
             for record in utf8(batch.column(0)):
-                member = gzip.compress(record + b"\r\n\r\n", 6, mtime=0)
+                member = gzip.compress(record + b"\r\n\r\n", 3, mtime=0)
                 held.append(member)
                 size += len(member)
                 if size >= archive_bytes:
