@@ -151,19 +151,20 @@ def _round(unresolved: DataFrame, sets: DataFrame, similarity: float, seed: int)
 
     Texts with the same sketch form a group. Its leader is the one of the least
     hash in this round; only members of another component than its own are
-    compared with it. Texts that meet no other component in any group, as only
-    8 of a million with a similar one don't, are done with.
+    compared with it. Components that meet no other one in any group, as only 8
+    texts of a million with a similar one don't, are done with.
     """
     keys = settle(_deep_sketches(sets.join(unresolved, "uid"), seed), "deep")
     lead = F.min(F.struct("draw", "size", "uid", "root")).alias("lead")
     leads = keys.groupBy("key").agg(lead, F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key", "lead")
-    met = settle(keys.join(leads, "key").select("uid", "root", "size", "lead"), "met-sketches")
     fits = F.least("size", "lead.size") >= F.lit(similarity) * F.greatest("size", "lead.size")
-    pairs = met.where((F.col("root") != F.col("lead.root")) & fits).select(F.col("uid").alias("a"), F.col("lead.uid").alias("b")).distinct()
-    links = _verified(settle(pairs, "more-pairs"), sets, similarity)
+    cross = keys.join(leads, "key").where(F.col("root") != F.col("lead.root"))
+    cross = settle(cross.select(F.col("uid").alias("a"), F.col("lead.uid").alias("b"), F.col("root").alias("r"), F.col("lead.root").alias("s"), fits.alias("fits")).distinct(), "more-pairs")
+    links = _verified(cross.where("fits").select("a", "b"), sets, similarity)
+    met = cross.select(F.explode(F.array("r", "s")).alias("root")).distinct()
     top = lambda c: unresolved.select(F.col("uid").alias(c), F.col("root").alias(f"{c}_top"))
     joined = links.join(top("a"), "a").join(top("b"), "b").select(F.col("a_top").alias("a"), F.col("b_top").alias("b"))
-    return settle(components(joined).select(F.col("node").alias("root"), F.col("root").alias("top")), "tops"), met.select("uid", "root").distinct()
+    return settle(components(joined).select(F.col("node").alias("root"), F.col("root").alias("top")), "tops"), unresolved.join(met, "root").select("uid", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
