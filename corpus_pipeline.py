@@ -2,7 +2,13 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 Parquet and read again as the next one's docs. All but the last return the
-columns of documents.
+columns of documents, and more columns pass through all of them.
+
+Null texts and those without a letter go in the first stage, so the others
+meet none in the pipeline; called alone, they count as empty texts, which are
+equal to each other and contaminated by nothing. Of rows that repeat an id and
+a text one is left by the second or third stage. Null ids rank last. An empty
+table gives an empty one at every stage.
 """
 
 from __future__ import annotations
