@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def week_ordinals(df: DataFrame, season: str = "season", week: str = "week") -> DataFrame:
@@ -73,32 +75,77 @@ def best_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumn("s_", pairs).withColumns({"best": F.col("s_")[0]["name"], "second": F.col("s_")[1]["name"], "margin": F.col("s_")[1]["v"] - F.col("s_")[0]["v"]}).drop("s_")
 
 
-def tie_ladder(teams: DataFrame, group: Sequence[str], criteria: Sequence[str], last: str) -> DataFrame:
-    """Places within groups by criteria in order, the last one unique.
-
-    A pass over the criteria in one sort: as every criterion is a column of the
-    team, the first that parts two teams decides, and a restart with the rest of
-    a tie gives the same order.
-    """
-    w = Window.partitionBy(*group).orderBy(*[F.desc_nulls_last(c) for c in criteria], last)
-    return teams.withColumn("place", F.row_number().over(w))
-
-
-def tie_ladder_rounds(rows: DataFrame, teams: DataFrame, group: Sequence[str], score: str, rounds: int, last: str = "team") -> DataFrame:
-    """Places by `score`, ties broken by the record among the tied: after each pick the rest is compared anew.
-
-    `rows` are side rows (group, team, opp, result). A round takes the tied
-    leaders of each group, ranks them by head-to-head record among themselves,
-    and puts the best at the next place. Rounds are as many as places wanted.
+#: Steps of a tie ladder whose values depend on who is tied; every other step is a column of the teams.
+AMONG = ("h2h", "sweep", "common", "common4", "common_net")
+
+
+def _step(step: str, facts: pd.DataFrame, met: pd.DataFrame, tied: list) -> pd.Series:
+    """The values of a step for the tied teams, the higher the better; null if it doesn't apply to one of them."""
+    if step not in AMONG:
+        return facts.loc[tied, step].astype(float)
+    own = met[met["team"].isin(tied)]
+    if step in ("h2h", "sweep"):
+        own = own[own["opp"].isin(tied)]
+    else:
+        shared = own.groupby("opp")["team"].nunique()
+        own = own[own["opp"].isin(shared.index[shared == len(tied)])]
+    total = own.groupby("team")[["games_", "won_", "net_"]].sum().reindex(tied)
+    if step == "common_net":
+        return total["net_"].fillna(0.0)
+    rate = total["won_"] / total["games_"]
+    if step == "common4":
+        return rate.where(total["games_"] >= 4)
+    if step == "sweep" and len(tied) > 2:
+        all_met = own.groupby("team")["opp"].nunique().reindex(tied) == len(tied) - 1
+        beat, lost = all_met & (rate == 1), all_met & (rate == 0)
+        return beat.astype(float) if beat.any() else (~lost).astype(float)
+    return rate
+
+
+def _pick(facts: pd.DataFrame, met: pd.DataFrame, tied: list, steps: Sequence[str]) -> object:
+    """The team that wins a tie; the first of `tied` if no step parts them."""
+    at = 0
+    while len(tied) > 1 and at < len(steps):
+        v = _step(steps[at], facts, met, tied)
+        best = [x for x in tied if v[x] >= v.max() - 1e-9] if v.notna().all() else tied
+        tied, at = (best, 0) if len(best) < len(tied) else (tied, at + 1)
+    return tied[0]
+
+
+def tie_ladder(rows: DataFrame, teams: DataFrame, by: Sequence[str], group: Sequence[str], score: str, steps: Sequence[str], best_of: tuple[str, str] | None = None) -> DataFrame:
+    """(by, group, team, place): places by `score` within (by, group), ties broken by steps that start anew with those left.
+
+    `rows` are side rows (by, team, opp, result, margin); `teams` has by, group,
+    team, score and a column for each step outside AMONG. A step leaves the best
+    of a tie: a single one takes the next place, fewer than before begin again
+    at the first step. Steps that don't apply to all are passed over, and if none
+    parts the tied, the least `team` goes first. After each pick the rest are
+    compared anew. With `best_of`, (division, place), only the team of the least
+    place of each division competes for a pick.
+
+    Only tied teams leave the window. Their games are summed by pair first, so
+    that a group has one row for each pair of a tied team and an opponent.
     """
-    from gridlore.operators.contests import head_to_head
-
-    left, out = teams, None
-    for place in range(1, rounds + 1):
-        top = left.withColumn("m_", F.max(score).over(Window.partitionBy(*group))).where(F.col(score).eqNullSafe(F.col("m_"))).select(*group, "team").withColumn("tie_group", F.lit(0))
-        h2h = head_to_head(rows, top, group).select(*group, "team", "h2h_pct")
-        ranked = top.join(h2h, [*group, "team"], "left")
-        picked = top_per_group(ranked, group, [F.desc_nulls_last("h2h_pct"), last]).select(*group, "team", F.lit(place).alias("place"))
-        out = picked if out is None else out.union(picked)
-        left = left.join(picked, [*group, "team"], "left_anti")
-    return out
+    w = Window.partitionBy(*by, *group)
+    ranked = teams.withColumn("s_", F.round(score, 9)).withColumn("first_", F.rank().over(w.orderBy(F.desc_nulls_last("s_")))).withColumn("n_", F.count("*").over(Window.partitionBy(*by, *group, "s_")))
+    alone = ranked.where("n_ = 1").select(*by, *group, "team", F.col("first_").alias("place"))
+    static = [s for s in steps if s not in AMONG] + list(best_of or ())
+    tied = ranked.where("n_ > 1").select(*by, *group, "first_", "team", *dict.fromkeys(static))
+    pairs = rows.where(F.col("result").isNotNull()).groupBy(*by, "team", "opp").agg(F.count("*").alias("games_"), F.sum("result").cast("double").alias("won_"), F.sum("margin").cast("double").alias("net_"))
+    keys = [*by, *group, "team"]
+
+    def order(frame: pd.DataFrame) -> pd.DataFrame:
+        facts, met = frame.drop_duplicates("team").set_index("team").sort_index(), frame[frame["games_"] > 0]
+        left, out = list(facts.index), []
+        while left:
+            rivals = left
+            if best_of:
+                ahead = facts.loc[left].sort_values(best_of[1], kind="stable").groupby(best_of[0], dropna=False).head(1)
+                rivals = [x for x in left if x in ahead.index]
+            out.append(_pick(facts, met, rivals, steps))
+            left = [x for x in left if x != out[-1]]
+        done = facts.loc[out].reset_index()
+        return done.assign(place=(done["first_"] + range(len(done))).astype("int32"))[[*keys, "place"]]
+
+    schema = StructType([*[tied.schema[c] for c in keys], StructField("place", IntegerType())])
+    return alone.union(tied.join(pairs, [*by, "team"], "left").groupBy(*by, *group, "first_").applyInPandas(order, schema))

@@ -186,13 +186,43 @@ def dedupe_priority(t):
     return t.events.groupBy("user_id").agg(F.min(F.struct(rank.alias("r"), "ts", "event_id", "event_type")).alias("s")).select("user_id", "s.event_type", "s.event_id")
 
 
-CRITERIA = f"""{SIDES}, c AS (SELECT season, team, avg(result) AS pct, count_if(result = 1) AS wins, sum(points - points_opp) AS net, sum(points) AS scored FROM sides GROUP BY ALL)"""
-
-
-@query("tie_ladder_rank", f"WITH {CRITERIA} SELECT season, division, team, row_number() OVER (PARTITION BY season, division ORDER BY pct DESC, wins DESC, net DESC, scored DESC, team)::INT AS place FROM c JOIN teams USING (team)")
+LADDER = ("h2h", "div", "common", "sov", "sos", "common_net", "net")
+_BEST = ", ".join(f"CASE WHEN count({c}) = count(*) THEN sum(bit) FILTER (WHERE {c} >= max_{c} - 1e-9) END AS best_{c}" for c in LADDER)
+_TOPS = ", ".join(f"max({c}) OVER (PARTITION BY league, season, division, m) AS max_{c}" for c in LADDER)
+_NEXT = "coalesce(" + ", ".join(f"nullif(best_{c}, m)" for c in LADDER) + ", low)"
+#: A set of tied teams is a sum of bits; `nx` leads to the set that a pass of the ladder leaves, `follow` to the winner.
+TIES = f"""WITH RECURSIVE s AS (SELECT league, season, home AS team, away AS opp, y AS r, home_score - away_score AS d FROM league_games UNION ALL SELECT league, season, away, home, 1 - y, away_score - home_score FROM league_games),
+p AS (SELECT league, season, team, opp, count(*) AS n, sum(r) AS w, count_if(r = 1) AS k, sum(d)::BIGINT AS d FROM s GROUP BY ALL),
+b AS (SELECT league, season, team, sum(n) AS n, sum(w) AS w, sum(d)::BIGINT AS net FROM p GROUP BY ALL),
+v AS (SELECT p.league, p.season, p.team, sum(p.n * o.w) / sum(p.n * o.n) AS sos, coalesce(sum(p.k * o.w) / nullif(sum(p.k * o.n), 0), 0e0) AS sov, sum(p.w) FILTER (WHERE x.division = y.division) / sum(p.n) FILTER (WHERE x.division = y.division) AS div
+FROM p JOIN b o ON o.league = p.league AND o.season = p.season AND o.team = p.opp JOIN teams x ON x.team = p.team JOIN teams y ON y.team = p.opp GROUP BY ALL),
+t AS (SELECT league, season, division, team, round(b.w / b.n, 9) AS pct, div, sov, sos, net, 1 << (row_number() OVER (PARTITION BY league, season, division ORDER BY team) - 1)::INT AS bit FROM b JOIN v USING (league, season, team) JOIN teams USING (team)),
+f AS (SELECT *, rank() OVER (PARTITION BY league, season, division ORDER BY pct DESC) AS first FROM t),
+z AS (SELECT league, season, division, first, sum(bit)::INT AS mask FROM f GROUP BY ALL),
+g AS (SELECT league, season, division, m::INT AS m FROM z JOIN range(1, 32) AS r(m) ON (m & mask) = m),
+e AS (SELECT g.*, team, bit, div, sov, sos, net FROM g JOIN t USING (league, season, division) WHERE (bit & m) <> 0),
+q AS (SELECT e.league, e.season, e.division, e.m, e.team, p.opp, n, w, d, coalesce((o.bit & e.m) <> 0 AND o.division = e.division, false) AS inside FROM e JOIN p USING (league, season, team) LEFT JOIN t o ON o.league = p.league AND o.season = p.season AND o.team = p.opp),
+c AS (SELECT league, season, division, m, opp FROM q GROUP BY ALL HAVING count(DISTINCT team) = bit_count(m)),
+h AS (SELECT league, season, division, m, team, sum(w) / sum(n) AS h2h FROM q WHERE inside GROUP BY ALL),
+i AS (SELECT league, season, division, m, team, sum(w) / sum(n) AS common, sum(d) AS common_net FROM q JOIN c USING (league, season, division, m, opp) GROUP BY ALL),
+l AS (SELECT e.*, h2h, common, coalesce(common_net, 0) AS common_net FROM e LEFT JOIN h USING (league, season, division, m, team) LEFT JOIN i USING (league, season, division, m, team)),
+a AS (SELECT *, {_TOPS} FROM l),
+u AS (SELECT league, season, division, m, min(bit) AS low, {_BEST} FROM a GROUP BY ALL),
+nx AS (SELECT league, season, division, m, CAST({_NEXT} AS INT) AS nxt FROM u),
+follow AS (SELECT league, season, division, m AS start, m FROM g UNION ALL SELECT league, season, division, start, nxt FROM follow JOIN nx USING (league, season, division, m) WHERE bit_count(m) > 1),
+win AS (SELECT league, season, division, start AS rest, m AS bit FROM follow WHERE bit_count(m) = 1),
+placed AS (SELECT league, season, division, bit, mask - bit AS rest, first::INT AS place FROM z JOIN win USING (league, season, division) WHERE win.rest = mask
+UNION ALL SELECT league, season, division, win.bit, placed.rest - win.bit, place + 1 FROM placed JOIN win USING (league, season, division, rest) WHERE placed.rest > 0)
+SELECT league, season, division, team, place FROM placed JOIN t USING (league, season, division, bit)"""
+
+
+@query("tie_ladder_rank", TIES)
 def tie_ladder_rank(t):
-    c = sides(t).groupBy("season", "team").agg(F.avg("result").alias("pct"), F.count_if(F.col("result") == 1).alias("wins"), F.sum(F.col("points") - F.col("points_opp")).alias("net"), F.sum("points").alias("scored"))
-    return X.tie_ladder(c.join(F.broadcast(t.teams), "team"), ["season", "division"], ["pct", "wins", "net", "scored"], "team").select("season", "division", "team", "place")
+    by = ["league", "season"]
+    rows = contests.unpivot_sides(t.league_games, by, mirrored={"points": ("home_score", "away_score")}, flipped={"result": "y"}).withColumn("margin", F.col("points") - F.col("points_opp"))
+    base = contests.standings(rows, by, F.broadcast(t.teams)).withColumns({"div": F.col("group_pct"), "sov": F.coalesce("sov", F.lit(0.0))})
+    teams = base.join(F.broadcast(t.teams), "team").select(*by, "division", "team", "pct", "div", "sov", "sos", "net")
+    return X.tie_ladder(rows, teams, by, ["division"], "pct", LADDER)
 
 
 @query("tie_criteria", f"""WITH {SIDES}, g AS (SELECT season, team, division AS tie_group FROM teams CROSS JOIN (SELECT DISTINCT season FROM games)), b AS (SELECT season, team, sum(result) AS w, count(*) AS n, avg(result) AS pct, sum(points - points_opp)::BIGINT AS net FROM sides GROUP BY ALL),

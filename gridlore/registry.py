@@ -97,7 +97,7 @@ def _sql(sql: str, rounded: str) -> str:
     used = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
     heads = ", ".join(f"{v} AS (SELECT {', '.join(VIEWS[v][1])} FROM {VIEWS[v][0]})" for v in used)
     if heads:
-        sql = re.sub(r"^\s*WITH\s+", f"WITH {heads}, ", sql) if re.match(r"\s*WITH\s", sql) else f"WITH {heads} {sql}"
+        sql = re.sub(r"^\s*(WITH(?:\s+RECURSIVE)?)\s+", rf"\1 {heads}, ", sql) if re.match(r"\s*WITH\s", sql) else f"WITH {heads} {sql}"
     if rounded:
         sql = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) + 0e0 AS {c}' for c in rounded.split())}) FROM ({sql})"
     return sql

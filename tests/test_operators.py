@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridlore.functions import distributions as D
@@ -146,11 +147,28 @@ def test_bootstrap(spark):
     assert abs(R.replicates(df, 50, 1, ["c", "v"]).agg(F.sum("weight")).first()[0] / 20_000 - 1) < 0.05
 
 
-def test_tie_rounds(spark):
-    rows = spark.createDataFrame([(1, 2, 1.0), (2, 1, 0.0), (2, 3, 1.0), (3, 2, 0.0), (3, 1, 1.0), (1, 3, 0.0), (1, 2, 1.0), (2, 1, 0.0)], "team long, opp long, result double").withColumn("s", F.lit(1))
-    teams = spark.createDataFrame([(1, 0.5), (2, 0.5), (3, 0.5), (4, 0.2)], "team long, pct double").withColumn("s", F.lit(1))
-    got = {r["team"]: r["place"] for r in X.tie_ladder_rounds(rows, teams, ["s"], "pct", 4).collect()}
-    assert got == {1: 1, 2: 2, 3: 3, 4: 4}  # 1 has 2 of 3 among the tied; of 2 and 3, 2 beat 3
+def _ladder(spark, results, teams, steps, **options):
+    both = [r for a, b, x, d in results for r in ((a, b, x, d), (b, a, 1 - x, -d))]
+    rows = spark.createDataFrame(both, "team string, opp string, result double, margin double").withColumn("s", F.lit(1))
+    table = spark.createDataFrame(teams, "team string, division string, pct double, net double").withColumn("s", F.lit(1))
+    group = [] if "best_of" in options else ["division"]
+    if group == []:
+        table = table.withColumn("at", F.row_number().over(Window.partitionBy("division").orderBy(F.desc("pct"), F.desc("net"))))
+    return [r["team"] for r in X.tie_ladder(rows, table, ["s"], group, "pct", steps, **options).orderBy("place").collect()]
+
+
+def test_tie_ladder(spark):
+    w = lambda a, b: (a, b, 1.0, 7.0)
+    four = [(x, "e", 0.5, float(n)) for n, x in enumerate("abc")] + [("d", "e", 0.2, 0.0)]
+    three = [w("a", "b"), w("a", "b"), w("a", "c"), w("c", "a"), w("b", "c"), w("b", "c")]
+    assert _ladder(spark, three, four, ["h2h", "net"]) == ["a", "b", "c", "d"]  # 3-1, 2-2, 1-3 among three; then b before c
+    ring = [w("a", "b"), w("b", "c"), w("c", "a"), w("a", "x"), w("x", "b"), w("c", "x")]
+    assert _ladder(spark, ring, four, ["h2h", "common", "net"]) == ["c", "a", "b", "d"]  # common leaves a and c, who begin at h2h anew
+    assert _ladder(spark, [w("b", "x"), w("y", "a")], four, ["h2h", "common", "net"]) == ["c", "b", "a", "d"]  # neither step applies
+    assert _ladder(spark, [], [(x, "e", None, 0.0) for x in "ba"], ["h2h", "net"]) == ["a", "b"]
+    wild = [("a", "n", 0.5, 3.0), ("b", "n", 0.5, 2.0), ("c", "m", 0.5, 1.0), ("d", "o", 0.5, 0.0)]
+    swept = [w("d", "a"), w("d", "c"), w("b", "d"), w("b", "c")]
+    assert _ladder(spark, swept, wild, ["sweep", "net"], best_of=("division", "at")) == ["d", "a", "b", "c"]  # b waits for a; d beat a and c
 
 
 def test_guards(spark, tmp_path):
