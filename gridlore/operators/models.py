@@ -114,14 +114,48 @@ def fit_isotonic(train: DataFrame, x: str, y: str):
     return IsotonicRegression(featuresCol=x, labelCol=y).fit(train)
 
 
-def fit_stack(train: DataFrame, logits: Sequence[str], y: str, penalty: float):
-    """Non-negative weights of base log-odds, shrunk to equal weights: the even mixture is one more feature that is not penalised away, since all weights start from it."""
-    from pyspark.ml.linalg import Matrices
-
-    base = train.withColumn("even_", sum(F.col(c) for c in logits) / len(logits))
-    features = [*logits, "even_"]
-    low = Matrices.dense(1, len(features), [0.0] * len(features))
-    return LogisticRegression(featuresCol="features_", labelCol=y, regParam=penalty, maxIter=50, lowerBoundsOnCoefficients=low).fit(assembled(base, features))
+def fit_stack(train: DataFrame, logits: Sequence[str], y: str, penalty: float, weight: str | None = None, rounds: int = 30) -> list[float]:
+    """[intercept, a weight of 0 or more for each base's log-odds]: least mean log loss plus `penalty` times the squared distance of the weights from equal ones.
+
+    Newton steps from equal weights; each is one aggregate over all rows to as
+    many sums as the pairs of bases. A step that raises the loss is halved.
+    Rows with a null in a base, the outcome or the weight are left out; without
+    rows the weights stay equal.
+    """
+    k = len(logits)
+    used = train.na.drop(subset=[*logits, y, *([weight] if weight else [])])
+    x = [F.lit(1.0), *[F.col(c) for c in logits]]
+    equal, cost = np.r_[0.0, np.full(k, 1 / k)], np.r_[0.0, np.full(k, 2 * penalty)]
+    kept, low, now, move = equal, np.inf, equal, np.zeros(k + 1)
+    for _ in range(rounds):
+        z = sum(float(v) * c for v, c in zip(now, x, strict=True))
+        rows = used.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(x)], z.alias("z"), F.col(y).cast("double").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+        at = 1 / (1 + F.exp(-F.col("z")))
+        loss = F.log1p(F.exp(-F.abs("z"))) + F.greatest("z", F.lit(0.0)) - F.col("y") * F.col("z")
+        slopes = [F.sum(F.col("w") * (at - F.col("y")) * F.col(f"x{i}")) for i in range(k + 1)]
+        curves = [F.sum(F.col("w") * at * (1 - at) * F.col(f"x{i}") * F.col(f"x{j}")) for i in range(k + 1) for j in range(k + 1)]
+        n, total, *sums = rows.agg(F.sum("w"), F.sum(F.col("w") * loss), *slopes, *curves).first()
+        if not n:
+            return list(map(float, equal))
+        value = total / n + (cost / 2 * (now - equal) ** 2).sum()
+        if value > low + 1e-13:
+            move = move / 2
+        else:
+            slope = np.array(sums[: k + 1]) / n + cost * (now - equal)
+            curve = np.array(sums[k + 1 :]).reshape(k + 1, k + 1) / n + np.diag(cost)
+            kept, low, move = now, value, np.zeros(k + 1)
+            for i in [*range(k + 1)] * 200:  # coordinate descent on the quadratic model, weights kept from below 0
+                step = move[i] - (slope[i] + curve[i] @ move) / max(curve[i, i], 1e-12)
+                move[i] = step if i == 0 else max(step, -now[i])
+        if np.abs(move).max() < 1e-9:
+            break
+        now = kept + move
+    return list(map(float, kept))
+
+
+def stacked(logits: Sequence[str], fitted: Sequence[float]) -> Column:
+    """The probability that a fitted stack gives."""
+    return 1 / (1 + F.exp(-(fitted[0] + sum(v * F.col(c) for v, c in zip(fitted[1:], logits, strict=True)))))
 
 
 def key_number_factors(rows: DataFrame, margin: str, pmf: str, low: int, top: int, rounds: int = 5) -> list[float]:

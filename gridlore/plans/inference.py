@@ -168,9 +168,9 @@ def fit_key_numbers(t):
 
 @query("fit_stack")
 def fit_stack(t):
-    f = frame(t).withColumn("even_", (F.col("z") + F.col("zq")) / 2)
-    m = M.fit_stack(f.where("season < 1997"), ["z", "zq"], "y", 0.01)
-    return M.probability(m, f.where("season >= 1997"), ["z", "zq", "even_"]).select("game_id", "pred")
+    f, bases = frame(t), ["z", "zq"]
+    found = M.fit_stack(f.where("season < 1997"), bases, "y", 0.001)
+    return f.where("season >= 1997").select("game_id", M.stacked(bases, found).alias("pred"))
 
 
 @query("fit_gbm_binary")

@@ -147,6 +147,23 @@ def test_bootstrap(spark):
     assert abs(R.replicates(df, 50, 1, ["c", "v"]).agg(F.sum("weight")).first()[0] / 20_000 - 1) < 0.05
 
 
+def test_stack(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(0.3 + 1.2 * x[:, 0] - 0.8 * x[:, 2])))).astype(float)
+    w = rng.random(400) + 0.5
+    df = spark.createDataFrame([(*map(float, r), float(v), float(u)) for r, v, u in zip(x, y, w, strict=True)], "a double, b double, c double, y double, w double")
+    for penalty in (0.001, 0.3):
+        want, design = np.array([0.0, 1 / 3, 1 / 3, 1 / 3]), np.c_[np.ones(400), x]
+        for _ in range(20_000):  # projected gradient
+            slope = design.T @ (w * (1 / (1 + np.exp(-design @ want)) - y)) / w.sum() + 2 * penalty * np.r_[0.0, want[1:] - 1 / 3]
+            want = want - 0.5 * slope
+            want[1:] = np.maximum(want[1:], 0.0)
+        assert np.allclose(M.fit_stack(df, ["a", "b", "c"], "y", penalty, "w"), want, atol=1e-6), penalty
+    assert np.allclose(M.fit_stack(df, ["a", "b", "c"], "y", 1e6)[1:], 1 / 3, atol=1e-4)
+    assert M.fit_stack(df.where("y > 5"), ["a", "b", "c"], "y", 1.0) == [0.0, 1 / 3, 1 / 3, 1 / 3]
+
+
 def _ladder(spark, results, teams, steps, **options):
     both = [r for a, b, x, d in results for r in ((a, b, x, d), (b, a, 1 - x, -d))]
     rows = spark.createDataFrame(both, "team string, opp string, result double, margin double").withColumn("s", F.lit(1))
