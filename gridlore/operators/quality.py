@@ -30,17 +30,32 @@ def unmapped(df: DataFrame, column: str, dim: DataFrame, dim_column: str) -> Dat
     return counts.join(dim.select(F.col(dim_column).alias("code")), "code", "left_anti")
 
 
-def outside(df: DataFrame, by: Sequence[str], low: int, high: int) -> DataFrame:
-    """Keys whose number of rows is out of bounds."""
-    return df.groupBy(*by).agg(F.count("*").alias("n")).where(~F.col("n").between(low, high))
-
-
 def rules(df: DataFrame, keys: Sequence[str], checks: Mapping[str, Column]) -> DataFrame:
     """One row for each broken rule of each row; a rule that is null is broken."""
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]))
     return df.select(*keys, F.explode(broken).alias("rule"))
 
 
+def dataset_report(df: DataFrame, by: Sequence[str], key: Sequence[str], sizes: tuple[int, int], numeric: Sequence[str], checks: Mapping[str, Column], codes: Sequence[str], dim: DataFrame, dim_column: str) -> DataFrame:
+    """(by, check, bad) for a whole table: what each check finds in each part, 0 where it finds nothing.
+
+    "type:c" counts rows if column c is missing or not numeric; each of `checks`
+    counts rows for which it is false or null; "rows" counts keys whose rows are
+    out of `sizes`; "codes" counts different codes that the dimension lacks,
+    nulls aside. Three aggregates by part, each combined before its shuffle.
+    """
+    kinds = {f.name: f.dataType for f in df.schema}
+    tests = {f"type:{c}": F.lit(isinstance(kinds.get(c), NumericType)) for c in numeric} | dict(checks)
+    per_row = df.groupBy(*by).agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(str(i)) for i, c in enumerate(tests.values())])
+    found = per_row.select(*by, F.explode(F.array(*[F.struct(F.lit(name).alias("check"), F.col(str(i)).alias("bad")) for i, name in enumerate(tests)])).alias("s_")).select(*by, "s_.*")
+    keys = df.groupBy(*by, *key).agg(F.count("*").alias("n_")).groupBy(*by).agg(F.count_if(~F.col("n_").between(*sizes)).alias("bad"))
+    seen = df.select(*by, F.explode(F.array(*codes)).alias("code_")).where("code_ IS NOT NULL").distinct()
+    known = dim.select(F.col(dim_column).alias("code_"), F.lit(1).alias("known_")).distinct()
+    lacking = seen.join(known, "code_", "left").groupBy(*by).agg(F.count_if(F.col("known_").isNull()).alias("bad"))
+    one = lambda part, name: part.select(*by, F.lit(name).alias("check"), "bad")
+    return found.union(one(keys, "rows")).union(one(lacking, "codes"))
+
+
 def require_empty(findings: DataFrame, what: str) -> None:
     """Raise with the first findings, if there are any."""
     first = findings.limit(5).collect()

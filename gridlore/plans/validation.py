@@ -16,14 +16,20 @@ def dq_required_columns(t):
     return Q.column_report(t.games, {"game_id": "bigint", "m": "numeric", "qb": "string"})
 
 
-@query("dq_events", "SELECT game_id, count(*) AS n FROM plays GROUP BY 1 HAVING count(*) NOT BETWEEN 2 AND 6")
+@query("dq_events", """WITH k AS (SELECT season, game_id, count(*) AS n FROM plays GROUP BY ALL), c AS (SELECT season, off AS code FROM plays UNION SELECT season, def FROM plays)
+SELECT season, unnest(['type:epa', 'type:kind', 'week', 'epa of plays']) AS "check", unnest([0, count(*), count_if(NOT coalesce(week BETWEEN 1 AND 52, false)), count_if(NOT coalesce(kind = 'N' OR epa > 0, false))]) AS bad FROM plays GROUP BY season
+UNION ALL SELECT season, 'rows', count_if(n NOT BETWEEN 2 AND 6) FROM k GROUP BY season UNION ALL SELECT season, 'codes', count_if(code NOT IN (SELECT team FROM teams WHERE division <> 0)) FROM c WHERE code IS NOT NULL GROUP BY season""")
 def dq_events(t):
-    return Q.outside(t.plays, ["game_id"], 2, 6)
+    checks = {"week": F.col("week").between(1, 52), "epa of plays": (F.col("kind") == "N") | (F.col("epa") > 0)}
+    return Q.dataset_report(t.plays, ["season"], ["game_id"], (2, 6), ["epa", "kind"], checks, ["off", "def"], t.teams.where("division <> 0"), "team")
 
 
-@query("dq_schedule", "SELECT home, away, season, count(*) AS n FROM games GROUP BY ALL HAVING count(*) > 1")
+@query("dq_schedule", """WITH k AS (SELECT season, home, away, week, count(*) AS n FROM games GROUP BY ALL), c AS (SELECT season, home AS code FROM games UNION SELECT season, away FROM games)
+SELECT season, unnest(['type:home_score', 'type:stadium', 'kickoff', 'two sides', 'price']) AS "check", unnest([0, count(*), count_if(kickoff IS NULL), count_if(NOT coalesce(home <> away, false)), count_if(m IS NULL)]) AS bad FROM games GROUP BY season
+UNION ALL SELECT season, 'rows', count_if(n > 1) FROM k GROUP BY season UNION ALL SELECT season, 'codes', count_if(code NOT IN (SELECT team FROM teams WHERE division <> 1)) FROM c WHERE code IS NOT NULL GROUP BY season""")
 def dq_schedule(t):
-    return Q.duplicates(t.games, ["home", "away", "season"])
+    checks = {"kickoff": F.col("kickoff").isNotNull(), "two sides": F.col("home") != F.col("away"), "price": F.col("m").isNotNull()}
+    return Q.dataset_report(t.games, ["season"], ["home", "away", "week"], (1, 1), ["home_score", "stadium"], checks, ["home", "away"], t.teams.where("division <> 1"), "team")
 
 
 @query("dq_depth_format", "SELECT 'weekly' AS format, count(*) AS n, count(*) FILTER (WHERE l_shipdate IS NULL) AS bad FROM lineitem UNION ALL SELECT 'snapshot', count(*), count(*) FILTER (WHERE ts IS NULL) FROM events")
