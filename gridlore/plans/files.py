@@ -200,11 +200,12 @@ def sink_rating_cache(t):
     return S.cached(t.plays.groupBy("off", "season").agg(F.avg("epa").alias("rating")), S.scratch(t.spark, "ratings"), S.table_key(t.plays, "rating", 1))
 
 
-@query("table_fingerprint", "SELECT season, count(*) AS n, 0::BIGINT AS changed FROM games GROUP BY season")
+@query("table_fingerprint", "SELECT season, count(*) AS n, (season = 1995)::BIGINT AS changed FROM games GROUP BY season")
 def table_fingerprint(t):
     from gridlore.operators.quality import fingerprint
 
-    a, b = fingerprint(t.games, ["season"]), fingerprint(t.games.repartition(7), ["season"])
+    again = t.games.repartition(7).withColumn("p", F.when(F.col("season") == 1995, F.col("p") + 1).otherwise(F.col("p")))
+    a, b = fingerprint(t.games, ["season"]), fingerprint(again, ["season"])
     joined = a.join(b.withColumnsRenamed({"xor": "x2", "sum": "s2", "n": "n2"}), "season", "full_outer")
     same = (F.col("xor") == F.col("x2")) & (F.col("sum") == F.col("s2"))
     return joined.select("season", "n", F.when(same, 0).otherwise(1).cast("long").alias("changed"))
