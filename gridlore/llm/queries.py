@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gridlore.llm import chat, decontaminate, exact, language, mixing, quality, simhash, units, urlfilter, warc
+import public_tokenizers
+from gridlore.llm import bpe, chat, decontaminate, exact, language, mixing, quality, simhash, units, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,11 @@ def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.dedup_units(_table(spark, sf_dir, "documents")).drop("lang", "source", "n_chars")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ["doc_id"], "text", ranks), ranks), ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_poisson_mix": op1_poisson_mix,
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_chat_format": op9_chat_format,
     "op10_unit_dedup": op10_unit_dedup,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
