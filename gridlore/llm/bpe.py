@@ -118,15 +118,15 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Coder:
-    """Ranks, character classes and the pieces met so far; one for each worker."""
+    """Ranks, character classes and the pieces met so far, in plain containers that a worker keeps from task to task."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks, self.known, self.kinds = ranks, {}, None
+    def __init__(self, held: dict) -> None:
+        self.ranks, self.known, self.held = held["ranks"], held.setdefault("known", {}), held
 
     def classes(self) -> np.ndarray:
-        if self.kinds is None:
-            self.kinds = character_classes()
-        return self.kinds
+        if "classes" not in self.held:
+            self.held["classes"] = character_classes()
+        return self.held["classes"]
 
     def learn(self, piece: str) -> bytes:
         ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
@@ -191,14 +191,15 @@ def encode(docs: DataFrame, keys: Sequence[str], text: str, ranks: dict[bytes, i
     if overlap >= size:
         raise ValueError("chunks have to be longer than their overlap")
     spark = docs.sparkSession
-    coder = spark.sparkContext.broadcast(Coder(ranks))
+    held = spark.sparkContext.broadcast({"ranks": ranks})
     base = docs.select(*[F.col(k).alias(f"key{i}_") for i, k in enumerate(keys)], F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kinds = "".join(f"key{i}_ {dict(docs.dtypes)[k]}, " for i, k in enumerate(keys))
     named = [f"key{i}_" for i in range(len(keys))]
 
     def whole(batches):
+        coder = Coder(held.value)
         for batch in slices(batches):
-            ids = coder.value.encode_all(batch.column("text").to_pylist())
+            ids = coder.encode_all(batch.column("text").to_pylist())
             ones = pa.array(np.zeros(len(ids), np.int32))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in [*named, "row"]], ones, pa.array(np.ones(len(ids), np.int32)), pa.array(ids, pa.binary())], names=[*named, "row", "part", "parts", "ids"])
 
@@ -210,24 +211,26 @@ def encode(docs: DataFrame, keys: Sequence[str], text: str, ranks: dict[bytes, i
                     yield pa.RecordBatch.from_arrays([*head, pa.array([k], pa.int32()), pa.array([at + size >= len(t)]), pa.array([t[at : at + size + overlap]])], names=[*named, "row", "k", "ends", "piece"])
 
     def edges(batches):
+        coder = Coder(held.value)
         for batch in slices(batches):
             for row, k, ends, piece in zip(*[batch.column(c).to_pylist() for c in ("row", "k", "ends", "piece")]):
-                at = coder.value.sure(piece, ends)
+                at = coder.sure(piece, ends)
                 head = at[at <= overlap] if k else at[:0]
-                tail = at[:0] if ends else at[at >= max(size, coder.value.settled_from(piece) if k else 0)]
+                tail = at[:0] if ends else at[at >= max(size, coder.settled_from(piece) if k else 0)]
                 n = len(head) + len(tail)
                 yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array([k] * len(head) + [k + 1] * len(tail), pa.int32()), pa.array(np.concatenate([head, tail]) + k * size, pa.int64())], names=["row", "k", "place"])
 
     def finish(batches):
         names = [*named, "row", "part", "parts", "ids"]
+        coder = Coder(held.value)
         now, texts, base_at, head, span = None, [], 0, None, None
 
         def close():
-            held, (begin, end) = "".join(texts), span
-            own = held[begin - base_at :]
-            bounds = coder.value.sure(own, end is None)
+            begin, end = span
+            own = "".join(texts)[begin - base_at :]
+            bounds = coder.sure(own, end is None)
             bounds = bounds[bounds <= end - begin].tolist() if end is not None else bounds.tolist()
-            return pa.RecordBatch.from_arrays([*head, pa.array([coder.value.encode(own, bounds)], pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([*head, pa.array([coder.encode(own, bounds)], pa.binary())], names=names)
 
         for batch in slices(batches):
             for i, (row, seg, k, begin, end, piece) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("row", "part", "k", "begin", "end", "piece")])):

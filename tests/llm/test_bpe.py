@@ -32,19 +32,19 @@ def _texts(n, length, seed):
 
 def test_pieces_are_the_patterns(ranks, library):
     texts = [*_texts(5000, 60, 1), "", " ", "a" * 5000, "ab" * 3000, " " * 1000 + "x", "!" * 700 + "'s", "x" * 127 + " " + "y" * 129]
-    got = bpe.Coder(ranks).encode_all(texts)
+    got = bpe.Coder({"ranks": ranks}).encode_all(texts)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode_ordinary(t) for t in texts]
 
 
 def test_every_character_has_the_patterns_class(ranks, library):
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     texts = ["".join(f"a{chr(c)}b 1{chr(c)} {chr(c)}!\n" for c in points[i : i + 500]) for i in range(0, len(points), 500)]
-    got = bpe.Coder(ranks).encode_all(texts)
+    got = bpe.Coder({"ranks": ranks}).encode_all(texts)
     assert all(np.frombuffer(g, "<u4").tolist() == library.encode_ordinary(t) for g, t in zip(got, texts, strict=True))
 
 
 def test_a_scan_is_right_from_the_second_change_of_class(ranks):
-    coder, r = bpe.Coder(ranks), random.Random(2)
+    coder, r = bpe.Coder({"ranks": ranks}), random.Random(2)
     for text in _texts(1500, 40, 3):
         if len(text) > 1:
             at = r.randrange(1, len(text))
