@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 import public_tokenizers
-from gridlore.llm import bpe, chat, decontaminate, exact, language, mixing, quality, simhash, units, urlfilter, warc
+from gridlore.llm import bpe, chat, decontaminate, exact, language, mixing, quality, simhash, units, urlfilter, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.dedup_units(_table(spark, sf_dir, "documents")).drop("lang", "source", "n_chars")
 
 
+def op11_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 32)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ["doc_id"], "text", ranks), ranks), ["doc_id"])
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_chat_format": op9_chat_format,
     "op10_unit_dedup": op10_unit_dedup,
+    "op11_qdwh_whitening": op11_qdwh_whitening,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
