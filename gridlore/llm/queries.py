@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 import public_tokenizers
-from gridlore.llm import bpe, chat, decontaminate, exact, language, mixing, quality, simhash, units, urlfilter, warc, whitening
+from gridlore.llm import bpe, chat, decontaminate, exact, language, mixing, quality, repair, simhash, units, urlfilter, warc, whitening
+
+from gridlore.llm.repair_sql import REPAIR_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +72,10 @@ def op11_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 32)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(_table(spark, sf_dir, "conversations"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ["doc_id"], "text", ranks), ranks), ["doc_id"])
@@ -88,10 +94,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_unit_dedup": op10_unit_dedup,
     "op11_qdwh_whitening": op11_qdwh_whitening,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
+    "op12_conversation_repair": REPAIR_SQL,
     "op2_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
