@@ -68,14 +68,14 @@ def fingerprint(text: bytes, primes=PRIMES) -> int:
 
 
 def _prints(docs: DataFrame, primes) -> DataFrame:
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("size", pa.int64()), ("sha", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("tk", pa.int64()), ("fp", pa.int64()), ("size", pa.int64()), ("sha", pa.binary())])
 
     def run(batches):
         for batch in slices(batches):
             texts = [normalised(t) for t in utf8(batch.column(1))]
-            yield as_batch(schema, [batch.column(0), [fingerprint(t, primes) for t in texts], [len(t) for t in texts], [hashlib.sha256(t).digest() for t in texts]])
+            yield as_batch(schema, [batch.column(0), batch.column(2), [fingerprint(t, primes) for t in texts], [len(t) for t in texts], [hashlib.sha256(t).digest() for t in texts]])
 
-    return map_texts(docs, run, "id long, fp long, size long, sha binary")
+    return map_texts(docs, run, "id long, tk long, fp long, size long, sha binary")
 
 
 def _chunks(docs: DataFrame, primes) -> DataFrame:
@@ -116,9 +116,9 @@ def _compare(docs: DataFrame, open_: DataFrame, groups: DataFrame, primes, max_r
     """(fp, size, sha) of the rows whose text is not that of their group's first row."""
     several = groups.where("n > 1")
     members = join_checked(open_, several.select("fp", "size", "lead", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")), ["fp", "size"], "inner", max_rows)
-    members = settle(members.select("id", "fp", "size", "sha", (F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("sha") == F.col("lead.sha"))).alias("first"), "salts").distinct(), "members")
-    wanted = members.select(F.col("id").alias("id_"), "fp", "size", "sha", "first", "salts")
-    texts = join_checked(docs, wanted.withColumnsRenamed({c: f"{c}_" for c in ("fp", "size", "sha")}), docs["id"].eqNullSafe(F.col("id_")), "inner", max_rows)
+    members = settle(members.select("id", "tk", "fp", "size", "sha", (F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("sha") == F.col("lead.sha"))).alias("first"), "salts").distinct(), "members")
+    wanted = members.select(F.col("id").alias("id_"), F.col("tk").alias("tk_"), "fp", "size", "sha", "first", "salts")
+    texts = join_checked(docs, wanted.withColumnsRenamed({c: f"{c}_" for c in ("fp", "size", "sha")}), docs["id"].eqNullSafe(F.col("id_")) & (docs["tk"] == F.col("tk_")), "inner", max_rows)
     chunks = _chunks(texts.select("id", "text", "first", "salts", "sha_"), primes)
     salt = F.when(F.col("first"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id", "sha"), F.col("salts")).cast("int")))
     dealt = chunks.select("fp", "size", F.explode(salt).alias("salt"), "part", "first", "sha", "chunk")
@@ -138,10 +138,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A text's polynomial fingerprint is put together from its chunks'. Rows of
     one fingerprint and length are then compared chunk by chunk with the
     group's first row, on as many copies of it as the group's size asks for; no
-    task holds more than a chunk. Rows that differ, which means a collision,
+    task holds more than a chunk. Rows go back to their text by id and a hash of
+    the text, so that many rows of one id don't meet each other. Rows that differ, which means a collision,
     form groups among themselves in another round.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("tk", F.xxhash64(F.coalesce("text", F.lit(""))))
     open_ = settle(_prints(docs, primes).withColumn("row", F.monotonically_increasing_id()), "prints")
     done = None
     while True:
@@ -166,13 +167,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     back to their text by id and SHA-256; of rows that repeat both, one stays.
     """
     groups = settle(exact_groups(docs, id_col, text_col, **options), "exact")
-    ident, sha = free_name(docs, "ident"), free_name(docs, "sha")
+    ident, sha, gone_id, gone_sha = (free_name(docs, c) for c in ("ident", "sha", "gone_id", "gone_sha"))
     marked = docs.withColumn(ident, F.col(id_col).cast("long"))
     if groups.groupBy("doc_id").count().where("count > 1").isEmpty():
-        gone = settle(groups.where("not kept").select(F.col("doc_id").alias("gone_id")), "gone")
-        return join_checked(marked, gone, marked[ident].eqNullSafe(F.col("gone_id")), "left_anti").drop(ident)
+        gone = settle(groups.where("not kept").select(F.col("doc_id").alias(gone_id)), "gone")
+        return join_checked(marked, gone, marked[ident].eqNullSafe(F.col(gone_id)), "left_anti").drop(ident)
     plain = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
     marked = marked.withColumn(sha, F.sha2(F.encode(plain, "utf-8"), 256)).dropDuplicates([ident, sha])
     kept = F.max("kept").alias("kept")
-    gone = groups.groupBy("doc_id", "text_sha256").agg(kept).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
-    return join_checked(marked, settle(gone, "gone"), marked[ident].eqNullSafe(F.col("gone_id")) & (marked[sha] == F.col("gone_sha")), "left_anti").drop(ident, sha)
+    gone = groups.groupBy("doc_id", "text_sha256").agg(kept).where("not kept").select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha))
+    return join_checked(marked, settle(gone, "gone"), marked[ident].eqNullSafe(F.col(gone_id)) & (marked[sha] == F.col(gone_sha)), "left_anti").drop(ident, sha)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlore.llm._common import map_texts, slices
@@ -151,24 +151,25 @@ def decide(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, 1 / np.exp2(-over).sum(axis=1)
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_chars: int = 24576, sample_docs: int = 64, model_bytes: int = MODEL_BYTES) -> Model:
-    """Suffix automata of a bounded sample: of each language, documents in the order of their hash, up to `sample_chars` characters.
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_chars: int = 24576, sample_docs: int = 64, model_bytes: int = MODEL_BYTES) -> Model:
+    """Suffix automata of a bounded sample: of each language, texts in the order of their hash, up to `sample_chars` characters.
 
-    About `sample_docs` documents a language come to the driver, at most
-    `sample_chars` characters of each. Every label is learned; if there are so
+    At most `sample_docs` different texts a language come to the driver, and
+    `sample_chars` characters of each. Every label that has a text with a letter is learned; if there are so
     many that the automata would have more than `model_bytes`, each learns from
     fewer characters. A language with less text than others learns from what it
     has; naming a place in a shorter text takes fewer bits. Letters get symbols
     by their greatest share in a language's text, so that each script has its
-    own. Rows without a label or a letter are no sample; rows that repeat an id
-    are taken or left together; an empty table gives a model without languages.
+    own. Rows without a label or a letter are no sample; rows that repeat a text
+    count once, whatever their ids; an empty table gives a model without languages.
     """
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col)).alias("at")).where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null").where(F.col("text").rlike(r"\p{L}")).withColumn("at", F.xxhash64("text"))
+    counts = {r["lang"]: (r["n"], r["least"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("at").alias("n"), F.min("at").alias("least")).collect()}
     if not counts:
         return Model("", [])
-    bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(2**63 - 1, int(2**64 * (sample_docs / n)) - 2**63))])
-    picked = rows.where(F.col("at") <= F.try_element_at(bound, F.col("lang"))).select("lang", "at", F.substring("text", 1, sample_chars).alias("text"))
+    bound = F.create_map(*[F.lit(x) for k, (n, least) in counts.items() for x in (k, max(least, min(2**63 - 1, int(2**64 * (2 * sample_docs / n)) - 2**63)))])
+    few = rows.where(F.col("at") <= F.try_element_at(bound, F.col("lang"))).select("lang", "at", F.substring("text", 1, sample_chars).alias("text")).dropDuplicates(["lang", "at"])
+    picked = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("at"))).where(F.col("k") <= sample_docs)
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in picked.collect():
         texts.setdefault(r["lang"], []).append((r["at"], r["text"]))
@@ -227,11 +228,11 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """doc_id, held_out, lang_pred, score of every row; a quarter of the ids is held out of the learning.
 
     Rows whose crc32 of the id as text leaves 2 when divided by 4 are held
-    out, as are null ids, which aren't shown as such. Null texts and those
+    out; null ids aren't. Null texts and those
     without a letter are "und". Rows that repeat each come out; an empty table
     gives an empty one; columns but the three are not read.
     """
-    held = F.crc32(F.col(id_col).cast("string")) % 4 == 2
-    model = fit(docs.where(~held), lang_col, text_col, id_col, **options)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
+    model = fit(docs.where(~held), lang_col, text_col, **options)
+    rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return identify(rows, model).drop("text")

@@ -223,9 +223,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` that stay, with all their columns, one of each group of near-duplicates; see `near_duplicates`."""
-    gone = settle(near_duplicates(docs, id_col, text_col, **options).select(F.col("doc_id").alias("gone_id"), F.col("tk").alias("gone_tk")), "gone")
+    gone_id, gone_tk = free_name(docs, "gone_id"), free_name(docs, "gone_tk")
+    gone = settle(near_duplicates(docs, id_col, text_col, **options).select(F.col("doc_id").alias(gone_id), F.col("tk").alias(gone_tk)), "gone")
     ident, key = free_name(docs, "ident"), free_name(docs, "tk")
     marked = docs.withColumns({ident: F.col(id_col).cast("long"), key: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    kept = join_checked(marked, gone, marked[ident].eqNullSafe(F.col("gone_id")) & (marked[key] == F.col("gone_tk")), "left_anti")
+    kept = join_checked(marked, gone, marked[ident].eqNullSafe(F.col(gone_id)) & (marked[key] == F.col(gone_tk)), "left_anti")
     repeated = marked.groupBy(ident, key).count().where("count > 1").limit(1).count()
     return (kept.dropDuplicates([ident, key]) if repeated else kept).drop(ident, key)

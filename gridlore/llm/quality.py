@@ -103,20 +103,21 @@ def _fit(rows: DataFrame, labels: DataFrame, target_rows: int, buckets: int) ->
     return log_ratios(np.stack([table[1], table.sum(axis=0)])), good / n if n else 1.0
 
 
-def _threshold(scored: DataFrame, keep: int) -> int | None:
-    """The place in order, as a long, of the keep-th greatest key: four counts by 16 bits each, over all rows."""
-    lo, bits = 0, 64
-    while bits > 0:
-        rows = scored.where(F.shiftright("place", bits) == lo) if bits < 64 else scored
-        bits -= 16
-        counts = rows.groupBy(F.shiftright("place", bits).alias("p")).agg(F.count("*").alias("n")).collect()
-        for p, n in sorted(map(tuple, counts), reverse=True):
+def _threshold(scored: DataFrame, keep: int) -> float:
+    """The keep-th greatest sort_key, exactly: counts of 65,536 equal steps between the least and the greatest key, again within the step that holds it.
+
+    Steps keep the order, so the keys of a step are those between its own least
+    and greatest; a step with one value ends it.
+    """
+    key = F.col("sort_key")
+    lo, hi = scored.agg(F.min(key), F.max(key)).first()
+    while lo < hi:
+        step = F.floor((key - lo) / (hi - lo) * 65535)
+        for _, n, least, most in sorted(map(tuple, scored.where(key.between(lo, hi)).groupBy(step.alias("p")).agg(F.count("*"), F.min(key), F.max(key)).collect()), reverse=True):
             if keep <= n:
-                lo = p
+                lo, hi = least, most
                 break
             keep -= n
-        else:
-            return None
     return lo
 
 
@@ -134,7 +135,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     The target is fitted on a sample of about `target_rows` labelled rows,
     chosen by hash, if there are more. Equal keys at the last place are all
-    selected. Null and empty texts have weight 0 before noise; null ids draw
+    selected. A text of any length has a finite weight. Null and empty texts have weight 0 before noise; null ids draw
     one number, and so do rows that repeat an id, each of which comes out; an
     id that has several labels counts by the worst. Without labels all weights
     are 0 and all rows are selected. An empty table gives an empty one; columns
@@ -153,9 +154,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     u = uniform(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) + F.lit(2.0**-53)
     weighed = map_texts(rows, run, "doc_id long, log_weight double").withColumn("sort_key", F.col("log_weight") - F.log(-F.log(u)))
-    # keys within a millionth of a millionth are one place; the greatest place has the greatest key
-    weighed = settle(weighed.withColumn("place", (F.col("sort_key") * 1e12).cast("long") + F.lit(1 << 62)), "weights")
+    weighed = settle(weighed, "weights")
     keep = round(weighed.count() * share)
-    least = _threshold(weighed, keep) if keep else None
-    chosen = F.col("place") >= F.lit(least) if least is not None else F.lit(False)
+    chosen = F.col("sort_key") >= _threshold(weighed, keep) if keep else F.lit(False)
     return weighed.select("doc_id", "log_weight", "sort_key", chosen.alias("selected"))
