@@ -23,9 +23,11 @@ from gridlore.llm._common import free_name, shared_dir
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told ("und": null texts and those without a letter) go."""
+    """Documents whose language can't be told ("und": null texts and those without a letter) go, and no others, even if nothing is learned."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = language.fit(docs.where(~held))
+    if not model.parsers:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
     return language.identify(docs, model, "text", lang, score).where(F.col(lang) != "und").drop(lang, score)
 
