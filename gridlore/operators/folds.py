@@ -203,7 +203,14 @@ def elo_grid(games: DataFrame, league: Sequence[str], order: Sequence[str], grid
 
 @dataclass(frozen=True)
 class Kalman:
-    """Settings of the state-space filter over entities' levels."""
+    """Settings of the state-space filter over sides' levels and the home edge.
+
+    Levels drift by `week_var` a week, and the edge by `edge_drift`; between
+    seasons levels shrink by `carry` and gain `season_var`. A margin measures
+    the difference of levels plus the edge. A second measurement, times `scale`
+    and less `second_edge` at home, measures the difference alone; the noises
+    of both correlate by `rho`.
+    """
 
     start_var: float = 36.0
     week_var: float = 0.3
@@ -211,66 +218,166 @@ class Kalman:
     season_var: float = 12.0
     noise_var: float = 160.0
     edge: float = 2.5
+    edge_var: float = 0.0
+    edge_drift: float = 0.0
+    second_var: float = 100.0
+    rho: float = 0.0
+    scale: float = 1.0
+    second_edge: float = 0.0
 
 
 class _KalmanState:
-    def __init__(self, cfg: Kalman) -> None:
-        self.cfg, self.place, self.m, self.v, self.period, self.open = cfg, {}, np.zeros(0), np.zeros((0, 0)), None, []
+    """The filter for all settings at once: the first axis of every array is the setting, place 0 of the state the home edge."""
+
+    def __init__(self, configs: Sequence[Kalman]) -> None:
+        at = lambda name: np.array([getattr(c, name) for c in configs], float)
+        self.start, self.week, self.carry, self.season, self.noise = at("start_var"), at("week_var"), at("carry"), at("season_var"), at("noise_var")
+        self.drift, self.second, self.scale, self.second_edge = at("edge_drift"), at("second_var"), at("scale"), at("second_edge")
+        self.cross = at("rho") * np.sqrt(self.noise * self.second)
+        self.m, self.v = at("edge")[:, None], at("edge_var")[:, None, None]
+        self.place, self.period, self.open = {}, None, []
 
     def _index(self, team) -> int:
         if team not in self.place:
-            n = len(self.m)
+            n = self.m.shape[1]
             self.place[team] = n
-            self.m = np.append(self.m, 0.0)
-            grown = np.zeros((n + 1, n + 1))
-            grown[:n, :n] = self.v
-            grown[n, n] = self.cfg.start_var
-            self.v = grown
+            self.m = np.pad(self.m, ((0, 0), (0, 1)))
+            self.v = np.pad(self.v, ((0, 0), (0, 1), (0, 1)))
+            self.v[:, n, n] = self.start
         return self.place[team]
 
-    def _flush(self) -> None:
-        for i, j, edge, margin in self.open:
-            h = np.zeros(len(self.m))
-            h[i], h[j] = 1.0, -1.0
-            gain = self.v @ h
-            s = h @ gain + self.cfg.noise_var
-            self.m = self.m + gain * ((margin - edge - h @ self.m) / s)
-            self.v = self.v - np.outer(gain, gain) / s
+    def _along(self, i: int, j: int, site: float) -> tuple[np.ndarray, np.ndarray]:
+        """The covariances of the state with the expected margin, and with the difference of levels."""
+        plain = self.v[:, :, i] - self.v[:, :, j]
+        return plain + site * self.v[:, :, 0] if site else plain, plain
+
+    def _learn(self) -> None:
+        """The games of the week that has ended, one at a time, with one or both measurements."""
+        for i, j, site, margin, second in self.open:
+            a, b = self._along(i, j, site)
+            gap = self.m[:, i] - self.m[:, j]
+            miss = (margin - gap - site * self.m[:, 0])[:, None]
+            s = (a[:, i] - a[:, j] + site * a[:, 0] + self.noise)[:, None]
+            if second is None:
+                gain = a / s
+                self.m = self.m + gain * miss
+                self.v = self.v - gain[:, :, None] * a[:, None, :]
+                continue
+            other = (self.scale * (second - self.second_edge * site) - gap)[:, None]
+            c = (b[:, i] - b[:, j] + site * b[:, 0] + self.cross)[:, None]
+            t = (b[:, i] - b[:, j] + self.second)[:, None]
+            whole = s * t - c * c
+            first, then = (t * a - c * b) / whole, (s * b - c * a) / whole
+            self.m = self.m + first * miss + then * other
+            self.v = self.v - first[:, :, None] * a[:, None, :] - then[:, :, None] * b[:, None, :]
+        if self.open:
+            self.v = (self.v + self.v.swapaxes(1, 2)) / 2
         self.open = []
 
-    def play(self, season, week, home, away, margin, neutral):
-        c, period = self.cfg, (season, week)
-        if period != self.period:
-            self._flush()
-            if self.period is not None and season != self.period[0]:
-                self.m, self.v = c.carry * self.m, c.carry**2 * self.v + c.season_var * np.eye(len(self.m))
-            elif self.period is not None:
-                self.v = self.v + c.week_var * np.eye(len(self.m))
-            self.period = period
-        i, j = self._index(home), self._index(away)
-        edge = 0.0 if neutral else c.edge
-        mean = edge + self.m[i] - self.m[j]
-        var = self.v[i, i] + self.v[j, j] - 2 * self.v[i, j] + c.noise_var
-        if margin is not None and margin == margin:
-            self.open.append((i, j, edge, margin))
-        return mean, var
-
-
-def kalman(games: DataFrame, league: Sequence[str], configs: dict[int, Kalman] | None = None) -> DataFrame:
-    """(config, league, game_id, season, week, margin, mean, sd, loglik) of every game: the whole week is predicted before any of its games updates the levels."""
+    def _pass_time(self, season, week) -> None:
+        self._learn()
+        if self.period is not None:
+            on = np.arange(1, self.m.shape[1])
+            if season != self.period[0]:
+                self.m[:, 1:] *= self.carry[:, None]
+                self.v[:, 1:, :] *= self.carry[:, None, None]
+                self.v[:, :, 1:] *= self.carry[:, None, None]
+                self.v[:, on, on] += self.season[:, None]
+                self.v[:, 0, 0] += self.drift
+            else:
+                gap = max(week - self.period[1], 1)
+                self.v[:, on, on] += gap * self.week[:, None]
+                self.v[:, 0, 0] += gap * self.drift
+        self.period = (season, week)
+
+    def play(self, season, week, home, away, margin, neutral, second=None):
+        """(mean, variance with noise, log density of the margin, of all measurements) for each setting, all before the week's games count."""
+        if (season, week) != self.period:
+            self._pass_time(season, week)
+        i, j, site = self._index(home), self._index(away), 0.0 if neutral else 1.0
+        a, b = self._along(i, j, site)
+        gap = self.m[:, i] - self.m[:, j]
+        mean, var = gap + site * self.m[:, 0], a[:, i] - a[:, j] + site * a[:, 0] + self.noise
+        if margin is None or margin != margin:
+            return mean, var, None, None
+        second = None if second is None or second != second else float(second)
+        self.open.append((i, j, site, float(margin), second))
+        miss = margin - mean
+        own = -0.5 * (np.log(2 * np.pi * var) + miss**2 / var)
+        if second is None:
+            return mean, var, own, own
+        t, c = b[:, i] - b[:, j] + self.second, b[:, i] - b[:, j] + site * b[:, 0] + self.cross
+        other, whole = self.scale * (second - self.second_edge * site) - gap, var * t - c * c
+        both = -0.5 * (2 * np.log(2 * np.pi) + np.log(whole) + (t * miss**2 - 2 * c * miss * other + var * other**2) / whole) + np.log(self.scale)
+        return mean, var, own, both
+
+
+#: Order of a league's games in the filter.
+KALMAN_ORDER = ("season", "week", "kickoff", "game_id")
+
+
+def _games(games: DataFrame, second: str | None) -> DataFrame:
+    margin = (F.col("home_score") - F.col("away_score")).cast("double")
+    return games.withColumns({"margin": margin, "second_": F.col(second).cast("double") if second else F.lit(None).cast("double")})
+
+
+def _read(pdf: pd.DataFrame):
+    return zip(*[pdf[c].tolist() for c in ("season", "week", "home", "away", "margin", "neutral", "second_")], strict=True)
+
+
+def kalman(games: DataFrame, league: Sequence[str], configs: dict[int, Kalman] | None = None, second: str | None = None) -> DataFrame:
+    """(config, league, game_id, season, week, margin, mean, sd, loglik, joint_loglik) of every game and setting.
+
+    The whole week is predicted before any of its games updates the levels;
+    then each game does, with its margin and, where it has one, the measurement
+    in the column `second`, by the 2 x 2 covariance of both. Weeks without
+    games drift too: by the gap of week numbers. A side starts at level 0 when
+    first seen. Games without a margin are only predicted. loglik is the log
+    density of the margin, joint_loglik that of all that was measured. All
+    settings go through a league together; a league's covariance has the square
+    of its sides in entries, so sides should be hundreds rather than thousands.
+    """
     configs = configs or {0: Kalman()}
-    rows = games.withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs]))).withColumn("margin", (F.col("home_score") - F.col("away_score")).cast("double"))
     kinds = dict(games.dtypes)
-    keys = ["config", *league]
+    ids = list(configs)
 
     def step(state, pdf):
         out = []
-        for r in pdf.itertuples():
-            mean, var = state.play(r.season, r.week, r.home, r.away, r.margin, r.neutral)
-            known = r.margin is not None and r.margin == r.margin
-            ll = -0.5 * (np.log(2 * np.pi * var) + (r.margin - mean) ** 2 / var) if known else None
-            out.append((*[getattr(r, k) for k in keys], r.game_id, r.season, r.week, r.margin, mean, float(np.sqrt(var)), ll))
+        heads = list(zip(*[pdf[c].tolist() for c in (*league, "game_id", "season", "week", "margin")], strict=True))
+        for head, game in zip(heads, _read(pdf), strict=True):
+            mean, var, own, both = state.play(*game)
+            sd = np.sqrt(var)
+            for k, c in enumerate(ids):
+                out.append((c, *head, mean[k], sd[k], None if own is None else own[k], None if both is None else both[k]))
         return out
 
-    head = ", ".join(["config int", *[f"{k} {kinds[k]}" for k in league], "game_id long"])
-    return keyed_fold(rows, keys, ["season", "week", "kickoff", "game_id"], lambda key: _KalmanState(configs[int(key[0])]), step, f"{head}, season long, week long, margin double, mean double, sd double, loglik double")
+    head = ", ".join(["config int", *[f"{k} {kinds[k]}" for k in league], f"game_id {kinds['game_id']}"])
+    return keyed_fold(_games(games, second), league, KALMAN_ORDER, lambda key: _KalmanState(list(configs.values())), step, f"{head}, season long, week long, margin double, mean double, sd double, loglik double, joint_loglik double")
+
+
+def kalman_profile(games: DataFrame, league: Sequence[str], configs: dict[int, Kalman], seasons: tuple[int, int], second: str | None = None, weeks: tuple[int, int] | None = None) -> DataFrame:
+    """(config, n, n_second, loglik, joint_loglik): sums over the played games of a window, for all settings in one replay.
+
+    A league sends one row of sums for each setting. With `weeks`, only games of
+    those weeks count (all are replayed), as for a search of the carry-over
+    early in a season. Games after the last season aren't read.
+    """
+    ids = list(configs)
+
+    class Sums(_KalmanState):
+        def __init__(self) -> None:
+            super().__init__(list(configs.values()))
+            self.n, self.both, self.own, self.joint = 0, 0, np.zeros(len(ids)), np.zeros(len(ids))
+
+    def step(state, pdf):
+        for game in _read(pdf):
+            _, _, own, both = state.play(*game)
+            if own is not None and seasons[0] <= game[0] <= seasons[1] and (weeks is None or weeks[0] <= game[1] <= weeks[1]):
+                state.n, state.own, state.joint = state.n + 1, state.own + own, state.joint + both
+                state.both += game[6] is not None and game[6] == game[6]
+        return []
+
+    end = lambda s: list(zip(ids, [s.n] * len(ids), [s.both] * len(ids), s.own.tolist(), s.joint.tolist(), strict=True))
+    past = _games(games.where(F.col("season") <= seasons[1]), second)
+    sums = keyed_fold(past, league, KALMAN_ORDER, lambda key: Sums(), step, "config int, n long, n_second long, loglik double, joint_loglik double", end)
+    return sums.groupBy("config").agg(*[F.sum(c).alias(c) for c in ("n", "n_second", "loglik", "joint_loglik")])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -49,22 +50,35 @@ def fold_elo_grid(t):
     return folds.elo_grid(t.league_games, ["league"], ORDER, grid, (1994, 1997))
 
 
+#: Settings of the filter with both measurements, and of a learned edge.
+LEVELS = folds.Kalman(edge_var=4.0, edge_drift=0.01, second_var=90.0, rho=0.3, scale=12.0, second_edge=0.05)
+
+
+def measured(t):
+    """League games with the difference in mean value between the odd plays, the home side's, and the even ones; null if one side has none."""
+    side = lambda k: F.avg(F.when(F.col("play_id") % 2 == k, F.col("epa")))
+    return t.league_games.join(t.plays.groupBy("game_id").agg((side(1) - side(0)).alias("second")), "game_id", "left")
+
+
 @query("fold_kalman")
 def fold_kalman(t):
-    return folds.kalman(t.league_games, ["league"])
+    return folds.kalman(measured(t), ["league"], {0: LEVELS}, "second")
 
 
 @query("fold_kalman_at")
 def fold_kalman_at(t):
     cut = F.lit("1997-01-01").cast("timestamp")
-    hidden = t.league_games.withColumns({c: F.when(F.col("kickoff") < cut, F.col(c)) for c in ("home_score", "away_score")})
-    return folds.kalman(hidden, ["league"]).where("margin IS NULL").select("league", "game_id", "mean", "sd")
+    hidden = measured(t).withColumns({c: F.when(F.col("kickoff") < cut, F.col(c)) for c in ("home_score", "away_score")})
+    return folds.kalman(hidden, ["league"], {0: LEVELS}, "second").where("margin IS NULL").select("league", "game_id", "mean", "sd")
 
 
 @query("fold_kalman_loglik")
 def fold_kalman_loglik(t):
-    configs = {i: folds.Kalman(carry=c) for i, c in enumerate((0.5, 0.7, 0.9))}
-    return folds.kalman(t.league_games, ["league"], configs).where("season >= 1994").groupBy("config").agg(F.sum("loglik").alias("loglik"), F.count("loglik").alias("n"))
+    values = list(itertools.product((0.3, 0.5, 0.7, 0.9), (6.0, 12.0), (-0.3, 0.0, 0.3), (0.1, 1.0)))
+    grid = {i: replace(LEVELS, carry=c, season_var=v, rho=r, week_var=w) for i, (c, v, r, w) in enumerate(values)}
+    found = folds.kalman_profile(measured(t), ["league"], grid, (1994, 1998), "second")
+    names = t.spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "config int, carry double, season_var double, rho double, week_var double")
+    return found.join(F.broadcast(names), "config")
 
 
 def rating_terms(t):

@@ -105,6 +105,102 @@ def test_kalman_is_the_posterior_mean(spark):
     assert math.isclose(got[3]["mean"], w @ m) and math.isclose(got[3]["sd"] ** 2, w @ after @ w + cfg.noise_var)
 
 
+def _posterior(games, cfg, teams):
+    """(mean, covariance) of every measurement of games, in order, in one joint Gaussian, by unrolling the states: state 0 is the edge."""
+    n, now = len(teams) + 1, None
+    mean, rows, noise = np.zeros(n), [], []
+    root = np.diag([math.sqrt(cfg.edge_var), *[math.sqrt(cfg.start_var)] * len(teams)])
+    mean[0] = cfg.edge
+    for season, week, home, away, site in games:
+        if now is not None and (season, week) != now:
+            new_season = season != now[0]
+            drift = [cfg.edge_drift * (1 if new_season else week - now[1]), *[cfg.season_var if new_season else cfg.week_var * (week - now[1])] * len(teams)]
+            if new_season:
+                mean[1:] *= cfg.carry
+                root[1:] *= cfg.carry
+            root = np.hstack([root, np.diag(np.sqrt(drift))])
+        now = (season, week)
+        d = np.zeros(n)
+        d[1 + teams.index(home)], d[1 + teams.index(away)] = 1.0, -1.0
+        a = d.copy()
+        a[0] = site
+        rows.append((a @ mean, a @ root, d @ mean, d @ root))
+    width = root.shape[1]
+    pad = lambda r: np.pad(r, (0, width - len(r)))
+    return [(m, pad(r), m2, pad(r2)) for m, r, m2, r2 in rows]
+
+
+def _brute_kalman(games, cfg, teams):
+    """Mean, variance, own and joint log density of each game given all games of earlier weeks, by conditioning one joint Gaussian."""
+    rows = _posterior([g[:5] for g in games], cfg, teams)
+    cross = cfg.rho * math.sqrt(cfg.noise_var * cfg.second_var)
+    out = []
+    for k, g in enumerate(games):
+        seen, values, kinds = [], [], []
+        for q, h in enumerate(games):
+            if h[:2] < g[:2] and h[5] is not None:
+                seen.append((rows[q][0], rows[q][1])); values.append(h[5]); kinds.append((q, 0))
+                if h[6] is not None:
+                    seen.append((rows[q][2], rows[q][3])); values.append(cfg.scale * (h[6] - cfg.second_edge * h[4])); kinds.append((q, 1))
+        own = [(rows[k][0], rows[k][1]), (rows[k][2], rows[k][3])]
+        noise = lambda x, y: 0.0 if x[0] != y[0] else cross if x[1] != y[1] else (cfg.noise_var, cfg.second_var)[x[1]]
+        every, kinds = seen + own, kinds + [(k, 0), (k, 1)]
+        cov = np.array([[a[1] @ b[1] + noise(x, y) for b, y in zip(every, kinds)] for a, x in zip(every, kinds)])
+        mu = np.array([m for m, _ in every])
+        n = len(seen)
+        if n:
+            w = np.linalg.solve(cov[:n, :n], cov[:n, n:]).T
+            mu, cov = mu[n:] + w @ (np.array(values) - mu[:n]), cov[n:, n:] - w @ cov[:n, n:]
+        loglik = joint = None
+        if g[5] is not None:
+            loglik = -0.5 * (math.log(2 * math.pi * cov[0, 0]) + (g[5] - mu[0]) ** 2 / cov[0, 0])
+            joint = loglik
+            if g[6] is not None:
+                r = np.array([g[5], cfg.scale * (g[6] - cfg.second_edge * g[4])]) - mu
+                joint = -0.5 * (2 * math.log(2 * math.pi) + math.log(np.linalg.det(cov)) + r @ np.linalg.solve(cov, r)) + math.log(cfg.scale)
+        out.append((mu[0], math.sqrt(cov[0, 0]), loglik, joint))
+    return out
+
+
+def test_kalman_with_two_measurements(spark):
+    """Means, deviations and both densities against one joint Gaussian: gaps of weeks, three seasons, missing second measurements, unplayed games."""
+    rng = random.Random(12)
+    configs = {3: folds.Kalman(edge_var=5.0, edge_drift=0.2, second_var=80.0, rho=0.6, scale=9.0, second_edge=0.1), 8: folds.Kalman(carry=0.4, rho=-0.4, edge_var=1.0, noise_var=90.0), 9: folds.Kalman()}
+    rows, games = [], []
+    for week in [(2000, 1), (2000, 2), (2000, 5), (2001, 3), (2001, 4), (2003, 1)]:
+        for _ in range(4):
+            h, a = rng.sample(range(5), 2)
+            played, site = rng.random() < 0.85, rng.random() < 0.7
+            hs, as_ = (rng.randrange(30), rng.randrange(30)) if played else (None, None)
+            e = rng.gauss(0, 1) if rng.random() < 0.6 else None
+            rows.append((len(rows), *week, None, h, a, hs, as_, not site, None, "A", e))
+            games.append((*week, h, a, float(site), hs - as_ if played else None, e))
+    # all sides start at level 0 in the first week, so that the filter's prior is the joint one
+    rows = [(-1, 2000, 1, None, 0, 1, None, None, True, None, "A", None), (-2, 2000, 1, None, 2, 3, None, None, True, None, "A", None), (-3, 2000, 1, None, 4, 0, None, None, True, None, "A", None), *rows]
+    df = spark.createDataFrame(rows, f"{GAMES}, e double").repartition(4)
+    got = {(r["config"], r["game_id"]): r for r in folds.kalman(df, ["league"], configs, "e").collect()}
+    sums = {r["config"]: r for r in folds.kalman_profile(df, ["league"], configs, (2001, 2003), "e").collect()}
+    early = {r["config"]: r for r in folds.kalman_profile(df, ["league"], configs, (2000, 2001), "e", (1, 3)).collect()}
+    for c, cfg in configs.items():
+        want = _brute_kalman(games, cfg, list(range(5)))
+        for i, (mean, sd, own, joint) in enumerate(want):
+            r = got[c, i]
+            assert math.isclose(r["mean"], mean, abs_tol=1e-8) and math.isclose(r["sd"], sd, rel_tol=1e-9)
+            assert (r["loglik"] is None) == (own is None) and (own is None or math.isclose(r["loglik"], own, rel_tol=1e-9) and math.isclose(r["joint_loglik"], joint, rel_tol=1e-9))
+        late = [w for w, g in zip(want, games) if g[0] >= 2001 and w[2] is not None]
+        assert sums[c]["n"] == len(late) and math.isclose(sums[c]["joint_loglik"], sum(w[3] for w in late), rel_tol=1e-9)
+        some = [w for w, g in zip(want, games) if g[0] <= 2001 and g[1] <= 3 and w[2] is not None]
+        assert early[c]["n"] == len(some) and math.isclose(early[c]["loglik"], sum(w[2] for w in some), rel_tol=1e-9)
+
+
+def test_kalman_second_measurement_adds_information(spark):
+    cfg = {0: folds.Kalman(edge_var=1.0)}
+    row = lambda i, w, h, a, hs, e: (i, 2000, w, None, h, a, hs, 0 if hs is not None else None, False, None, "A", e)
+    rows = lambda e: spark.createDataFrame([row(1, 1, 0, 1, 7, e), row(2, 2, 0, 1, None, None)], f"{GAMES}, e double")
+    one, two = (folds.kalman(rows(e), ["league"], cfg, "e").where("game_id = 2").first() for e in (None, 14.0))
+    assert two["sd"] < one["sd"] and two["mean"] > one["mean"]
+
+
 def test_ridge(spark):
     rng = np.random.default_rng(0)
     x = rng.integers(0, 5, (80, 2))
