@@ -1,33 +1,164 @@
-"""Bootstraps by hash-seeded weights, and tests built on them."""
+"""Bootstraps by hash-seeded weights, refits under them, and tests built on them."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def hashed(seed: int | str, *key: Column) -> Column:
+    """52 bits of the MD5 of a seed and key values as text; nulls are passed over."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
 def uniform(seed: int, *key: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 40)) / float(1 << 40)
+    return hashed(seed, *key) / float(1 << 52)
+
+
+#: The distribution function of Poisson(1), as far as 52 bits tell its values from 1.
+POISSON_ONE = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(17)]
 
 
 def poisson_one(u: Column) -> Column:
-    """A Poisson(1) draw by inversion, at most 8."""
-    out, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        total += term
-        out = out + F.when(u >= total, 1).otherwise(0)
-        term /= k
-    return out
+    """A Poisson(1) draw by inversion."""
+    return sum((F.when(u >= c, 1).otherwise(0) for c in POISSON_ONE), F.lit(0))
 
 
 def replicates(df: DataFrame, reps: int, seed: int, key: Sequence[str]) -> DataFrame:
-    """Each row once for each replicate that draws it, with its weight; equal keys draw alike."""
+    """Each row once for each replicate that draws it, with its Poisson weight; equal keys draw alike."""
     rows = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     return rows.withColumn("weight", poisson_one(uniform(seed, F.col("rep"), *[F.col(k) for k in key]))).where("weight > 0")
 
 
+def numbered(df: DataFrame, key: Sequence[str], seed: int = 0, groups: int = 1024) -> DataFrame:
+    """(key, at): the different keys numbered from 0 without gaps, in an order by hash.
+
+    Keys are counted by 1,024 groups of their hash, and a group's numbers start
+    where the ones before it end, so no window holds more than a group.
+    """
+    keys = df.select(*key).distinct().withColumn("h_", hashed(f"at{seed}", *[F.col(k) for k in key])).withColumn("g_", F.col("h_") % groups)
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("g_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = keys.groupBy("g_").agg(F.count("*").alias("n_")).select("g_", before.alias("start_"))
+    own = F.row_number().over(Window.partitionBy("g_").orderBy("h_", *key)) - 1
+    return keys.withColumn("own_", own).join(F.broadcast(starts), "g_").select(*key, (F.col("start_") + F.col("own_")).alias("at"))
+
+
+def multinomial_weights(df: DataFrame, key: Sequence[str], reps: int, seed: int) -> DataFrame:
+    """(key, weights): for each of the n different keys, how often each replicate draws it in n draws with replacement.
+
+    A draw is a hash of replicate and number, which names a key by its number.
+    `weights` has an entry for each replicate. Null key values are a key.
+    """
+    keys = numbered(df, key, seed)
+    n = keys.agg(F.count("*").alias("n_"))
+    draws = keys.select("at").crossJoin(F.broadcast(n)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    named = draws.select("rep", F.floor(uniform(seed, F.col("rep"), F.col("at")) * F.col("n_")).alias("at"))
+    counts = named.groupBy("at", "rep").agg(F.count("*").cast("int").alias("c_"))
+    by_key = counts.groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct("rep", "c_"))).alias("m_"))
+    weights = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda r: F.coalesce(F.try_element_at("m_", r), F.lit(0)))
+    return keys.join(by_key, "at", "left").select(*key, weights.alias("weights"))
+
+
+def with_weights(df: DataFrame, key: Sequence[str], reps: int, seed: int) -> DataFrame:
+    """The rows with the multinomial `weights` of their key."""
+    w = multinomial_weights(df, key, reps, seed).withColumnsRenamed({k: f"{k}_w" for k in key})
+    on = [F.col(k).eqNullSafe(F.col(f"{k}_w")) for k in key]
+    return df.join(w, on).drop(*[f"{k}_w" for k in key])
+
+
+def refit_logistic(rows: DataFrame, features: Sequence[str], y: str, weights: str, by: str | None = None, rounds: int = 25, penalty: float = 0.0) -> DataFrame:
+    """(by, rep, coefs): a logistic model, intercept first, for each group and each entry of the array `weights`.
+
+    All replicates take Newton's steps together. A step is one pass over the
+    rows, in which a task multiplies a batch's predictions for all replicates,
+    and one grouped sum of gradients and curvatures, as many numbers as groups
+    times replicates times the square of the features; groups are few.
+    Steps go on until none moves a coefficient by 1e-10. Rows with a null are
+    left out; outcomes may lie between 0 and 1.
+    """
+    spark = rows.sparkSession
+    used = rows.select(
+        (F.col(by) if by else F.lit(0)).alias("by_"),
+        F.array(F.lit(1.0), *[F.col(c).cast("double") for c in features]).alias("x_"),
+        F.col(y).cast("double").alias("y_"),
+        F.col(weights).cast("array<double>").alias("w_"),
+    ).where("by_ IS NOT NULL AND y_ IS NOT NULL AND w_ IS NOT NULL AND NOT exists(x_, v -> v IS NULL)").persist()
+    k = len(features) + 1
+    i, j = np.triu_indices(k)
+    kind = dict(used.dtypes)["by_"]
+    found: dict = {r[0]: np.zeros((r[1], k)) for r in used.groupBy("by_").agg(F.max(F.size("w_"))).collect()}
+    for _ in range(rounds):
+        now = spark.sparkContext.broadcast(found)
+
+        def sums(batches, now=now):
+            held: dict = {}
+            for batch in batches:
+                groups = np.array(batch.column("by_").to_pylist(), dtype=object)
+                x, w = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("x_", "w_"))
+                out = batch.column("y_").to_numpy()
+                for g in set(groups):
+                    at = groups == g
+                    mean = 1 / (1 + np.exp(-(x[at] @ now.value[g].T)))
+                    slope = (w[at] * (out[at][:, None] - mean)).T @ x[at]
+                    curve = (w[at] * mean * (1 - mean)).T @ (x[at][:, i] * x[at][:, j])
+                    both = np.hstack([slope, curve])
+                    held[g] = held[g] + both if g in held else both
+            flat = [(g, r, c, float(v)) for g, m in held.items() for r, row in enumerate(m) for c, v in enumerate(row)]
+            columns = list(zip(*flat)) if flat else [[], [], [], []]
+            yield pa.RecordBatch.from_pydict({"by_": pa.array(columns[0], pa.from_numpy_dtype(np.int32) if kind == "int" else None), "rep": pa.array(columns[1], pa.int32()), "c": pa.array(columns[2], pa.int32()), "v": pa.array(columns[3], pa.float64())}) if flat else None
+
+        def some(batches, sums=sums):
+            return (b for b in sums(batches) if b is not None)
+
+        totals: dict = {g: np.zeros((len(m), k + len(i))) for g, m in found.items()}
+        for g, r, c, v in used.mapInArrow(some, f"by_ {kind}, rep int, c int, v double").groupBy("by_", "rep", "c").agg(F.sum("v")).collect():
+            totals[g][r, c] = v
+        most, new = 0.0, {}
+        for g, m in found.items():
+            curve = np.zeros((len(m), k, k))
+            curve[:, i, j] = curve[:, j, i] = totals[g][:, k:]
+            slope = totals[g][:, :k] - penalty * m
+            step = np.einsum("rij,rj->ri", np.linalg.pinv(curve + penalty * np.eye(k), hermitian=True), slope)
+            new[g] = m + step
+            most = max(most, float(np.abs(step).max(initial=0.0)))
+        found = new
+        if most < 1e-10:
+            break
+    used.unpersist()
+    flat = [(g, r, [float(v) for v in row]) for g, m in found.items() for r, row in enumerate(m)]
+    out = spark.createDataFrame(flat, f"by_ {kind}, rep int, coefs array<double>")
+    return out.withColumnRenamed("by_", by) if by else out.drop("by_")
+
+
+def option_bands(values: DataFrame, keys: Sequence[str], options: Sequence[str], level: float = 0.9) -> DataFrame:
+    """(keys, best, second, margin, band_low, band_high, tossup): the two best options by the point estimate, and the spread of their difference over replicates.
+
+    `values` has a row for each decision and a column for each option: an array
+    whose first entry is the point estimate and whose others are replicates'.
+    Which options are compared is fixed by the point estimates; among equals
+    the first named is better. A decision is a toss-up if the band holds 0.
+    """
+    ranked = F.sort_array(F.array(*[F.struct((-F.col(o)[0]).alias("v"), F.lit(i).alias("i"), F.lit(o).alias("name"), F.col(o).alias("all")) for i, o in enumerate(options)]))
+    best, second = F.col("r_")[0], F.col("r_")[1]
+    gaps = F.array_sort(F.zip_with(F.slice(best["all"], 2, F.size(best["all"]) - 1), F.slice(second["all"], 2, F.size(second["all"]) - 1), lambda a, b: a - b))
+    n = F.size("g_") - 1
+
+    def at(q: float) -> Column:
+        place = n * q
+        low = F.floor(place).cast("int")
+        return F.col("g_")[low] + (place - low) * (F.col("g_")[F.least(low + 1, n)] - F.col("g_")[low])
+
+    rows = values.withColumn("r_", ranked).withColumn("g_", gaps)
+    low, high = at((1 - level) / 2), at((1 + level) / 2)
+    return rows.select(*keys, best["name"].alias("best"), second["name"].alias("second"), (best["all"][0] - second["all"][0]).alias("margin"), low.alias("band_low"), high.alias("band_high"), ((low <= 0) & (high >= 0)).alias("tossup"))
+
+
 def bootstrap_mean(df: DataFrame, value: str, cluster: Sequence[str], by: Sequence[str] = (), reps: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
     """Mean of a value with a percentile interval, resampling whole clusters.
 

@@ -33,6 +33,43 @@ def sample(t):
     return t.plays.select("game_id", "play_id", "player", "season", F.col("down").cast("double").alias("down"), F.col("togo").cast("double").alias("togo"), F.col("yardline").cast("double").alias("yardline"), "epa", "success", "is_pass", "kind", "wp")
 
 
+#: DuckDB forms of the hash, of Poisson(1) and of a multinomial draw.
+def sql_uniform(seed: int | str, *key: str) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(key)})), 1, 13) AS BIGINT) / 4503599627370496e0)"
+
+
+SQL_POISSON = "[" + ", ".join(f"{c!r}e0" for c in R.POISSON_ONE) + "]"
+
+
+def sql_weights(view: str, key: str, reps: int, seed: int) -> str:
+    """CTEs ending in wt(rep, key, w): how often a replicate draws a key."""
+    h = f"CAST('0x' || substr(md5(concat_ws('|', 'at{seed}', {key})), 1, 13) AS BIGINT)"
+    return f"""kk AS (SELECT DISTINCT {key} FROM {view}), nk AS (SELECT {key}, row_number() OVER (ORDER BY {h} % 1024, {h}, {key}) - 1 AS a FROM kk),
+    dr AS (SELECT rep, CAST(floor({sql_uniform(seed, "rep", "a")} * (SELECT count(*) FROM kk)) AS BIGINT) AS a FROM nk, range(0, {reps}) AS q(rep)),
+    wt AS (SELECT rep, nk.{key}, count(*) AS w FROM dr JOIN nk USING (a) GROUP BY ALL)"""
+
+
+def sql_newton(rows: str, by: str, steps: int = 9) -> str:
+    """CTEs ending in fit(by..., b0, b1): logistic fits of y on x with weights w, by Newton's steps one after another."""
+    out = [f"c0 AS (SELECT DISTINCT {by}, 0e0 AS b0, 0e0 AS b1 FROM {rows})"]
+    for k in range(steps):
+        out.append(f"""g{k} AS (SELECT {by}, any_value(b0) AS b0, any_value(b1) AS b1, sum(w * (y - m)) AS u0, sum(w * (y - m) * x) AS u1, sum(w * m * (1 - m)) AS h00, sum(w * m * (1 - m) * x) AS h01, sum(w * m * (1 - m) * x * x) AS h11
+        FROM (SELECT r.*, b0, b1, 1 / (1 + exp(-(b0 + b1 * x))) AS m FROM {rows} r JOIN c{k} USING ({by})) GROUP BY {by}),
+        c{k + 1} AS (SELECT {by}, b0 + (h11 * u0 - h01 * u1) / (h00 * h11 - h01 * h01) AS b0, b1 + (h00 * u1 - h01 * u0) / (h00 * h11 - h01 * h01) AS b1 FROM g{k})""")
+    return ", ".join([*out, f"fit AS (SELECT * FROM c{steps})"])
+
+
+def sql_mean(rows: str, value: str, cluster: str, by: str, reps: int) -> str:
+    """The bootstrap of a mean, whole clusters drawn, with its percentile interval."""
+    pre, on = (f"{by}, ", f"USING ({by})") if by else ("", "ON true")
+    group = f"GROUP BY {by}" if by else ""
+    return f"""s AS (SELECT {pre}{cluster}, sum({value}) AS s, count({value}) AS n FROM {rows} WHERE {value} IS NOT NULL GROUP BY ALL),
+    w AS (SELECT *, len(list_filter({SQL_POISSON}, lambda c: c <= {sql_uniform(7, "rep", cluster)})) AS w FROM s, range(0, {reps}) AS q(rep)),
+    d AS (SELECT {pre}rep, sum(w * s) / nullif(sum(w * n), 0) AS m FROM w WHERE w > 0 GROUP BY {pre}rep),
+    p AS (SELECT {pre}CAST(sum(n) AS BIGINT) AS n, sum(s) / sum(n) AS mean FROM s {group}),
+    b AS (SELECT {pre}quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, stddev_samp(m) AS se FROM d {group}) SELECT * FROM p JOIN b {on}"""
+
+
 @query("fold_elo")
 def fold_elo(t):
     return folds.elo(t.league_games, ["league"], ORDER)
@@ -315,12 +352,28 @@ def structure_samples(t):
     return X.top_per_group(t.plays.withColumn("h", h), ["kind", "down"], ["h", "game_id"], 5).select("kind", "down", "player", "game_id")
 
 
-@query("value_decisions", """WITH v AS (SELECT game_id, play_id, player, is_pass, 6 - yardline / 20e0 AS go, 2.5e0 - yardline / 50e0 + 0.1e0 * togo AS kick FROM plays WHERE down = 4)
-SELECT game_id, play_id, player, greatest(go, kick) AS best, greatest(go, kick) - CASE WHEN is_pass = 1 THEN go ELSE kick END AS lost, (go >= kick) = (is_pass = 1) AS matched FROM v""", "best lost")
+#: What a decision is worth: going for it counts its chance of success, from a model of the distance.
+GO = ("12 * m - 4 - yardline / 25e0", "5e-1 - yardline / 50e0 + 1e-1 * togo")
+
+
+@query("value_decisions", f"""WITH f AS MATERIALIZED (SELECT row_number() OVER () AS i, game_id, play_id, player, is_pass, success AS y, CAST(togo AS DOUBLE) AS x, togo, yardline FROM plays WHERE down = 4),
+{sql_weights("f", "game_id", 20, 31)}, w0 AS (SELECT -1 AS rep, game_id, 1 AS w FROM kk UNION ALL SELECT * FROM wt), rw AS (SELECT f.*, rep, w FROM f JOIN w0 USING (game_id)), {sql_newton("rw", "rep")},
+v AS (SELECT f.*, rep, {GO[0]} AS go, {GO[1]} AS kick FROM (SELECT f.*, rep, 1 / (1 + exp(-(b0 + b1 * x))) AS m FROM f, fit) f),
+z AS (SELECT * FROM v WHERE rep = -1),
+d AS (SELECT i, CASE WHEN z.go >= z.kick THEN v.go - v.kick ELSE v.kick - v.go END AS d FROM z JOIN v USING (i) WHERE v.rep >= 0),
+q AS (SELECT i, quantile_cont(d, 0.05) AS band_low, quantile_cont(d, 0.95) AS band_high FROM d GROUP BY i)
+SELECT game_id, play_id, player, CASE WHEN go >= kick THEN 'go' ELSE 'kick' END AS best, abs(go - kick) AS margin, band_low, band_high, band_low <= 0 AND band_high >= 0 AS tossup,
+greatest(go, kick) - CASE WHEN is_pass = 1 THEN go ELSE kick END AS lost, (go >= kick) = (is_pass = 1) AS matched FROM z JOIN q USING (i)""", "margin band_low band_high lost")
 def value_decisions(t):
-    v = t.plays.where("down = 4").select("game_id", "play_id", "player", "is_pass", (6 - F.col("yardline") / 20).alias("go"), (2.5 - F.col("yardline") / 50 + 0.1 * F.col("togo")).alias("kick"))
-    best, went = F.greatest("go", "kick"), F.col("is_pass") == 1
-    return v.select("game_id", "play_id", "player", best.alias("best"), (best - F.when(went, F.col("go")).otherwise(F.col("kick"))).alias("lost"), ((F.col("go") >= F.col("kick")) == went).alias("matched"))
+    """The better option of each decision, what the choice cost, and a 90 % band of the difference from refits under drawn games."""
+    f = t.plays.where("down = 4").select("game_id", "play_id", "player", "is_pass", "success", "togo", "yardline")
+    drawn = R.with_weights(f, ["game_id"], 20, 31).withColumn("weights", F.concat(F.array(F.lit(1)), "weights"))
+    fits = R.refit_logistic(drawn, ["togo"], "success", "weights").groupBy().agg(F.array_sort(F.collect_list(F.struct("rep", "coefs"))).alias("fits"))
+    chance = F.transform("fits", lambda c: 1 / (1 + F.exp(-(c["coefs"][0] + c["coefs"][1] * F.col("togo")))))
+    values = f.crossJoin(F.broadcast(fits)).withColumns({"go": F.transform(chance, lambda m: 12 * m - 4 - F.col("yardline") / 25), "kick": F.transform("fits", lambda c: 0.5 - F.col("yardline") / 50 + 0.1 * F.col("togo"))})
+    went, go, kick = F.col("is_pass") == 1, F.col("go")[0], F.col("kick")[0]
+    values = values.withColumns({"lost": F.greatest(go, kick) - F.when(went, go).otherwise(kick), "matched": (go >= kick) == went})
+    return R.option_bands(values, ["game_id", "play_id", "player", "lost", "matched"], ["go", "kick"]).drop("second")
 
 
 @query("feature_prep")
@@ -347,37 +400,51 @@ def losses(t):
     return t.games.withColumn("d", scoring.brier("y", "p") - scoring.brier("y", "q"))
 
 
-@query("boot_paired")
+LOSSES = "l AS (SELECT *, pow(p - y, 2) - pow(q - y, 2) AS d FROM games)"
+
+
+@query("boot_paired", f"WITH {LOSSES}, {sql_mean('l', 'd', 'game_id', '', 100)}", "mean low high se")
 def boot_paired(t):
     return R.bootstrap_mean(losses(t), "d", ["game_id"], reps=100)
 
 
-@query("boot_cluster")
+@query("boot_cluster", f"WITH {LOSSES}, {sql_mean('l', 'd', 'season, week', 'game_type', 100)}", "mean low high se")
 def boot_cluster(t):
     return R.bootstrap_mean(losses(t), "d", ["season", "week"], ["game_type"], reps=100)
 
 
-@query("boot_cells")
+@query("boot_cells", f"WITH {sql_mean('plays', 'epa', 'off, season', 'down, kind', 50)}", "mean low high se")
 def boot_cells(t):
     return R.bootstrap_mean(t.plays, "epa", ["off", "season"], ["down", "kind"], reps=50)
 
 
-@query("boot_weights")
+REFIT_ROWS = "rw AS (SELECT rep, w, spread AS x, y FROM games g JOIN wt USING (game_id))"
+
+
+@query("boot_weights", f"WITH {sql_weights('games', 'game_id', 20, 3)}, {REFIT_ROWS}, {sql_newton('rw', 'rep')} SELECT CAST(rep AS INTEGER) AS rep, CAST(sum(w) AS BIGINT) AS total, count(*) AS games, CAST(max(w) AS INTEGER) AS most, any_value(b0) AS intercept, any_value(b1) AS slope FROM wt JOIN fit USING (rep) GROUP BY rep", "intercept slope")
 def boot_weights(t):
-    w = R.replicates(t.games.select("game_id"), 20, 3, ["game_id"])
-    return w.groupBy("rep").agg(F.sum("weight").alias("total"), F.count("*").alias("games"), F.max("weight").alias("most"))
+    """A logistic model of the outcome refitted under 20 multinomial draws of the games."""
+    rows = R.with_weights(t.games.select("game_id", "spread", "y"), ["game_id"], 20, 3)
+    fits = R.refit_logistic(rows, ["spread"], "y", "weights").select("rep", F.col("coefs")[0].alias("intercept"), F.col("coefs")[1].alias("slope"))
+    told = rows.select("game_id", F.posexplode("weights").alias("rep", "w")).where("w > 0").groupBy("rep").agg(F.sum("w").alias("total"), F.countDistinct("game_id").alias("games"), F.max("w").alias("most"))
+    return told.join(F.broadcast(fits), "rep")
 
 
 def null_draws(t):
     return R.null_ece(t.games, "p", ["game_id"], reps=50)
 
 
-@query("null_ece")
+NULL_ECE = f"""u AS (SELECT rep, least(CAST(floor(p * 10) AS INTEGER), 9) AS bin, p, CASE WHEN {sql_uniform(11, "rep", "game_id")} < p THEN 1e0 ELSE 0e0 END AS v FROM games, range(0, 50) AS q(rep)),
+    k AS (SELECT rep, bin, count(*) AS n, avg(p) AS mp, avg(v) AS mv FROM u GROUP BY rep, bin), e AS (SELECT rep, sum(n * abs(mv - mp)) / sum(n) AS ece FROM k GROUP BY rep)"""
+
+
+@query("null_ece", f"WITH {NULL_ECE} SELECT quantile_cont(ece, 0.05) AS low, quantile_cont(ece, 0.5) AS mid, quantile_cont(ece, 0.95) AS high FROM e", "low mid high")
 def null_ece(t):
     return null_draws(t).agg(F.percentile("ece", F.lit(0.05)).alias("low"), F.percentile("ece", F.lit(0.5)).alias("mid"), F.percentile("ece", F.lit(0.95)).alias("high"))
 
 
-@query("calibration_rule")
+@query("calibration_rule", f"""WITH {NULL_ECE}, h AS (SELECT quantile_cont(ece, 0.95) AS high FROM e), b AS (SELECT least(CAST(floor(p * 10) AS INTEGER), 9) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM games GROUP BY 1),
+o AS (SELECT sum(n * abs(my - mp)) / sum(n) AS ece FROM b) SELECT ece, high, ece <= high OR ece <= 0.01e0 AS passes FROM o, h""", "ece high")
 def calibration_rule(t):
     high = null_draws(t).agg(F.percentile("ece", F.lit(0.95)).alias("high"))
     own = scoring.ece(scoring.reliability(t.games.withColumn("bin", scoring.uniform_bin(F.col("p"), 10)), "y", "p"))
@@ -406,15 +473,13 @@ def one_se_model_choice(t):
     return s.join(F.broadcast(top)).where("mean <= top").agg(F.min_by("model", "size").alias("model"), F.min("size").alias("size"))
 
 
-@query("boot_coef_se")
+@query("boot_coef_se", f"""WITH {sql_weights("games", "game_id", 50, 9)}, rw AS (SELECT rep, w, p AS x, y, CASE WHEN week >= 20 THEN 1 ELSE 0 END AS bucket FROM games g JOIN wt USING (game_id)), {sql_newton("rw", "bucket, rep")}
+SELECT bucket, avg(b1) AS slope, stddev_samp(b1) AS se FROM fit GROUP BY bucket""", "slope se")
 def boot_coef_se(t):
-    """Slopes by replicate in closed form: sums by replicate and bucket, then their spread."""
-    g = t.games.select("game_id", "p", "y", A.bucket(F.col("week"), [20]).alias("bucket"))
-    w = R.replicates(g, 50, 9, ["game_id"])
-    s = lambda *c: F.sum(F.col("weight") * (1 if not c else F.col(c[0]) * (F.col(c[1]) if len(c) > 1 else 1)))
-    fits = w.groupBy("bucket", "rep").agg(s().alias("n"), s("p").alias("x"), s("y").alias("t"), s("p", "y").alias("xy"), s("p", "p").alias("xx"))
-    slope = (F.col("n") * F.col("xy") - F.col("x") * F.col("t")) / (F.col("n") * F.col("xx") - F.col("x") * F.col("x"))
-    return fits.groupBy("bucket").agg(F.avg(slope).alias("slope"), F.stddev_samp(slope).alias("se"))
+    """The slope of a logistic model in each bucket of weeks: mean and standard deviation over refits."""
+    rows = R.with_weights(t.games.select("game_id", "p", "y", A.bucket(F.col("week"), [20]).alias("bucket")), ["game_id"], 50, 9)
+    slope = F.col("coefs")[1]
+    return R.refit_logistic(rows, ["p"], "y", "weights", "bucket").groupBy("bucket").agg(F.avg(slope).alias("slope"), F.stddev_samp(slope).alias("se"))
 
 
 @query("loso_cv", "WITH s AS (SELECT season, tau, sum(pow((1 - tau) * p + tau * 0.5e0 - y, 2)) AS l, count(*) AS n FROM games, (SELECT unnest([0e0, 0.25e0, 0.5e0, 0.75e0, 1e0]) AS tau) GROUP BY ALL), o AS (SELECT a.season, a.tau, a.l / a.n AS own, sum(b.l) / sum(b.n) AS rest FROM s a JOIN s b ON b.tau = a.tau AND b.season <> a.season GROUP BY a.season, a.tau, a.l, a.n) SELECT season, arg_min(tau, rest) AS tau, arg_min(own, rest) AS score FROM o GROUP BY season", "tau score")

@@ -243,6 +243,59 @@ def test_bootstrap(spark):
     assert abs(R.replicates(df, 50, 1, ["c", "v"]).agg(F.sum("weight")).first()[0] / 20_000 - 1) < 0.05
 
 
+def _newton(x, y, w, rounds=60):
+    design, b = np.c_[np.ones(len(x)), x], np.zeros(x.shape[1] + 1)
+    for _ in range(rounds):
+        m = 1 / (1 + np.exp(-design @ b))
+        b = b + np.linalg.solve(design.T @ (design * (w * m * (1 - m))[:, None]), design.T @ (w * (y - m)))
+    return b
+
+
+def test_multinomial_weights(spark):
+    df = spark.createDataFrame([(i % 37 if i % 37 else None, "x") for i in range(200)], "g long, s string").repartition(5)
+    rows = R.multinomial_weights(df, ["g"], 25, 4).collect()
+    assert sorted(r["g"] or 0 for r in rows) == list(range(37))
+    assert all(sum(r["weights"][k] for r in rows) == 37 for k in range(25))  # n draws each
+    drawn = np.array([r["weights"] for r in rows])
+    assert abs((drawn == 0).mean() - (1 - 1 / 37) ** 37) < 0.05 and len({tuple(d) for d in drawn.T}) == 25
+    again = R.multinomial_weights(df.repartition(2), ["g"], 25, 4).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    assert R.multinomial_weights(df.where("g > 99"), ["g"], 3, 1).collect() == []
+    at = R.numbered(spark.range(5000), ["id"], 3, 16).collect()
+    assert sorted(r["at"] for r in at) == list(range(5000))
+
+
+def test_refits_equal_single_weighted_fits(spark):
+    rng = np.random.default_rng(3)
+    n = 600
+    x = rng.normal(size=(n, 2))
+    y = (rng.random(n) < 1 / (1 + np.exp(-(0.4 + x[:, 0] - 0.7 * x[:, 1])))).astype(float)
+    y[:30] = 0.5
+    rows = [(i // 5, "ab"[i % 2], *map(float, x[i]), float(y[i])) for i in range(n)] + [(1, "a", None, 0.0, 1.0), (2, None, 1.0, 1.0, None)]
+    df = R.with_weights(spark.createDataFrame(rows, "game long, side string, x0 double, x1 double, y double").repartition(6), ["game"], 3, 8)
+    weights = {r["game"]: r["weights"] for r in df.select("game", "weights").distinct().collect()}
+    for by in (None, "side"):
+        fits = R.refit_logistic(df, ["x0", "x1"], "y", "weights", by).collect()
+        assert len(fits) == (3 if by is None else 6)
+        for f in fits:
+            use = [i for i in range(n) if by is None or rows[i][1] == f["side"]]
+            w = np.array([weights[rows[i][0]][f["rep"]] for i in use], float)
+            assert np.allclose(f["coefs"], _newton(x[use], y[use], w), atol=1e-6)
+
+
+def test_option_bands(spark):
+    rng = np.random.default_rng(2)
+    values = rng.normal(size=(40, 3, 12)).round(2)
+    df = spark.createDataFrame([(i, *[v.tolist() for v in row]) for i, row in enumerate(values)], "id long, go array<double>, kick array<double>, punt array<double>")
+    for r in R.option_bands(df, ["id"], ["go", "kick", "punt"], 0.8).collect():
+        v = values[r["id"]]
+        order = sorted(range(3), key=lambda k: (-v[k, 0], k))
+        gaps = v[order[0], 1:] - v[order[1], 1:]
+        low, high = np.quantile(gaps, [0.1, 0.9])
+        assert (r["best"], r["second"]) == tuple(("go", "kick", "punt")[k] for k in order[:2])
+        assert np.allclose([r["margin"], r["band_low"], r["band_high"]], [v[order[0], 0] - v[order[1], 0], low, high]) and r["tossup"] == (low <= 0 <= high)
+
+
 def test_stack(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 3))
