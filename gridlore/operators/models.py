@@ -10,7 +10,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,25 +26,138 @@ def gram(rows: DataFrame, by: Sequence[str], row_id: Sequence[str], y: str, w: s
     return rows.select(*by, F.explode(pairs).alias("p")).groupBy(*by, "p.i", "p.j").agg(F.sum("p.v").alias("s"))
 
 
-def solve_ridge(equations: DataFrame, by: Sequence[str], penalty: Mapping[str, float], default: float) -> DataFrame:
-    """(by, key, coef): ridge solutions of normal equations; a key's penalty is that of its prefix before "|"."""
+def decayed_gram(stats: DataFrame, period: str, decay: float, last: int) -> DataFrame:
+    """Equations for each period up to `last`, of the periods before it: an age of a periods counts decay ** (a - 1).
+
+    `stats` are the equations of single periods, whole numbers. A pair of keys
+    has a row for each period from its first one on, and one running sum over
+    them; rows aren't met with periods.
+    """
+    ends = stats.groupBy("i", "j").agg(F.min(period).alias("first_"))
+    calendar = ends.select("i", "j", F.explode(F.sequence(F.col("first_").cast("int"), F.lit(last))).alias(period), F.col("first_"))
+    own = stats.select(period, F.col("i").alias("i_"), F.col("j").alias("j_"), "s")
+    met = calendar.join(own.withColumnRenamed(period, "p_"), (F.col("i") == F.col("i_")) & F.col("j").eqNullSafe(F.col("j_")) & (F.col(period) == F.col("p_")), "left")
+    w = Window.partitionBy("i", "j").orderBy(period).rowsBetween(Window.unboundedPreceding, -1)
+    up = F.pow(F.lit(float(decay)), -(F.col(period) - F.col("first_")).cast("double"))
+    past = F.sum(F.col("s") * up).over(w) * F.pow(F.lit(float(decay)), (F.col(period) - 1 - F.col("first_")).cast("double"))
+    return met.select(period, "i", "j", past.alias("s")).where("s IS NOT NULL")
+
+
+#: Keys up to which a group's system is solved in one place; larger ones go by conjugate gradients.
+DENSE_KEYS = 1500
+#: Coefficients that may be on the driver during conjugate gradients.
+MOST_KEYS = 20_000_000
+
+
+def solve_ridge(equations: DataFrame, by: Sequence[str], penalty: Mapping[str, float], default: float, priors: DataFrame | None = None, dense: int = DENSE_KEYS) -> DataFrame:
+    """(by, key, coef, prior, weight): ridge solutions of normal equations, shrunk towards priors.
+
+    `priors` (by, key, prior, penalty) says towards what a key is shrunk and how
+    hard; a key without a row there is shrunk to 0 with the penalty of its
+    prefix before "|", or the default. A key that has a prior but no equations
+    gets its prior. `weight` is the key's sum of squares in the equations, 0 if
+    unseen. The prior is an offset: its part of the right side is taken off,
+    and the deviation from it is solved for.
+
+    Groups of up to `dense` keys are solved one in a task. If a group has more,
+    all groups go by conjugate gradients over the table of equations: the
+    driver holds a number for each key, a task adds up its own entries.
+    """
     kinds = dict(equations.dtypes)
+    rest = F.try_element_at(F.create_map(*[F.lit(x) for k, v in penalty.items() for x in (k, float(v))]), F.substring_index("key", "|", 1)) if penalty else F.lit(None)
+    known = priors.select(*by, "key", F.col("prior").cast("double").alias("prior"), F.col("penalty").cast("double").alias("penalty")) if priors is not None else None
+    diagonal = equations.where("i = j").select(*by, F.col("i").alias("key"), F.col("s").alias("weight"))
+    keys = diagonal.join(known, [*by, "key"], "full") if known is not None else diagonal.withColumns({"prior": F.lit(0.0), "penalty": F.lit(None).cast("double")})
+    keys = keys.select(*by, "key", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("prior", F.lit(0.0)).alias("prior"), F.coalesce("penalty", rest, F.lit(float(default))).alias("penalty"))
+    right = equations.where("j IS NULL").select(*by, F.col("i").alias("key"), F.col("s").alias("b_"))
+    if known is not None:
+        means = known.select(*by, F.col("key").alias("j"), "prior").where("prior <> 0")
+        shift = equations.join(means, [*by, "j"]).groupBy(*by, F.col("i").alias("key")).agg(F.sum(F.col("s") * F.col("prior")).alias("m_"))
+        right = right.join(shift, [*by, "key"], "left").withColumn("b_", F.col("b_") - F.coalesce("m_", F.lit(0.0))).drop("m_")
+    nodes = keys.join(right, [*by, "key"], "left").withColumn("b_", F.coalesce("b_", F.lit(0.0)))
+    seen = nodes.where("weight > 0")
+    most = seen.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    solved = _solve_dense(seen, equations, by, kinds) if most <= dense else _solve_gradients(seen, equations, by)
+    moved = solved.withColumnRenamed("delta", "d_")
+    out = keys.join(moved, [*by, "key"], "left")
+    return out.select(*by, "key", (F.col("prior") + F.coalesce("d_", F.lit(0.0))).alias("coef"), "prior", "weight")
+
+
+def _solve_dense(nodes: DataFrame, equations: DataFrame, by: Sequence[str], kinds: Mapping[str, str]) -> DataFrame:
+    """(by, key, delta), a group of keys in one task: its entries and its nodes are one group of rows."""
+    nothing = F.lit(None).cast("double")
+    entries = equations.where("j IS NOT NULL").select(*by, "i", "j", "s", nothing.alias("b"), nothing.alias("p"))
+    ends = nodes.select(*by, F.col("key").alias("i"), F.lit(None).cast("string").alias("j"), nothing.alias("s"), F.col("b_").alias("b"), F.col("penalty").alias("p"))
+    rows = entries.unionByName(ends)
+    rows = rows if by else rows.withColumn("all_", F.lit(0))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = sorted(pdf["i"].unique())
-        at = {k: n for n, k in enumerate(keys)}
-        a, b = np.zeros((len(keys), len(keys))), np.zeros(len(keys))
-        right = pdf[pdf["j"].isna()]
-        b[[at[k] for k in right["i"]]] = right["s"]
-        left = pdf[pdf["j"].notna()]
-        a[[at[k] for k in left["i"]], [at[k] for k in left["j"]]] = left["s"]
-        a += np.diag([penalty.get(k.split("|")[0], default) for k in keys])
-        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "key": keys, "coef": np.linalg.solve(a, b)})
-
-    schema = "".join(f"{c} {kinds[c]}, " for c in by) + "key string, coef double"
-    if not by:
-        return equations.withColumn("all_", F.lit(0)).groupBy("all_").applyInPandas(lambda p: solve(p.drop(columns="all_")), schema)
-    return equations.groupBy(*by).applyInPandas(solve, schema)
+        own, left = pdf[pdf["j"].isna()], pdf[pdf["j"].notna()]
+        names = own["i"].tolist()
+        at = {k: n for n, k in enumerate(names)}
+        a = np.diag(own["p"].to_numpy(float))
+        a[[at[k] for k in left["i"]], [at[k] for k in left["j"]]] += left["s"].to_numpy(float)
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "key": names, "delta": np.linalg.solve(a, own["b"].to_numpy(float))})
+
+    schema = "".join(f"{c} {kinds[c]}, " for c in by) + "key string, delta double"
+    return rows.groupBy(*(by or ["all_"])).applyInPandas(solve, schema)
+
+
+def _solve_gradients(nodes: DataFrame, equations: DataFrame, by: Sequence[str], rounds: int = 500, tolerance: float = 1e-12) -> DataFrame:
+    """(by, key, delta) by conjugate gradients, preconditioned by the diagonal, on all groups as one block-diagonal system."""
+    from gridlore.operators.resampling import numbered
+
+    spark = nodes.sparkSession
+    index = numbered(nodes, [*by, "key"]).persist()
+    placed = nodes.join(index, [*by, "key"])
+    table = placed.select("at", "b_", "penalty", "weight").toArrow()
+    n = table.num_rows
+    if n > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} keys")
+    at = table["at"].to_numpy()
+    b, extra, inverse = np.zeros(n), np.zeros(n), np.zeros(n)
+    b[at], extra[at] = table["b_"].to_numpy(), table["penalty"].to_numpy()
+    inverse[at] = 1 / (table["weight"].to_numpy() + table["penalty"].to_numpy())
+    end = lambda c: index.select(*by, F.col("key").alias(c), F.col("at").alias(f"{c}_at"))
+    entries = equations.where("j IS NOT NULL").join(end("i"), [*by, "i"]).join(end("j"), [*by, "j"]).select("i_at", "j_at", "s").repartition("i_at").persist()
+
+    def times(p: np.ndarray) -> np.ndarray:
+        vector = spark.sparkContext.broadcast(p)
+
+        def run(batches):
+            held: dict = {}
+            for batch in batches:
+                i, j, s = (batch.column(c).to_numpy() for c in range(3))
+                rows, place = np.unique(i, return_inverse=True)
+                for k, v in zip(rows.tolist(), np.bincount(place, s * vector.value[j]).tolist()):
+                    held[k] = held.get(k, 0.0) + v
+            yield pd.DataFrame({"i_at": np.array(list(held), np.int64), "v": np.array(list(held.values()), float)})
+
+        import pyarrow as pa
+
+        got = entries.mapInArrow(lambda batches: (pa.RecordBatch.from_pandas(f, preserve_index=False) for f in run(batches)), "i_at long, v double").toArrow()
+        out = np.zeros(n)
+        np.add.at(out, got["i_at"].to_numpy(), got["v"].to_numpy())
+        vector.unpersist()
+        return out + extra * p
+
+    x, r = np.zeros(n), b.copy()
+    z = inverse * r
+    p, size = z.copy(), float(b @ (inverse * b))
+    rz = float(r @ z)
+    for _ in range(rounds):
+        if rz <= tolerance**2 * size:
+            break
+        ap = times(p)
+        step = rz / float(p @ ap)
+        x, r = x + step * p, r - step * ap
+        z = inverse * r
+        rz, old = float(r @ z), rz
+        p = z + rz / old * p
+    else:
+        raise RuntimeError("conjugate gradients didn't settle")
+    deltas = spark.createDataFrame(pd.DataFrame({"at": np.arange(n), "delta": x}), "at long, delta double")
+    return index.join(deltas, "at").drop("at")
 
 
 def predict_terms(rows: DataFrame, coefs: DataFrame, keys: Sequence[str], on: Sequence[str] = (), terms: str = "terms", default: float = 0.0) -> DataFrame:

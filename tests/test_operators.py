@@ -215,6 +215,72 @@ def test_ridge(spark):
     assert np.allclose([got[k] for k in keys], want)
 
 
+def _members(spark, n, keys, seed=1, seasons=3):
+    """Rows of several members of two sides and a situation term, of a few seasons."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        off, dfn = (rng.choice(keys, 4, replace=False) for _ in range(2))
+        terms = [("mean|", 1.0), ("z|home", float(i % 2)), *[(f"off|{k}", 1.0) for k in off], *[(f"def|{k}", 1.0) for k in dfn]]
+        rows.append((2000 + i % seasons, i, terms, float(rng.normal() + 0.1 * off[0] - 0.05 * dfn[0]), float(rng.uniform(0.5, 2))))
+    df = spark.createDataFrame(rows, "season int, n long, terms array<struct<key:string,x:double>>, y double, w double")
+    priors = [(k, float(rng.normal()), float(rng.uniform(1, 20))) for k in [*[f"off|{k}" for k in range(0, keys, 2)], *[f"def|{k}" for k in range(0, keys, 3)], "off|unseen"]]
+    return rows, df, priors
+
+
+def _dense_ridge(rows, weights, priors, penalty, default):
+    keys = sorted({k for r in rows for k, _ in r[2]})
+    x = np.array([[dict(r[2]).get(k, 0.0) for k in keys] for r in rows])
+    known = {k: (m, p) for k, m, p in priors}
+    m = np.array([known.get(k, (0.0, 0))[0] for k in keys])
+    lam = np.array([known[k][1] if k in known else penalty.get(k.split("|")[0], default) for k in keys])
+    y = np.array([r[3] for r in rows])
+    h = x.T @ (x * weights[:, None])
+    return dict(zip(keys, m + np.linalg.solve(h + np.diag(lam), x.T @ (weights * (y - x @ m)))))
+
+
+def test_ridge_with_priors(spark):
+    """Prior means, a penalty for each key, both sides and a situation term; dense and by conjugate gradients."""
+    rows, df, priors = _members(spark, 160, 12)
+    table = spark.createDataFrame([(s, *p) for s in (2000, 2001, 2002) for p in priors], "season int, key string, prior double, penalty double")
+    equations = M.gram(df, ["season"], ["n"], "y", "w").persist()
+    for dense in (1500, 3):
+        got = {(r["season"], r["key"]): r for r in M.solve_ridge(equations, ["season"], {"mean": 1e-3, "z": 0.5}, 4.0, table, dense).collect()}
+        for season in (2000, 2001, 2002):
+            own = [r for r in rows if r[0] == season]
+            want = _dense_ridge(own, np.array([r[4] for r in own]), priors, {"mean": 1e-3, "z": 0.5}, 4.0)
+            assert all(math.isclose(got[season, k]["coef"], v, abs_tol=1e-8) for k, v in want.items())
+            assert got[season, "off|unseen"]["coef"] == dict((k, m) for k, m, _ in priors)["off|unseen"] and got[season, "off|unseen"]["weight"] == 0
+    assert M.solve_ridge(equations.where("season > 2005"), ["season"], {}, 1.0).count() == 0
+
+
+def test_season_ahead_statistics(spark):
+    """Statistics of seasons that decay and add up, against one dense fit of the weighted rows before each season."""
+    rows, df, priors = _members(spark, 150, 10, seed=5)
+    combined = M.decayed_gram(M.gram(df, ["season"], ["n"], "y", "w"), "season", 0.4, 2004)
+    table = spark.createDataFrame([(s, *p) for s in range(2001, 2005) for p in priors], "season int, key string, prior double, penalty double")
+    got = {(r["season"], r["key"]): r["coef"] for r in M.solve_ridge(combined, ["season"], {"mean": 1e-3}, 4.0, table).collect()}
+    assert {s for s, _ in got} == {2001, 2002, 2003, 2004}
+    for season in range(2001, 2005):
+        past = [r for r in rows if r[0] < season]
+        w = np.array([r[4] * 0.4 ** (season - 1 - r[0]) for r in past])
+        assert all(math.isclose(got[season, k], v, abs_tol=1e-8) for k, v in _dense_ridge(past, w, priors, {"mean": 1e-3}, 4.0).items())
+
+
+def test_ridge_of_many_members(spark):
+    """20,000 members, without a dense system: the residual of the normal equations is nothing."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [("mean|", 1.0), *[(f"m|{k}", 1.0) for k in rng.integers(0, 20_000, 3)]], float(rng.normal())) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "n long, terms array<struct<key:string,x:double>>, y double")
+    equations = M.gram(df, [], ["n"], "y").persist()
+    coefs = M.solve_ridge(equations, [], {"mean": 1e-3}, 2.0).persist()
+    assert coefs.count() > M.DENSE_KEYS
+    left = equations.where("j IS NOT NULL").join(coefs.select(F.col("key").alias("j"), "coef"), "j").groupBy("i").agg(F.sum(F.col("s") * F.col("coef")).alias("ax"))
+    penalty = F.when(F.col("i") == "mean|", 1e-3).otherwise(2.0)
+    gap = left.join(coefs.select(F.col("key").alias("i"), "coef"), "i").join(equations.where("j IS NULL").select("i", F.col("s").alias("b")), "i").select(F.max(F.abs(F.col("ax") + penalty * F.col("coef") - F.col("b")))).first()[0]
+    assert gap < 1e-7
+
+
 def test_waterfill(spark):
     rng = random.Random(6)
     rows = [(g, i, rng.choice([1.0, 2.0, 5.0, 40.0])) for g in range(6) for i in range(1 + 3 * g)]
