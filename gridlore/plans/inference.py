@@ -118,15 +118,32 @@ def fold_kalman_loglik(t):
     return found.join(F.broadcast(names), "config")
 
 
+def term(name, value=1.0, *parts):
+    """One (key, x) of a row: the key is the name and the parts after "|"."""
+    key = F.concat_ws("|", F.lit(name), *[F.col(c).cast("string") for c in parts]) if parts else F.lit(f"{name}|")
+    return F.struct(key.alias("key"), (F.lit(value) if isinstance(value, float) else value).cast("double").alias("x"))
+
+
 def rating_terms(t):
+    """Mean value by game and sides, with a term for who is at home: 1 the offence, -1 the defence, 0 neither."""
     rows = t.plays.groupBy("game_id", "season", "off", "def").agg(F.avg("epa").alias("y"), F.count("*").cast("double").alias("w"))
-    key = lambda side: F.struct(F.concat(F.lit(f"{side}|"), F.col(side).cast("string")).alias("key"), F.lit(1.0).alias("x"))
-    return rows.withColumn("terms", F.array(F.struct(F.lit("mean|").alias("key"), F.lit(1.0).alias("x")), key("off"), key("def")))
+    site = F.when(F.col("neutral"), 0).when(F.col("off") == F.col("home"), 1).when(F.col("def") == F.col("home"), -1).otherwise(0)
+    rows = rows.join(t.games.select("game_id", "home", "neutral"), "game_id").withColumn("site", site).drop("home", "neutral")
+    return rows.withColumn("terms", F.array(term("mean"), term("home", F.col("site")), term("off", 1.0, "off"), term("def", 1.0, "def")))
+
+
+def last_of(df, column):
+    """The greatest value of a period column."""
+    return int(df.agg(F.max(column)).first()[0] or 0)
 
 
 @query("fit_ridge_ratings")
 def fit_ridge_ratings(t):
-    return M.solve_ridge(M.gram(rating_terms(t), ["season"], ["game_id"], "y", "w"), ["season"], {"mean": 1e-6}, 50.0)
+    """Offence, defence and home ratings as of each week, from the rows of earlier weeks, halved every eight weeks."""
+    rows = rating_terms(t).join(t.games.select("game_id", "week"), "game_id").withColumn("period", F.col("season") * 53 + F.col("week"))
+    asof_week = M.decayed_gram(M.gram(rows, ["period"], ["game_id"], "y", "w"), "period", 0.5 ** (1 / 8), last_of(rows, "period") + 1)
+    solved = M.solve_ridge(asof_week, ["period"], {"mean": 1e-6, "home": 1e-6}, 50.0)
+    return solved.select(F.floor((F.col("period") - 1) / 53).cast("int").alias("season"), (F.pmod(F.col("period") - 1, F.lit(53)) + 1).cast("int").alias("week"), "key", "coef", "weight")
 
 
 @query("score_ratings")
@@ -138,12 +155,21 @@ def score_ratings(t):
     return both.groupBy("season").agg(F.avg(F.pow(F.col("y") - F.col("pred"), 2)).alias("mse"), F.try_divide(F.covar_samp("y", "pred"), F.stddev_samp("y") * F.stddev_samp("pred")).alias("c"))
 
 
+def priors_of(t, side, player, scale, strength, per):
+    """(season, key, prior, penalty): a member's decayed earlier mean, scaled, as prior; its penalty grows with the evidence, by the group's strength."""
+    v = asof.decayed_values(t.plays.withColumns({"one": F.lit(1.0), "player": player}), ["player"], "season", "epa", "one", 2.0, 0.0, 20.0)
+    group = F.coalesce(F.substring("grp", -1, 1).cast("double"), F.lit(3.0))
+    v = v.join(t.players.select("player", "grp"), "player", "left")
+    return v.select("season", F.concat(F.lit(f"{side}|"), F.col("player").cast("string")).alias("key"), (scale * F.col("value")).alias("prior"), ((strength + 5 * group) * (1 + F.col("weight") * per)).alias("penalty"))
+
+
 @query("fit_qb_joint_ridge")
 def fit_qb_joint_ridge(t):
-    rows = t.plays.where("is_pass = 1").groupBy("passer", "def", "season").agg(F.avg("epa").alias("y"), F.count("*").cast("double").alias("w"))
-    key = lambda n, *c: F.struct(F.concat_ws("|", F.lit(n), *[F.col(x).cast("string") for x in c]).alias("key"), F.lit(1.0).alias("x"))
-    rows = rows.withColumn("terms", F.array(F.struct(F.lit("mean|").alias("key"), F.lit(1.0).alias("x")), key("qb", "passer"), key("opp", "def")))
-    return M.solve_ridge(M.gram(rows, ["season"], ["passer"], "y", "w"), ["season"], {"mean": 1e-6, "qb": 30.0}, 60.0)
+    """Passers and their opponents of each season together, season-ahead: earlier means as priors, rows of one play count half."""
+    rows = t.plays.where("is_pass = 1").groupBy("passer", "def", "season").agg(F.avg("epa").alias("y"), F.count("*").cast("double").alias("n"))
+    rows = rows.withColumn("w", F.col("n") * F.when(F.col("n") < 2, 0.5).otherwise(1.0)).withColumn("terms", F.array(term("mean"), term("qb", 1.0, "passer"), term("opp", 1.0, "def", "season")))
+    ahead = M.decayed_gram(M.gram(rows, ["season"], ["passer"], "y", "w"), "season", 0.7, last_of(rows, "season"))
+    return M.solve_ridge(ahead, ["season"], {"mean": 1e-6, "opp": 60.0}, 30.0, priors_of(t, "qb", F.col("passer"), 1.0, 25.0, 0.0))
 
 
 @query("build_entity_delta_variants")
@@ -155,27 +181,46 @@ def build_entity_delta_variants(t):
     return out.select("game_id", "delta_slow", "delta_fast")
 
 
-def member_terms(t, penal=False):
-    rows = t.plays.groupBy("game_id", "season", "off").agg(F.avg("epa").alias("y"), F.count("*").cast("double").alias("w"), F.collect_set("player").alias("members"))
-    return rows.withColumn("terms", F.concat(F.array(F.struct(F.lit("mean|").alias("key"), F.lit(1.0).alias("x"))), F.transform("members", lambda m: F.struct(F.concat(F.lit("m|"), m.cast("string")).alias("key"), F.lit(1.0).alias("x")))))
+def defender():
+    return F.pmod(F.col("player") * 7 + F.col("passer"), F.lit(400))
+
+
+def member_terms(t):
+    """Mean value by game and sides, with members of both sides and what the situation was."""
+    rows = t.plays.groupBy("game_id", "season", "off", "def").agg(F.avg("epa").alias("y"), F.count("*").cast("double").alias("w"), F.collect_set("player").alias("offs"), F.collect_set(defender()).alias("defs"), F.avg("is_pass").alias("passes"), (F.avg("yardline") / 100).alias("far"))
+    side = lambda name, column: F.transform(column, lambda m: F.struct(F.concat(F.lit(f"{name}|"), m.cast("string")).alias("key"), F.lit(1.0).alias("x")))
+    return rows.withColumn("terms", F.concat(F.array(term("mean"), term("z|pass", F.col("passes")), term("z|far", F.col("far"))), side("off", "offs"), side("def", "defs"))).drop("offs", "defs")
 
 
 @query("fit_with_without")
 def fit_with_without(t):
-    return M.solve_ridge(M.gram(member_terms(t), ["season"], ["game_id"], "y", "w"), ["season"], {"mean": 1e-6}, 80.0)
+    """Shares of the plays of a game and side, season-ahead; members are shrunk to their earlier means, harder the more of them is known."""
+    per = t.plays.groupBy("game_id", "season", "off", "player").agg(F.sum("epa").alias("s"), F.count("*").cast("double").alias("n"))
+    rows = per.groupBy("game_id", "season", "off").agg((F.sum("s") / F.sum("n")).alias("y"), F.sum("n").alias("w"), F.collect_list(F.struct("player", "n")).alias("members"))
+    rows = rows.withColumn("terms", F.concat(F.array(term("mean")), F.transform("members", lambda m: F.struct(F.concat(F.lit("m|"), m["player"].cast("string")).alias("key"), (m["n"] / F.col("w")).alias("x")))))
+    ahead = M.decayed_gram(M.gram(rows, ["season"], ["game_id"], "y", "w"), "season", 0.6, last_of(rows, "season"))
+    return M.solve_ridge(ahead, ["season"], {"mean": 1e-6}, 40.0, priors_of(t, "m", F.col("player"), 1.0, 20.0, 0.05))
+
+
+def plus_minus(t):
+    """Season-ahead ratings of the members of both sides: statistics of earlier seasons halve each year, priors and strengths by group."""
+    rows = member_terms(t)
+    ahead = M.decayed_gram(M.gram(rows, ["season"], ["game_id"], "y", "w"), "season", 0.5, last_of(rows, "season"))
+    priors = priors_of(t, "off", F.col("player"), 0.5, 60.0, 0.0).unionByName(priors_of(t, "def", defender(), 0.25, 80.0, 0.0))
+    return rows, M.solve_ridge(ahead, ["season"], {"mean": 1e-6, "z": 1e-6}, 100.0, priors)
 
 
 @query("fit_rapm")
 def fit_rapm(t):
-    rows = member_terms(t).withColumn("w", F.col("w") * asof.half_life(1998 - F.col("season"), 2.0))
-    return M.solve_ridge(M.gram(rows, [], ["game_id"], "y", "w"), [], {"mean": 1e-6}, 100.0)
+    return plus_minus(t)[1]
 
 
 @query("predict_rapm")
 def predict_rapm(t):
-    rows = member_terms(t)
-    coefs = M.solve_ridge(M.gram(rows.where("season < 1997"), [], ["game_id"], "y", "w"), [], {"mean": 1e-6}, 100.0)
-    return M.predict_terms(rows.where("season >= 1997"), coefs, ["game_id", "season", "off"])
+    """Predicted value of each game and side from the ratings before its season: members, those unseen at their prior, and the situation."""
+    rows, coefs = plus_minus(t)
+    seasons = coefs.select("season").distinct()
+    return M.predict_terms(rows.join(F.broadcast(seasons), "season"), coefs, ["game_id", "season", "off", "def"], ["season"])
 
 
 SEASONS = [1996, 1997]
