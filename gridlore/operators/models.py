@@ -223,8 +223,30 @@ def fit_classes(train: DataFrame, features: Sequence[str], y: str, trees: int =
     return RandomForestClassifier(featuresCol="features_", labelCol=y, numTrees=trees, maxDepth=4, seed=7).fit(assembled(train, features))
 
 
-def fit_isotonic(train: DataFrame, x: str, y: str):
-    return IsotonicRegression(featuresCol=x, labelCol=y).fit(train)
+def fit_isotonic(train: DataFrame, x: str, y: str) -> list[tuple[float, float]]:
+    """Knots (x, y) of an isotonic calibration of forecasts: the centres of the pooled blocks, and the ends 0 and 1.
+
+    Spark pools the rows; a block's centre is the mean forecast of its rows.
+    Between centres the map is linear, so it rises wherever blocks differ. Rows
+    with a null are left out; without rows the map is the identity.
+    """
+    used = train.select(F.col(x).cast("double").alias("x_"), F.col(y).cast("double").alias("y_")).na.drop()
+    if used.isEmpty():
+        return [(0.0, 0.0), (1.0, 1.0)]
+    fitted = IsotonicRegression(featuresCol="x_", labelCol="y_", predictionCol="f_").fit(used).transform(used)
+    blocks = sorted((r["c"], r["f"]) for r in fitted.groupBy(F.round("f_", 12).alias("f")).agg(F.avg("x_").alias("c")).collect())
+    rising = [b for i, b in enumerate(blocks) if i == 0 or b[0] > blocks[i - 1][0]]
+    return [(0.0, min(0.0, rising[0][1])), *rising, (1.0, max(1.0, rising[-1][1]))]
+
+
+def interpolated(x: Column, knots: Sequence[tuple[float, float]], margin: float = 1e-6) -> Column:
+    """The piecewise linear map through knots, kept `margin` away from 0 and 1; null stays null."""
+    xs, ys = (F.array(*[F.lit(float(k[i])) for k in knots]) for i in (0, 1))
+    at = F.greatest(F.least(F.size(F.filter(xs, lambda v: v <= x)), F.lit(len(knots) - 1)), F.lit(1))
+    left, right, low, high = (F.element_at(c, i.cast("int")) for c, i in ((xs, at), (xs, at + 1), (ys, at), (ys, at + 1)))
+    inside = low + F.coalesce(F.try_divide(x - left, right - left), F.lit(0.0)) * (high - low)
+    bounded = F.when(x <= knots[0][0], knots[0][1]).when(x >= knots[-1][0], knots[-1][1]).otherwise(inside)
+    return F.when(x.isNotNull(), F.greatest(F.least(bounded, F.lit(1 - margin)), F.lit(margin)))
 
 
 def fit_stack(train: DataFrame, logits: Sequence[str], y: str, penalty: float, weight: str | None = None, rounds: int = 30) -> list[float]:
@@ -303,9 +325,74 @@ def offset_cells(df: DataFrame, cell: Sequence[str], y: str, p: str, prior_sd: f
     return cells
 
 
-def pseudo_outcome(action: Column, observed: Column, y: Column, mu: Column, e: Column, floor: float = 0.0) -> Column:
-    """Doubly robust value of an action for a row: its modelled mean, plus the weighted residual if it was taken; null below the floor."""
-    return F.when(e >= floor, mu + F.when(observed == action, (y - mu) / e).otherwise(0.0))
+def leave_one_out(rows: DataFrame, fold: str, by: Sequence[str], row_id: Sequence[str], y: str, penalty: float, terms: str = "terms") -> DataFrame:
+    """(fold, by, key, coef): ridge models of the rows outside each fold, all from one pass.
+
+    Equations are summed by fold; those of the other folds are the total less
+    the fold's own.
+    """
+    own = gram(rows, [fold, *by], row_id, y, terms=terms)
+    total = own.groupBy(*by, "i", "j").agg(F.sum("s").alias("t_"))
+    folds = rows.select(fold).distinct()
+    part = own.select(F.col(fold).alias("f_"), *[F.col(c).alias(f"{c}_") for c in by], F.col("i").alias("i_"), F.col("j").alias("j_"), "s")
+    met = F.col(fold).eqNullSafe(F.col("f_")) & F.col("i").eqNullSafe(F.col("i_")) & F.col("j").eqNullSafe(F.col("j_"))
+    for c in by:
+        met = met & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    others = total.crossJoin(F.broadcast(folds)).join(part, met, "left").select(fold, *by, "i", "j", (F.col("t_") - F.coalesce("s", F.lit(0.0))).alias("s"))
+    return solve_ridge(others, [fold, *by], {}, penalty).select(fold, *by, "key", "coef")
+
+
+def action_nuisances(rows: DataFrame, keys: Sequence[str], fold: str, action: str, actions: int, features: Sequence[str], y: str, extra: DataFrame | None = None, penalty: float = 1e-6) -> DataFrame:
+    """The rows with `e` and `mu`, arrays over actions: propensities and expected outcomes from models that saw no row of the row's fold.
+
+    Propensities are a multinomial model, fitted once for each fold (folds are
+    seasons, so few) on all the other rows; outcomes are a linear model for
+    each action, all folds from one pass over the rows. Rows of `extra` get
+    models of all `rows`. An action that a fold's other rows never take has
+    propensity 0. Needs two folds.
+    """
+    folds = [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]
+    if len(folds) < 2:
+        raise ValueError("cross-fitting needs at least two folds")
+    unseen = F.lit(None).cast(dict(rows.dtypes)[fold])
+    parts = [(rows.where(F.col(fold) != f), rows.where(F.col(fold) == f)) for f in folds]
+    scored = [class_shares(_fit_actions(train, features, action), test.withColumn("fold_", F.col(fold)), features, "e") for train, test in parts]
+    if extra is not None:
+        scored.append(class_shares(_fit_actions(rows, features, action), extra.withColumn("fold_", unseen), features, "e"))
+    out = scored[0]
+    for part in scored[1:]:
+        out = out.unionByName(part)
+    full = F.concat("e", F.array_repeat(F.lit(0.0), F.lit(actions) - F.size("e")))
+    terms = F.array(F.struct(F.lit("1").alias("key"), F.lit(1.0).alias("x")), *[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("x")) for c in features])
+    named = rows.withColumn("terms", terms).withColumn("fold_", F.col(fold))
+    coefs = leave_one_out(named, "fold_", [action], list(keys), y, penalty)
+    if extra is not None:
+        whole = solve_ridge(gram(named, [action], list(keys), y), [action], {}, penalty)
+        coefs = coefs.unionByName(whole.select(unseen.alias("fold_"), action, "key", "coef"))
+    table = coefs.groupBy("fold_", action).agg(F.map_from_entries(F.collect_list(F.struct("key", "coef"))).alias("c_")).groupBy("fold_").agg(F.map_from_entries(F.collect_list(F.struct(F.col(action).cast("int"), "c_"))).alias("models_")).withColumnRenamed("fold_", "f_")
+    met = out.withColumn("e", full).join(F.broadcast(table), F.col("fold_").eqNullSafe(F.col("f_")))
+
+    def mean(a: Column) -> Column:
+        own = F.try_element_at("models_", a)
+        return F.coalesce(F.try_element_at(own, F.lit("1")) + sum((F.try_element_at(own, F.lit(c)) * F.col(c) for c in features), F.lit(0.0)), F.lit(0.0))
+
+    return met.withColumn("mu", F.transform(F.sequence(F.lit(0), F.lit(actions - 1)), mean)).drop("fold_", "f_", "models_")
+
+
+def _fit_actions(train: DataFrame, features: Sequence[str], action: str):
+    return LogisticRegression(featuresCol="features_", labelCol=action, family="multinomial", maxIter=60, tol=1e-9).fit(assembled(train, features))
+
+
+def pseudo_outcomes(e: Column, mu: Column, action: Column, y: Column, floor: float = 1e-6) -> Column:
+    """Doubly robust values of all actions for a row: the modelled means, and for the action taken the residual over its propensity, at least `floor`, on top."""
+    taken = action.cast("int")
+    return F.transform(mu, lambda m, i: m + F.when(i == taken, (y - m) / F.greatest(F.get(e, taken), F.lit(max(floor, 1e-6)))).otherwise(0.0))
+
+
+def policy_value(recommended: Column, e: Column, values: Column, y: Column, overlap: float) -> Column:
+    """Doubly robust value of a recommended action less the outcome; 0 where none is recommended or its propensity is below `overlap`."""
+    on = recommended.isNotNull() & (F.get(e, recommended) >= overlap)
+    return F.when(on, F.get(values, recommended) - y).otherwise(0.0)
 
 
 def prepared(train: DataFrame, df: DataFrame, features: Sequence[str]) -> DataFrame:

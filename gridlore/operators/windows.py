@@ -149,3 +149,26 @@ def tie_ladder(rows: DataFrame, teams: DataFrame, by: Sequence[str], group: Sequ
 
     schema = StructType([*[tied.schema[c] for c in keys], StructField("place", IntegerType())])
     return alone.union(tied.join(pairs, [*by, "team"], "left").groupBy(*by, *group, "first_").applyInPandas(order, schema))
+
+
+def combined_ranks(teams: DataFrame, by: Sequence[str], scored: str, allowed: str, alias: str) -> DataFrame:
+    """The teams with minus the sum of their ranks in points scored and in points allowed, so that more is better; equal points share a rank."""
+    w = Window.partitionBy(*by)
+    ranks = F.rank().over(w.orderBy(F.desc(scored))) + F.rank().over(w.orderBy(allowed))
+    return teams.withColumn(alias, -ranks.cast("double"))
+
+
+def seed_field(rows: DataFrame, teams: DataFrame, by: Sequence[str], division: str, conference: str, score: str, division_steps: Sequence[str], steps: Sequence[str], seeds: int) -> DataFrame:
+    """(by, conference, team, seed) of each conference's first `seeds`: the winners of divisions ahead of the rest.
+
+    Divisions are ordered by their own ladder. Winners are then ordered among
+    each other, and the others after them, by `steps` with only the best team of
+    a division competing for a pick. A division of one team has that as winner.
+    """
+    places = tie_ladder(rows, teams, by, [division], score, division_steps).select(*by, "team", F.col("place").alias("at_"))
+    table = teams.join(places, [*by, "team"])
+    first = tie_ladder(rows, table.where("at_ = 1"), by, [conference], score, steps, (division, "at_"))
+    rest = tie_ladder(rows, table.where("at_ > 1"), by, [conference], score, steps, (division, "at_"))
+    winners = table.where("at_ = 1").groupBy(*by, conference).agg(F.count("*").cast("int").alias("w_"))
+    after = rest.join(winners, [*by, conference]).withColumn("place", F.col("place") + F.col("w_")).drop("w_")
+    return first.unionByName(after).where(F.col("place") <= seeds).withColumnRenamed("place", "seed")

@@ -284,11 +284,20 @@ def fit_gbm_bins(t):
     return M.class_shares(m, rows.where("season >= 1997"), x).select("game_id", "play_id", "player", F.array_max("shares").alias("top"), F.size("shares").alias("bins"))
 
 
-@query("fit_isotonic")
+ISOTONIC = """WITH d AS (SELECT * FROM games WHERE y <> 5e-1), t AS (SELECT p, sum(y) AS s, count(*) AS n FROM d WHERE season < 1997 GROUP BY p),
+r AS (SELECT row_number() OVER w AS i, p, s, n, sum(s) OVER w AS cs, sum(n) OVER w AS cn FROM t WINDOW w AS (ORDER BY p)),
+v AS (SELECT a.i AS a, b.i AS i, min((b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS v FROM r a JOIN r b ON b.i >= a.i),
+f AS (SELECT i, max(v) AS f FROM v GROUP BY i), k AS (SELECT sum(p * n) / sum(n) AS x, round(f, 12) AS f FROM f JOIN r USING (i) GROUP BY round(f, 12)),
+e AS (SELECT x, f FROM k UNION ALL SELECT 0e0, least(0e0, min(f)) FROM k UNION ALL SELECT 1e0, greatest(1e0, max(f)) FROM k),
+z AS (SELECT x AS x0, f AS f0, lead(x) OVER (ORDER BY x, f) AS x1, lead(f) OVER (ORDER BY x, f) AS f1 FROM e)
+SELECT game_id, least(greatest(f0 + (p - x0) / (x1 - x0) * (f1 - f0), 1e-6), 1 - 1e-6) AS pred FROM d JOIN z ON p >= x0 AND p < x1 WHERE season >= 1997"""
+
+
+@query("fit_isotonic", ISOTONIC, "pred")
 def fit_isotonic(t):
     f = frame(t)
-    m = M.fit_isotonic(f.where("season < 1997"), "p", "y")
-    return m.transform(f.where("season >= 1997")).select("game_id", F.col("prediction").alias("pred"))
+    knots = M.fit_isotonic(f.where("season < 1997"), "p", "y")
+    return f.where("season >= 1997").select("game_id", M.interpolated(F.col("p"), knots).alias("pred"))
 
 
 @query("fit_fg_logit")
@@ -331,41 +340,45 @@ def fit_team_box_baselines(t):
     return M.mean_of(m, rows.where("season >= 1997"), ["box"], "pred").join(F.broadcast(base)).select("game_id", "pred", "intercept")
 
 
-def nuisance(t):
-    rows = sample(t).where("down <= 2")
-    x = ["togo", "yardline"]
+#: Actions of a play: the kinds A, N and R, in this order.
+KINDS = ("A", "N", "R")
 
-    def fit(train):
-        return M.fit_logistic(train, x, "is_pass"), M.fit_linear(train.where("is_pass = 1"), x, "epa"), M.fit_linear(train.where("is_pass = 0"), x, "epa")
-
-    def predict(m, test):
-        return M.mean_of(m[2], M.mean_of(m[1], M.probability(m[0], test, x, "e1"), x, "mu1"), x, "mu0")
 
-    halves = [rows.where(S.hash_holdout(F.col("game_id"), 2, k)) for k in (0, 1)]
-    return predict(fit(halves[0]), halves[1]).unionByName(predict(fit(halves[1]), halves[0]))
+def nuisance(t):
+    """Plays of the first two downs with propensities and means of three actions: cross-fitted by season up to 1996, later seasons by models of those."""
+    action = sum((F.when(F.col("kind") == k, float(i)).otherwise(0.0) for i, k in enumerate(KINDS)), F.lit(0.0))
+    rows = sample(t).where("down <= 2").withColumns({"action": action, "cell": A.bucket(F.col("togo"), [4, 8, 15])}).select("game_id", "play_id", "player", "season", "togo", "yardline", "epa", "action", "cell")
+    return M.action_nuisances(rows.where("season < 1997"), ["game_id", "play_id", "player"], "season", "action", len(KINDS), ["togo", "yardline"], "epa", rows.where("season >= 1997"))
 
 
 @query("fit_nuisance_crossfit")
 def fit_nuisance_crossfit(t):
-    return nuisance(t).select("game_id", "play_id", "player", "e1", "mu1", "mu0")
+    return nuisance(t).select("game_id", "play_id", "player", *[F.col("e")[i].alias(f"e{i}") for i in range(3)], *[F.col("mu")[i].alias(f"mu{i}") for i in range(3)])
 
 
-def doubly_robust(t):
-    n = nuisance(t)
-    return n.withColumns({"v1": M.pseudo_outcome(F.lit(1.0), F.col("is_pass"), F.col("epa"), F.col("mu1"), F.col("e1"), 0.02), "v0": M.pseudo_outcome(F.lit(0.0), F.col("is_pass"), F.col("epa"), F.col("mu0"), 1 - F.col("e1"), 0.02), "cell": A.bucket(F.col("togo"), [4, 8, 15])})
+def doubly_robust(t, floor=1e-6):
+    return nuisance(t).withColumn("g", M.pseudo_outcomes(F.col("e"), F.col("mu"), F.col("action"), F.col("epa"), floor))
 
 
 @query("aipw_pseudo")
 def aipw_pseudo(t):
-    return doubly_robust(t).groupBy("cell").agg(F.avg("v1").alias("v1"), F.avg("v0").alias("v0"), F.count("*").alias("n"))
+    """Mean doubly robust value of each action by cell, plain and with propensities of a tenth at least, and the value of the observed policy."""
+    g = doubly_robust(t).withColumn("trimmed", M.pseudo_outcomes(F.col("e"), F.col("mu"), F.col("action"), F.col("epa"), 0.1))
+    observed = F.aggregate(F.zip_with("e", "g", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    means = [F.avg(F.col(c)[i]).alias(f"{n}{i}") for c, n in (("g", "v"), ("trimmed", "trim")) for i in range(3)]
+    return g.where("season < 1997").groupBy("cell").agg(*means, F.avg(observed).alias("observed"), F.avg("epa").alias("mean"), F.count("*").alias("n"))
 
 
 @query("policy_apply_ope")
 def policy_apply_ope(t):
+    """The action that is clearly best in a cell of the earlier seasons, applied to later ones where it is common enough, and what it gains."""
     v = doubly_robust(t)
-    rec = v.groupBy("cell").agg((F.avg("v1") > F.avg("v0")).cast("double").alias("rec"))
-    gain = F.when(F.col("rec") == 1, F.col("v1")).otherwise(F.col("v0")) - F.col("epa")
-    return v.join(F.broadcast(rec), "cell").groupBy("season").agg(F.avg(gain).alias("gain"), F.avg((F.col("rec") != F.col("is_pass")).cast("double")).alias("changed"))
+    long = v.where("season < 1997").select("cell", F.posexplode(F.transform("g", lambda x: x - F.col("epa"))).alias("a", "gain"))
+    cells = long.groupBy("cell", "a").agg(F.avg("gain").alias("gain"), (F.stddev_samp("gain") / F.sqrt(F.count("*"))).alias("se"))
+    rec = cells.groupBy("cell").agg(F.max_by(F.struct("a", "gain", "se"), F.struct("gain", -F.col("a"))).alias("b")).where("b.gain > 1.645 * b.se").select("cell", F.col("b.a").alias("rec"))
+    test = v.where("season >= 1997").join(F.broadcast(rec), "cell", "left")
+    gain = M.policy_value(F.col("rec"), F.col("e"), F.col("g"), F.col("epa"), 0.05)
+    return test.groupBy("season").agg(F.count("*").alias("n"), F.avg(gain).alias("gain"), F.avg((F.col("rec").isNotNull() & (F.col("rec") != F.col("action"))).cast("double")).alias("changed"))
 
 
 @query("placebo_shuffle", "SELECT season, down, sum(is_pass) AS passes, count(*) AS n FROM plays GROUP BY ALL", "passes")

@@ -225,6 +225,24 @@ def tie_ladder_rank(t):
     return X.tie_ladder(rows, teams, by, ["division"], "pct", LADDER)
 
 
+#: Steps between division winners and between the rest; two that met are parted by their games, more by a sweep.
+WILD = ("sweep", "conf", "common4", "sov", "sos", "rank_conf", "rank_all", "net_conf", "net")
+
+
+@query("tie_seed_field")
+def tie_seed_field(t):
+    """Seven seeds of each half of a league: division winners first, then the best of the rest."""
+    by = ["league", "season"]
+    half = t.teams.withColumn("half", (F.col("division") >= 3).cast("int"))
+    rows = contests.unpivot_sides(t.league_games, by, mirrored={"points": ("home_score", "away_score")}, flipped={"result": "y"}).withColumn("margin", F.col("points") - F.col("points_opp"))
+    base = contests.standings(rows, by, F.broadcast(t.teams)).withColumns({"div": F.col("group_pct"), "sov": F.coalesce("sov", F.lit(0.0))}).join(F.broadcast(half), "team")
+    own, other = half.select("team", F.col("half").alias("h1")), half.select(F.col("team").alias("opp"), F.col("half").alias("h2"))
+    inside = rows.join(F.broadcast(own), "team").join(F.broadcast(other), "opp").where("h1 = h2").groupBy(*by, "team").agg(F.avg("result").alias("conf"), F.sum("margin").cast("double").alias("net_conf"))
+    teams = X.combined_ranks(X.combined_ranks(base, [*by, "half"], "scored", "allowed", "rank_conf"), by, "scored", "allowed", "rank_all")
+    teams = teams.join(inside, [*by, "team"], "left").select(*by, "division", "half", "team", "pct", "div", "sov", "sos", "net", "conf", F.coalesce("net_conf", F.lit(0.0)).alias("net_conf"), "rank_conf", "rank_all")
+    return X.seed_field(rows, teams, by, "division", "half", "pct", LADDER, WILD, 7)
+
+
 @query("tie_criteria", f"""WITH {SIDES}, g AS (SELECT season, team, division AS tie_group FROM teams CROSS JOIN (SELECT DISTINCT season FROM games)), b AS (SELECT season, team, sum(result) AS w, count(*) AS n, avg(result) AS pct, sum(points - points_opp)::BIGINT AS net FROM sides GROUP BY ALL),
 x AS (SELECT s.season, s.team, sum(o.w) / sum(o.n) AS sos, sum(o.w) FILTER (WHERE result = 1) / sum(o.n) FILTER (WHERE result = 1) AS sov FROM sides s JOIN b o ON o.season = s.season AND o.team = s.opp GROUP BY ALL),
 h AS (SELECT s.season, s.team, avg(result) AS h2h FROM sides s JOIN g a ON a.season = s.season AND a.team = s.team JOIN g o ON o.season = s.season AND o.team = s.opp WHERE a.tie_group = o.tie_group GROUP BY ALL),

@@ -403,6 +403,156 @@ def test_tie_ladder(spark):
     assert _ladder(spark, swept, wild, ["sweep", "net"], best_of=("division", "at")) == ["d", "a", "b", "c"]  # b waits for a; d beat a and c
 
 
+def _seeds(results, table, div_steps, wild_steps, n):
+    """Seeds by plain dictionaries: the ladder, the best of each division, one pick after another."""
+    met = {}
+    for a, b, x, d in results:
+        for t, o, r, m in ((a, b, x, d), (b, a, 1 - x, -d)):
+            met.setdefault(t, []).append((o, r, m))
+    facts = {t["team"]: t for t in table}
+
+    def step(name, tied):
+        if name not in X.AMONG:
+            return {t: facts[t][name] for t in tied}
+        games = {t: [g for g in met.get(t, []) if g[0] in tied] if name in ("h2h", "sweep") else met.get(t, []) for t in tied}
+        if name not in ("h2h", "sweep"):
+            shared = set.intersection(*[{g[0] for g in games[t]} for t in tied])
+            games = {t: [g for g in games[t] if g[0] in shared] for t in tied}
+        if name == "common_net":
+            return {t: sum(g[2] for g in games[t]) for t in tied}
+        if any(len(games[t]) < (4 if name == "common4" else 1) for t in tied) and not (name == "sweep" and len(tied) > 2):
+            return None
+        if name == "sweep" and len(tied) > 2:
+            full = {t: len({g[0] for g in games[t]}) == len(tied) - 1 for t in tied}
+            beat = {t: full[t] and all(g[1] == 1 for g in games[t]) for t in tied}
+            lost = {t: full[t] and all(g[1] == 0 for g in games[t]) for t in tied}
+            return {t: float(beat[t]) if any(beat.values()) else float(not lost[t]) for t in tied}
+        return {t: sum(g[1] for g in games[t]) / len(games[t]) for t in tied}
+
+    def pick(tied, steps):
+        tied = sorted(tied)
+        while len(tied) > 1:
+            for name in steps:
+                v = step(name, tied)
+                best = tied if v is None or any(x is None for x in v.values()) else [t for t in tied if v[t] >= max(v.values()) - 1e-9]
+                if len(best) < len(tied):
+                    tied = best
+                    break
+            else:
+                return tied[0]
+        return tied[0]
+
+    def order(teams, choose):
+        out, left = [], list(teams)
+        while left:
+            top = max(facts[t]["pct"] for t in left)
+            out.append(choose([t for t in left if facts[t]["pct"] == top]))
+            left.remove(out[-1])
+        return out
+
+    divisions = {}
+    for t in table:
+        divisions.setdefault(t["division"], []).append(t["team"])
+    ladder = {d: order(ts, lambda g: pick(g, div_steps)) for d, ts in divisions.items()}
+
+    def wild(group):
+        best = [min((t for t in group if facts[t]["division"] == d), key=ladder[d].index) for d in {facts[t]["division"] for t in group}]
+        return pick(best, wild_steps)
+
+    winners = [o[0] for o in ladder.values()]
+    return (order(winners, wild) + order([t for t in facts if t not in winners], wild))[:n]
+
+
+def test_seed_field(spark):
+    """Random small leagues, full of ties, against plain dictionaries."""
+    rng = random.Random(31)
+    rows, teams, want = [], [], {}
+    for league in range(12):
+        names = [f"{d}{k}" for d in "abc" for k in range(3)]
+        results = [(*rng.sample(names, 2), rng.choice([0.0, 1.0, 1.0, 0.5]), float(rng.randrange(1, 5))) for _ in range(14)]
+        results = [(a, b, x, 0.0 if x == 0.5 else d if x else -d) for a, b, x, d in results]
+        sides = [r for a, b, x, d in results for r in ((a, b, x, d), (b, a, 1 - x, -d))]
+        own = []
+        for t in names:
+            mine = [s for s in sides if s[0] == t]
+            if mine:
+                own.append({"team": t, "division": t[0], "conf": "z", "pct": round(sum(s[2] for s in mine) / len(mine), 9), "net": sum(s[3] for s in mine), "rank": -float(rng.randrange(3))})
+        rows += [(league, *s) for s in sides]
+        teams += [(league, *o.values()) for o in own]
+        want[league] = _seeds(results, own, ("h2h", "common", "net"), ("sweep", "common4", "rank", "net"), 6)
+    games = spark.createDataFrame(rows, "league int, team string, opp string, result double, margin double")
+    table = spark.createDataFrame(teams, "league int, team string, division string, conf string, pct double, net double, rank double")
+    got = X.seed_field(games, table, ["league"], "division", "conf", "pct", ("h2h", "common", "net"), ("sweep", "common4", "rank", "net"), 6).collect()
+    for league, order in want.items():
+        assert [r["team"] for r in sorted(got, key=lambda r: r["seed"]) if r["league"] == league] == order, league
+
+
+def test_combined_ranks(spark):
+    df = spark.createDataFrame([("a", 30, 10), ("b", 20, 10), ("c", 30, 40)], "team string, f long, a long").withColumn("s", F.lit(1))
+    assert {r["team"]: r["k"] for r in X.combined_ranks(df, ["s"], "f", "a", "k").collect()} == {"a": -2.0, "b": -4.0, "c": -4.0}
+
+
+def test_isotonic_rises_between_block_centres(spark):
+    rng = np.random.default_rng(14)
+    x = np.round(rng.random(500), 2)
+    y = (rng.random(500) < x**2).astype(float)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)] + [(None, 1.0)], "x double, y double")
+    knots = M.fit_isotonic(df, "x", "y")
+    blocks = [[a, [b]] for a, b in sorted((float(a), [b for c, b in zip(x, y) if c == a]) for a in set(x))]
+    blocks = [[sum([[a] * len(b[0])], []), b[0]] for a, b in blocks]
+    i = 0
+    while i < len(blocks) - 1:  # pool neighbours that fall
+        if np.mean(blocks[i][1]) >= np.mean(blocks[i + 1][1]):
+            blocks[i : i + 2] = [[blocks[i][0] + blocks[i + 1][0], blocks[i][1] + blocks[i + 1][1]]]
+            i = max(i - 1, 0)
+        else:
+            i += 1
+    want = [(np.mean(a), np.mean(b)) for a, b in blocks]
+    assert np.allclose(knots[1:-1], want) and knots[0] == (0.0, 0.0) and knots[-1] == (1.0, 1.0)
+    at = [-0.5, 0.0, *np.linspace(0.001, 0.999, 300).tolist(), 1.0, 2.0]
+    got = [r[0] for r in spark.createDataFrame([(float(v),) for v in at], "x double").select(M.interpolated(F.col("x"), knots)).collect()]
+    assert np.allclose(got, np.clip(np.interp(at, *zip(*knots)), 1e-6, 1 - 1e-6))
+    inside = [g for v, g in zip(at, got) if knots[1][0] < v < knots[-2][0] and 1e-6 < g < 1 - 1e-6]
+    assert len(inside) > 200 and all(a < b for a, b in zip(inside, inside[1:]))
+    assert spark.range(1).select(M.interpolated(F.lit(None).cast("double"), knots)).first()[0] is None and M.fit_isotonic(df.where("x > 5"), "x", "y") == [(0.0, 0.0), (1.0, 1.0)]
+
+
+def test_crossfit_sees_no_own_fold(spark):
+    """Propensities and means of a fold don't change with its rows; a known effect comes out."""
+    rng = np.random.default_rng(17)
+    n = 3000
+    x = rng.normal(size=n)
+    logits = np.c_[np.zeros(n), 0.8 * x, -0.5 * x]
+    p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    a = np.array([rng.choice(3, p=q) for q in p])
+    y = x + np.array([0.0, 0.7, -0.3])[a] + rng.normal(size=n) * 0.5
+    rows = [(i, 2000 + i % 4, float(x[i]), float(a[i]), float(y[i])) for i in range(n)]
+    schema = "id long, season int, x double, action double, y double"
+    fit = lambda r, extra=None: M.action_nuisances(spark.createDataFrame(r, schema), ["id"], "season", "action", 3, ["x"], "y", extra)
+    got = {r["id"]: r for r in fit(rows).collect()}
+    changed = {r["id"]: r for r in fit([(i, s, v, (k + 1) % 3, -9 * w) if s == 2002 else (i, s, v, k, w) for i, s, v, k, w in rows]).collect()}
+    own = [i for i in range(n) if i % 4 == 2]
+    assert all(np.allclose(got[i]["e"], changed[i]["e"], atol=1e-6) and np.allclose(got[i]["mu"], changed[i]["mu"], atol=1e-6) for i in own)
+    assert not np.allclose(got[0]["mu"], changed[0]["mu"], atol=1e-3)
+    assert np.abs(np.array([got[i]["e"] for i in range(n)]) - p).mean() < 0.02
+    g = fit(rows).select(M.pseudo_outcomes(F.col("e"), F.col("mu"), F.col("action"), F.col("y")).alias("g")).collect()
+    means = np.mean([r["g"] for r in g], axis=0)
+    assert np.allclose(means - means[0], [0.0, 0.7, -0.3], atol=0.08)
+    past = [r for r in rows if r[1] < 2003]
+    later = spark.createDataFrame([r for r in rows if r[1] == 2003], schema)
+    ahead = {r["id"]: r for r in fit(past, later).collect()}
+    assert len(ahead) == n and all(np.allclose(ahead[i]["mu"], got[i]["mu"], atol=1e-6) for i in range(3, n, 4))
+    with pytest.raises(ValueError, match="two folds"):
+        fit([r for r in rows if r[1] == 2000])
+
+
+def test_policy_value(spark):
+    row = spark.createDataFrame([(1, [0.2, 0.8], [1.0, 3.0], 0.5), (0, [0.01, 0.99], [1.0, 3.0], 0.5), (None, [0.5, 0.5], [1.0, 3.0], 0.5)], "rec int, e array<double>, g array<double>, y double")
+    assert [r[0] for r in row.select(M.policy_value(F.col("rec"), F.col("e"), F.col("g"), F.col("y"), 0.05)).collect()] == [2.5, 0.0, 0.0]
+    trimmed = spark.range(1).select(M.pseudo_outcomes(F.array(F.lit(0.01), F.lit(0.99)), F.array(F.lit(1.0), F.lit(2.0)), F.lit(0.0), F.lit(3.0), 0.1)).first()[0]
+    assert np.allclose(trimmed, [1.0 + 2.0 / 0.1, 2.0])
+
+
 def test_guards(spark, tmp_path):
     a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k long, v double")
     with pytest.raises(ValueError, match="without a match"):
