@@ -49,6 +49,8 @@ def scan_schedule_cached(t):
 def scan_season_parquet(t):
     path = S.scratch(t.spark, "seasons")
     S.write_partitioned(t.games, path, "season")
+    rules = {"without id": F.col("game_id").isNotNull(), "with a forecast outside 0 to 1": F.col("p").between(0, 1), "against themselves": F.col("home") != F.col("away")}
+    S.scan_validated(S.scan_partitions(t.spark, path, "season", [1994, 1996]), rules)
     return S.scan_partitions(t.spark, path, "season", [1994, 1996], ["season", "home", "p"])
 
 
@@ -140,9 +142,9 @@ def scan_many_inputs(t):
     return parts[0].union(parts[1])
 
 
-@query("scan_cleaned_plays_cache", "SELECT game_id, play_id, player, epa FROM plays WHERE kind = 'R'", "epa")
+@query("scan_cleaned_plays_cache", "SELECT game_id, play_id, player, epa FROM plays WHERE epa IS NOT NULL AND player IS NOT NULL", "epa")
 def scan_cleaned_plays_cache(t):
-    clean = t.plays.where("kind = 'R'").select("game_id", "play_id", "player", "epa")
+    clean = t.plays.where("epa IS NOT NULL AND player IS NOT NULL").select("game_id", "play_id", "player", "epa")
     root = S.scratch(t.spark, "cleaned")
     key = S.table_key(clean)
     S.cached(clean, root, key)
@@ -211,16 +213,15 @@ def table_fingerprint(t):
     return joined.select("season", "n", F.when(same, 0).otherwise(1).cast("long").alias("changed"))
 
 
-@query("manifest_status", "SELECT 'season=' || season AS part, CASE WHEN season = 1995 THEN 'changed' WHEN season = 1996 THEN 'missing' ELSE 'same' END AS status FROM games GROUP BY season")
+@query("manifest_status", """WITH n AS (SELECT season, count(*) AS n FROM games GROUP BY season)
+SELECT 'season=' || season AS part, CASE WHEN season = 1995 THEN 'changed' WHEN season = 1996 THEN 'missing' WHEN season = 2095 THEN 'new' ELSE 'same' END AS status, CASE WHEN season < 2095 THEN n END AS rows_was, CASE WHEN season <> 1996 THEN n END AS rows_now
+FROM (SELECT * FROM n UNION ALL SELECT 2095, n FROM n WHERE season = 1995)""")
 def manifest_status(t):
-    path = S.scratch(t.spark, "manifest")
-    one = lambda rows: rows.repartition("season").write.partitionBy("season").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    one(t.games)
-    hashes = lambda name: S.file_hashes(t.spark, path).where("file LIKE '%.parquet'").select(F.regexp_extract("path", "(season=[^/]*)/", 1).alias("part"), F.col("sha256").alias(name))
-    content = lambda name: hashes(name).groupBy("part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(name)), ","), 256).alias(name))
-    kept = S.scratch(t.spark, "kept")
-    content("was").write.parquet(kept)
-    one(t.games.where("season = 1995").withColumn("p", F.col("p") + 1))
-    now = content("now").where("part <> 'season=1996'")  # as if that file were gone
-    status = F.when(F.col("now").isNull(), "missing").when(F.col("was") == F.col("now"), "same").otherwise("changed")
-    return t.spark.read.parquet(kept).join(now, "part", "left").select("part", status.alias("status"))
+    """A folder of seasons against its manifest: one season was rewritten, one removed, one added."""
+    path, kept = S.scratch(t.spark, "manifest"), S.scratch(t.spark, "kept")
+    S.write_partitioned(t.games, path, "season")
+    S.manifest(t.spark, path, "(season=[^/]*)/").write.parquet(kept)
+    S.write_partitioned(t.games.where("season = 1995").withColumn("p", F.col("p") + 1), path, "season")
+    S.write_partitioned(t.games.where("season = 1995").withColumn("season", F.lit(2095)), path, "season")
+    S.remove(t.spark, f"{path}/season=1996")
+    return S.manifest_diff(t.spark.read.parquet(kept), S.manifest(t.spark, path, "(season=[^/]*)/"))

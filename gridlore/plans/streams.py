@@ -20,11 +20,16 @@ def entries(t):
     return t.ledger.withColumns({"run_at": F.col("run_at").cast("timestamp"), "deadline": F.expr("CAST('1996-01-01' AS TIMESTAMP)")})
 
 
-@query("stream_ledger_append", "SELECT run_id, key, p FROM ledger", "p")
+@query("stream_ledger_append", "SELECT CAST(year(run_at) AS INTEGER) AS run, run_id, key, p FROM ledger", "p")
 def stream_ledger_append(t):
-    s, out = streamed(t, entries(t), "ledger").select("run_id", "key", "p"), scratch(t.spark, "out")
-    L.drain(s, L.to_folder(out))
-    return L.results(t.spark, out, s)
+    """A run for each year, two files each, one run a batch; one run comes a second time, too late, and is refused."""
+    rows = t.ledger.select(F.year("run_at").alias("run"), "run_id", "key", "p")
+    path, out = scratch(t.spark, "ledger"), scratch(t.spark, "out")
+    years = sorted(r[0] for r in rows.select("run").distinct().collect())
+    for year in [*years, *years[:1]]:
+        rows.where(F.col("run") == year).repartition(2).write.mode("append").parquet(path)
+    L.drain(L.source(t.spark, path, rows.schema, files=2), L.guarded(out, rows.columns, "run"))
+    return L.results(t.spark, out, rows)
 
 
 @query("stream_deadline_reject", "SELECT run_id, run_at < TIMESTAMP '1996-01-01' AS accepted FROM ledger")
@@ -70,10 +75,12 @@ def stream_join_results(t):
     return L.results(t.spark, out, j)
 
 
-@query("stream_week_window", "SELECT strftime(TIMESTAMP '1970-01-01' + INTERVAL (floor(epoch(ts) / 604800) * 604800) SECOND, '%Y-%m-%d') AS week, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL", "total")
+@query("stream_week_window", """WITH s AS (SELECT event_type, value, floor(epoch(ts) / 604800) * 604800 - k * 604800 AS beg FROM events, (SELECT unnest([0, 1]) AS k))
+SELECT strftime(TIMESTAMP '1970-01-01' + INTERVAL (beg) SECOND, '%Y-%m-%d') AS week, event_type, count(*) AS n, sum(value) AS total FROM s GROUP BY ALL""", "total")
 def stream_week_window(t):
+    """Windows of two weeks that slide by one, so that an event is in two of them."""
     e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
-    w = streamed(t, e, "events").withWatermark("ts", "60 days").groupBy(F.window("ts", "7 days"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    w = streamed(t, e, "events").withWatermark("ts", "60 days").groupBy(F.window("ts", "14 days", "7 days"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     s = w.select(F.date_format("window.start", "yyyy-MM-dd").alias("week"), "event_type", "n", "total")
     out = scratch(t.spark, "out")
     L.drain(s, L.to_folder(out), "update")
@@ -96,13 +103,17 @@ def stream_session(t):
 
 @query("stream_elo_state")
 def stream_elo_state(t):
-    g = t.league_games.select("game_id", "season", "week", "home", "away", "home_score", "away_score", "neutral", "league")
-    path = scratch(t.spark, "games")
-    for season in sorted(r[0] for r in g.select("season").distinct().collect()):  # landed season after season, as they are played
-        g.where(F.col("season") == season).coalesce(1).write.mode("append").parquet(path)
-    s = L.rating_state(L.source(t.spark, path, g.schema, files=1), "league", Elo(edge_step=0.5))
-    out = scratch(t.spark, "out")
-    L.drain(s, L.to_folder(out))
+    """Games land season after season, in several files each and in any order within them; a last row without a game moves the time past all."""
+    g = t.league_games.select(F.col("kickoff").cast("timestamp").alias("kickoff"), "game_id", "season", "home", "away", "home_score", "away_score", "neutral", "league")
+    path, out = scratch(t.spark, "games"), scratch(t.spark, "out")
+    seasons = sorted(r[0] for r in g.select("season").distinct().collect())
+    for season in seasons:
+        g.where(F.col("season") == season).repartition(4).write.mode("append").parquet(path)
+    end = g.agg((F.max("kickoff") + F.expr("INTERVAL 800 DAYS")).alias("kickoff")).select("kickoff", *[F.lit(None).cast(k).alias(c) for c, k in g.dtypes if c != "kickoff"])
+    end.write.mode("append").parquet(path)
+    with L.with_state(t.spark):
+        s = L.rating_state(L.source(t.spark, path, g.schema, files=4), "league", Elo(edge_step=0.5), "kickoff", "400 days")
+        L.drain(s, L.to_folder(out))
     return L.results(t.spark, out, s)
 
 

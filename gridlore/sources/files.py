@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder name in the folder that all executors share."""
+    """A new folder name in the folder that all executors share; where none is named, a temporary one, which only a local session may have."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/gridlore/{tag}-{uuid.uuid4().hex}"
@@ -54,6 +56,52 @@ def scan_partitions(spark: SparkSession, path: str, key: str, values: Sequence[i
     return df.select(*columns) if columns else df
 
 
+def file_report(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
+    """(file, bytes, modified, rows, a count for each rule) of the files that a file scan reads: how many rows break a rule; a null counts as broken."""
+    meta = F.col("_metadata")
+    broken = [F.count_if(~F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()]
+    return df.groupBy(meta["file_path"].alias("file"), meta["file_size"].alias("bytes"), meta["file_modification_time"].alias("modified")).agg(F.count("*").alias("rows"), *broken)
+
+
+def scan_validated(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
+    """A file scan of which every file keeps to the rules; else a ValueError names the files that don't, and the rules.
+
+    The check reads the rules' columns of the files that the scan's filters
+    leave, and brings the broken files' counts to the driver, at most 20.
+    """
+    bad = file_report(df, rules).where(sum((F.col(r) for r in rules), F.lit(0)) > 0).orderBy("file").limit(20).collect()
+    if bad:
+        raise ValueError("files that break rules: " + "; ".join(f"{r['file']}: " + ", ".join(f"{r[k]} of {r['rows']} rows {k}" for k in rules if r[k]) for r in bad))
+    return df
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder or file in whatever store Spark reads it from; False if there was none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
+
+
+def manifest(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """(part, files, bytes, modified, rows, content) of the Parquet files of a folder, by the piece of their path that the pattern's group fits.
+
+    Sizes and times are the reader's own file metadata; content is a hash of
+    the rows, whatever their order and files.
+    """
+    df = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    meta = F.col("_metadata")
+    rows = df.select(F.regexp_extract(meta["file_path"], part, 1).alias("part"), meta["file_path"].alias("file"), meta["file_size"].alias("size"), meta["file_modification_time"].alias("modified"), F.xxhash64(*df.columns).alias("h"))
+    files = rows.groupBy("part", "file").agg(F.max("size").alias("size"), F.max("modified").alias("modified"), F.count("*").alias("rows"), F.bit_xor("h").alias("h"), F.sum(F.col("h").cast("decimal(38,0)")).alias("t"))
+    content = F.sha2(F.concat_ws("|", F.bit_xor("h").cast("string"), F.sum("t").cast("string"), F.sum("rows").cast("string")), 256)
+    return files.groupBy("part").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.max("modified").alias("modified"), F.sum("rows").alias("rows"), content.alias("content"))
+
+
+def manifest_diff(was: DataFrame, now: DataFrame) -> DataFrame:
+    """(part, status, rows_was, rows_now): same, changed, missing or new parts of two manifests."""
+    both = was.select("part", F.col("rows").alias("rows_was"), F.col("content").alias("c0")).join(now.select("part", F.col("rows").alias("rows_now"), F.col("content").alias("c1")), "part", "full")
+    status = F.when(F.col("c1").isNull(), "missing").when(F.col("c0").isNull(), "new").when(F.col("c0") == F.col("c1"), "same").otherwise("changed")
+    return both.select("part", status.alias("status"), "rows_was", "rows_now")
+
+
 def scan_guarded(df: DataFrame, banned: str, keep: bool = False, wanted: Sequence[str] | None = None) -> DataFrame:
     """A scan without the columns that fit the pattern; asking for one is an error unless `keep`."""
     refused = [c for c in wanted or [] if re.search(banned, c)]

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gridlore.sources.files import scratch
 
@@ -55,31 +56,111 @@ def new_only(batch: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFram
     return batch.dropDuplicates(list(keys)).join(done.select(*keys), list(keys), "left_anti")
 
 
-def rating_state(rows: DataFrame, league: str, cfg) -> DataFrame:
-    """Ratings as keyed state: each batch's results, in order of season, week and id, move the league's ratings; one row for each game.
+def guarded(path: str, columns: Sequence[str], run: str) -> Callable[[DataFrame, int], None]:
+    """A sink for runs whose time has to rise: rows of a run that isn't later than all earlier batches go to a folder of refused rows.
 
-    State is the ratings, the season, the home edge and the last game. A task
-    holds one league's rows of one batch. A game that belongs before what has
-    been played is an error, since ratings can't be taken back.
+    A batch compares itself with the batches before it only, and writes to its
+    own folder, so one that is run again after a failure changes nothing. A
+    batch of other columns is an error, and nothing of it is written.
     """
-    import json
-
-    from gridlore.operators.folds import _EloState
-
-    def step(k: tuple, frames, state: GroupState):
-        elo, last = _EloState(cfg), [-1, -1, -1]
-        if state.exists:
-            pairs, elo.season, elo.first, elo.edge, last = json.loads(state.get[0])
-            elo.r = dict(map(tuple, pairs))
-        order = ["season", "week", "game_id"]
-        pdf = pd.concat(list(frames)).sort_values(order)
-        if len(pdf) and pdf[order].iloc[0].tolist() <= last:
-            raise ValueError(f"a game of {league} {k[0]} comes after later ones")
-        plain = lambda x: x.item() if hasattr(x, "item") else x
-        out = [(k[0], r.game_id, *elo.play(int(r.season), plain(r.home), plain(r.away), r.home_score, r.away_score, r.neutral)[2:5]) for r in pdf.itertuples()]
-        last = [int(x) for x in pdf[order].iloc[-1]] if len(pdf) else last
-        state.update((json.dumps([list(elo.r.items()), elo.season, elo.first, elo.edge, last]),))
-        yield pd.DataFrame(out)
-
-    kind = dict(rows.dtypes)[league]
-    return rows.groupBy(league).applyInPandasWithState(step, f"league {kind}, game_id long, p_elo double, home_post double, away_post double", "state string", "append", GroupStateTimeout.NoTimeout)
+
+    def write(batch: DataFrame, n: int) -> None:
+        if list(batch.columns) != list(columns):
+            raise ValueError(f"columns {batch.columns}, not {list(columns)}")
+        spark = batch.sparkSession
+        try:
+            last = spark.read.option("basePath", path).parquet(path).where(F.col("batch") < n).agg(F.max(run)).first()[0]
+        except AnalysisException as e:
+            if not {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"} & {e.getCondition() or ""}:
+                raise
+            last = None
+        fresh = F.coalesce(F.col(run) > F.lit(last), F.lit(False)) if last is not None else F.col(run).isNotNull()
+        batch.where(fresh).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        batch.where(~fresh).write.mode("overwrite").parquet(f"{path}-refused/batch={n}")
+
+    return write
+
+
+class _Ratings(StatefulProcessor):
+    """A league's ratings, a value for each team, its games that wait for their time, and a clock."""
+
+    def __init__(self, cfg, team: str) -> None:
+        self.cfg, self.team, self.played = cfg, team, {}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ratings = handle.getMapState("ratings", f"team {self.team}", "rating double")
+        self.waiting = handle.getMapState("waiting", "at long, game_id long", f"season int, home {self.team}, away {self.team}, home_score double, away_score double, neutral boolean")
+        self.head = handle.getValueState("head", "season int, edge double, first boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        days = set()
+        for pdf in rows:
+            for r in pdf.itertuples():
+                if r.game_id is None or r.game_id != r.game_id:  # only the time counts
+                    continue
+                at = int(r.ms)
+                days.add(-(-at // 86_400_000) * 86_400_000)
+                score = lambda x: None if x is None or x != x else float(x)
+                plain = lambda x: x.item() if hasattr(x, "item") else x
+                self.waiting.updateValue((at, int(r.game_id)), (int(r.season), plain(r.home), plain(r.away), score(r.home_score), score(r.away_score), bool(r.neutral)))
+        for day in days:
+            self.handle.registerTimer(day)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        from gridlore.operators.folds import _EloState
+
+        until = timerValues.getCurrentWatermarkInMs()
+        if self.played.get(key) == until:  # an earlier timer of this batch
+            return
+        self.played[key] = until
+        due = sorted((k, v) for k, v in self.waiting.iterator() if k[0] <= until)
+        if not due:
+            return
+        elo = _EloState(self.cfg)
+        elo.r = {t[0]: v[0] for t, v in self.ratings.iterator()}
+        before = dict(elo.r)
+        if self.head.exists():
+            elo.season, elo.edge, elo.first = self.head.get()
+        out = []
+        for (at, game), (season, *rest) in due:
+            out.append((key[0], game, *elo.play(season, *rest)[2:5]))
+            self.waiting.removeKey((at, game))
+        for t, v in elo.r.items():
+            if before.get(t) != v:
+                self.ratings.updateValue((t,), (float(v),))
+        self.head.update((elo.season, float(elo.edge), elo.first))
+        yield pd.DataFrame(out, columns=["league", "game_id", "p_elo", "home_post", "away_post"])
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def rating_state(rows: DataFrame, league: str, cfg, at: str, delay: str) -> DataFrame:
+    """Ratings as keyed state: one row for each game, played once the watermark has passed its time.
+
+    State is a rating for each team, the games that wait, and the season with
+    the home edge. A game that comes before its time waits in state for a timer,
+    so any two orders of arrival within `delay` give the same ratings. One that
+    comes later than that is dropped by Spark and counted in the query's
+    progress; it stops nothing. Rows with a null game_id only move the time on.
+    State has to be in the RocksDB store: start the stream under `with_state`.
+    """
+    kinds = dict(rows.dtypes)
+    games = rows.withColumn("at", F.col(at)).withWatermark("at", delay).withColumn("ms", F.unix_millis("at")).select(league, "at", "ms", *["game_id", "season", "home", "away", "home_score", "away_score", "neutral"])
+    return games.groupBy(league).transformWithStateInPandas(_Ratings(cfg, kinds["home"]), f"league {kinds[league]}, game_id long, p_elo double, home_post double, away_post double", "Append", "EventTime")
+
+
+@contextmanager
+def with_state(spark: SparkSession):
+    """Streams started here keep their state in RocksDB; the session's setting comes back afterwards."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before) if before is not None else spark.conf.unset(STATE_STORE)

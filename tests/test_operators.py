@@ -19,6 +19,7 @@ from gridlore.operators import quality as Q
 from gridlore.operators import resampling as R
 from gridlore.operators import windows as X
 from gridlore.sources import files as S
+from gridlore.streaming import ledger as L
 
 GAMES = "game_id long, season int, week int, kickoff timestamp, home long, away long, home_score long, away_score long, neutral boolean, y double, league string"
 
@@ -577,6 +578,72 @@ def test_guards(spark, tmp_path):
     assert Q.banned_columns(nested.schema, "spread|line") == ["a.spread", "a.b[].line", "m{}.spread_x"]
 
 
+def _rated(spark, games, tmp_path, files):
+    """The rating stream over games landed in some files, a batch each."""
+    path, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    for rows in files:
+        games.where(F.col("game_id").isin(*rows)).repartition(1).write.mode("append").parquet(path)
+    end = [F.lit(None).cast(k).alias(c) for c, k in games.dtypes if c != "kickoff"]
+    games.agg((F.max("kickoff") + F.expr("INTERVAL 500 DAYS")).alias("kickoff")).select("kickoff", *end).write.mode("append").parquet(path)
+    with L.with_state(spark):
+        L.drain(L.rating_state(L.source(spark, path, games.schema, 1), "league", folds.Elo(edge_step=2.0), "kickoff", "300 days"), L.to_folder(out))
+    assert spark.conf.get(L.STATE_STORE, None) is None or "RocksDB" not in spark.conf.get(L.STATE_STORE)
+    return {r["game_id"]: (r["p_elo"], r["home_post"], r["away_post"]) for r in spark.read.parquet(out).collect()}
+
+
+def test_rating_stream_in_two_orders(spark, games, tmp_path):
+    """Games of a season in two orders of arrival give the ratings of the batch fold."""
+    when = games.withColumn("kickoff", F.expr("TIMESTAMP '2000-01-01 12:00:00' + make_interval(0, 0, 0, CAST(2 * game_id AS INT))")).withColumn("season", F.year("kickoff")).where("game_id < 120").drop("week", "y")
+    ids = list(range(120))
+    rng = random.Random(4)
+    mixed = ids.copy()
+    rng.shuffle(mixed)
+    one = _rated(spark, when, tmp_path / "a", [ids[:60], ids[60:]])
+    two = _rated(spark, when, tmp_path / "b", [mixed[k::3] for k in range(3)])
+    batch = {r["game_id"]: (r["p_elo"], r["home_post"], r["away_post"]) for r in folds.elo(when.withColumn("y", F.lit(0.0)), ["league"], ["kickoff", "game_id"], {0: folds.Elo(edge_step=2.0)}).collect()}
+    assert set(one) == set(two) == set(batch) and one == two
+    assert all(np.allclose(one[k], batch[k]) for k in batch)
+
+
+def test_guarded_sink(spark, tmp_path):
+    path = f"file://{tmp_path}/sink"
+    write = L.guarded(path, ["run", "k"], "run")
+    run = lambda n, k: spark.createDataFrame([(n, k), (n, k + 1)], "run int, k int")
+    write(run(5, 1), 0)
+    write(run(7, 3), 1)
+    held = lambda: sorted(tuple(r) for r in spark.read.parquet(path).select("run", "k").collect())
+    want = held()
+    write(run(7, 3), 1)  # the same batch again, after a failure
+    write(run(6, 50), 2)  # a run that is too late
+    write(run(7, 60), 3)
+    assert held() == want == [(5, 1), (5, 2), (7, 3), (7, 4)]
+    assert spark.read.parquet(f"{path}-refused").count() == 4
+    for bad in (run(9, 1).select("k", "run"), run(9, 1).withColumn("x", F.lit(1)), run(9, 1).drop("k")):
+        with pytest.raises(ValueError, match="columns"):
+            write(bad, 4)
+    write(run(8, 9).unionByName(run(7, 9)).unionByName(spark.createDataFrame([(None, 1)], "run int, k int")), 4)
+    assert held() == [*want, (8, 9), (8, 10)]
+
+
+def test_one_bad_file_is_named(spark, tmp_path):
+    path = f"file://{tmp_path}/files"
+    for name, p in (("good-a", 0.2), ("bad", 1.7), ("good-b", 0.9)):
+        spark.createDataFrame([(1, p), (2, 0.5)], "id long, p double").write.parquet(f"{path}/{name}")
+    read = lambda: spark.read.option("recursiveFileLookup", "true").parquet(path)
+    rules = {"without id": F.col("id").isNotNull(), "outside 0 to 1": F.col("p").between(0, 1)}
+    with pytest.raises(ValueError, match=r"/bad/[^;]*1 of [12] rows outside 0 to 1$"):
+        S.scan_validated(read(), rules)
+    report = S.file_report(read(), rules).collect()
+    assert sum(r["outside 0 to 1"] for r in report) == 1 and sum(r["rows"] for r in report) == 6 and all(r["bytes"] > 0 and r["modified"] for r in report)
+    was = S.manifest(spark, path, "files/([^/]*)/").collect()
+    assert {r["part"] for r in was} == {"good-a", "bad", "good-b"} and all(r["rows"] == 2 for r in was)
+    kept = spark.createDataFrame(was)
+    assert S.remove(spark, f"{path}/bad") and not S.remove(spark, f"{path}/bad")
+    assert S.scan_validated(read(), rules).count() == 4
+    status = {r["part"]: (r["status"], r["rows_was"], r["rows_now"]) for r in S.manifest_diff(kept, S.manifest(spark, path, "files/([^/]*)/")).collect()}
+    assert status == {"good-a": ("same", 2, 2), "good-b": ("same", 2, 2), "bad": ("missing", 2, None)}
+
+
 def test_ties_and_pairs(games):
     sides = contests.unpivot_sides(games, ["game_id"], mirrored={"points": ("home_score", "away_score")}, flipped={"result": "y"})
     assert sides.count() == 600
