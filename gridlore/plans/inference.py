@@ -12,6 +12,7 @@ from gridlore.functions import distributions as D
 from gridlore.functions import scalar as S
 from gridlore.operators import aggregates as A
 from gridlore.operators import asof, contests, folds, scoring
+from gridlore.operators import boosting as B
 from gridlore.operators import models as M
 from gridlore.operators import resampling as R
 from gridlore.operators import windows as X
@@ -271,17 +272,28 @@ def fit_stack(t):
 
 @query("fit_gbm_binary")
 def fit_gbm_binary(t):
-    f = frame(t).withColumn("valid", F.col("game_id") % 5 == 0)
-    m = M.fit_gbt(f.where("season < 1997"), FEATURES, "y", 10, "valid")
+    """Boosted trees stopped early by the last season before the test."""
+    f = frame(t).withColumn("valid", F.col("season") == 1996)
+    m = M.fit_gbt(f.where("season < 1997"), FEATURES, "y", 30, "valid")
     return M.probability(m, f.where("season >= 1997"), FEATURES).select("game_id", "y", "pred")
 
 
+#: Settings of the boosting that the last season before the test chooses among.
+BOOSTS = {"slow": B.Boost(rounds=4, depth=2, rate=0.2, penalty=5.0), "fast": B.Boost(rounds=4, depth=2, rate=0.6, penalty=5.0)}
+
+
 @query("fit_gbm_bins")
 def fit_gbm_bins(t):
-    rows = sample(t).withColumn("bin", F.least(F.greatest(F.floor(F.col("epa") * 2), F.lit(-3)), F.lit(3)).cast("double") + 3)
-    x = ["down", "togo", "yardline"]
-    m = M.fit_classes(rows.where("season < 1997"), x, "bin", 10)
-    return M.class_shares(m, rows.where("season >= 1997"), x).select("game_id", "play_id", "player", F.array_max("shares").alias("top"), F.size("shares").alias("bins"))
+    """Shares of 53 classes of gain, and the chance of a turnover beside them."""
+    rows = t.plays.select("game_id", "play_id", "player", "season", F.col("down").cast("double").alias("down"), F.col("togo").cast("double").alias("togo"), F.col("yardline").cast("double").alias("yardline"), (F.least(F.greatest(F.col("yards"), F.lit(-12)), F.lit(40)) + 12).cast("int").alias("bin"), (F.col("status") == "F").cast("double").alias("lost"))
+    x, past, last, test = ["down", "togo", "yardline"], rows.where("season < 1996"), rows.where("season = 1996"), rows.where("season >= 1997")
+    best, _ = B.choose_boost(past, last, x, "bin", 53, BOOSTS)
+    train = rows.where("season < 1997")
+    model = B.fit_boost(train, x, "bin", 53, BOOSTS[best])
+    turnover = M.fit_gbt(train.withColumn("valid", F.col("season") == 1996), x, "lost", 10, "valid")
+    shared = B.predict_boost(M.probability(turnover, test, x, "turnover"), model, BOOSTS[best])
+    expected = F.aggregate(F.transform("shares", lambda p, i: p * (i - 12)), F.lit(0.0), lambda a, v: a + v)
+    return shared.select("game_id", "play_id", "player", "turnover", expected.alias("expected"), F.array_max("shares").alias("top"), F.size("shares").alias("bins"), B.class_crps(F.col("shares"), F.col("bin")).alias("crps"))
 
 
 ISOTONIC = """WITH d AS (SELECT * FROM games WHERE y <> 5e-1), t AS (SELECT p, sum(y) AS s, count(*) AS n FROM d WHERE season < 1997 GROUP BY p),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridlore.functions import distributions as D
 from gridlore.operators import aggregates as A
+from gridlore.operators import boosting as B
 from gridlore.operators import contests, folds
 from gridlore.operators import joins as J
 from gridlore.operators import models as M
@@ -547,6 +548,48 @@ def test_crossfit_sees_no_own_fold(spark):
         fit([r for r in rows if r[1] == 2000])
 
 
+def test_boosting_of_classes(spark):
+    rng = np.random.default_rng(21)
+    n, classes = 4000, 6
+    x = rng.integers(0, 12, (n, 2)).astype(float)
+    y = np.clip((x[:, 0] >= 6) * 3 + rng.integers(0, 2, n) + (x[:, 1] > 8), 0, classes - 1)
+    rows = [(float(a), float(b), int(c)) for (a, b), c in zip(x, y)] + [(None, 1.0, 2), (3.0, None, None)]
+    df = spark.createDataFrame(rows, "a double, b double, y int").repartition(5)
+    cfg = B.Boost(rounds=6, depth=2, rate=0.5, penalty=1.0)
+    model = B.fit_boost(df, ["a", "b"], "y", classes, cfg)
+    assert len(model.losses) == 7 and all(u > v for u, v in zip(model.losses, model.losses[1:]))
+    got = B.predict_boost(df.where("y IS NOT NULL AND a IS NOT NULL"), model, cfg).collect()
+    assert all(abs(sum(r["shares"]) - 1) < 1e-9 for r in got)
+    low = [r["shares"] for r in got if r["a"] < 6 and r["b"] <= 8]
+    assert np.abs(np.mean(low, axis=0) - [0.5, 0.5, 0, 0, 0, 0]).max() < 0.1
+    base = np.bincount(y, minlength=classes) / n
+    own = lambda q, k: sum((sum(q[: j + 1]) - (k <= j)) ** 2 for j in range(classes))
+    scored = B.predict_boost(df.where("y IS NOT NULL"), model, cfg).select("y", "shares", B.class_crps(F.col("shares"), F.col("y")).alias("c")).collect()
+    assert all(math.isclose(r["c"], own(r["shares"], r["y"]), rel_tol=1e-9) for r in scored[:200])
+    assert np.mean([r["c"] for r in scored]) < 0.5 * np.mean([own(base, k) for k in y])
+
+
+def test_first_split_is_the_best_one(spark):
+    """One stump of three classes against a search over all splits with dense sums."""
+    rng = np.random.default_rng(22)
+    x = rng.integers(0, 7, (300, 2)).astype(float)
+    y = (x[:, 1] > 3).astype(int) + rng.integers(0, 2, 300)
+    cfg = B.Boost(rounds=1, depth=1, rate=1.0, penalty=2.0, least=0.0)
+    model = B.fit_boost(spark.createDataFrame([(*map(float, r), int(k)) for r, k in zip(x, y)], "a double, b double, y int"), ["a", "b"], "y", 3, cfg)
+    p = softmax = np.exp(model.base) / np.exp(model.base).sum()
+    g, h = np.eye(3)[y] - p, np.tile(p * (1 - p), (300, 1))
+    worth = lambda m: ((g[m].sum(0)) ** 2 / (h[m].sum(0) + 2.0)).sum()
+    best = max((worth(x[:, f] <= c) + worth(x[:, f] > c), f, c) for f in range(2) for c in range(6))
+    (f, b), leaves = model.trees[0][0][0], model.trees[0][1]
+    assert f == best[1] and model.cuts[f][b] == best[2]
+    left = x[:, f] <= best[2]
+    assert np.allclose(leaves[0], g[left].sum(0) / (h[left].sum(0) + 2.0)) and np.allclose(leaves[1], g[~left].sum(0) / (h[~left].sum(0) + 2.0))
+    grid = {"still": B.Boost(rounds=0, depth=1), "stump": cfg}
+    df = spark.createDataFrame([(*map(float, r), int(k)) for r, k in zip(x, y)], "a double, b double, y int")
+    name, table = B.choose_boost(df.where("a < 5"), df.where("a >= 5"), ["a", "b"], "y", 3, grid)
+    assert set(table) == set(grid) and name == min(table, key=table.get) == "stump" and softmax is p
+
+
 def test_policy_value(spark):
     row = spark.createDataFrame([(1, [0.2, 0.8], [1.0, 3.0], 0.5), (0, [0.01, 0.99], [1.0, 3.0], 0.5), (None, [0.5, 0.5], [1.0, 3.0], 0.5)], "rec int, e array<double>, g array<double>, y double")
     assert [r[0] for r in row.select(M.policy_value(F.col("rec"), F.col("e"), F.col("g"), F.col("y"), 0.05)).collect()] == [2.5, 0.0, 0.0]
