@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,15 @@ def normal_pdf(z: Column) -> Column:
     return F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
 
 
+def _normal_grid(m: np.ndarray, s: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Rows of a rounded normal's masses from low to high, tails folded into the ends."""
+    x = (np.arange(low, high) + 0.5 - m[:, None]) / s[:, None] / math.sqrt(2)
+    p, *a = ERF
+    t = 1 / (1 + p * np.abs(x))
+    cdf = 0.5 * (1 + np.sign(x) * (1 - sum(c * t ** (i + 1) for i, c in enumerate(a)) * np.exp(-x * x)))
+    return np.diff(np.hstack([np.zeros((len(m), 1)), cdf, np.ones((len(m), 1))]), axis=1)
+
+
 def normal_pmf(mu: Column, sigma: Column, low: int, high: int) -> Column:
     """The normal rounded to whole numbers from low to high, tails folded into the ends; null without mu or sigma.
 
@@ -54,16 +64,38 @@ def normal_pmf(mu: Column, sigma: Column, low: int, high: int) -> Column:
     @F.pandas_udf("array<double>")
     def mass(mu: pd.Series, sigma: pd.Series) -> pd.Series:
         m, s = (x.to_numpy(float, na_value=np.nan) for x in (mu, sigma))
-        x = (np.arange(low, high) + 0.5 - m[:, None]) / s[:, None] / math.sqrt(2)
-        p, *a = ERF
-        t = 1 / (1 + p * np.abs(x))
-        cdf = 0.5 * (1 + np.sign(x) * (1 - sum(c * t ** (i + 1) for i, c in enumerate(a)) * np.exp(-x * x)))
-        grid = np.diff(np.hstack([np.zeros((len(m), 1)), cdf, np.ones((len(m), 1))]), axis=1)
-        return pd.Series([None if k else g for g, k in zip(grid, np.isnan(m) | np.isnan(s), strict=True)], dtype=object)
+        return pd.Series([None if k else g for g, k in zip(_normal_grid(m, s, low, high), np.isnan(m) | np.isnan(s), strict=True)], dtype=object)
 
     return mass(mu.cast("double"), sigma.cast("double"))
 
 
+def on_normal_grid(mu: Column, sigma: Column, low: int, high: int, value: Callable[..., np.ndarray], *others: Column) -> Column:
+    """A number of each rounded normal: `value(masses, k, *others)` over a batch's grids, which don't leave the task; null if an input is."""
+
+    @F.pandas_udf("double")
+    def run(inputs: pd.DataFrame) -> pd.Series:
+        m, s, *rest = (inputs[c].to_numpy(float, na_value=np.nan) for c in inputs.columns)
+        known = ~np.isnan(np.vstack([m, s, *rest])).any(axis=0)
+        out = np.full(len(m), np.nan)
+        if known.any():
+            out[known] = value(_normal_grid(m[known], s[known], low, high), np.arange(low, high + 1), *[r[known] for r in rest])
+        return pd.Series(out).where(known, None)
+
+    return run(F.struct(*[c.cast("double").alias(f"c{i}") for i, c in enumerate((mu, sigma, *others))]))
+
+
+def crps_of(masses: np.ndarray, k: np.ndarray, actual: np.ndarray) -> np.ndarray:
+    return ((masses.cumsum(axis=1) - (k >= actual[:, None])) ** 2).sum(axis=1)
+
+
+def above_of(masses: np.ndarray, k: np.ndarray) -> np.ndarray:
+    return masses @ np.where(k > 0, 1.0, np.where(k == 0, 0.5, 0.0))
+
+
+def median_of(masses: np.ndarray, k: np.ndarray) -> np.ndarray:
+    return k[(masses.cumsum(axis=1) >= 0.5 - 1e-9).argmax(axis=1)].astype(float)
+
+
 def reweighted(pmf: Column, low: int, factors: Column) -> Column:
     """A pmf times a factor of |k|, made to add up to 1 again."""
     return normalised(F.transform(pmf, lambda p, i: p * F.coalesce(F.get(factors, F.abs(i + low)), F.lit(1.0))))

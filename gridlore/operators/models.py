@@ -180,6 +180,21 @@ def walk_forward(df: DataFrame, period: str, periods: Sequence[int], fit, predic
     return out
 
 
+def walk_logistic(df: DataFrame, features: Sequence[str], y: str, weight: Column, period: str, periods: Sequence[int], name: str = "pred") -> DataFrame:
+    """Rows of the periods with a probability from a logistic model of all rows of earlier periods.
+
+    The models of all periods are fitted together: each is a replicate whose
+    weights are 0 from its period on. A period without rows before it has none.
+    """
+    from gridlore.operators.resampling import refit_logistic
+
+    weights = F.array(*[F.when(F.col(period) < p, weight).otherwise(0.0) for p in periods])
+    fits = refit_logistic(df.withColumn("weights_", weights), features, y, "weights_").select("rep", F.col("coefs").alias("coefs_"))
+    named = fits.join(F.broadcast(df.sparkSession.createDataFrame(list(enumerate(periods)), "rep int, period_ int")), "rep").drop("rep")
+    z = F.col("coefs_")[0] + sum((F.col("coefs_")[i + 1] * F.col(c) for i, c in enumerate(features)), F.lit(0.0))
+    return df.join(F.broadcast(named), F.col(period) == F.col("period_")).withColumn(name, 1 / (1 + F.exp(-z))).drop("coefs_", "period_")
+
+
 def fit_logistic(train: DataFrame, features: Sequence[str], y: str, w: str | None = None, **options):
     return LogisticRegression(featuresCol="features_", labelCol=y, maxIter=50, tol=1e-8, **({"weightCol": w} if w else {}), **options).fit(assembled(train, features))
 

@@ -114,7 +114,7 @@ def fold_kalman_at(t):
 def fold_kalman_loglik(t):
     values = list(itertools.product((0.3, 0.5, 0.7, 0.9), (6.0, 12.0), (-0.3, 0.0, 0.3), (0.1, 1.0)))
     grid = {i: replace(LEVELS, carry=c, season_var=v, rho=r, week_var=w) for i, (c, v, r, w) in enumerate(values)}
-    found = folds.kalman_profile(measured(t), ["league"], grid, (1994, 1998), "second")
+    found = folds.kalman_profile(measured(t), ["league"], grid, (1996, 2001), "second")
     names = t.spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "config int, carry double, season_var double, rho double, week_var double")
     return found.join(F.broadcast(names), "config")
 
@@ -224,12 +224,12 @@ def predict_rapm(t):
     return M.predict_terms(rows.join(F.broadcast(seasons), "season"), coefs, ["game_id", "season", "off", "def"], ["season"])
 
 
-SEASONS = [1996, 1997]
+#: Seasons that have seasons before them.
+SEASONS = list(range(1996, 2002))
 
 
 def logistic_walk(t, features=FEATURES, y="y"):
-    f = frame(t)
-    return M.walk_forward(f, "season", SEASONS, lambda train: M.fit_logistic(train, features, y, "w"), lambda m, test: M.probability(m, test, features))
+    return M.walk_logistic(frame(t), features, y, F.col("w"), "season", SEASONS)
 
 
 @query("fit_logistic_walk")
@@ -273,9 +273,9 @@ def fit_stack(t):
 @query("fit_gbm_binary")
 def fit_gbm_binary(t):
     """Boosted trees stopped early by the last season before the test."""
-    f = frame(t).withColumn("valid", F.col("season") == 1996)
-    m = M.fit_gbt(f.where("season < 1997"), FEATURES, "y", 30, "valid")
-    return M.probability(m, f.where("season >= 1997"), FEATURES).select("game_id", "y", "pred")
+    f = frame(t).withColumn("valid", F.col("season") == 1999)
+    m = M.fit_gbt(f.where("season < 2000"), FEATURES, "y", 30, "valid")
+    return M.probability(m, f.where("season >= 2000"), FEATURES).select("game_id", "y", "pred")
 
 
 #: Settings of the boosting that the last season before the test chooses among.
@@ -286,11 +286,11 @@ BOOSTS = {"slow": B.Boost(rounds=4, depth=2, rate=0.2, penalty=5.0), "fast": B.B
 def fit_gbm_bins(t):
     """Shares of 53 classes of gain, and the chance of a turnover beside them."""
     rows = t.plays.select("game_id", "play_id", "player", "season", F.col("down").cast("double").alias("down"), F.col("togo").cast("double").alias("togo"), F.col("yardline").cast("double").alias("yardline"), (F.least(F.greatest(F.col("yards"), F.lit(-12)), F.lit(40)) + 12).cast("int").alias("bin"), (F.col("status") == "F").cast("double").alias("lost"))
-    x, past, last, test = ["down", "togo", "yardline"], rows.where("season < 1996"), rows.where("season = 1996"), rows.where("season >= 1997")
+    x, past, last, test = ["down", "togo", "yardline"], rows.where("season < 1999"), rows.where("season = 1999"), rows.where("season >= 2000")
     best, _ = B.choose_boost(past, last, x, "bin", 53, BOOSTS)
-    train = rows.where("season < 1997")
+    train = rows.where("season < 2000")
     model = B.fit_boost(train, x, "bin", 53, BOOSTS[best])
-    turnover = M.fit_gbt(train.withColumn("valid", F.col("season") == 1996), x, "lost", 10, "valid")
+    turnover = M.fit_gbt(train.withColumn("valid", F.col("season") == 1999), x, "lost", 10, "valid")
     shared = B.predict_boost(M.probability(turnover, test, x, "turnover"), model, BOOSTS[best])
     expected = F.aggregate(F.transform("shares", lambda p, i: p * (i - 12)), F.lit(0.0), lambda a, v: a + v)
     return shared.select("game_id", "play_id", "player", "turnover", expected.alias("expected"), F.array_max("shares").alias("top"), F.size("shares").alias("bins"), B.class_crps(F.col("shares"), F.col("bin")).alias("crps"))
@@ -337,11 +337,26 @@ def fit_offset_cells(t):
 
 @query("fit_component_set")
 def fit_component_set(t):
-    past = sample(t).where("season < 1997")
-    go = M.fit_logistic(past, ["togo", "yardline"], "success")
-    value = M.fit_linear(past, ["down", "togo", "yardline"], "epa")
-    out = M.mean_of(value, M.probability(go, sample(t).where("season = 1997"), ["togo", "yardline"], "convert"), ["down", "togo", "yardline"], "value")
-    return out.select("game_id", "play_id", "player", "convert", "value")
+    """Four models for each later season, from the seasons before it: kept under their version, read back and applied."""
+    from pyspark.ml.classification import LogisticRegressionModel
+    from pyspark.ml.regression import LinearRegressionModel
+
+    x, rows, out = ["down", "togo", "yardline"], sample(t), None
+    for season in SEASONS[1:]:
+        past = rows.where(F.col("season") < season)
+        fitted = {"convert": M.fit_logistic(past, x[1:], "success"), "passes": M.fit_logistic(past, x, "is_pass"), "value": M.fit_linear(past, x, "epa"), "wins": M.fit_linear(past, x[1:], "wp")}
+        version = table_key(past.select("game_id", "play_id", "player", "epa"), season, [round(float(c), 9) for m in fitted.values() for c in m.coefficients])
+        path = scratch(t.spark, f"components-{version}")
+        for name, m in fitted.items():
+            m.write().overwrite().save(f"{path}/{name}")
+        part = rows.where(F.col("season") == season)
+        for name, m in fitted.items():
+            own = x if name in ("passes", "value") else x[1:]
+            again = (LogisticRegressionModel if name in ("convert", "passes") else LinearRegressionModel).load(f"{path}/{name}")
+            part = M.probability(again, part, own, name) if name in ("convert", "passes") else M.mean_of(again, part, own, name)
+        part = part.select("season", "game_id", "play_id", "player", *fitted, F.length(F.lit(version)).alias("version_length"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("fit_team_box_baselines")
@@ -357,10 +372,10 @@ KINDS = ("A", "N", "R")
 
 
 def nuisance(t):
-    """Plays of the first two downs with propensities and means of three actions: cross-fitted by season up to 1996, later seasons by models of those."""
+    """Plays of the first two downs with propensities and means of three actions: cross-fitted by season up to 1999, later seasons by models of those."""
     action = sum((F.when(F.col("kind") == k, float(i)).otherwise(0.0) for i, k in enumerate(KINDS)), F.lit(0.0))
     rows = sample(t).where("down <= 2").withColumns({"action": action, "cell": A.bucket(F.col("togo"), [4, 8, 15])}).select("game_id", "play_id", "player", "season", "togo", "yardline", "epa", "action", "cell")
-    return M.action_nuisances(rows.where("season < 1997"), ["game_id", "play_id", "player"], "season", "action", len(KINDS), ["togo", "yardline"], "epa", rows.where("season >= 1997"))
+    return M.action_nuisances(rows.where("season < 2000"), ["game_id", "play_id", "player"], "season", "action", len(KINDS), ["togo", "yardline"], "epa", rows.where("season >= 2000"))
 
 
 @query("fit_nuisance_crossfit")
@@ -378,17 +393,17 @@ def aipw_pseudo(t):
     g = doubly_robust(t).withColumn("trimmed", M.pseudo_outcomes(F.col("e"), F.col("mu"), F.col("action"), F.col("epa"), 0.1))
     observed = F.aggregate(F.zip_with("e", "g", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     means = [F.avg(F.col(c)[i]).alias(f"{n}{i}") for c, n in (("g", "v"), ("trimmed", "trim")) for i in range(3)]
-    return g.where("season < 1997").groupBy("cell").agg(*means, F.avg(observed).alias("observed"), F.avg("epa").alias("mean"), F.count("*").alias("n"))
+    return g.where("season < 2000").groupBy("cell").agg(*means, F.avg(observed).alias("observed"), F.avg("epa").alias("mean"), F.count("*").alias("n"))
 
 
 @query("policy_apply_ope")
 def policy_apply_ope(t):
     """The action that is clearly best in a cell of the earlier seasons, applied to later ones where it is common enough, and what it gains."""
     v = doubly_robust(t)
-    long = v.where("season < 1997").select("cell", F.posexplode(F.transform("g", lambda x: x - F.col("epa"))).alias("a", "gain"))
+    long = v.where("season < 2000").select("cell", F.posexplode(F.transform("g", lambda x: x - F.col("epa"))).alias("a", "gain"))
     cells = long.groupBy("cell", "a").agg(F.avg("gain").alias("gain"), (F.stddev_samp("gain") / F.sqrt(F.count("*"))).alias("se"))
     rec = cells.groupBy("cell").agg(F.max_by(F.struct("a", "gain", "se"), F.struct("gain", -F.col("a"))).alias("b")).where("b.gain > 1.645 * b.se").select("cell", F.col("b.a").alias("rec"))
-    test = v.where("season >= 1997").join(F.broadcast(rec), "cell", "left")
+    test = v.where("season >= 2000").join(F.broadcast(rec), "cell", "left")
     gain = M.policy_value(F.col("rec"), F.col("e"), F.col("g"), F.col("epa"), 0.05)
     return test.groupBy("season").agg(F.count("*").alias("n"), F.avg(gain).alias("gain"), F.avg((F.col("rec").isNotNull() & (F.col("rec") != F.col("action"))).cast("double")).alias("changed"))
 
@@ -569,7 +584,7 @@ def udf_builder_callable(t):
     return t.games.transform(builder, column="home")
 
 
-@query("udf_fit_predict", "WITH s AS (SELECT season, sum(y) AS w, count(*) AS n FROM games GROUP BY season) SELECT g.game_id, (SELECT sum(w) / sum(n) FROM s WHERE s.season < g.season) AS pred FROM games g WHERE season IN (1996, 1997)", "pred")
+@query("udf_fit_predict", "WITH s AS (SELECT season, sum(y) AS w, count(*) AS n FROM games GROUP BY season) SELECT g.game_id, (SELECT sum(w) / sum(n) FROM s WHERE s.season < g.season) AS pred FROM games g WHERE season BETWEEN 1996 AND 2001", "pred")
 def udf_fit_predict(t):
     fit = lambda train: train.agg(F.avg("y").alias("pred"))
     return M.walk_forward(t.games, "season", SEASONS, fit, lambda m, test: test.join(F.broadcast(m)).select("game_id", "pred"))

@@ -172,7 +172,8 @@ def fn_pmf_grid(t):
 
 @query("fn_pmf_summaries", f"WITH {PMF}, c AS (SELECT *, sum(w) OVER (PARTITION BY game_id ORDER BY k) AS c FROM f) SELECT game_id, sum(CASE WHEN k > 0 THEN w WHEN k = 0 THEN w / 2 ELSE 0 END) AS win, min(k) FILTER (WHERE c >= 0.5 - 1e-9)::INT AS med FROM c GROUP BY game_id", "win")
 def fn_pmf_summaries(t):
-    return pmf(t).select("game_id", D.above(F.col("pmf"), -80).alias("win"), D.median(F.col("pmf"), -80).alias("med"))
+    of = lambda value: D.on_normal_grid(F.col("spread"), F.lit(9.0), -80, 80, value)
+    return t.games.select("game_id", of(D.above_of).alias("win"), of(D.median_of).cast("int").alias("med"))
 
 
 @query("fn_crps", f"""WITH {PMF}, c AS (SELECT *, sum(w) OVER (PARTITION BY game_id ORDER BY k) AS c FROM f), x AS (SELECT game_id, sum(pow(c - CASE WHEN k >= m THEN 1e0 ELSE 0e0 END, 2)) AS grid FROM c GROUP BY game_id)
@@ -180,7 +181,9 @@ SELECT game_id, grid, 9e0 * ((m - spread) / 9e0 * (2 * {cdf('(m - spread) / 9e0'
 (abs(m + 7) + abs(m) + abs(m - 3)) / 3e0 - (7 + 10 + 3) / 9e0 AS sample FROM x JOIN g USING (game_id)""", "grid closed sample")
 def fn_crps(t):
     samples = F.array(F.lit(3.0), F.lit(-7.0), F.lit(0.0))
-    return pmf(t).select("game_id", D.crps_grid(F.col("m"), F.col("pmf"), -80).alias("grid"), D.crps_normal(F.col("m"), F.col("spread"), F.lit(9.0)).alias("closed"), D.crps_sample(F.col("m"), samples).alias("sample"))
+    rows = t.games.withColumn("m", F.col("home_score") - F.col("away_score"))
+    grid = D.on_normal_grid(F.col("spread"), F.lit(9.0), -80, 80, D.crps_of, F.col("m"))
+    return rows.select("game_id", grid.alias("grid"), D.crps_normal(F.col("m"), F.col("spread"), F.lit(9.0)).alias("closed"), D.crps_sample(F.col("m"), samples).alias("sample"))
 
 
 @query("fn_per_row_losses", "SELECT game_id, pow(p - y, 2) AS brier, -(y * ln(p) + (1 - y) * ln(1 - p)) AS logloss, abs(y - p) AS mae FROM games", "brier logloss mae")
@@ -197,8 +200,8 @@ def fn_fold_distribution(t):
 
 @query("fn_event_probs", f"WITH {PMF} SELECT game_id, sum(w) FILTER (WHERE k >= 7) AS p7, sum(w * k) AS mean FROM f GROUP BY game_id", "p7 mean")
 def fn_event_probs(t):
-    p7 = D.total(F.transform("pmf", lambda x, i: F.when(i - 80 >= 7, x).otherwise(0.0)))
-    return pmf(t).select("game_id", p7.alias("p7"), D.expectation(F.col("pmf"), -80).alias("mean"))
+    of = lambda value: D.on_normal_grid(F.col("spread"), F.lit(9.0), -80, 80, value)
+    return t.games.select("game_id", of(lambda g, k: g[:, k >= 7].sum(axis=1)).alias("p7"), of(lambda g, k: g @ k).alias("mean"))
 
 
 @query("fn_shift_distribution", f"WITH {PMF}, e AS (SELECT game_id, sum(w) FILTER (WHERE k >= 3) AS p FROM f GROUP BY game_id) SELECT game_id, 1 / (1 + exp(-(ln(p / (1 - p)) + 0.4e0))) AS p FROM e", "p")
