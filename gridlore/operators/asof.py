@@ -86,6 +86,34 @@ def as_of_view(df: DataFrame, time: str, now: Column, outcomes: Sequence[str], a
     return df.withColumns({**{c: F.when(~later, F.col(c)) for c in outcomes}, **{c: F.when(~far, F.col(c)) for c in attributes}})
 
 
+def lineup_terms(shares: DataFrame, values: DataFrame, asked: DataFrame, unit: Sequence[str], half: float, carry: float) -> DataFrame:
+    """(unit, season, week, expected, remembered, last): what a unit's members are worth as of each week asked for.
+
+    `shares` (unit, season, week, member, share) are the parts that members had
+    in a unit's weeks, `values` (season, member) what a member is worth in a
+    season. A week's worth at a season's values is the sum of both.
+    `expected` is the worth of the unit's latest week before, `remembered` the
+    mean of the earlier weeks of this season and the last one, halved every
+    `half` weeks and times `carry` for the last season, `last` the plain mean of
+    the last season. Where a unit has no week of the kind, the expected worth
+    stands, else 0. Members without a value count 0. Weeks are summed by unit
+    before they meet, so a unit meets at most two seasons of its own weeks.
+    """
+    units = list(unit)
+    both = shares.select(*units, "season", "week", "member", "share", F.explode(F.array(F.col("season"), F.col("season") + 1)).alias("at_"))
+    value = values.select(*[c for c in units if c in values.columns], F.col("season").alias("at_"), "member", "value")
+    met = both.join(value, [c for c in value.columns if c != "value"], "left")
+    worth = met.groupBy(*units, "at_", F.col("season").alias("t_"), F.col("week").alias("w_")).agg(F.sum(F.col("share") * F.coalesce("value", F.lit(0.0))).alias("c_"))
+    now = asked.select(*units, "season", "week").distinct()
+    age = (F.col("season") - F.col("t_")) * 53 + F.col("week") - F.col("w_")
+    past = now.join(worth, units).where((F.col("at_") == F.col("season")) & (age > 0))
+    w = half_life(age.cast("double"), half) * F.when(F.col("t_") < F.col("season"), carry).otherwise(1.0)
+    last = F.when(F.col("t_") < F.col("season"), F.col("c_"))
+    out = past.groupBy(*units, "season", "week").agg(F.min_by("c_", age).alias("expected"), (F.sum(w * F.col("c_")) / F.sum(w)).alias("remembered"), F.avg(last).alias("last"))
+    rest = F.coalesce("expected", F.lit(0.0))
+    return now.join(out, [*units, "season", "week"], "left").select(*units, "season", "week", rest.alias("expected"), F.coalesce("remembered", rest).alias("remembered"), F.coalesce("last", rest).alias("last"))
+
+
 def decayed_mix(rows: DataFrame, values: DataFrame, by: Sequence[str], entity: str, weight: str, value: str) -> DataFrame:
     """Weighted mean of entities' values over each group's own rows."""
     met = rows.join(values.select(entity, value), entity)

@@ -90,12 +90,17 @@ def agg_decay_values_ext(t):
     return sums.join(debut, "passer").select("passer", "season", (A.shrunk(F.col("num"), F.col("weight"), 50.0, prior) + 0.01 * F.least(years, F.lit(3))).alias("value"))
 
 
-@query("agg_remembered_mix", """WITH v AS (SELECT passer, avg(epa) AS v FROM plays WHERE season < 1996 GROUP BY ALL), m AS (SELECT off, passer, count(*) AS w FROM plays WHERE season = 1996 GROUP BY ALL)
-SELECT off, sum(w * v) / sum(w) AS mix FROM m JOIN v USING (passer) GROUP BY off""", "mix")
+@query("agg_remembered_mix", """WITH q AS (SELECT passer, season, sum(epa) AS s, count(*) AS n FROM plays GROUP BY ALL), m AS (SELECT off, season, passer, count(*) AS w FROM plays GROUP BY ALL),
+v AS (SELECT y.season, passer, sum(s) / sum(n) AS v FROM (SELECT DISTINCT season FROM plays) y JOIN q ON q.season < y.season GROUP BY ALL),
+x AS (SELECT season, off, sum(w * v) / sum(w) AS mix FROM m JOIN v USING (season, passer) GROUP BY ALL) SELECT season, off, mix, mix - avg(mix) OVER (PARTITION BY season) AS delta FROM x""", "mix delta")
 def agg_remembered_mix(t):
-    v = t.plays.where("season < 1996").groupBy("passer").agg(F.avg("epa").alias("v"))
-    m = t.plays.where("season = 1996").groupBy("off", "passer").agg(F.count("*").alias("w"))
-    return asof.decayed_mix(m, v, ["off"], "passer", "w", "v")
+    """Each season's mix of what its passers were worth before it, and its distance from the season's mean."""
+    past = t.plays.groupBy("passer", "season").agg(F.sum("epa").alias("s"), F.count("*").alias("n"))
+    seasons = t.plays.select(F.col("season").alias("now")).distinct()
+    v = past.join(F.broadcast(seasons), F.col("season") < F.col("now")).groupBy(F.struct(F.col("now").alias("season"), "passer").alias("who")).agg((F.sum("s") / F.sum("n")).alias("v"))
+    m = t.plays.groupBy("off", "season", "passer").agg(F.count("*").alias("w")).withColumn("who", F.struct("season", "passer"))
+    mix = asof.decayed_mix(m, v, ["season", "off"], "who", "w", "v")
+    return mix.withColumn("delta", F.col("mix") - F.avg("mix").over(W.partitionBy("season")))
 
 
 @query("agg_replacement_prior", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY ts, game_id, play_id) AS k, min(season) OVER (PARTITION BY player) AS debut FROM plays),
@@ -222,13 +227,35 @@ def agg_starters_out(t):
     return t.plays.where("down = 1").groupBy("season", "week", "off").agg(F.count_if(F.col("success") == 0).alias("n_out"))
 
 
-@query("agg_lineup_terms", """WITH v AS (SELECT player, avg(epa) AS v FROM plays WHERE season < 1995 GROUP BY ALL)
-SELECT off, sum(v) FILTER (WHERE season = 1995) AS this_season, sum(v) FILTER (WHERE season = 1994) AS last_season, sum(v * pow(0.5e0, 1995 - season)) AS remembered FROM plays JOIN v USING (player) WHERE season <= 1995 GROUP BY off""", "this_season last_season remembered")
+#: What the members of a side's units are worth as of each of its weeks: x(team, unit, season, week, expected, remembered, last) and g, the sides of games.
+LINEUPS = """r AS (SELECT off AS team, 'off' AS unit, season, week, player AS member, epa FROM plays UNION ALL SELECT def, 'def', season, week, passer, epa FROM plays),
+n AS (SELECT team, unit, season, week, member, count(*) AS n FROM r GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY team, unit, season, week) AS share FROM n),
+q AS (SELECT unit, member, season, sum(epa) AS s, count(*) AS n FROM r GROUP BY ALL), v AS (SELECT y.season, unit, member, sum(s) / (sum(n) + 20) AS v FROM (SELECT DISTINCT season FROM plays) y JOIN q ON q.season < y.season GROUP BY ALL),
+d AS (SELECT s.*, s.season + k AS at_ FROM s, (SELECT unnest([0, 1]) AS k)),
+c AS (SELECT team, d.unit, at_, d.season AS t, week AS w, sum(share * coalesce(v, 0)) AS c FROM d LEFT JOIN v ON v.unit = d.unit AND v.member = d.member AND v.season = at_ GROUP BY ALL),
+g AS (SELECT game_id, 'home' AS side, home AS team, season, week FROM games UNION ALL SELECT game_id, 'away', away, season, week FROM games),
+k AS (SELECT DISTINCT team, unit, season, week FROM g, (SELECT unnest(['off', 'def']) AS unit)),
+p AS (SELECT k.*, t, c, (season - t) * 53 + week - w AS age, pow(0.5e0, ((season - t) * 53 + week - w) / 8e0) * CASE WHEN t < season THEN 0.6e0 ELSE 1e0 END AS wt FROM k JOIN c ON c.team = k.team AND c.unit = k.unit AND at_ = season WHERE (season - t) * 53 + week - w > 0),
+o AS (SELECT team, unit, season, week, arg_min(c, age) AS e, sum(wt * c) / sum(wt) AS m, avg(c) FILTER (WHERE t < season) AS l FROM p GROUP BY ALL),
+x AS (SELECT k.*, coalesce(e, 0) AS expected, coalesce(m, e, 0) AS remembered, coalesce(l, e, 0) AS last FROM k LEFT JOIN o USING (team, unit, season, week))"""
+
+
+def lineups(t):
+    """Expected, remembered and last-season worth of both units of every side that has a game in a week."""
+    r = t.plays.select(F.col("off").alias("team"), F.lit("off").alias("unit"), "season", "week", F.col("player").alias("member"), "epa").unionByName(t.plays.select(F.col("def").alias("team"), F.lit("def").alias("unit"), "season", "week", F.col("passer").alias("member"), "epa"))
+    n = r.groupBy("team", "unit", "season", "week", "member").agg(F.count("*").alias("n"))
+    shares = n.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("team", "unit", "season", "week")))
+    past = r.groupBy("unit", "member", "season").agg(F.sum("epa").alias("s"), F.count("*").alias("c"))
+    seasons = t.plays.select(F.col("season").alias("now")).distinct()
+    values = past.join(F.broadcast(seasons), F.col("season") < F.col("now")).groupBy("unit", "member", F.col("now").alias("season")).agg(A.shrunk(F.sum("s"), F.sum("c"), 20.0, 0.0).alias("value"))
+    g = t.games.select("season", "week", F.explode(F.array("home", "away")).alias("team")).withColumn("unit", F.explode(F.array(F.lit("off"), F.lit("def"))))
+    return asof.lineup_terms(shares, values, g, ["team", "unit"], 8.0, 0.6)
+
+
+@query("agg_lineup_terms", f"WITH {LINEUPS} SELECT game_id, side, unit, expected, remembered, last FROM g JOIN x USING (team, season, week)", "expected remembered last")
 def agg_lineup_terms(t):
-    v = t.plays.where("season < 1995").groupBy("player").agg(F.avg("epa").alias("v"))
-    rows = t.plays.where("season <= 1995").select("off", "season", "player").join(v, "player")
-    at = lambda s: F.sum(F.when(F.col("season") == s, F.col("v")))
-    return rows.groupBy("off").agg(at(1995).alias("this_season"), at(1994).alias("last_season"), F.sum(F.col("v") * asof.half_life(1995 - F.col("season"), 1.0)).alias("remembered"))
+    sides = t.games.select("game_id", "season", "week", F.explode(F.array(F.struct(F.lit("home").alias("side"), F.col("home").alias("team")), F.struct(F.lit("away").alias("side"), F.col("away").alias("team")))).alias("s")).select("game_id", "season", "week", "s.*")
+    return sides.join(lineups(t), ["team", "season", "week"]).select("game_id", "side", "unit", "expected", "remembered", "last")
 
 
 @query("agg_snaps_shares", """WITH s AS (SELECT game_id, off, season, unnest([player, passer]) AS member FROM plays), g AS (SELECT season, game_id, off, member, count(*) AS n FROM s GROUP BY ALL), p AS (SELECT game_id, off, count(*) AS total FROM plays GROUP BY ALL)
@@ -411,10 +438,10 @@ def agg_ladder(t):
     return out.select("team", "rating", (F.col("rating") - F.col("before")).alias("change"), "spark", F.rank().over(W.orderBy(F.desc("rating"))).alias("place"))  # ranks the teams
 
 
-@query("agg_projected_wins", f"""WITH {SIDES} SELECT team, sum(CASE WHEN week <= 26 THEN result ELSE 0 END) AS so_far, sum(CASE WHEN week <= 26 THEN result ELSE prob END) AS projected, count_if(week > 26)::BIGINT AS remaining FROM sides WHERE season = 1996 GROUP BY team""", "so_far projected")
+@query("agg_projected_wins", f"""WITH {SIDES} SELECT season, team, sum(CASE WHEN week <= 26 THEN result ELSE 0 END) AS so_far, sum(CASE WHEN week <= 26 THEN result ELSE prob END) AS projected, count_if(week > 26)::BIGINT AS remaining FROM sides GROUP BY season, team""", "so_far projected")
 def agg_projected_wins(t):
     done = F.col("week") <= 26
-    return sides(t).where("season = 1996").groupBy("team").agg(F.sum(F.when(done, F.col("result")).otherwise(0.0)).alias("so_far"), F.sum(F.when(done, F.col("result")).otherwise(F.col("prob"))).alias("projected"), F.count_if(~done).alias("remaining"))
+    return sides(t).groupBy("season", "team").agg(F.sum(F.when(done, F.col("result")).otherwise(0.0)).alias("so_far"), F.sum(F.when(done, F.col("result")).otherwise(F.col("prob"))).alias("projected"), F.count_if(~done).alias("remaining"))
 
 
 @query("agg_live_score", "SELECT count(*) AS n, avg(pow(p - y, 2)) AS brier, count(m) AS n_market, avg(pow(m - y, 2)) AS market_brier FROM games WHERE season = 1996 AND week >= 10", "brier market_brier")

@@ -9,7 +9,7 @@ from gridlore.operators import aggregates as A
 from gridlore.operators import asof, contests, scoring
 from gridlore.operators import joins as J
 from gridlore.operators import windows as X
-from gridlore.plans.aggregations import SIDES, sides, tied
+from gridlore.plans.aggregations import LINEUPS, SIDES, lineups, sides, tied
 from gridlore.registry import query
 
 TS = "'%Y-%m-%d %H:%M:%S'"
@@ -178,12 +178,19 @@ def join_feature_week(t):
     return t.games.where(F.col("kickoff") >= cut).where("season = 1996").join(F.broadcast(weeks)).select("game_id", F.when(F.col("week") < F.col("wk"), F.col("week")).otherwise(F.col("wk")).alias("feature_week"))
 
 
-@query("join_roster_pipeline", """WITH v AS (SELECT player, (sum(epa) + 0) / (count(*) + 10) AS v FROM plays WHERE season < 1996 GROUP BY 1), l AS (SELECT season, week, off AS team, sum(wp * v) AS term FROM plays JOIN v USING (player) WHERE season = 1996 GROUP BY ALL)
-SELECT game_id, coalesce(h.term, 0) - coalesce(a.term, 0) AS diff FROM games g LEFT JOIN l h ON h.team = home AND h.season = g.season AND h.week = g.week LEFT JOIN l a ON a.team = away AND a.season = g.season AND a.week = g.week WHERE g.season = 1996""", "diff")
+@query("join_roster_pipeline", f"""WITH {LINEUPS}, e AS (SELECT game_id, sum(CASE WHEN side = 'home' THEN expected - remembered ELSE remembered - expected END) FILTER (WHERE unit = 'off') AS off_change,
+sum(CASE WHEN side = 'home' THEN expected - remembered ELSE remembered - expected END) FILTER (WHERE unit = 'def') AS def_change, sum(CASE WHEN side = 'home' THEN remembered - last ELSE last - remembered END) AS turnover FROM g JOIN x USING (team, season, week) GROUP BY game_id)
+SELECT * FROM e""", "off_change def_change turnover")
 def join_roster_pipeline(t):
-    v = t.plays.where("season < 1996").groupBy("player").agg(A.shrunk(F.sum("epa"), F.count("*"), 10.0, 0.0).alias("v"))
-    terms = t.plays.where("season = 1996").join(v, "player").groupBy("season", "week", F.col("off").alias("team")).agg(F.sum(F.col("wp") * F.col("v")).alias("term"))
-    return contests.side_difference(t.games.where("season = 1996"), terms, ["season", "week"], "term", "diff", default=0.0).select("game_id", "diff")
+    """Credits to shares, values, worth of units as of each week, and differences of the sides of every game: who is expected against who is remembered, and against the last season."""
+    x = lineups(t)
+    at = lambda unit, c: F.sum(F.when(F.col("unit") == unit, F.col(c)))
+    change = x.withColumns({"change": F.col("expected") - F.col("remembered"), "moved": F.col("remembered") - F.col("last")})
+    wide = change.groupBy("team", "season", "week").agg(at("off", "change").alias("off_change"), at("def", "change").alias("def_change"), F.sum("moved").alias("turnover"))
+    out = t.games.select("game_id", "season", "week", "home", "away")
+    for c in ("off_change", "def_change", "turnover"):
+        out = contests.side_difference(out, wide, ["season", "week"], c, c, default=0.0)
+    return out.select("game_id", "off_change", "def_change", "turnover")
 
 
 @query("join_birthdate_age", "SELECT l.game_id, l.play_id, l.player, date_diff('day', CAST('1970-01-01' AS DATE) + CAST(size * 30 AS INT), CAST(ts AS DATE)) / 365.2425e0 AS age FROM plays l LEFT JOIN players USING (player)".replace("AS age FROM", "AS age FROM"), "age")
@@ -198,11 +205,11 @@ def join_changed_flag(t):
     return J.changed(a, a.withColumn("season", F.col("season") + 1), ["off", "season"], {"new_x": "x", "new_n": "n"})
 
 
-@query("join_state_structures", """WITH x AS (SELECT kind, down, player, row_number() OVER (PARTITION BY kind, down ORDER BY md5(game_id || '|' || play_id || '|' || player), game_id) AS k FROM plays WHERE season < 1996), q AS (SELECT DISTINCT kind, down, togo FROM plays WHERE season = 1996) SELECT q.kind, q.down, q.togo, k::INT AS pick, player FROM q JOIN x ON x.kind = q.kind AND x.down = q.down AND k <= 3""")
+@query("join_state_structures", """WITH x AS (SELECT kind, down, player, row_number() OVER (PARTITION BY kind, down ORDER BY md5(game_id || '|' || play_id || '|' || player), game_id) AS k FROM plays WHERE season < 1996), q AS (SELECT DISTINCT kind, down, togo FROM plays WHERE season >= 1996) SELECT q.kind, q.down, q.togo, k::INT AS pick, player FROM q JOIN x ON x.kind = q.kind AND x.down = q.down AND k <= 3""")
 def join_state_structures(t):
     x = t.plays.where("season < 1996").withColumn("h", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("game_id", "play_id", "player")])))
     x = x.withColumn("pick", F.row_number().over(W.partitionBy("kind", "down").orderBy("h", "game_id"))).where("pick <= 3").select("kind", "down", "pick", "player")
-    return t.plays.where("season = 1996").select("kind", "down", "togo").distinct().join(x, ["kind", "down"])
+    return t.plays.where("season >= 1996").select("kind", "down", "togo").distinct().join(x, ["kind", "down"])
 
 
 @query("join_opponent_target", "SELECT l.game_id, l.play_id, l.player, CASE WHEN l.off = home THEN away WHEN l.off = away THEN home END AS opponent, l.off = home AS at_home FROM plays l LEFT JOIN games g USING (game_id)")
