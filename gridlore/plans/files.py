@@ -97,11 +97,12 @@ def scan_depth_union(t):
     return J.lookup_strict(both, t.teams, ["team"], [])
 
 
-@query("scan_weekly_depth", "WITH c AS (SELECT season, max(week) AS cw FROM plays GROUP BY 1), s AS (SELECT season, max(week) AS sw FROM games GROUP BY 1), h AS (SELECT season, greatest(0, least(1, cw - sw)) AS shift FROM c JOIN s USING (season)) SELECT DISTINCT l.season, l.week - shift AS week, off, CASE WHEN down <= 2 THEN 'offense' ELSE 'defense' END AS side, player FROM plays l JOIN h ON h.season = l.season")
+@query("scan_weekly_depth", """WITH c AS (SELECT season, max(week) AS cw FROM plays GROUP BY 1), s AS (SELECT season, max(week) AS sw FROM games GROUP BY 1), h AS (SELECT season, CASE WHEN season = (SELECT max(season) FROM games) THEN 0 ELSE cw - sw END AS shift FROM c JOIN s USING (season))
+SELECT DISTINCT l.season, l.week - shift AS week, off, CASE WHEN down <= 1 THEN 'offense' WHEN down <= 3 THEN 'defense' ELSE 'special' END AS side, player FROM plays l JOIN h ON h.season = l.season""")
 def scan_weekly_depth(t):
-    c, s = (df.groupBy("season").agg(F.max("week").alias(n)) for df, n in ((t.plays, "cw"), (t.games, "sw")))
-    shift = c.join(s, "season").select("season", F.greatest(F.lit(0), F.least(F.lit(1), F.col("cw") - F.col("sw"))).alias("shift"))
-    side = F.when(F.col("down") <= 2, "offense").otherwise("defense")
+    last = t.games.agg(F.max("season")).first()[0]
+    shift = S.week_shifts(t.plays, t.games, "season", "week", last)
+    side = F.when(F.col("down") <= 1, "offense").when(F.col("down") <= 3, "defense").otherwise("special")
     return t.plays.join(F.broadcast(shift), "season").select("season", (F.col("week") - F.col("shift")).alias("week"), "off", side.alias("side"), "player").distinct()
 
 
@@ -123,10 +124,14 @@ def scan_ledger(t):
     return S.scan_guarded(rows, "market").select("key", "run_id", F.date_format(F.to_timestamp("run_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "yyyy-MM-dd HH:mm:ss").alias("at"), "p")
 
 
-@query("scan_json_runs", "SELECT season, count(*) AS n, 1 AS named FROM games GROUP BY season")
+@query("scan_json_runs", "SELECT season, 'elo' AS name, count(*) AS n, avg(pow(p - y, 2)) AS brier, count(DISTINCT week)::BIGINT AS weeks, 1 AS named FROM games GROUP BY season", "brier")
 def scan_json_runs(t):
-    path = landed(t, t.games.groupBy("season").agg(F.count("*").alias("n")), "runs", "json")
-    return S.scan_json_runs(t.spark, path, "season int, n long").select("season", "n", F.col("file").endswith(".json").cast("int").alias("named"))
+    """Nested run records, a document a season, with the file that each came from."""
+    metrics = F.struct(F.count("*").alias("n"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"))
+    runs = t.games.groupBy("season").agg(metrics.alias("metrics"), F.array_sort(F.collect_set("week")).alias("weeks"))
+    path = landed(t, runs.select(F.lit("elo").alias("name"), F.struct("season", "weeks").alias("scope"), "metrics"), "runs", "json")
+    read = S.scan_json_runs(t.spark, path, "name string, scope struct<season:int, weeks:array<int>>, metrics struct<n:long, brier:double>")
+    return read.select("scope.season", "name", "metrics.*", F.size("scope.weeks").cast("long").alias("weeks"), F.col("file").endswith(".json").cast("int").alias("named"))
 
 
 @query("scan_site_inputs", "SELECT game_id, name FROM games JOIN teams ON team = home")

@@ -314,12 +314,19 @@ def fit_isotonic(t):
 
 @query("fit_fg_logit")
 def fit_fg_logit(t):
-    k = t.plays.where("down = 4").select("game_id", "play_id", "player", "season", "ts", F.col("yardline").cast("double").alias("dist"), "success")
-    rows = k.withColumns({"hinge": F.greatest(F.col("dist") - 40, F.lit(0.0)), "w": asof.half_life(1998 - F.col("season"), 3.0)})
-    v = asof.decayed_values(rows.withColumn("one", F.lit(1.0)), ["player"], "season", "success", "one", 2.0, 0.5, 10.0).select("player", "season", "value")
-    rows = rows.join(v, ["player", "season"])
-    x = ["dist", "hinge", "value"]
-    return M.walk_forward(rows, "season", [1997], lambda train: M.fit_logistic(train, x, "success", "w"), lambda m, test: M.probability(m, test, x)).select("game_id", "play_id", "player", "pred")
+    """Kicks by distance with two hinges and the kicker's earlier rate; how hard rates are shrunk is chosen for each season by the loss of the seasons before it."""
+    k = t.plays.where("down = 4").select("game_id", "play_id", "player", "season", F.col("yardline").cast("double").alias("dist"), "success")
+    rows = k.withColumns({"near": F.greatest(F.col("dist") - 35, F.lit(0.0)), "far": F.greatest(F.col("dist") - 55, F.lit(0.0)), "w": asof.half_life(2002 - F.col("season"), 3.0), "one": F.lit(1.0)})
+    walked = None
+    for strength in (5.0, 20.0, 80.0):
+        v = asof.decayed_values(rows, ["player"], "season", "success", "one", 2.0, 0.5, strength).select("player", "season", "value")
+        part = M.walk_logistic(rows.join(v, ["player", "season"]), ["dist", "near", "far", "value"], "success", F.col("w"), "season", SEASONS).withColumn("strength", F.lit(strength))
+        walked = part if walked is None else walked.unionByName(part)
+    loss = walked.groupBy("season", "strength").agg(F.sum(scoring.METRICS["logloss"]("success", "pred")).alias("l"), F.count("*").alias("n"))
+    seasons = loss.select(F.col("season").alias("now")).distinct()
+    past = seasons.join(loss, F.col("season") < F.col("now"), "left").groupBy("now", "strength").agg((F.sum("l") / F.sum("n")).alias("mean"))
+    best = past.groupBy("now").agg(F.coalesce(F.min_by("strength", F.struct("mean", "strength")), F.lit(20.0)).alias("best"))
+    return walked.join(F.broadcast(best), (F.col("season") == F.col("now")) & (F.col("strength") == F.col("best"))).select("game_id", "play_id", "player", "season", "strength", "pred")
 
 
 @query("fit_punt_classes")

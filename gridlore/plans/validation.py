@@ -17,10 +17,10 @@ def dq_required_columns(t):
 
 
 @query("dq_events", """WITH k AS (SELECT season, game_id, count(*) AS n FROM plays GROUP BY ALL), c AS (SELECT season, off AS code FROM plays UNION SELECT season, def FROM plays)
-SELECT season, unnest(['type:epa', 'type:kind', 'week', 'epa of plays']) AS "check", unnest([0, count(*), count_if(NOT coalesce(week BETWEEN 1 AND 52, false)), count_if(NOT coalesce(kind = 'N' OR epa > 0, false))]) AS bad FROM plays GROUP BY season
+SELECT season, unnest(['type:epa', 'type:kind', 'week', 'epa of plays', 'id prefix']) AS "check", unnest([0, count(*), count_if(NOT coalesce(week BETWEEN 1 AND 52, false)), count_if(NOT coalesce(kind = 'N' OR epa > 0, false)), count_if(NOT coalesce(starts_with(CAST(game_id AS VARCHAR), left(CAST(season AS VARCHAR), 1)), false))]) AS bad FROM plays GROUP BY season
 UNION ALL SELECT season, 'rows', count_if(n NOT BETWEEN 2 AND 6) FROM k GROUP BY season UNION ALL SELECT season, 'codes', count_if(code NOT IN (SELECT team FROM teams WHERE division <> 0)) FROM c WHERE code IS NOT NULL GROUP BY season""")
 def dq_events(t):
-    checks = {"week": F.col("week").between(1, 52), "epa of plays": (F.col("kind") == "N") | (F.col("epa") > 0)}
+    checks = {"week": F.col("week").between(1, 52), "epa of plays": (F.col("kind") == "N") | (F.col("epa") > 0), "id prefix": F.col("game_id").cast("string").startswith(F.substring(F.col("season").cast("string"), 1, 1))}
     return Q.dataset_report(t.plays, ["season"], ["game_id"], (2, 6), ["epa", "kind"], checks, ["off", "def"], t.teams.where("division <> 0"), "team")
 
 

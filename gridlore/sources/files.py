@@ -124,6 +124,20 @@ def scan_dimension(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
+def week_shifts(counted: DataFrame, scheduled: DataFrame, season: str, week: str, open_season: int | None = None) -> DataFrame:
+    """(season, shift): by how many weeks a source counts ahead of the schedule, from the last week of each; 0 for a season that is still open.
+
+    A shift other than 0 or 1 means that the two don't belong together, and is an error that names the seasons.
+    """
+    ends = [df.groupBy(season).agg(F.max(week).alias(n)) for df, n in ((counted, "c_"), (scheduled, "s_"))]
+    shift = F.when(F.col(season) == open_season, 0).otherwise(F.col("c_") - F.col("s_")).cast("int")
+    table = ends[0].join(ends[1], season).select(season, shift.alias("shift"))
+    bad = table.where(~F.col("shift").isin(0, 1)).orderBy(season).limit(20).collect()
+    if bad:
+        raise ValueError("weeks that don't fit the schedule: " + ", ".join(f"{r[0]} by {r[1]}" for r in bad))
+    return table
+
+
 def write_partitioned(df: DataFrame, path: str, key: str, mode: str = "overwrite") -> None:
     """Parquet by partition; an overwrite replaces only the partitions that `df` has. Rows are dealt by key and hash so that a large partition has several files."""
     salted = df.repartition(F.col(key), F.pmod(F.xxhash64(*df.columns), F.lit(8)))

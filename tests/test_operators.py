@@ -687,6 +687,30 @@ def test_one_bad_file_is_named(spark, tmp_path):
     assert status == {"good-a": ("same", 2, 2), "good-b": ("same", 2, 2), "bad": ("missing", 2, None)}
 
 
+def test_week_shifts(spark):
+    weeks = lambda ends: spark.createDataFrame([(s, w) for s, n in ends.items() for w in range(1, n + 1)], "season int, week int")
+    plan = weeks({2000: 17, 2001: 17, 2002: 9})
+    got = {r["season"]: r["shift"] for r in S.week_shifts(weeks({2000: 17, 2001: 18, 2002: 17}), plan, "season", "week", 2002).collect()}
+    assert got == {2000: 0, 2001: 1, 2002: 0}
+    for bad in ({2000: 19, 2001: 17, 2002: 9}, {2000: 16, 2001: 17, 2002: 9}):
+        with pytest.raises(ValueError, match="2000 by (2|-1)$"):
+            S.week_shifts(weeks(bad), plan, "season", "week", 2002)
+
+
+def test_walk_logistic_is_a_fit_of_the_past(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 1))
+    y = (rng.random(400) < 1 / (1 + np.exp(-x[:, 0]))).astype(float)
+    rows = [(i, 2000 + i % 4, float(x[i, 0]), float(y[i]), 1.0 + i % 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, season int, x double, y double, w double").repartition(3)
+    got = {r["id"]: r["pred"] for r in M.walk_logistic(df, ["x"], "y", F.col("w"), "season", [2001, 2003]).collect()}
+    assert len(got) == 200
+    for season in (2001, 2003):
+        past = [i for i in range(400) if 2000 + i % 4 < season]
+        b = _newton(x[past], y[past], np.array([1.0 + i % 3 for i in past]))
+        assert all(math.isclose(got[i], 1 / (1 + math.exp(-b[0] - b[1] * x[i, 0])), rel_tol=1e-6) for i in range(400) if 2000 + i % 4 == season)
+
+
 def test_ties_and_pairs(games):
     sides = contests.unpivot_sides(games, ["game_id"], mirrored={"points": ("home_score", "away_score")}, flipped={"result": "y"})
     assert sides.count() == 600
