@@ -13,6 +13,8 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlore.sources.files import settled
+
 
 def gram(rows: DataFrame, by: Sequence[str], row_id: Sequence[str], y: str, w: str | None = None, terms: str = "terms") -> DataFrame:
     """(by, i, j, s): weighted normal equations of sparse rows.
@@ -59,11 +61,12 @@ def solve_ridge(equations: DataFrame, by: Sequence[str], penalty: Mapping[str, f
     unseen. The prior is an offset: its part of the right side is taken off,
     and the deviation from it is solved for.
 
-    Groups of up to `dense` keys are solved one in a task. If a group has more,
+    The equations are written once to the shared folder, since several steps
+    read them. Groups of up to `dense` keys are solved one in a task. If a group has more,
     all groups go by conjugate gradients over the table of equations: the
     driver holds a number for each key, a task adds up its own entries.
     """
-    kinds = dict(equations.dtypes)
+    equations, kinds = settled(equations, "equations"), dict(equations.dtypes)
     rest = F.try_element_at(F.create_map(*[F.lit(x) for k, v in penalty.items() for x in (k, float(v))]), F.substring_index("key", "|", 1)) if penalty else F.lit(None)
     known = priors.select(*by, "key", F.col("prior").cast("double").alias("prior"), F.col("penalty").cast("double").alias("penalty")) if priors is not None else None
     diagonal = equations.where("i = j").select(*by, F.col("i").alias("key"), F.col("s").alias("weight"))

@@ -23,6 +23,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/gridlore/{tag}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """The table written once to the shared folder and read back: what comes after doesn't compute it again."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan_csv(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
     """Typed CSV scan with a header; a value that does not fit its type is an error."""
     return spark.read.schema(schema).options(header=True, mode="FAILFAST", **options).csv(path)

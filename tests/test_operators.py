@@ -531,13 +531,14 @@ def test_crossfit_sees_no_own_fold(spark):
     rows = [(i, 2000 + i % 4, float(x[i]), float(a[i]), float(y[i])) for i in range(n)]
     schema = "id long, season int, x double, action double, y double"
     fit = lambda r, extra=None: M.action_nuisances(spark.createDataFrame(r, schema), ["id"], "season", "action", 3, ["x"], "y", extra)
-    got = {r["id"]: r for r in fit(rows).collect()}
+    whole = fit(rows).persist()
+    got = {r["id"]: r for r in whole.collect()}
     changed = {r["id"]: r for r in fit([(i, s, v, (k + 1) % 3, -9 * w) if s == 2002 else (i, s, v, k, w) for i, s, v, k, w in rows]).collect()}
     own = [i for i in range(n) if i % 4 == 2]
     assert all(np.allclose(got[i]["e"], changed[i]["e"], atol=1e-6) and np.allclose(got[i]["mu"], changed[i]["mu"], atol=1e-6) for i in own)
     assert not np.allclose(got[0]["mu"], changed[0]["mu"], atol=1e-3)
     assert np.abs(np.array([got[i]["e"] for i in range(n)]) - p).mean() < 0.02
-    g = fit(rows).select(M.pseudo_outcomes(F.col("e"), F.col("mu"), F.col("action"), F.col("y")).alias("g")).collect()
+    g = whole.select(M.pseudo_outcomes(F.col("e"), F.col("mu"), F.col("action"), F.col("y")).alias("g")).collect()
     means = np.mean([r["g"] for r in g], axis=0)
     assert np.allclose(means - means[0], [0.0, 0.7, -0.3], atol=0.08)
     past = [r for r in rows if r[1] < 2003]
