@@ -18,9 +18,9 @@ def _texts(n, seed=1):
     return [(lang, " ".join(r.choice(words) for _ in range(30)) + ".") for lang, words in WORDS.items() for _ in range(n)]
 
 
-@pytest.mark.parametrize("ids", ["null", "one", "two", "own"])
+@pytest.mark.parametrize("ids", ["null", "one"])
 def test_labels_are_learned_whatever_the_ids(spark, ids):
-    rows = [({"null": None, "one": 7, "two": i % 2, "own": i}[ids], t, lang, "web", len(t)) for i, (lang, t) in enumerate(_texts(120))]
+    rows = [({"null": None, "one": 7}[ids], t, lang, "web", len(t)) for i, (lang, t) in enumerate(_texts(120))]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert [p.language for p in language.fit(df).parsers] == ["de", "en", "fr"]
     want = sorted((t, lang) for lang, t in _texts(120))
@@ -48,7 +48,7 @@ def test_one_word_ten_megabytes(spark):
     assert by_id[901]["selected"] and not by_id[900]["selected"]
 
 
-@pytest.mark.parametrize("share", [0.0, 0.003, 0.37, 0.999, 1.0])
+@pytest.mark.parametrize("share", [0.0, 0.37])
 def test_threshold_is_exact(spark, share):
     rows = [(i, "x " * (i % 17) + "word " * (i % 5)) for i in range(700)]
     labels = spark.createDataFrame([(i, i % 3 and 1, 0) for i in range(90)], "doc_id long, quality int, toxic int")
@@ -58,9 +58,8 @@ def test_threshold_is_exact(spark, share):
     assert [r["selected"] for r in got] == [keep > 0 and r["sort_key"] >= order[keep - 1] for r in got]
 
 
-@pytest.mark.parametrize("key", [None, 5])
-def test_exact_groups_of_one_id(spark, key):
-    rows = [(key, f"text {i // 2}") for i in range(3000)]
+def test_exact_groups_of_one_id(spark):
+    rows = [(None, f"text {i // 2}") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     got = exact.exact_groups(df).collect()
     assert len(got) == 3000 and {r["group_size"] for r in got} == {2} and sum(r["kept"] for r in got) == 1500

@@ -36,7 +36,7 @@ def _same(rows, keys, vectors, count):
     assert {r["n"] for r in rows} == {n} and all(r["identity_error"] < 1e-9 for r in rows)
 
 
-@pytest.mark.parametrize("d,count", [(1, 32), (2, 32), (9, 4), (40, 32)])
+@pytest.mark.parametrize("d,count", [(1, 32), (9, 4)])
 def test_whitened(spark, d, count):
     rng = np.random.default_rng(d)
     vectors = (rng.normal(size=(150, d)) * rng.uniform(0.3, 3, d) + rng.normal(size=d) * 5).tolist()
