@@ -35,6 +35,7 @@ def decayed_gram(stats: DataFrame, period: str, decay: float, last: int) -> Data
     has a row for each period from its first one on, and one running sum over
     them; rows aren't met with periods.
     """
+    stats = settled(stats, "statistics")
     ends = stats.groupBy("i", "j").agg(F.min(period).alias("first_"))
     calendar = ends.select("i", "j", F.explode(F.sequence(F.col("first_").cast("int"), F.lit(last))).alias(period), F.col("first_"))
     own = stats.select(period, F.col("i").alias("i_"), F.col("j").alias("j_"), "s")

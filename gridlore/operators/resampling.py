@@ -30,6 +30,11 @@ def poisson_one(u: Column) -> Column:
     return sum((F.when(u >= c, 1).otherwise(0) for c in POISSON_ONE), F.lit(0))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by keys to as many partitions as a shuffle has, for rows that are few but make much work; adaptive execution would put them together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def replicates(df: DataFrame, reps: int, seed: int, key: Sequence[str]) -> DataFrame:
     """Each row once for each replicate that draws it, with its Poisson weight; equal keys draw alike."""
     rows = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
@@ -176,7 +181,7 @@ def bootstrap_mean(df: DataFrame, value: str, cluster: Sequence[str], by: Sequen
 def null_ece(df: DataFrame, p: str, key: Sequence[str], reps: int = 100, seed: int = 11, bins: int = 10) -> DataFrame:
     """(rep, ece) of outcomes drawn from the forecasts themselves; rows of one key share a draw."""
     u = uniform(seed, F.col("rep"), *[F.col(k) for k in key])
-    drawn = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("y_", (u < F.col(p)).cast("double"))
+    drawn = spread(df, *key).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("y_", (u < F.col(p)).cast("double"))
     table = drawn.groupBy("rep", F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mp"), F.avg("y_").alias("my"))
     return table.groupBy("rep").agg((F.sum(F.col("n") * F.abs(F.col("my") - F.col("mp"))) / F.sum("n")).alias("ece"))
 

@@ -140,9 +140,10 @@ def last_of(df, column):
 
 @query("fit_ridge_ratings")
 def fit_ridge_ratings(t):
-    """Offence, defence and home ratings as of each week, from the rows of earlier weeks, halved every eight weeks."""
+    """Offence, defence and home ratings as of each week up to the one after the last season, from the rows of earlier weeks, halved every eight weeks."""
     rows = rating_terms(t).join(t.games.select("game_id", "week"), "game_id").withColumn("period", F.col("season") * 53 + F.col("week"))
-    asof_week = M.decayed_gram(M.gram(rows, ["period"], ["game_id"], "y", "w"), "period", 0.5 ** (1 / 8), last_of(rows, "period") + 1)
+    rows = R.spread(rows, "period", "terms").groupBy("period", "terms").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("y"), F.sum("w").alias("w")).withColumn("game_id", F.lit(0))  # rows of one design are one row
+    asof_week = M.decayed_gram(M.gram(rows, ["period"], ["game_id"], "y", "w"), "period", 0.5 ** (1 / 8), last_of(t.plays, "season") * 53 + 54)
     solved = M.solve_ridge(asof_week, ["period"], {"mean": 1e-6, "home": 1e-6}, 50.0)
     return solved.select(F.floor((F.col("period") - 1) / 53).cast("int").alias("season"), (F.pmod(F.col("period") - 1, F.lit(53)) + 1).cast("int").alias("week"), "key", "coef", "weight")
 
@@ -169,7 +170,7 @@ def fit_qb_joint_ridge(t):
     """Passers and their opponents of each season together, season-ahead: earlier means as priors, rows of one play count half."""
     rows = t.plays.where("is_pass = 1").groupBy("passer", "def", "season").agg(F.avg("epa").alias("y"), F.count("*").cast("double").alias("n"))
     rows = rows.withColumn("w", F.col("n") * F.when(F.col("n") < 2, 0.5).otherwise(1.0)).withColumn("terms", F.array(term("mean"), term("qb", 1.0, "passer"), term("opp", 1.0, "def", "season")))
-    ahead = M.decayed_gram(M.gram(rows, ["season"], ["passer"], "y", "w"), "season", 0.7, last_of(rows, "season"))
+    ahead = M.decayed_gram(M.gram(rows, ["season"], ["passer"], "y", "w"), "season", 0.7, last_of(t.plays, "season"))
     return M.solve_ridge(ahead, ["season"], {"mean": 1e-6, "opp": 60.0}, 30.0, priors_of(t, "qb", F.col("passer"), 1.0, 25.0, 0.0))
 
 
@@ -199,14 +200,14 @@ def fit_with_without(t):
     per = t.plays.groupBy("game_id", "season", "off", "player").agg(F.sum("epa").alias("s"), F.count("*").cast("double").alias("n"))
     rows = per.groupBy("game_id", "season", "off").agg((F.sum("s") / F.sum("n")).alias("y"), F.sum("n").alias("w"), F.collect_list(F.struct("player", "n")).alias("members"))
     rows = rows.withColumn("terms", F.concat(F.array(term("mean")), F.transform("members", lambda m: F.struct(F.concat(F.lit("m|"), m["player"].cast("string")).alias("key"), (m["n"] / F.col("w")).alias("x")))))
-    ahead = M.decayed_gram(M.gram(rows, ["season"], ["game_id"], "y", "w"), "season", 0.6, last_of(rows, "season"))
+    ahead = M.decayed_gram(M.gram(rows, ["season"], ["game_id"], "y", "w"), "season", 0.6, last_of(t.plays, "season"))
     return M.solve_ridge(ahead, ["season"], {"mean": 1e-6}, 40.0, priors_of(t, "m", F.col("player"), 1.0, 20.0, 0.05))
 
 
 def plus_minus(t):
     """Season-ahead ratings of the members of both sides: statistics of earlier seasons halve each year, priors and strengths by group."""
     rows = member_terms(t)
-    ahead = M.decayed_gram(M.gram(rows, ["season"], ["game_id"], "y", "w"), "season", 0.5, last_of(rows, "season"))
+    ahead = M.decayed_gram(M.gram(rows, ["season"], ["game_id"], "y", "w"), "season", 0.5, last_of(t.plays, "season"))
     priors = priors_of(t, "off", F.col("player"), 0.5, 60.0, 0.0).unionByName(priors_of(t, "def", defender(), 0.25, 80.0, 0.0))
     return rows, M.solve_ridge(ahead, ["season"], {"mean": 1e-6, "z": 1e-6}, 100.0, priors)
 
