@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from gridlore.functions import distributions as D
 from gridlore.operators import aggregates as A
 from gridlore.operators import boosting as B
-from gridlore.operators import contests, folds
+from gridlore.operators import asof, contests, folds
 from gridlore.operators import joins as J
 from gridlore.operators import models as M
 from gridlore.operators import quality as Q
@@ -311,6 +313,27 @@ def test_bootstrap(spark):
     assert abs(R.replicates(df, 50, 1, ["c", "v"]).agg(F.sum("weight")).first()[0] / 20_000 - 1) < 0.05
 
 
+def test_bits_of_many_hashes():
+    """Hashes taken together are those of hashlib, for texts of one block and longer ones."""
+    for texts in ([b"", b"|1", b"|123456", b"|a|bc"], [b"x" * 55, b"y" * 70], [b"|%d" % i for i in range(20_000)]):
+        heads = [b"7|%d" % r for r in (0, 9, 10, 99)] if len(texts[0]) < 50 else [b""]
+        want = [[int(hashlib.md5(h + x).hexdigest()[:13], 16) for x in texts] for h in heads]
+        assert R.md5_bits(heads, texts).tolist() == want
+    assert [R.POISSON_HEX[0], len(R.POISSON_HEX[-1])] == [f"{math.ceil(math.exp(-1) * 2**52):013x}", 13]
+
+
+def test_bootstrap_of_means_draws_as_replicates(spark):
+    """A task's sums are those of the repeated rows, by group and with a null cluster; only partial sums reach the shuffle."""
+    df = spark.createDataFrame([(i % 3, i // 4 if i > 20 else None, float((i * 7) % 11)) for i in range(400)], "k long, c long, v double").repartition(7)
+    sums = df.groupBy("k", "c").agg(F.sum("v").alias("s"), F.count("v").alias("n"))
+    means = R.replicates(sums, 30, 7, ["c"]).groupBy("k", "rep").agg((F.sum(F.col("weight") * F.col("s")) / F.sum(F.col("weight") * F.col("n"))).alias("m"))
+    want = {r["k"]: r for r in means.groupBy("k").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.stddev_samp("m").alias("se")).collect()}
+    got = R.bootstrap_mean(df, "v", ["c"], ["k"], reps=30)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    for r in got.collect():
+        assert np.allclose([r["low"], r["se"]], [want[r["k"]]["low"], want[r["k"]]["se"]])
+
+
 def _newton(x, y, w, rounds=60):
     design, b = np.c_[np.ones(len(x)), x], np.zeros(x.shape[1] + 1)
     for _ in range(rounds):
