@@ -121,9 +121,13 @@ def decayed_mix(rows: DataFrame, values: DataFrame, by: Sequence[str], entity: s
 
 
 def corrupt_after(df: DataFrame, time: str, cut: Column, numeric: Sequence[str], keys: Sequence[str], seed: int = 0) -> DataFrame:
-    """Numbers of the rows at or after the cut are replaced by hashed noise from -1 to 1, for tests of point-in-time builders."""
+    """Numbers of the rows at or after the cut are replaced by hashed noise from -1 to 1, for tests of point-in-time builders.
+
+    Noise that happens to be the number itself is moved by a half, so that every such row changes.
+    """
     noise = lambda c: F.pmod(F.xxhash64(F.lit(seed), F.lit(c), *keys), F.lit(2_000_001)) / 1e6 - 1.0
-    return df.withColumns({c: F.when(F.col(time) >= cut, noise(c)).otherwise(F.col(c)) for c in numeric})
+    other = lambda c: F.when(F.col(c) == noise(c), noise(c) + F.when(noise(c) > 0, -0.5).otherwise(0.5)).otherwise(noise(c))
+    return df.withColumns({c: F.when(F.col(time) >= cut, other(c)).otherwise(F.col(c)) for c in numeric})
 
 
 def changed_keys(clean: DataFrame, dirty: DataFrame, keys: Sequence[str], columns: Sequence[str], tol: float = 1e-9) -> DataFrame:

@@ -334,6 +334,13 @@ def test_bootstrap_of_means_draws_as_replicates(spark):
         assert np.allclose([r["low"], r["se"]], [want[r["k"]]["low"], want[r["k"]]["se"]])
 
 
+def test_corrupted_numbers_all_change(spark):
+    """Numbers that equal their own noise change too."""
+    df = spark.range(3000).withColumns({"at": F.lit(1), "v": F.pmod(F.xxhash64(F.lit(0), F.lit("v"), "id"), F.lit(2_000_001)) / 1e6 - 1.0})
+    got = asof.corrupt_after(df.withColumn("v0", F.col("v")), "at", F.lit(1), ["v"], ["id"]).agg(F.count_if(F.col("v") == F.col("v0")), F.min("v"), F.max("v")).first()
+    assert got[0] == 0 and -1 <= got[1] and got[2] <= 1
+
+
 def _newton(x, y, w, rounds=60):
     design, b = np.c_[np.ones(len(x)), x], np.zeros(x.shape[1] + 1)
     for _ in range(rounds):
