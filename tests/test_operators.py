@@ -747,3 +747,44 @@ def test_ties_and_pairs(games):
     assert sides.count() == 600
     back = contests.pair_sides(sides, ["game_id"], ["points"]).join(games, "game_id")
     assert back.where("NOT (home_team <=> home AND away_points <=> away_score)").count() == 0
+
+
+class _Held:
+    """State of one key in memory, which counts the calls."""
+
+    def __init__(self, calls):
+        self.calls, self.rows = calls, []
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls[name] = self.calls.get(name, 0) + 1
+            rows = {"appendList": lambda x: self.rows + list(x), "appendValue": lambda x: [*self.rows, x], "put": list, "update": lambda x: [x], "clear": lambda: []}
+            if name in rows:
+                self.rows = rows[name](*args)
+            return bool(self.rows) if name == "exists" else self.rows
+
+        return call
+
+
+class _Head(_Held):
+    def get(self):
+        return self.rows[0]
+
+
+def test_rating_state_takes_few_calls():
+    """A league's batch costs a few calls of state and one timer, however many its games and days."""
+    calls, timers, clock = {}, [], [0]
+    held = type("H", (), {"getListState": lambda s, *a: _Held(calls), "getMapState": lambda s, *a: _Held(calls), "getValueState": lambda s, *a: _Head(calls), "registerTimer": lambda s, at: timers.append(at)})()
+    at = type("T", (), {"getCurrentWatermarkInMs": lambda s: clock[0]})()
+    p = L._Ratings(folds.Elo(), "bigint")
+    p.init(held)
+    day = 86_400_000
+    games = pd.DataFrame([(d * day - 1, d, 1, d % 5, (d + 1) % 5, 3.0, float(d % 7), False) for d in range(200, 0, -1)], columns=["ms", "game_id", "season", "home", "away", "home_score", "away_score", "neutral"])
+    list(p.handleInputRows((1,), iter([games]), at))
+    assert timers == [day] and sum(calls.values()) <= 4
+    clock[0] = 150 * day
+    assert [g for f in p.handleExpiredTimer((1,), at, None) for g in f["game_id"]] == list(range(1, 151))
+    assert timers == [day, 151 * day] and sum(calls.values()) <= 14
+    list(p.handleInputRows((1,), iter([games.assign(game_id=games["game_id"] + 1000).query("game_id > 1160")]), at))
+    clock[0] = 300 * day
+    assert sum(len(f) for f in p.handleExpiredTimer((1,), at, None)) == 90 and timers == [day, 151 * day]
