@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from gridlore.sources.files import settled
+
 
 def week_ordinals(df: DataFrame, season: str = "season", week: str = "week") -> DataFrame:
     """(season, week, ord): places on a timeline of the weeks that occur; the window is over weeks, not rows."""
@@ -79,35 +83,34 @@ def best_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 AMONG = ("h2h", "sweep", "common", "common4", "common_net")
 
 
-def _step(step: str, facts: pd.DataFrame, met: pd.DataFrame, tied: list) -> pd.Series:
-    """The values of a step for the tied teams, the higher the better; null if it doesn't apply to one of them."""
+def _step(step: str, facts: dict, met: dict, tied: list) -> dict:
+    """The values of a step for the tied teams, the higher the better; None if it doesn't apply to one of them.
+
+    `facts` are the columns of a team, `met` its (games, won, net) against each opponent.
+    """
     if step not in AMONG:
-        return facts.loc[tied, step].astype(float)
-    own = met[met["team"].isin(tied)]
-    if step in ("h2h", "sweep"):
-        own = own[own["opp"].isin(tied)]
-    else:
-        shared = own.groupby("opp")["team"].nunique()
-        own = own[own["opp"].isin(shared.index[shared == len(tied)])]
-    total = own.groupby("team")[["games_", "won_", "net_"]].sum().reindex(tied)
+        return {t: None if facts[t][step] is None or facts[t][step] != facts[t][step] else float(facts[t][step]) for t in tied}
+    among = set(tied) if step in ("h2h", "sweep") else set.intersection(*[set(met[t]) for t in tied])
+    own = {t: [x for o, x in met[t].items() if o in among] for t in tied}
     if step == "common_net":
-        return total["net_"].fillna(0.0)
-    rate = total["won_"] / total["games_"]
+        return {t: float(sum(x[2] or 0.0 for x in own[t])) for t in tied}
+    games = {t: sum(x[0] for x in own[t]) for t in tied}
+    rate = {t: sum(x[1] for x in own[t]) / games[t] if games[t] else None for t in tied}
     if step == "common4":
-        return rate.where(total["games_"] >= 4)
+        return {t: rate[t] if games[t] >= 4 else None for t in tied}
     if step == "sweep" and len(tied) > 2:
-        all_met = own.groupby("team")["opp"].nunique().reindex(tied) == len(tied) - 1
-        beat, lost = all_met & (rate == 1), all_met & (rate == 0)
-        return beat.astype(float) if beat.any() else (~lost).astype(float)
+        beat = {t: len(own[t]) == len(tied) - 1 and rate[t] == 1 for t in tied}
+        lost = {t: len(own[t]) == len(tied) - 1 and rate[t] == 0 for t in tied}
+        return {t: float(beat[t]) if any(beat.values()) else float(not lost[t]) for t in tied}
     return rate
 
 
-def _pick(facts: pd.DataFrame, met: pd.DataFrame, tied: list, steps: Sequence[str]) -> object:
+def _pick(facts: dict, met: dict, tied: list, steps: Sequence[str]) -> object:
     """The team that wins a tie; the first of `tied` if no step parts them."""
     at = 0
     while len(tied) > 1 and at < len(steps):
         v = _step(steps[at], facts, met, tied)
-        best = [x for x in tied if v[x] >= v.max() - 1e-9] if v.notna().all() else tied
+        best = [x for x in tied if v[x] >= max(v.values()) - 1e-9] if all(x is not None for x in v.values()) else tied
         tied, at = (best, 0) if len(best) < len(tied) else (tied, at + 1)
     return tied[0]
 
@@ -124,7 +127,8 @@ def tie_ladder(rows: DataFrame, teams: DataFrame, by: Sequence[str], group: Sequ
     place of each division competes for a pick.
 
     Only tied teams leave the window. Their games are summed by pair first, so
-    that a group has one row for each pair of a tied team and an opponent.
+    that a group has one row for each pair of a tied team and an opponent. Ties
+    follow one another in a sorted partition; a task holds one of them.
     """
     w = Window.partitionBy(*by, *group)
     ranked = teams.withColumn("s_", F.round(score, 9)).withColumn("first_", F.rank().over(w.orderBy(F.desc_nulls_last("s_")))).withColumn("n_", F.count("*").over(Window.partitionBy(*by, *group, "s_")))
@@ -132,23 +136,45 @@ def tie_ladder(rows: DataFrame, teams: DataFrame, by: Sequence[str], group: Sequ
     static = [s for s in steps if s not in AMONG] + list(best_of or ())
     tied = ranked.where("n_ > 1").select(*by, *group, "first_", "team", *dict.fromkeys(static))
     pairs = rows.where(F.col("result").isNotNull()).groupBy(*by, "team", "opp").agg(F.count("*").alias("games_"), F.sum("result").cast("double").alias("won_"), F.sum("margin").cast("double").alias("net_"))
-    keys = [*by, *group, "team"]
-
-    def order(frame: pd.DataFrame) -> pd.DataFrame:
-        facts, met = frame.drop_duplicates("team").set_index("team").sort_index(), frame[frame["games_"] > 0]
-        left, out = list(facts.index), []
+    keys = [*by, *group, "first_"]
+
+    def order(rows: list[dict]) -> list:
+        facts = {r["team"]: r for r in reversed(rows)}
+        met: dict = {t: {} for t in facts}
+        for r in rows:
+            if r["games_"]:
+                met[r["team"]][r["opp"]] = (r["games_"], r["won_"], r["net_"])
+        left, out = sorted(facts), []
         while left:
             rivals = left
             if best_of:
-                ahead = facts.loc[left].sort_values(best_of[1], kind="stable").groupby(best_of[0], dropna=False).head(1)
-                rivals = [x for x in left if x in ahead.index]
+                ahead: dict = {}
+                for t in left:
+                    at = ahead.get(facts[t][best_of[0]])
+                    if at is None or facts[t][best_of[1]] < facts[at][best_of[1]]:
+                        ahead[facts[t][best_of[0]]] = t
+                rivals = [t for t in left if ahead[facts[t][best_of[0]]] == t]
             out.append(_pick(facts, met, rivals, steps))
-            left = [x for x in left if x != out[-1]]
-        done = facts.loc[out].reset_index()
-        return done.assign(place=(done["first_"] + range(len(done))).astype("int32"))[[*keys, "place"]]
-
-    schema = StructType([*[tied.schema[c] for c in keys], StructField("place", IntegerType())])
-    return alone.union(tied.join(pairs, [*by, "team"], "left").groupBy(*by, *group, "first_").applyInPandas(order, schema))
+            left = [t for t in left if t != out[-1]]
+        return out
+
+    def ordered(batches):
+        rows = (r for batch in batches for r in batch.to_pylist())
+        done: dict = {c: [] for c in arrow.names}
+        for key, own in itertools.groupby(rows, lambda r: tuple(r[c] for c in keys)):
+            for k, team in enumerate(order(list(own))):
+                for c, v in zip(arrow.names, (*key[:-1], team, key[-1] + k), strict=True):
+                    done[c].append(v)
+            if len(done["place"]) >= 10_000:
+                yield pa.RecordBatch.from_pydict(done, arrow)
+                done = {c: [] for c in arrow.names}
+        if done["place"]:
+            yield pa.RecordBatch.from_pydict(done, arrow)
+
+    schema = StructType([*[tied.schema[c] for c in (*keys[:-1], "team")], StructField("place", IntegerType())])
+    arrow = to_arrow_schema(schema)
+    dealt = tied.join(pairs, [*by, "team"], "left").repartition(*keys).sortWithinPartitions(*keys)
+    return alone.union(dealt.mapInArrow(ordered, schema))
 
 
 def combined_ranks(teams: DataFrame, by: Sequence[str], scored: str, allowed: str, alias: str) -> DataFrame:
@@ -164,9 +190,10 @@ def seed_field(rows: DataFrame, teams: DataFrame, by: Sequence[str], division: s
     Divisions are ordered by their own ladder. Winners are then ordered among
     each other, and the others after them, by `steps` with only the best team of
     a division competing for a pick. A division of one team has that as winner.
+    The teams with their places are written once to the shared folder.
     """
     places = tie_ladder(rows, teams, by, [division], score, division_steps).select(*by, "team", F.col("place").alias("at_"))
-    table = teams.join(places, [*by, "team"])
+    table = settled(teams.join(places, [*by, "team"]), "places")
     first = tie_ladder(rows, table.where("at_ = 1"), by, [conference], score, steps, (division, "at_"))
     rest = tie_ladder(rows, table.where("at_ > 1"), by, [conference], score, steps, (division, "at_"))
     winners = table.where("at_ = 1").groupBy(*by, conference).agg(F.count("*").cast("int").alias("w_"))

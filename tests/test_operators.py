@@ -519,6 +519,16 @@ def test_seed_field(spark):
         assert [r["team"] for r in sorted(got, key=lambda r: r["seed"]) if r["league"] == league] == order, league
 
 
+def test_division_ladders_are_climbed_once(spark):
+    """Ties are rows of a sorted partition, and the divisions' places are written for the three uses of them."""
+    games = spark.createDataFrame([(1, "a", "b", 0.5, 0.0), (1, "b", "a", 0.5, 0.0)], "league int, team string, opp string, result double, margin double")
+    table = spark.createDataFrame([(1, t, "x", "z", 0.5, 0.0) for t in "ab"], "league int, team string, division string, conf string, pct double, net double")
+    got = X.seed_field(games, table, ["league"], "division", "conf", "pct", ("h2h", "net"), ("sweep", "net"), 2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and plan.count("MapInArrow") == 2
+    assert sorted((r["team"], r["seed"]) for r in got.collect()) == [("a", 1), ("b", 2)]
+
+
 def test_combined_ranks(spark):
     df = spark.createDataFrame([("a", 30, 10), ("b", 20, 10), ("c", 30, 40)], "team string, f long, a long").withColumn("s", F.lit(1))
     assert {r["team"]: r["k"] for r in X.combined_ranks(df, ["s"], "f", "a", "k").collect()} == {"a": -2.0, "b": -4.0, "c": -4.0}
