@@ -798,3 +798,23 @@ def test_rating_state_takes_few_calls():
     list(p.handleInputRows((1,), iter([games.assign(game_id=games["game_id"] + 1000).query("game_id > 1160")]), at))
     clock[0] = 300 * day
     assert sum(len(f) for f in p.handleExpiredTimer((1,), at, None)) == 90 and timers == [day, 151 * day]
+
+
+def test_normal_grids_by_slices(spark, monkeypatch):
+    """A batch's grids are made a slice at a time, and null inputs stay null."""
+    plain = D._normal_grid
+
+    def bounded(m, s, low, high):
+        if len(m) > 1024:
+            raise ValueError("too many grids at once")
+        return plain(m, s, low, high)
+
+    rows = spark.range(5000, numPartitions=1).select("id", F.when(F.col("id") % 3 != 0, F.col("id") % 7).alias("mu"))
+    monkeypatch.setattr(D, "_normal_grid", bounded)
+    out = rows.select("id", "mu", D.normal_pmf(F.col("mu"), F.lit(2.0), -9, 9).alias("p"), D.on_normal_grid(F.col("mu"), F.lit(2.0), -9, 9, D.above_of).alias("a")).collect()
+    want = plain(np.arange(7.0), np.full(7, 2.0), -9, 9)
+    assert len(out) == 5000
+    for r in out:
+        assert (r["p"] is None) == (r["a"] is None) == (r["mu"] is None)
+        if r["mu"] is not None:
+            assert np.allclose(r["p"], want[r["mu"]], atol=1e-14) and math.isclose(r["a"], D.above_of(want[[r["mu"]]], np.arange(-9, 10))[0])
