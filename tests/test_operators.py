@@ -818,3 +818,50 @@ def test_normal_grids_by_slices(spark, monkeypatch):
         assert (r["p"] is None) == (r["a"] is None) == (r["mu"] is None)
         if r["mu"] is not None:
             assert np.allclose(r["p"], want[r["mu"]], atol=1e-14) and math.isclose(r["a"], D.above_of(want[[r["mu"]]], np.arange(-9, 10))[0])
+
+
+def test_gram_by_held_sums(spark, monkeypatch):
+    """Sums that don't fit are sent on and begun again; keys that repeat in a row, nulls and keys of no weight count as by hand."""
+    rng = random.Random(5)
+    rows = [(i % 3 if i % 7 else None, [(f"k{rng.randrange(9)}", rng.choice([0.0, 1.0, -2.0, None])) for _ in range(rng.randrange(5))], rng.choice([None, 1.5, 2.0]), 1.0 + i % 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "g int, terms array<struct<key:string,x:double>>, y double, w double").coalesce(2)
+    want: dict = {}
+    for g, terms, y, w in rows:
+        for k, x in terms:
+            want[g, k, None] = want.get((g, k, None), 0.0) + (x or 0.0) * (y or 0.0) * w
+            for l, z in terms:
+                want[g, k, l] = want.get((g, k, l), 0.0) + (x or 0.0) * (z or 0.0) * w
+    for held, size in ((1 << 24, 1 << 16), (50, 20)):
+        monkeypatch.setattr(M, "HELD_SUMS", held)
+        monkeypatch.setattr(M, "HELD_ROWS", size)
+        got = M.gram(df, ["g"], [], "y", "w").collect()
+        assert len(got) == len(want) and all(math.isclose(r["s"], want[r["g"], r["i"], r["j"]], abs_tol=1e-9) for r in got)
+
+
+def test_prediction_has_no_hot_key(spark):
+    """A key that all rows have doesn't bring them together: few coefficients are broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(50).withColumn("terms", F.array(F.struct(F.lit("mean").alias("key"), F.lit(2.0).alias("x")), F.struct(F.lit("none").alias("key"), F.lit(1.0).alias("x"))))
+        coefs = spark.createDataFrame([("mean", 1.5)], "key string, coef double")
+        out = M.predict_terms(rows, coefs, ["id"])
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+        assert {r["pred"] for r in out.collect()} == {3.0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_nuisances_read_designs_once(spark, monkeypatch):
+    """Models get a row for each fold, action and features, with its weight."""
+    sizes, plain = [], M._fit_actions
+
+    def counted(train, *rest):
+        sizes.append(train.count())
+        return plain(train, *rest)
+
+    monkeypatch.setattr(M, "_fit_actions", counted)
+    rows = spark.range(3000).select("id", (F.col("id") % 3).cast("int").alias("fold"), F.pmod(F.xxhash64("id"), F.lit(2)).cast("double").alias("a"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)).cast("double").alias("x"), (F.col("id") % 11).cast("double").alias("y"))
+    out = M.action_nuisances(rows, ["id"], "fold", "a", 2, ["x"], "y").collect()
+    assert len(out) == 3000 and max(sizes) <= 2 * 2 * 5
+    assert all(math.isclose(sum(r["e"]), 1.0, abs_tol=1e-9) for r in out)
