@@ -105,11 +105,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     neighbours, and those runs go that have `min_words` words or more.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    every = settle(unit_table(plain), "units")
-    first = F.min(F.struct("id", "tk", "start")).alias("first")
+    every = settle(unit_table(plain), "units").repartition("d1", "d2")
+    first = F.min(F.struct("id", "tk", "start", "seq", "stop", "words")).alias("first")  # all columns, so that both sides of the join read one shuffle
     several = every.groupBy("d1", "d2").agg(first, F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
     met = every.join(several, ["d1", "d2"])
-    gone = met.where(~F.struct("id", "tk", "start").eqNullSafe(F.col("first"))).select("id", "tk", "seq", "start", "stop", "words")
+    gone = met.where(~F.struct("id", "tk", "start").eqNullSafe(F.struct("first.id", "first.tk", "first.start"))).select("id", "tk", "seq", "start", "stop", "words")
     inside = Window.partitionBy("id", "tk").orderBy("seq")
     once = gone.withColumn("before", F.lag("seq").over(inside)).where("before is null or before <> seq")  # rows that repeat id and text
     numbered = once.withColumn("run", F.col("seq") - F.row_number().over(inside))

@@ -639,3 +639,21 @@ def test_functions_travel_by_value(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", "import pickle; f = pickle.load(open('own', 'rb')); print(f[0](b'abc'))"], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert done.stdout.strip() == str(exact.fingerprint(b"abc")), done.stderr[-500:]
+
+
+def test_units_are_shuffled_once(spark, monkeypatch):
+    """Counting units and marking their later occurrences read one shuffle."""
+    from gridlore.llm import units as U
+
+    seen, plain = {}, U.settle
+    monkeypatch.setattr(U, "settle", lambda df, tag: plain(seen.setdefault(tag, df), tag))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        words = " ".join(f"w{i}" for i in range(60))
+        out = U.repeated_spans(spark.createDataFrame([(i, f"t{i}\n{words}") for i in range(4)], "doc_id long, text string"))
+        assert out.count() == 3
+        seen["spans"].collect()
+        assert "ReusedExchange" in seen["spans"]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
