@@ -113,6 +113,7 @@ class _EloGrid:
         self.newcomer, self.step, self.scale = at(lambda c: c.newcomer), at(lambda c: c.edge_step), at(lambda c: c.scale)
         self.cap, self.absolute = at(lambda c: np.inf if c.cap is None else c.cap), at(lambda c: c.absolute) > 0
         self.playoffs, self.by_margin, self.post = at(lambda c: c.playoffs), at(lambda c: c.edge_by_margin) > 0, grid[0].post
+        self.slope, self.any_absolute = -math.log(10) / self.scale, bool(self.absolute.any())
         self.r, self.season, self.first, self.window = {}, None, True, window
         self.n, self.brier, self.logloss = 0, np.zeros(len(grid)), np.zeros(len(grid))
 
@@ -125,19 +126,19 @@ class _EloGrid:
         base = self.mean if self.first else self.newcomer
         h, a = self.r.get(home, base), self.r.get(away, base)
         diff = h - a if neutral else h + self.edge - a
-        p = 1 / (1 + 10 ** (-diff / self.scale))
         if hs is None or as_ is None or hs != hs or as_ != as_:
             return
+        p = 1 / (1 + np.exp(diff * self.slope))
         y = 1.0 if hs > as_ else 0.5 if hs == as_ else 0.0
         if self.window[0] <= season <= self.window[1]:
             q = np.clip(p, 1e-15, 1 - 1e-15)
             self.n += 1
             self.brier += (p - y) ** 2
-            self.logloss -= y * np.log(q) + (1 - y) * np.log(1 - q)
+            self.logloss -= np.log(q if y == 1 else 1 - q if y == 0 else q * (1 - q)) * (0.5 if y == 0.5 else 1.0)
         weight = 1.0
         if hs != as_:
             won = diff if hs > as_ else -diff
-            weight = np.minimum(math.log(abs(hs - as_) + 1) * 2.2 / (0.001 * np.where(self.absolute, abs(won), won) + 2.2), self.cap)
+            weight = np.minimum(math.log(abs(hs - as_) + 1) * 2.2 / (0.001 * (np.where(self.absolute, abs(won), won) if self.any_absolute else won) + 2.2), self.cap)
         moves = self.playoffs if kind == self.post else 1.0
         shift = moves * self.k * weight * (y - p)
         self.r[home], self.r[away] = h + shift, a - shift
@@ -261,7 +262,7 @@ class _KalmanState:
             if second is None:
                 gain = a / s
                 self.m = self.m + gain * miss
-                self.v = self.v - gain[:, :, None] * a[:, None, :]
+                self.v -= gain[:, :, None] * a[:, None, :]
                 continue
             other = (self.scale * (second - self.second_edge * site) - gap)[:, None]
             c = (b[:, i] - b[:, j] + site * b[:, 0] + self.cross)[:, None]
@@ -269,7 +270,7 @@ class _KalmanState:
             whole = s * t - c * c
             first, then = (t * a - c * b) / whole, (s * b - c * a) / whole
             self.m = self.m + first * miss + then * other
-            self.v = self.v - first[:, :, None] * a[:, None, :] - then[:, :, None] * b[:, None, :]
+            self.v -= np.stack([first, then], axis=2) @ np.stack([a, b], axis=1)
         if self.open:
             self.v = (self.v + self.v.swapaxes(1, 2)) / 2
         self.open = []
@@ -295,9 +296,9 @@ class _KalmanState:
         if (season, week) != self.period:
             self._pass_time(season, week)
         i, j, site = self._index(home), self._index(away), 0.0 if neutral else 1.0
-        a, b = self._along(i, j, site)
-        gap = self.m[:, i] - self.m[:, j]
-        mean, var = gap + site * self.m[:, 0], a[:, i] - a[:, j] + site * a[:, 0] + self.noise
+        v, gap = self.v, self.m[:, i] - self.m[:, j]
+        apart, lean = v[:, i, i] - 2 * v[:, i, j] + v[:, j, j], site * (v[:, 0, i] - v[:, 0, j])
+        mean, var = gap + site * self.m[:, 0], apart + 2 * lean + site * v[:, 0, 0] + self.noise
         if margin is None or margin != margin:
             return mean, var, None, None
         second = None if second is None or second != second else float(second)
@@ -306,7 +307,7 @@ class _KalmanState:
         own = -0.5 * (np.log(2 * np.pi * var) + miss**2 / var)
         if second is None:
             return mean, var, own, own
-        t, c = b[:, i] - b[:, j] + self.second, b[:, i] - b[:, j] + site * b[:, 0] + self.cross
+        t, c = apart + self.second, apart + lean + self.cross
         other, whole = self.scale * (second - self.second_edge * site) - gap, var * t - c * c
         both = -0.5 * (2 * np.log(2 * np.pi) + np.log(whole) + (t * miss**2 - 2 * c * miss * other + var * other**2) / whole) + np.log(self.scale)
         return mean, var, own, both
