@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ import gridlore
 # Functions of this package travel to the executors by value.
 cloudpickle.register_pickle_by_value(gridlore)
 
+#: Shares of all combinations of bins that may be broadcast; beyond it rows are predicted one by one.
+BROADCAST_SHARES = 5_000_000
+
 
 @dataclass(frozen=True)
 class Boost:
@@ -39,14 +44,16 @@ class Classes:
     losses: list[float] = field(default_factory=list)
 
 
-def _bins(features: Sequence[str], cuts: Sequence[Sequence[float]]) -> list[Column]:
-    """The number of cuts below each feature; nulls are in the first bin."""
-
-    def place(feature: str, own: Sequence[float]) -> Column:
-        below = F.filter(F.array(*[F.lit(float(c)) for c in own]), lambda c: c < F.col(feature))
-        return F.coalesce(F.size(below), F.lit(0)).cast("int")
-
-    return [place(f, own) if own else F.lit(0) for f, own in zip(features, cuts, strict=True)]
+def place_bins(df: DataFrame, features: Sequence[str], cuts: Sequence[Sequence[float]], names: Sequence[str]) -> DataFrame:
+    """The rows with the number of cuts below each feature under `names`; nulls are in the first bin, NaN in the last one."""
+    cut = [(f, own, n) for f, own, n in zip(features, cuts, names, strict=True) if own]
+    out = df
+    if cut:
+        # A bucket holds its lower end, a bin its upper one.
+        splits = [[-math.inf, *[math.nextafter(c, math.inf) for c in own], math.inf] for _, own, _ in cut]
+        out = Bucketizer(splitsArray=splits, inputCols=[f for f, _, _ in cut], outputCols=[n for _, _, n in cut], handleInvalid="keep").transform(df)
+    found = {n: F.when(F.col(f).isNull(), 0).otherwise(F.least(F.col(n).cast("int"), F.lit(len(own)))) for f, own, n in cut}
+    return out.withColumns({n: found.get(n, F.lit(0)) for n in names})
 
 
 def nodes_of(tree: Sequence[tuple[int, int]], bins: np.ndarray, depth: int) -> np.ndarray:
@@ -87,6 +94,17 @@ def _best_split(hist: np.ndarray, cfg: Boost) -> tuple[int, int, np.ndarray]:
     return int(f), int(b), left[f, b]
 
 
+def count_cells(train: DataFrame, features: Sequence[str], y: str, classes: int, bins: int = 32) -> tuple[list[list[float]], DataFrame]:
+    """Cuts of each feature at its quantiles, and the counts of the classes for each combination of bins that occurs, persisted."""
+    used = train.where(F.col(y).isNotNull())
+    quantiles = used.approxQuantile(list(features), [i / bins for i in range(1, bins)], 0.002)
+    cuts = [sorted({c for c in q if math.nextafter(c, math.inf) < math.inf}) for q in quantiles]
+    names = [f"b{i}_" for i in range(len(features))]
+    binned = place_bins(used, features, cuts, names).select(*names, F.col(y).cast("int").alias("y_"))
+    counted = binned.groupBy(*names, "y_").agg(F.count("*").cast("double").alias("n_")).groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("y_", "n_"))).alias("m_"))
+    return cuts, counted.select(*names, F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: F.coalesce(F.try_element_at("m_", c), F.lit(0.0))).alias("counts")).persist()
+
+
 def fit_boost(train: DataFrame, features: Sequence[str], y: str, classes: int, cfg: Boost, bins: int = 32) -> Classes:
     """Multinomial boosting on softmax residuals; `y` is the class, from 0.
 
@@ -97,18 +115,21 @@ def fit_boost(train: DataFrame, features: Sequence[str], y: str, classes: int, c
     for each node, feature, bin and class, picks the splits. Rows without a
     class are left out.
     """
-    used = train.where(F.col(y).isNotNull())
-    quantiles = used.approxQuantile(list(features), [i / bins for i in range(1, bins)], 0.002)
-    model = Classes(list(features), [sorted(set(q)) for q in quantiles], np.zeros(classes))
-    names = [f"b{i}" for i in range(len(features))]
-    binned = used.select(*[c.alias(n) for c, n in zip(_bins(features, model.cuts), names, strict=True)], F.col(y).cast("int").alias("y_"))
-    counted = binned.groupBy(*names, "y_").agg(F.count("*").cast("double").alias("n_")).groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("y_", "n_"))).alias("m_"))
-    cells = counted.select(*names, F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: F.coalesce(F.try_element_at("m_", c), F.lit(0.0))).alias("counts")).persist()
+    cuts, cells = count_cells(train, features, y, classes, bins)
+    model = grow(cells, features, cuts, classes, cfg)
+    cells.unpersist()
+    return model
+
+
+def grow(cells: DataFrame, features: Sequence[str], cuts: Sequence[Sequence[float]], classes: int, cfg: Boost) -> Classes:
+    """The rounds of `fit_boost` over counted cells."""
+    model = Classes(list(features), [list(c) for c in cuts], np.zeros(classes))
+    names = [f"b{i}_" for i in range(len(features))]
     total = np.zeros(classes)
     for r in cells.select(F.posexplode("counts").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
         total[r["k"]] = r["n"]
     model.base = np.log((total + 0.5) / (total.sum() + 0.5 * classes))
-    width, sums = bins + 1, [f"s{i}" for i in range(2 * classes)]
+    width, sums = max(map(len, model.cuts)) + 1, [f"s{i}" for i in range(2 * classes)]
     schema = "node int, f int, b int, " + ", ".join(f"{s} double" for s in sums)
 
     def histograms(tree: list, level: int) -> tuple[dict[int, np.ndarray], float]:
@@ -166,12 +187,17 @@ def fit_boost(train: DataFrame, features: Sequence[str], y: str, classes: int, c
                 leaves[i] = s[:classes] / (s[classes:] + cfg.penalty)
         model.trees.append((tree, leaves))
     model.losses.append(histograms([(-1, 0)] * (2**cfg.depth - 1), 0)[1])
-    cells.unpersist()
     return model
 
 
-def predict_boost(df: DataFrame, model: Classes, cfg: Boost, name: str = "shares") -> DataFrame:
-    """The rows with an array of the classes' shares."""
+def predict_boost(df: DataFrame, model: Classes, cfg: Boost, name: str = "shares", also: Mapping[str, Column] | None = None) -> DataFrame:
+    """The rows with an array of the classes' shares, and `also` columns computed from it alone.
+
+    Rows of equal bins have equal shares, so each combination of bins is
+    predicted once, with its other columns, and joined to its rows; only where
+    the combinations are too many to be broadcast, each row is predicted.
+    """
+    also, names, sizes = dict(also or {}), [f"b{i}_" for i in range(len(model.features))], [len(c) + 1 for c in model.cuts]
     shared = df.sparkSession.sparkContext.broadcast((model.features, model.cuts, model.base, model.trees))
 
     @F.pandas_udf("array<double>")
@@ -179,7 +205,13 @@ def predict_boost(df: DataFrame, model: Classes, cfg: Boost, name: str = "shares
         x = np.stack(bins.to_numpy()).astype(np.int64)
         return pd.Series(list(softmax(scores(Classes(*shared.value), x, cfg.rate, cfg.depth))))
 
-    return df.withColumn(name, shares(F.array(*_bins(model.features, model.cuts))))
+    placed = place_bins(df, model.features, model.cuts, names)
+    if math.prod(sizes) * len(model.base) > BROADCAST_SHARES:
+        return placed.withColumn(name, shares(F.array(*names))).withColumns(also).drop(*names)
+    digit = lambda i: F.expr(f"CAST(id div {math.prod(sizes[i + 1 :])} % {sizes[i]} AS INT)")
+    cells = df.sparkSession.range(math.prod(sizes)).select(*[digit(i).alias(n) for i, n in enumerate(names)])
+    valued = cells.withColumn(name, shares(F.array(*names))).withColumns(also)
+    return placed.drop(name, *also).join(F.broadcast(valued), names).drop(*names)
 
 
 def class_crps(shares: Column, y: Column) -> Column:
@@ -193,10 +225,24 @@ def class_crps(shares: Column, y: Column) -> Column:
     return F.aggregate(shares, start, step, lambda a: a["s"])
 
 
+def class_scores(shares: Column) -> Column:
+    """`class_crps` of each class in order, and last that of a class beyond them, which null counts as."""
+    return F.transform(F.sequence(F.lit(0), F.size(shares)), lambda k: class_crps(shares, k))
+
+
+def score_at(scored: Column, y: Column) -> Column:
+    """The entry of `class_scores` for a row's class."""
+    last = F.size(scored) - 1
+    return F.get(scored, F.greatest(F.least(F.coalesce(y.cast("int"), last), last), F.lit(0)))
+
+
 def choose_boost(train: DataFrame, held: DataFrame, features: Sequence[str], y: str, classes: int, grid: Mapping[str, Boost]) -> tuple[str, dict[str, float]]:
-    """The setting of the least mean score on held-out rows, the first among equals, and the scores of all."""
+    """The setting of the least mean score on held-out rows, the first among equals, and the scores of all; the settings share the counted cells."""
     table = {}
+    cuts, cells = count_cells(train, features, y, classes)
     for name, cfg in grid.items():
-        model = fit_boost(train, features, y, classes, cfg)
-        table[name] = predict_boost(held, model, cfg).agg(F.avg(class_crps(F.col("shares"), F.col(y)))).first()[0]
+        model = grow(cells, features, cuts, classes, cfg)
+        scored = predict_boost(held, model, cfg, also={"scores": class_scores(F.col("shares"))})
+        table[name] = scored.agg(F.avg(score_at(F.col("scores"), F.col(y)))).first()[0]
+    cells.unpersist()
     return min(table, key=lambda k: (table[k], list(table).index(k))), table

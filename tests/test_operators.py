@@ -631,6 +631,46 @@ def test_first_split_is_the_best_one(spark):
     assert set(table) == set(grid) and name == min(table, key=table.get) == "stump" and softmax is p
 
 
+def test_boosting_works_on_combinations_not_rows(spark, monkeypatch):
+    """Predictions and trees see each combination of bins once, with the values that rows one by one give; nulls and NaN keep their bins."""
+    rng = np.random.default_rng(23)
+    rows = [(float(a), float(b), int(c)) for a, b, c in zip(rng.integers(0, 6, 3000), rng.integers(0, 4, 3000), rng.integers(0, 3, 3000))]
+    odd = [(None, 1.0, 2), (float("nan"), 1.0, 0), (float("inf"), None, 7), (float("-inf"), 0.0, -1), (2.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, y int").repartition(4)
+    cfg = B.Boost(rounds=3, depth=2, rate=0.5)
+    model = B.fit_boost(df, ["a", "b"], "y", 3, cfg)
+    seen, real = spark.sparkContext.accumulator(0), B.scores
+
+    def counted(now, bins, rate, depth):
+        seen.add(len(bins))
+        return real(now, bins, rate, depth)
+
+    monkeypatch.setattr(B, "scores", counted)
+    whole = df.unionByName(spark.createDataFrame(odd, df.schema))
+    got = B.predict_boost(whole, model, cfg, also={"scored": B.class_scores(F.col("shares"))}).select("a", "b", "y", "shares", B.score_at(F.col("scored"), F.col("y")).alias("s"), B.class_crps(F.col("shares"), F.col("y")).alias("own")).collect()
+    assert len(got) == 3005 and seen.value == math.prod(len(c) + 1 for c in model.cuts) <= 35
+    monkeypatch.setattr(B, "scores", real)
+    place = lambda v, cuts: 0 if v is None else len(cuts) if v != v else sum(c < v for c in cuts)
+    for r in got:
+        bins = np.array([[place(r["a"], model.cuts[0]), place(r["b"], model.cuts[1])]])
+        assert np.allclose(r["shares"], B.softmax(real(model, bins, cfg.rate, cfg.depth))[0], atol=1e-12) and r["s"] == r["own"]
+    monkeypatch.setattr(B, "BROADCAST_SHARES", 0)
+    again = B.predict_boost(whole, model, cfg).select("a", "b", "y", "shares").collect()
+    assert sorted((str(r["a"]), str(r["b"]), r["shares"]) for r in again) == sorted((str(r["a"]), str(r["b"]), r["shares"]) for r in got)
+
+    from pyspark.ml.classification import GBTClassifier
+
+    labelled = df.withColumns({"y": (F.col("y") == 0).cast("double"), "v": F.col("a") == 5})
+    sizes, assembled = [], M.assembled
+    monkeypatch.setattr(M, "assembled", lambda rows, features: sizes.append(rows.count()) or assembled(rows, features))
+    fitted = M.fit_gbt(labelled, ["a", "b"], "y", 5, "v")
+    assert sizes == [labelled.select("a", "b", "y", "v").distinct().count()]
+    plain = GBTClassifier(featuresCol="features_", labelCol="y", maxIter=5, maxDepth=3, seed=7, validationIndicatorCol="v").fit(assembled(labelled, ["a", "b"]))
+    at = labelled.select("a", "b").distinct()
+    one, two = ({(r["a"], r["b"]): r["pred"] for r in M.probability(m, at, ["a", "b"]).collect()} for m in (fitted, plain))
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
+
+
 def test_policy_value(spark):
     row = spark.createDataFrame([(1, [0.2, 0.8], [1.0, 3.0], 0.5), (0, [0.01, 0.99], [1.0, 3.0], 0.5), (None, [0.5, 0.5], [1.0, 3.0], 0.5)], "rec int, e array<double>, g array<double>, y double")
     assert [r[0] for r in row.select(M.policy_value(F.col("rec"), F.col("e"), F.col("g"), F.col("y"), 0.05)).collect()] == [2.5, 0.0, 0.0]
