@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 100_000
+#: Parts that a group's rows are dealt to in `with_members`, and its tasks for each core.
+MEMBER_PARTS, MEMBER_TASKS = 8, 8
 
 
 def checked(left: DataFrame, right: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -84,6 +86,21 @@ def sides_lookup(games: DataFrame, dim: DataFrame, on: Sequence[str], value: str
     return games.withColumns({f"{value}_{s}": F.coalesce(f"{value}_{s}", F.lit(default)) for s in (home, away)})
 
 
+def with_members(rows: DataFrame, members: DataFrame, on: Sequence[str], member: str, deal: str) -> DataFrame:
+    """Each row of `rows` with each member of its group: the inner join, repeated and null members too; null groups match nothing.
+
+    What comes out is many times what goes in, and AQE would set tasks by the
+    bytes that go in, so their number is given. A group's members travel as one
+    list; its rows are dealt by `deal` to parts that each meet a copy of the
+    list, so that a large group takes several tasks. The merge join spills.
+    """
+    none = F.array_repeat(F.lit(None).cast(members.schema[member].dataType), F.count_if(F.col(member).isNull()).cast("int"))
+    lists = members.groupBy(*on).agg(F.concat(F.collect_list(member), none).alias("members_")).withColumn("part_", F.explode(F.array(*[F.lit(k) for k in range(MEMBER_PARTS)])))
+    tasks = MEMBER_TASKS * rows.sparkSession.sparkContext.defaultParallelism
+    dealt = rows.withColumn("part_", F.pmod(F.hash(deal), F.lit(MEMBER_PARTS))).repartition(tasks, *on, "part_")
+    return dealt.join(lists.hint("merge"), [*on, "part_"]).withColumn(member, F.explode("members_")).drop("part_", "members_")
+
+
 def ordered_override(default: Column, rules: Sequence[tuple[Column, Column]]) -> Column:
     """The value of the first rule that holds, else the default."""
     out = None

@@ -159,7 +159,8 @@ def join_status_override(t):
 @query("join_lineup_games", f"WITH {SIDES}, r AS (SELECT DISTINCT season, week, off AS team, player FROM plays WHERE down = 1) SELECT s.game_id, r.team, player, is_home FROM sides s JOIN r USING (season, week, team)")
 def join_lineup_games(t):
     r = t.plays.where("down = 1").select("season", "week", F.col("off").alias("team"), "player").distinct()
-    return sides(t).select("season", "week", "team", "game_id", "is_home").join(r, ["season", "week", "team"]).select("game_id", "team", "player", "is_home")
+    rows = sides(t).select("season", "week", "team", "game_id", "is_home")
+    return J.with_members(rows, r, ["season", "week", "team"], "player", "game_id").select("game_id", "team", "player", "is_home")
 
 
 @query("join_prev_season_fact", """WITH m AS (SELECT off AS team, season, passer FROM (SELECT off, season, passer, row_number() OVER (PARTITION BY off, season ORDER BY count(*) DESC, passer) AS k FROM plays GROUP BY off, season, passer) WHERE k = 1), d AS (SELECT a.team, a.season, CASE WHEN b.passer IS NULL THEN NULL WHEN a.passer <> b.passer THEN 1 ELSE 0 END AS new FROM m a LEFT JOIN m b ON b.team = a.team AND b.season = a.season - 1)

@@ -905,3 +905,16 @@ def test_nuisances_read_designs_once(spark, monkeypatch):
     out = M.action_nuisances(rows, ["id"], "fold", "a", 2, ["x"], "y").collect()
     assert len(out) == 3000 and max(sizes) <= 2 * 2 * 5
     assert all(math.isclose(sum(r["e"]), 1.0, abs_tol=1e-9) for r in out)
+
+
+def test_with_members(spark):
+    """Repeated and null members count, null groups match nothing, a large group takes several tasks."""
+    rows = [(i, 1) for i in range(200)] + [(200, 2), (201, 3), (202, None), (203, 1)]
+    members = [(1, 10), (1, 10), (1, None), (2, None), (2, None), (4, 5), (None, 6)]
+    a, b = spark.createDataFrame(rows, "id long, k int"), spark.createDataFrame(members, "k int, m long")
+    out = J.with_members(a, b, ["k"], "m", "id").select("id", "k", "m")
+    some = lambda x: [-1 if v is None else v for v in x]
+    assert sorted(some(r) for r in out.collect()) == sorted(some((i, k, m)) for i, k in rows for g, m in members if k is not None and k == g)
+    assert out.where("k = 1").select(F.spark_partition_id()).distinct().count() > 2
+    for x, y in ((a.limit(0), b), (a, b.limit(0))):
+        assert J.with_members(x, y, ["k"], "m", "id").count() == 0

@@ -7,6 +7,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import gridlore.plans
 from gridlore import registry
@@ -36,3 +37,9 @@ def test_sql(spark, sf, con, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
 def test_runs(spark, sf, name):
     assert registry.QUERIES[name](spark, sf).count() > 0
+
+
+def test_lineup_games_tasks(spark, sf):
+    """The rows come from many tasks, however few bytes the join reads."""
+    df = registry.QUERIES["join_lineup_games"](spark, sf)
+    assert df.select(F.spark_partition_id()).distinct().count() > 16
