@@ -159,7 +159,7 @@ def join_status_override(t):
 @query("join_lineup_games", f"WITH {SIDES}, r AS (SELECT DISTINCT season, week, off AS team, player FROM plays WHERE down = 1) SELECT s.game_id, r.team, player, is_home FROM sides s JOIN r USING (season, week, team)")
 def join_lineup_games(t):
     r = t.plays.where("down = 1").select("season", "week", F.col("off").alias("team"), "player").distinct()
-    rows = sides(t).select("season", "week", "team", "game_id", "is_home")
+    rows = contests.unpivot_sides(t.games, ["season", "week", "game_id"]).select("season", "week", "team", "game_id", "is_home")
     return J.with_members(rows, r, ["season", "week", "team"], "player", "game_id").select("game_id", "team", "player", "is_home")
 
 
